@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellselect.functions import constants as K
 from cellselect.functions.geo import _c
@@ -90,7 +91,7 @@ def _keyed(key, salt) -> Column:
     return F.concat(F.coalesce(_c(salt), F.lit("_unk")), F.lit(":"), _c(key))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def blake2b_uniform(keys: pd.Series) -> pd.Series:
     """First 64 bits of blake2b, big-endian, as a fraction of 2**64."""
     return keys.map(lambda k: int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "big") / 2 ** 64)

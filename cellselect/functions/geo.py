@@ -74,7 +74,9 @@ _AHEAD, _BACK = _curve_tables()
 
 
 def _table(values: list[int]) -> Column:
-    return F.expr(f"array({','.join(map(str, values))})")
+    # one text literal, folded to an array literal by the optimizer: a thousand literal nodes
+    # would slow down the analysis of every later step
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
 def _st_to_ij(uv: Column) -> Column:
@@ -125,6 +127,40 @@ def s2_leaf(lat, lng) -> Column:
     return _let(_let(_let(xyz, face), plane), walk)
 
 
+_QUAD_UV = ("CASE _f WHEN 0 THEN _y / _x WHEN 1 THEN -_x / _y WHEN 2 THEN -_x / _z "
+            "WHEN 3 THEN _z / _x WHEN 4 THEN _z / _y ELSE -_y / _z END AS _u, "
+            "CASE _f WHEN 0 THEN _z / _x WHEN 1 THEN _z / _y WHEN 2 THEN -_y / _z "
+            "WHEN 3 THEN _y / _x WHEN 4 THEN -_x / _y ELSE -_x / _z END AS _v")
+
+
+def with_s2_leaf(df, lat: str, lng: str, name: str):
+    """Add the leaf cell as a chain of projections: the same steps as ``s2_leaf``, but every step
+    is compiled code, which is what full scans should use. One SQL text keeps planning short."""
+
+    def ij(t: str) -> str:
+        st = f"CASE WHEN {t} >= 0 THEN 0.5D * sqrt(1 + 3 * {t}) ELSE 1 - 0.5D * sqrt(1 - 3 * {t}) END"
+        return f"least(greatest(floor(({st}) * {_MAX}), 0), {_MAX - 1})"
+
+    steps = [
+        f"cos(radians({lat})) * cos(radians({lng})) AS _x, cos(radians({lat})) * sin(radians({lng})) AS _y, "
+        f"sin(radians({lat})) AS _z",
+        "CASE WHEN abs(_x) > abs(_y) AND abs(_x) > abs(_z) THEN if(_x < 0, 3L, 0L) "
+        "WHEN abs(_x) <= abs(_y) AND abs(_y) > abs(_z) THEN if(_y < 0, 4L, 1L) ELSE if(_z < 0, 5L, 2L) END AS _f",
+        _QUAD_UV,
+        f"{ij('_u')} AS _i, {ij('_v')} AS _j, 0L AS _p8, _f & 1L AS _o8"]
+    table = f"cast(split('{','.join(map(str, _AHEAD))}', ',') AS array<int>)"
+    for k in range(7, -1, -1):
+        at = f"cast(_o{k + 1} * 256 + (shiftright(_i, {4 * k}) & 15) * 16 + (shiftright(_j, {4 * k}) & 15) + 1 AS int)"
+        steps.append(f"element_at({table}, {at}) AS _t{k}")
+        steps.append(f"shiftleft(_p{k + 1}, 8) | shiftright(_t{k}, 2) AS _p{k}, cast(_t{k} & 3 AS bigint) AS _o{k}")
+    text = "{df}"
+    for step in steps:
+        text = f"(SELECT *, {step} FROM {text})"
+    keep = ", ".join(f"`{c}`" for c in df.columns)
+    return df.sparkSession.sql(
+        f"SELECT {keep}, shiftleft(_f, 61) | shiftleft(_p0, 1) | 1L AS `{name}` FROM {text}", df=df)
+
+
 def _let(value: Column, body) -> Column:
     """Bind a struct once so that it is not evaluated per use."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,6 +1,7 @@
 """Cell statistics, vocabularies, labels, parent maps and country distributions.
 
-Cell columns are ``s2_l<level>`` with unsigned decimal text; long tables carry (level, cell).
+Cell columns ``s2_l<level>`` and ``cell`` hold the 64 id bits as BIGINT (what shuffles carry); the
+unsigned decimal text, which vocabularies order by, is made once per distinct cell.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from cellselect.operators.scale import prefix_rank, salted_join
 
 def with_cells(df: DataFrame, levels: Sequence[int] = geo.LEVELS) -> DataFrame:
     """Add ``s2_l<level>`` columns; the leaf cell is computed once, its ancestors by bit operations."""
-    out = df.withColumn("_leaf", geo.s2_leaf("lat", "lng"))
-    return (out.withColumns({f"s2_l{n}": geo.s2_text(geo.s2_parent("_leaf", n)) for n in levels})
-            .drop("_leaf"))
+    out = geo.with_s2_leaf(df, "lat", "lng", "_leaf")
+    return out.withColumns({f"s2_l{n}": geo.s2_parent("_leaf", n) for n in levels}).drop("_leaf")
 
 
 def explode_levels(df: DataFrame, keep: Sequence[str], levels: Sequence[int] = geo.LEVELS) -> DataFrame:
@@ -62,8 +62,9 @@ def prune_cells(stats: DataFrame, min_count: dict[int, int] | None = None) -> Da
 
 
 def cell_vocab(stats: DataFrame, min_count: dict[int, int] | None = None) -> DataFrame:
-    """Kept cells with a dense index in the order of their id text."""
-    return prefix_rank(prune_cells(stats, min_count), ["level"], "cell", width=6)
+    """Kept cells with a dense index in the order of their id text (``cell_text``)."""
+    kept = prune_cells(stats, min_count).withColumn("cell_text", geo.s2_text(F.col("cell")))
+    return prefix_rank(kept, ["level"], "cell_text", width=6)
 
 
 def country_vocab(df: DataFrame, split: str | None = "train") -> DataFrame:
@@ -91,7 +92,7 @@ def parent_map(vocab: DataFrame, child: int, parent: int) -> DataFrame:
         raise ValueError("the parent level must be coarser than the child level")
     kids = vocab.where(F.col("level") == child).select(
         F.col("idx").alias("child_idx"),
-        geo.s2_text(geo.s2_parent(geo.s2_from_text(F.col("cell")), parent)).alias("cell"))
+        geo.s2_parent("cell", parent).alias("cell"))
     ups = vocab.where(F.col("level") == parent).select("cell", F.col("idx").alias("parent_idx"))
     return kids.join(ups, "cell", "left").select(
         F.lit(child).alias("child_level"), "child_idx", F.lit(parent).alias("parent_level"),

@@ -33,21 +33,20 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
-        o = self.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        c = self.read("customer").select("c_custkey", "c_nationkey")
-        n = self.read("nation").select("n_nationkey", "n_name")
-        key = F.col("o_orderkey")
-        return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-                .select(F.when(key % 10 == 3, F.concat(F.lit("CAo"), F.lpad(key.cast("string"), 40, "0")))
-                        .otherwise(F.lpad(key.cast("string"), 22, "0")).alias("pano_id"),
-                        key.alias("sample_key"), F.col("o_custkey").alias("cust_key"),
-                        (cluster("o_custkey", 7919, 120000, 60) + jitter("o_orderkey", 31)).alias("lat"),
-                        (cluster("o_custkey", 104729, 340000, 170) + jitter("o_orderkey", 17)).alias("lng"),
-                        F.when(key % 14 != 0, F.col("n_name")).alias("country_code"),
-                        F.when(key % 4 == 0, 1664).when(key % 4 == 1, 6656).when(key % 4 == 2, 8192).alias("height"),
-                        F.when(F.col("o_orderstatus") == "F", "launch")
-                        .when(F.col("o_orderstatus") == "P", "scout").alias("source"),
-                        F.date_format("o_orderdate", "yyyy-MM").alias("capture_month")))
+        return self.spark.sql("""
+            SELECT CASE WHEN o_orderkey % 10 = 3 THEN concat('CAo', lpad(cast(o_orderkey AS string), 40, '0'))
+                        ELSE lpad(cast(o_orderkey AS string), 22, '0') END AS pano_id,
+                   o_orderkey AS sample_key, o_custkey AS cust_key,
+                   cast(o_custkey % 97 * 7919 % 120000 AS double) / 1000 - 60
+                     + cast(o_orderkey * 31 % 1000 AS double) / 5000 - 0.1D AS lat,
+                   cast(o_custkey % 97 * 104729 % 340000 AS double) / 1000 - 170
+                     + cast(o_orderkey * 17 % 1000 AS double) / 5000 - 0.1D AS lng,
+                   CASE WHEN o_orderkey % 14 <> 0 THEN n_name END AS country_code,
+                   CASE o_orderkey % 4 WHEN 0 THEN 1664 WHEN 1 THEN 6656 WHEN 2 THEN 8192 END AS height,
+                   CASE o_orderstatus WHEN 'F' THEN 'launch' WHEN 'P' THEN 'scout' END AS source,
+                   date_format(o_orderdate, 'yyyy-MM') AS capture_month
+            FROM {o} JOIN {c} ON o_custkey = c_custkey JOIN {n} ON c_nationkey = n_nationkey""",
+            o=self.read("orders"), c=self.read("customer"), n=self.read("nation"))
 
     @cached_property
     def split_samples(self) -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellselect.functions import geo
 from cellselect.operators import cells as C
 from cellselect.plans.registry import query
 
 
+def _text():
+    return geo.s2_text(F.col("cell")).alias("cell")
+
+
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -17,14 +22,14 @@ SELECT level, cell, n, round(centroid_lat, 6) AS centroid_lat, round(centroid_ln
 """, "cell_stats")
 def a1(t):
     s = C.cell_stats(t.s2_samples)
-    return s.select("level", "cell", "n", _r("centroid_lat"), _r("centroid_lng"))
+    return s.select("level", _text(), "n", _r("centroid_lat"), _r("centroid_lng"))
 
 
 @query("a2_cell_vocab", """
 SELECT level, cell, idx, n, round(centroid_lat, 6) AS centroid_lat, round(centroid_lng, 6) AS centroid_lng FROM vocab
 """, "vocab")
 def a2(t):
-    return t.vocab.select("level", "cell", "idx", "n", _r("centroid_lat"), _r("centroid_lng"))
+    return t.vocab.select("level", F.col("cell_text").alias("cell"), "idx", "n", _r("centroid_lat"), _r("centroid_lng"))
 
 
 @query("a3_country_vocab", "SELECT code, idx FROM countries", "countries")
@@ -39,7 +44,7 @@ SELECT level, cell, country_code, n FROM (
   FROM long_cells WHERE split = 'train' AND country_code IS NOT NULL GROUP BY level, cell, country_code)
 WHERE rn = 1""", "long_cells")
 def a4(t):
-    return C.modal_country(t.s2_samples)
+    return C.modal_country(t.s2_samples).withColumn("cell", _text())
 
 
 @query("a5_country_dist", "SELECT level, idx, country, round(p, 6) AS p FROM country_dist", "country_dist")
@@ -64,7 +69,7 @@ def f7(t):
 @query("f8_prune_cells", """
 SELECT level, cell, n FROM cell_stats WHERE n >= CASE level WHEN 9 THEN 2 WHEN 12 THEN 5 ELSE 1 END""", "cell_stats")
 def f8(t):
-    return C.prune_cells(C.cell_stats(t.s2_samples)).select("level", "cell", "n")
+    return C.prune_cells(C.cell_stats(t.s2_samples)).select("level", _text(), "n")
 
 
 @query("j8_label_cells", """
@@ -92,7 +97,7 @@ SELECT cell, country_code FROM (
   FROM long_cells WHERE split = 'train' AND level = 9 AND country_code IS NOT NULL GROUP BY cell, country_code)
 WHERE rn = 1""", "long_cells")
 def l3(t):
-    return C.modal_country(t.s2_samples, levels=[9]).select("cell", "country_code")
+    return C.modal_country(t.s2_samples, levels=[9]).select(_text(), "country_code")
 
 
 @query("u2_union_levels", """
@@ -121,4 +126,4 @@ def j15(t):
     fresh = F.when(F.col("idx") % 7 == 0, F.array(F.lit(-1).cast("long"))).otherwise(
         F.array(F.lit(-1).cast("long"), F.lit(0).cast("long")))
     out = C.remap_vocab(t.vocab.select("level", "cell", "idx"), old, fresh)
-    return out.select("level", "cell", "idx", "copied", F.element_at("vec", 1).alias("first_value"))
+    return out.select("level", _text(), "idx", "copied", F.element_at("vec", 1).alias("first_value"))
