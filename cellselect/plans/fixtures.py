@@ -110,7 +110,7 @@ class Tables:
     @cached_property
     def raster(self) -> DataFrame:
         r = self.spark.range(180).select(F.col("id").alias("row_idx"),
-                                         F.explode(F.sequence(F.lit(0), F.lit(359))).cast("long").alias("col_idx"))
+                                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(359).cast("long"))).alias("col_idx"))
         return r.withColumn("value", (F.col("row_idx") * 7 + F.col("col_idx") * 3) % 31)
 
     @cached_property
