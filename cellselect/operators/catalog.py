@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
-from cellselect.operators.scale import salted_join
 
 
 def _first_by(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
@@ -132,5 +131,5 @@ def by_id(df: DataFrame, key: str, value) -> DataFrame:
 def country_weights(df: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
     """Sampling weight by country code, ``default`` where none is listed."""
     w = weights.select(F.col("code").alias("country_code"), F.col("weight").alias("_w"))
-    return (salted_join(df, w, ["country_code"], "left")
+    return (df.join(w, "country_code", "left")
             .withColumn("weight", F.coalesce("_w", F.lit(float(default)))).drop("_w"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellselect.functions import constants as K
 from cellselect.functions import geo
-from cellselect.operators.scale import prefix_rank, salted_join
+from cellselect.operators.scale import prefix_rank
 
 
 def with_cells(df: DataFrame, levels: Sequence[int] = geo.LEVELS) -> DataFrame:
@@ -77,7 +77,7 @@ def country_vocab(df: DataFrame, split: str | None = "train") -> DataFrame:
 def label_cells(df: DataFrame, vocab: DataFrame, key: str, levels: Sequence[int] = geo.LEVELS) -> DataFrame:
     """(key, level, idx) labels; cells outside the vocabulary become -1."""
     rows = explode_levels(df, [key], levels)
-    return (salted_join(rows, vocab.select("level", "cell", "idx"), ["level", "cell"], "left", salt_by=[key])
+    return (rows.join(vocab.select("level", "cell", "idx"), ["level", "cell"], "left")
             .select(key, "level", F.coalesce("idx", F.lit(K.PRUNED).cast("long")).alias("idx")))
 
 

@@ -1,6 +1,7 @@
 """Building blocks that keep hot keys and big groups spread over tasks.
 
-* ``salted_join``       – equi-join whose left side may hold a third of its rows under one key.
+* Equi-joins with a hot left key are left to adaptive execution, which splits the skewed partition
+  and repeats the other side's (``session.tune`` lets it do so before aggregates too).
 * ``with_chunks``       – split every group into hash chunks of bounded size.
 * ``global_rank``       – total order rank without a single-task sort.
 * ``exact_percentiles`` – exact interpolated percentiles by narrowing histograms.
@@ -10,68 +11,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellselect.session import shared_dir
 
-HOT_SHARE = 0.001  # a key is hot from this share of all rows: at most 1,000 keys can be
-HOT_ROWS = 100_000  # and from this many rows
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE,
-             min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding at least ``share`` of all rows.
-
-    Shares add up to one, so there are never more than ``1 / share`` such keys whatever the
-    data size: the result is safe to broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    return counts.where((F.col("_n") >= min_rows) & (F.col("_n") >= total * F.lit(share))).select(
-        *keys, F.lit(True).alias("_hot"))
-
-
-def _salt(by: Sequence[str], salts: int) -> Column:
-    # a hash of row content, not rand(): a retried task must give the same rows the same salt
-    return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salt_by: Sequence[str] | None = None, salts: int = SALTS,
-                share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Equi-join; rows of hot left keys spread over ``salts`` tasks, right rows of those keys repeat.
-
-    ``how`` may be inner, left, left_semi or left_anti (the left side is the skewed one).
-    Left rows with a null key never match, so they are spread as well.
-    """
-    keys = list(keys)
-    by = list(salt_by or [c for c in left.columns if c not in keys] or keys)
-    hot = F.broadcast(hot_keys(left.where(F.col(keys[0]).isNotNull()), keys, share, min_rows))
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    spread = (left.join(hot, keys, "left")
-              .withColumn("_salt", F.when(F.coalesce(F.col("_hot"), no_key), _salt(by, salts)).otherwise(F.lit(0)))
-              .drop("_hot"))
-    copies = (right.join(hot, keys, "left")
-              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                             .otherwise(F.array(F.lit(0)))))
-              .drop("_hot"))
-    return spread.join(copies, keys + ["_salt"], how).drop("_salt")
-
 
 def with_chunks(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], size: int,
                 name: str = "chunk") -> DataFrame:
-    """Add ``chunk`` so that (keys, chunk) groups hold about ``size`` rows, hot keys included."""
+    """Add ``chunk`` so that (keys, chunk) groups hold about ``size`` rows, hot keys included.
+
+    Reads ``df`` twice (once for its key columns only). Chunks are a hash of the id, so a retried
+    task gives the same ones; the explicit exchange on (keys, chunk) lets the layout join be split
+    on hot keys.
+    """
     keys = list(keys)
     layout = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
               .where(F.col("_rows") > size)
               .select(*keys, F.ceil(F.col("_rows") / F.lit(size)).alias("_chunks")))
-    return (salted_join(df, layout, keys, "left", salt_by=id_cols)
+    return (df.join(layout, keys, "left")
             .withColumn(name, F.pmod(F.xxhash64(*id_cols), F.coalesce(F.col("_chunks"), F.lit(1)).cast("long")))
-            .drop("_chunks"))
+            .drop("_chunks").repartition(*[F.col(c) for c in keys], F.col(name)))
 
 
 def packed(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], payload: Sequence[str],
@@ -132,6 +92,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     if one:
         by, data = ["_all"], data.withColumn("_all", F.lit(1))
+    shared_dir(df.sparkSession)
+    data = data.checkpoint()  # narrow (group, value) rows; the steps below read them several times
     total = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     spots = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
                       for n, p in probs.items()])

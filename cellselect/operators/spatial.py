@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellselect.functions import columns as X
 from cellselect.functions import geo
 from cellselect.functions.text import hub_country
-from cellselect.operators.scale import packed, salted_join
+from cellselect.operators.scale import packed
 
 ADMIN = ("gid_0", "country", "gid_1", "name_1", "gid_2", "name_2")
 KM_PER_DEGREE = 111.19492664455873  # 6371 * pi / 180
@@ -101,13 +101,13 @@ def contains(cand: Column, lat: Column, lng: Column, cx: Column, cy: Column) ->
 
 
 def reverse_geocode(points: DataFrame, cover: DataFrame, size: float = 1.0, lat: str = "lat", lng: str = "lng",
-                    salt_by: Sequence[str] | None = None, overrides: bool = True) -> DataFrame:
+                    overrides: bool = True) -> DataFrame:
     """Admin columns per point: boxes first, then the first strictly containing polygon by layer and
     order, else nulls. One left equi-join on the tile; a point row is never multiplied."""
     la, ln = F.col(lat), F.col(lng)
     pts = (points.withColumn("tx", F.floor(ln / F.lit(size)).cast("long"))
            .withColumn("ty", F.floor(la / F.lit(size)).cast("long")))
-    out = salted_join(pts, cover.select("tx", "ty", "cands"), ["tx", "ty"], "left", salt_by=salt_by or [lat, lng])
+    out = pts.join(cover.select("tx", "ty", "cands"), ["tx", "ty"], "left")
     cx, cy = (F.col("tx") + 0.5) * size, (F.col("ty") + 0.5) * size
     hit = F.try_element_at(F.filter("cands", lambda c: contains(c, la, ln, cx, cy)), F.lit(1))
     out = out.withColumn("_hit", hit)
@@ -157,8 +157,7 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     else:
         p = p.withColumns({"_dx": F.lit(0), "_dy": F.lit(0)})
     p = p.withColumns({"tx": F.col("_t.x") + F.col("_dx"), "ty": F.col("_t.y") + F.col("_dy")})
-    near = salted_join(p.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "tx", "ty"),
-                       packs, ["tx", "ty"], "inner", salt_by=[point_id])
+    near = p.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "tx", "ty").join(packs, ["tx", "ty"])
     hit = near.where(F.exists("items", lambda c: geo.haversine_m(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]) <= radius_m))
     return points.join(hit.select(point_id).distinct(), point_id, "left_semi")
 
@@ -210,7 +209,7 @@ def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: s
                    ["band", "col"], [target_id], ["lat", "lng", target_id], 256)
     p = _radius_tiles(points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")),
                       "_lat", "_lng", radius_km)
-    near = salted_join(p, packs, ["band", "col"], "inner", salt_by=[point_id])
+    near = p.join(packs, ["band", "col"])
     best = F.array_min(F.transform("items", lambda c: F.struct(
         geo.haversine_km(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]).alias("distance_km"),
         c[target_id].alias(target_id))))
@@ -219,20 +218,19 @@ def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: s
             .select(point_id, F.col(f"_b.{target_id}").alias(target_id), "_b.distance_km"))
 
 
-def pairs_within(points: DataFrame, centres: DataFrame, radius_km: float, lat: str = "lat", lng: str = "lng",
-                 salt_by: Sequence[str] | None = None) -> DataFrame:
+def pairs_within(points: DataFrame, centres: DataFrame, radius_km: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Point × centre rows at most ``radius_km`` apart (the radius bounds the output)."""
     c = _home_tile(centres, "centroid_lat", "centroid_lng", radius_km)
     p = _radius_tiles(points, lat, lng, radius_km)
     d = geo.haversine_km(lat, lng, "centroid_lat", "centroid_lng")
-    return (salted_join(p, c, ["band", "col"], "inner", salt_by=salt_by).withColumn("distance_km", d)
+    return (p.join(c, ["band", "col"]).withColumn("distance_km", d)
             .where(F.col("distance_km") <= radius_km).drop("band", "col"))
 
 
 # --- rasters ----------------------------------------------------------------------------------
 
 def raster_sample(points: DataFrame, raster: DataFrame, affine: tuple, name: str, x: Column | None = None,
-                  y: Column | None = None, nodata: float | None = None, salt_by: Sequence[str] | None = None) -> DataFrame:
+                  y: Column | None = None, nodata: float | None = None) -> DataFrame:
     """Add the pixel value under each point; null outside, on nodata and off the map."""
     x = F.col("lng") if x is None else x
     y = F.col("lat") if y is None else y
@@ -241,7 +239,7 @@ def raster_sample(points: DataFrame, raster: DataFrame, affine: tuple, name: str
     pix = raster.select("row_idx", "col_idx", F.col("value").alias(name))
     if nodata is not None:
         pix = pix.where(F.col(name) != nodata)
-    return salted_join(pts, pix, ["row_idx", "col_idx"], "left", salt_by=salt_by).drop("row_idx", "col_idx")
+    return pts.join(pix, ["row_idx", "col_idx"], "left").drop("row_idx", "col_idx")
 
 
 def climate(points: DataFrame, raster: DataFrame, affine: tuple, **kw) -> DataFrame:

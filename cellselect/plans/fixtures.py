@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellselect.functions import columns as X
 from cellselect.functions import geo
 from cellselect.operators import cells as C
+from cellselect.session import tune
 
 NL, TICKS = "\n", "```"
 
@@ -26,7 +27,7 @@ class Tables:
     """Reads of one data folder; every derived view stays lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = tune(spark), sf_dir
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

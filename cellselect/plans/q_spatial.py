@@ -59,7 +59,7 @@ SELECT sample_key, nullif(value, 0) AS koppen_class,
 FROM samples LEFT JOIN raster ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = cast(floor(lng + 180) AS bigint)
 """, "samples raster")
 def j10(t):
-    return (S.climate(t.samples, t.raster, AFFINE, salt_by=["sample_key"])
+    return (S.climate(t.samples, t.raster, AFFINE)
             .select("sample_key", "koppen_class", "koppen_group"))
 
 
@@ -68,7 +68,7 @@ SELECT value, count(*) AS n FROM samples JOIN raster
 ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = cast(floor(lng + 180) AS bigint) WHERE value <> 7 GROUP BY value
 """, "samples raster")
 def s8(t):
-    out = S.raster_sample(t.samples, t.raster, AFFINE, "value", nodata=7, salt_by=["sample_key"])
+    out = S.raster_sample(t.samples, t.raster, AFFINE, "value", nodata=7)
     return out.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,8 +90,8 @@ LEFT JOIN raster r ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = ca
 def j21(t):
     """One enrichment pass: polygons, cells, climate, flags."""
     p = t.samples.select("sample_key", "pano_id", "lat", "lng")
-    p = geocoded(t, p, salt_by=["sample_key"])
-    p = S.climate(C.with_cells(p), t.raster, AFFINE, salt_by=["sample_key"])
+    p = geocoded(t, p)
+    p = S.climate(C.with_cells(p), t.raster, AFFINE)
     return p.select("sample_key", X.is_official("pano_id").alias("is_official"),
                     F.col("country_code").alias("geo_country"), geo.s2_text(F.col("s2_l9")).alias("s2_l9"), "koppen_class")
 
@@ -104,7 +104,7 @@ FROM cand LEFT JOIN ({pip('cand', 'cand_key')}) USING (cand_key) GROUP BY query_
 def j22(t):
     from cellselect.operators import scores as R
     top = R.topk_candidates(t.scores, 3, t.cells).withColumnsRenamed({"centroid_lat": "lat", "centroid_lng": "lng"})
-    g = geocoded(t, top.select("query_id", "level", "rank", "lat", "lng"), salt_by=["query_id", "level", "rank"])
+    g = geocoded(t, top.select("query_id", "level", "rank", "lat", "lng"))
     return (g.groupBy("query_id", "level")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(
                 F.struct("rank", F.coalesce("country_code", F.lit("??")).alias("c")))), lambda s: s["c"]), ",").alias("codes")))

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
@@ -35,6 +36,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators count on, for a session made elsewhere."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        if spark.conf.get(key, None) != DEFAULTS[key]:
+            spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a new local one only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
