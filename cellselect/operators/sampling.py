@@ -48,24 +48,34 @@ def weighted_resample(df: DataFrame, key: str, weight: str, draws: int, seed: in
                       buckets: int = 4096) -> DataFrame:
     """``draws`` draws with replacement in proportion to weight: (draw, key), seed-stable.
 
-    Rows fall into hash buckets; bucket totals (a bounded table) give each bucket its slice of the
-    total weight and rows get their slice inside the bucket. A draw finds its bucket by range over
-    that table, then its row by range inside one bucket: an equi-join on the bucket, no scan of all
-    rows per draw. A bucket holds 1/``buckets`` of the rows; raise it with the data.
+    Rows get their slice [lo, lo + w) of the total weight: a running sum inside hash buckets plus the
+    sum of the buckets before (a table of ``buckets`` rows). Draws and slice starts then meet in
+    even ranges of the total weight, where one ordered pass takes the last start before each draw;
+    a slice that reaches into later ranges is carried there by range, so a row holding a third of
+    the weight neither repeats nor gathers its draws in one task.
     """
+    n = F.lit(buckets)
     rows = df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col("_w") > 0)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    inside = Window.partitionBy("_b").orderBy(key)
-    rows = rows.withColumn("_hi", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_lo", F.col("_hi") - F.col("_w"))
-    sums = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"), F.col(weight).cast("double").alias("_w")) \
-             .where(F.col("_w") > 0).groupBy("_b").agg(F.sum("_w").alias("_t"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most ``buckets`` rows
-    sums = sums.withColumn("_end", F.sum("_t").over(upto)).withColumn("_start", F.col("_end") - F.col("_t"))
-    table = sums.agg(F.sort_array(F.collect_list(F.struct("_end", "_start", "_b"))).alias("t")).scalar()
-    d = (df.sparkSession.range(draws).select(F.col("id").alias("draw"), table.alias("_t"))
-         .withColumn("_x", keyed_uniform("draw", seed) * F.element_at("_t", -1)["_end"]))
-    spot = F.try_element_at(F.filter("_t", lambda s: s["_end"] > F.col("_x")), F.lit(1))
-    d = (d.withColumn("_s", spot).select("draw", F.col("_s._b").alias("_b"), (F.col("_x") - F.col("_s._start")).alias("_x")))
-    # the draws of a bucket and its rows meet sorted; the range test keeps one row per draw
-    return (d.join(rows, "_b").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", key))
+    rows = rows.withColumn("_b", F.floor(keyed_uniform(key, seed + 1) * n))
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
+    total = sums.agg(F.sum("_t").alias("t")).scalar()
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_start"))
+    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+
+    def spot(x: Column) -> Column:
+        return F.least(F.floor(x / total * n), n - 1)
+
+    slices = (rows.withColumn("_lo", F.coalesce(F.sum("_w").over(inside), F.lit(0.0)))
+              .join(starts, "_b").select(key, (F.col("_start") + F.col("_lo")).alias("_x")).withColumn("_p", spot(F.col("_x"))))
+    d = (df.sparkSession.range(draws).select(F.col("id").alias("draw"))
+         .withColumn("_x", keyed_uniform("draw", seed) * total).withColumn("_p", spot(F.col("_x"))))
+    both = slices.select("_p", "_x", key, F.lit(None).cast("long").alias("draw")).unionByName(
+        d.withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+    order = Window.partitionBy("_p").orderBy("_x", F.col("draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_k", F.last(key, ignorenulls=True).over(order)).where(F.col("draw").isNotNull())
+    last = slices.groupBy("_p").agg(F.max_by(key, "_x").alias("_k"))
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (df.sparkSession.range(buckets).select(F.col("id").alias("_p")).join(last, "_p", "left")
+             .select("_p", F.last("_k", ignorenulls=True).over(upto).alias("_c")))
+    return found.join(carry, "_p").select("draw", F.coalesce("_k", "_c").alias(key))

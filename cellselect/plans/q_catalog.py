@@ -189,7 +189,14 @@ def w8(t):
     return P.random_eval_set(t.samples.select("sample_key"), t.crops, "sample_key", 400)
 
 
-@query("w9_weighted_resample", None)
+_B = "cast(floor(" + sha_uniform("cast(o_orderkey AS varchar)", "'43'") + " * 4096) AS bigint)"
+_DRAW = sha_uniform("cast(draw AS varchar)", "'42'")
+
+
+@query("w9_weighted_resample", f"""
+WITH s AS (SELECT o_orderkey, coalesce(sum(o_totalprice) OVER (ORDER BY {_B}, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM orders WHERE o_totalprice > 0),
+d AS (SELECT draw, {_DRAW} * (SELECT sum(o_totalprice) FROM orders) AS x FROM range((SELECT count(*) FROM orders)) AS r(draw))
+SELECT draw, o_orderkey FROM d ASOF JOIN s ON d.x >= s.lo""")
 def w9(t):
     """As many draws as orders, in proportion to price; rows are the drawn order keys."""
     o = t.read("orders").select("o_orderkey", "o_totalprice")

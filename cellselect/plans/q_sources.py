@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cellselect.operators import cells as C
 from cellselect.operators import retrieval as V
 from cellselect.operators import spatial as S
-from cellselect.operators import text as G
 from cellselect.operators import catalog as O
+from cellselect.operators.scale import with_chunks
 from cellselect.plans.registry import query
 from cellselect.session import scratch_path
 from cellselect.sources import files as S_
@@ -45,11 +45,9 @@ def s2(t):
 
 def _feed(t):
     path = scratch_path(t.spark, "feed")
-    rows = t.samples.withColumn("part", F.pmod(F.xxhash64("pano_id"), F.lit(64)))
+    rows = with_chunks(t.samples.withColumn("g", F.lit(0)), ["g"], ["pano_id"], 5000)
     c = F.collect_list(F.struct(F.col("pano_id").alias("panoId"), "lat", "lng"))
-    # one feed object per file line; the reader takes whole files, so each part is its own file
-    (rows.groupBy("part").agg(c.alias("customCoordinates")).repartition(64, "part")
-     .write.partitionBy("part").json(path))
+    rows.groupBy("g", "chunk").agg(c.alias("customCoordinates")).select("customCoordinates").write.json(path)
     return path
 
 
@@ -57,7 +55,7 @@ def _feed(t):
 SELECT pano_id FROM samples WHERE NOT starts_with(pano_id, 'CAo')
 AND pano_id NOT IN (SELECT lpad(cast(l_orderkey AS varchar), 22, '0') FROM lineitem WHERE l_quantity > 45)""", "samples")
 def s3(t):
-    return S_.read_feed(t.spark, _feed(t), _seen_large(t)).select("pano_id")
+    return S_.read_feed(t.spark, _feed(t), _seen_large(t), multi_line=False).select("pano_id")
 
 
 def _seen_large(t):

@@ -56,10 +56,12 @@ def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = N
     return index_files(out, label)
 
 
-def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int = FEED_LIMIT) -> DataFrame:
-    """Coordinate feed: explode, skip uploads (``CAo…``) and seen ids, cap at the request limit."""
+def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int = FEED_LIMIT,
+              multi_line: bool = True) -> DataFrame:
+    """Coordinate feed: explode, skip uploads (``CAo…``) and seen ids, cap at the request limit (a
+    limit of the feature: one pass asks for no more). Files are whole objects or one per line."""
     schema = "customCoordinates array<struct<panoId:string,lat:double,lng:double>>"
-    rows = (spark.read.schema(schema).json(path, multiLine=True)
+    rows = (spark.read.schema(schema).json(path, multiLine=multi_line)
             .select(F.explode("customCoordinates").alias("c"))
             .select(F.col("c.panoId").alias("pano_id"), "c.lat", "c.lng"))
     fresh = (rows.where(F.col("pano_id").isNotNull() & ~F.col("pano_id").startswith("CAo"))
