@@ -224,7 +224,7 @@ class Tables:
         event = last
         for i, name in enumerate(names):
             event = F.when(k % 8 == i, name).otherwise(event)
-        return self.read("events").select(F.floor(k / 8).alias("request_id"), "ts", "event_id",
+        return self.read("events").select(F.floor(k / 8).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
                                           event.alias("event"), F.col("props").alias("data"))
 
     @cached_property

@@ -1 +1,155 @@
-"""Registered queries."""
+"""Streams run over the whole tables with available-now triggers; batch twins beside them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellselect.functions import geo
+from cellselect.operators import cells as C
+from cellselect.plans.registry import query
+from cellselect.session import scratch_path
+from cellselect.streaming import events as X
+
+
+def plain(df):
+    """Timestamps without zone, as the given tables hold them."""
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, d in df.dtypes if d == "timestamp"})
+
+
+def as_stream(t, df, name: str, files: int = 4):
+    """The frame written as a few files and read back one file per micro-batch."""
+    path = scratch_path(t.spark, name)
+    df.repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_time_order(t, df, name: str, slices: int = 4):
+    """The table as a stream of time slices, then one far-away event that moves the watermark past
+    everything, so that all windows close. Its request is -1."""
+    path = scratch_path(t.spark, name)
+    span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.struct("*")).scalar()
+    at = (F.unix_micros("ts") - F.unix_micros(span["a"])) / (F.unix_micros(span["b"]) - F.unix_micros(span["a"]) + 1)
+    sliced = df.withColumn("slice", F.floor(at * slices))
+    for i in range(slices):
+        sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    last = df.agg(F.lit(-1).cast("long").alias("request_id"), (F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"),
+                  F.lit(-1).cast("long").alias("event_id"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
+    last.select(*df.columns).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finish(t, stream, name: str, mode: str = "append"):
+    """Run to the end of the input into Parquet files and read them."""
+    out = scratch_path(t.spark, name)
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(t.spark, f"{name}-state"))
+         .trigger(availableNow=True).format("parquet").option("path", out).start())
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+def latest(t, stream, key: list[str], name: str):
+    """Update-mode results: the last batch's row per key."""
+    out = scratch_path(t.spark, name)
+
+    def add(batch, number):
+        batch.withColumn("_n", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(add).option(
+        "checkpointLocation", scratch_path(t.spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(out).drop("b")
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_n").alias("l")).select(*key, "l.*")
+
+
+@query("x1_stream_ingest", "SELECT count(*) AS n, count(DISTINCT pano_id) AS ids, cast(sum(sample_key) AS bigint) AS keys FROM samples", "samples")
+def x1(t):
+    """Every sample arrives twice; the target holds each id once."""
+    s = t.samples.select("pano_id", "sample_key", "lat", "lng")
+    src = as_stream(t, s.unionByName(s), "ingest")
+    target = scratch_path(t.spark, "target")
+    X.stream_ingest(src, target, scratch_path(t.spark, "ingest-state"), "pano_id", ["sample_key"]).awaitTermination()
+    rows = t.spark.read.parquet(target)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pano_id").alias("ids"), F.sum("sample_key").alias("keys"))
+
+
+@query("x2_stream_dedupe", "SELECT count(*) AS n, cast(sum(event_id) AS bigint) AS ids FROM progress", "progress")
+def x2(t):
+    e = t.progress.select("event_id", "ts")
+    out = finish(t, X.stream_dedupe(as_stream(t, e.unionByName(e), "dedupe"), "event_id", "ts", "40 days"), "deduped")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _epoch(name):
+    return f"max(CASE WHEN event = '{name}' THEN epoch_us(ts) END)"
+
+
+_STAGES = f"""
+WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY request_id ORDER BY ts) AS prev FROM progress WHERE event <> 'heartbeat'),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ts) AS session FROM e)
+SELECT request_id, count(*) AS events, min(ts) AS started_at, round(({_epoch('stage1_done')} - {_epoch('stage1_start')}) / 1e6, 3) AS stage1_seconds,
+       round(({_epoch('stage2_extract_done')} - {_epoch('stage2_extract_start')}) / 1e6, 3) AS extract_seconds, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS total_seconds
+FROM s GROUP BY request_id, session"""
+_STALLED = """
+WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY request_id ORDER BY ts, event_id) AS nxt FROM progress)
+SELECT request_id, ts AS after, CASE WHEN nxt IS NULL THEN 'silent' ELSE 'gap' END AS reason FROM e
+WHERE event NOT IN ('done', 'error') AND (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 900000000)
+UNION ALL SELECT request_id, max(ts), 'total' FROM progress GROUP BY request_id HAVING max(epoch_us(ts)) - min(epoch_us(ts)) > 3000000000"""
+_THROTTLED = """
+SELECT request_id, event_id, ts AS last_ts, event FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id, epoch_us(ts) // 600000000 ORDER BY ts DESC, event_id DESC) AS rn FROM progress) WHERE rn = 1"""
+
+
+def _seconds(df):
+    return plain(df).withColumns({c: F.round(c, 3) for c in ("stage1_seconds", "extract_seconds", "total_seconds")})
+
+
+@query("x3_request_stages", _STAGES, "progress")
+def x3(t):
+    return _seconds(X.request_stages(t.progress, "10 minutes"))
+
+
+@query("x3_request_stages_stream", _STAGES, "progress")
+def x3_stream(t):
+    out = finish(t, X.request_stages(in_time_order(t, t.progress, "stages"), "10 minutes"), "stages-out")
+    return _seconds(out.where("request_id >= 0"))
+
+
+@query("x4_stalled", _STALLED, "progress")
+def x4(t):
+    return plain(X.stalled(t.progress, 900, 3000))
+
+
+@query("x4_stalled_stream", _STALLED, "progress")
+def x4_stream(t):
+    return plain(finish(t, X.stalled_stream(in_time_order(t, t.progress, "stalls"), 900, 3000), "stalls-out"))
+
+
+@query("x5_throttle", _THROTTLED, "progress")
+def x5(t):
+    return plain(X.throttle(t.progress))
+
+
+@query("x5_throttle_stream", _THROTTLED, "progress")
+def x5_stream(t):
+    return plain(finish(t, X.throttle(in_time_order(t, t.progress, "throttle")), "throttled").where("request_id >= 0"))
+
+
+_STATS = "SELECT cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells WHERE level = 6 GROUP BY cell"
+
+
+@query("x6_stream_cell_stats", _STATS, "long_cells")
+def x6(t):
+    rows = C.explode_levels(t.s2_samples, ["lat", "lng"], [6])
+    out = latest(t, X.stream_cell_stats(as_stream(t, rows, "cells")), ["level", "cell"], "cells-out")
+    return out.select(geo.s2_text(F.col("cell")).alias("cell"), "n", F.round("centroid_lat", 6).alias("centroid_lat"))
+
+
+@query("x7_stream_eval", """
+SELECT date_trunc('day', ts) AS window_start, count(*) AS n, round(avg(value * 10), 6) AS mean_km,
+       round(avg(CASE WHEN value * 10 < 25 THEN 1.0 ELSE 0.0 END), 6) AS within_25km, round(avg(CASE WHEN value * 10 < 200 THEN 1.0 ELSE 0.0 END), 6) AS within_200km
+FROM events GROUP BY 1""")
+def x7(t):
+    """The event value stands for a distance."""
+    r = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 10).alias("distance_km"))
+    out = latest(t, X.stream_eval(as_stream(t, r, "eval"), delay="40 days"), ["window_start"], "eval-out")
+    return plain(out).select("window_start", "n", *[F.round(c, 6).alias(c) for c in ("mean_km", "within_25km", "within_200km")])

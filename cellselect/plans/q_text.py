@@ -128,7 +128,7 @@ def p2(t):
 
 @query("t6_parse_pinpoint", """
 SELECT answer_id, CASE turn % 4 WHEN 0 THEN concat('supplier#', lpad(cast(conv_id % 100 AS varchar), 9, '0')) WHEN 1 THEN 'x' ELSE '' END AS queryable_name,
-  CASE turn % 4 WHEN 0 THEN 3 ELSE 0 END AS alternates, CASE turn % 4 WHEN 0 THEN 1.5 ELSE 10.0 END AS refined_lat, 20.0 AS refined_lng,
+  CASE turn % 4 WHEN 0 THEN 3 ELSE 0 END AS alternates, CASE turn % 4 WHEN 0 THEN 1.5 ELSE 10.0 END::double AS refined_lat, 20.0::double AS refined_lng,
   CASE turn % 4 WHEN 0 THEN 'street' WHEN 1 THEN 'city' ELSE 'none' END AS precision_level,
   CASE turn % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0 END::double AS confidence,
   CASE turn % 4 WHEN 0 THEN 'Japan' WHEN 3 THEN 'Peru' ELSE 'unknown' END AS confirmed_country,
