@@ -1 +1,47 @@
-"""Registered queries."""
+"""Image jobs on pictures made from the stored vectors: 64 values as a 4 × 16 grey image."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from cellselect.functions import text as T
+from cellselect.operators import images as I
+from cellselect.plans.registry import query
+
+
+def pictures(t, floor: float = -9.0):
+    """Values at or below ``floor`` become black."""
+    level = F.transform("embedding", lambda x: F.when(x > floor, F.floor((x + 1) * 127.5)).otherwise(0))
+    pixel = F.transform(level, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3)))
+    return t.vectors.select("vec_id", F.lit(4).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"),
+                            F.unhex(F.array_join(pixel, "")).alias("data"))
+
+
+@query("s22_read_images", "SELECT vec_id, 4.0::double AS aspect, 'single' AS mode, cast(192 AS bigint) AS bytes FROM vectors", "vectors")
+def s22(t):
+    p = pictures(t)
+    return p.select("vec_id", (F.col("width") / F.col("height")).alias("aspect"), T.image_mode("width", "height", F.lit("auto")).alias("mode"),
+                    F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("i1_render_views", "SELECT vec_id, heading, 192::bigint AS bytes FROM vectors, (VALUES (0), (90), (180), (270)) AS h(heading)", "vectors")
+def i1(t):
+    v = I.render_views(pictures(t), "vec_id", size=8)
+    return v.select("vec_id", "heading", F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("i2_trim_black", """
+WITH lit AS (SELECT vec_id, (i - 1) // 16 AS r, (i - 1) % 16 AS c FROM vectors, range(1, 65) AS x(i) WHERE e[i] > 0.2)
+SELECT v.vec_id, coalesce(max(r) - min(r) + 1, 4) AS height, coalesce(max(c) - min(c) + 1, 16) AS width FROM vectors v LEFT JOIN lit USING (vec_id) GROUP BY v.vec_id""", "vectors")
+def i2(t):
+    out = I.trim_black(pictures(t, 0.2), "vec_id")
+    return out.select("vec_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))
+
+
+@query("p1_encode", """
+SELECT vec_id, round(list_avg(list_transform(e, lambda x: floor((x + 1) * 127.5))) / 255, 4) AS brightness FROM vectors""", "vectors")
+def p1(t):
+    """A user function: mean brightness per channel."""
+    v = I.encode(pictures(t), lambda imgs: np.stack([i.mean(axis=(0, 1)) / 255 for i in imgs]), "vec_id")
+    return v.select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("brightness"))

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Arrow batches by size: packs and images are big rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.ui.enabled": "false",
 }
 
@@ -39,7 +41,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators count on, for a session made elsewhere."""
     for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
-                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+                "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.execution.arrow.maxBytesPerBatch"):
         if spark.conf.get(key, None) != DEFAULTS[key]:
             spark.conf.set(key, DEFAULTS[key])
     return spark
