@@ -6,6 +6,7 @@ exact test follows. Polygon cover rows hold only the edges near their tile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -140,6 +141,17 @@ def same_country(hit_country: Column, hub: Column) -> Column:
 
 # --- proximity --------------------------------------------------------------------------------
 
+def _unit(lat: str, lng: str) -> dict[str, Column]:
+    """Unit vector columns; squared chords between them order like distances and cost no trigonometry."""
+    phi, lam = F.radians(lat), F.radians(lng)
+    return {"ux": F.cos(phi) * F.cos(lam), "uy": F.cos(phi) * F.sin(lam), "uz": F.sin(phi)}
+
+
+def _chord2(c: Column) -> Column:
+    dx, dy, dz = F.col("ux") - c["ux"], F.col("uy") - c["uy"], F.col("uz") - c["uz"]
+    return dx * dx + dy * dy + dz * dz
+
+
 def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom: int = 17,
             point_id: str = "sample_key", cover_id: str = "point_id", neighbours: bool = False) -> DataFrame:
     """Points with a coverage point within the radius in the same tile (or the 8 around it).
@@ -147,9 +159,9 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     Coverage points travel packed, up to 256 per row, so the semi-join tests arrays and no pair
     row exists.
     """
-    packs = packed(coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
-                   .select(F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"), cover_id, "lat", "lng"),
-                   ["tx", "ty"], [cover_id], ["lat", "lng"], 256)
+    packs = packed(coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom)).withColumns(_unit("lat", "lng"))
+                   .select(F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"), cover_id, "lat", "lng", "ux", "uy", "uz"),
+                   ["tx", "ty"], [cover_id], ["lat", "lng", "ux", "uy", "uz"], 256)
     p = points.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
     if neighbours:
         p = p.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_dx")) \
@@ -157,8 +169,13 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     else:
         p = p.withColumns({"_dx": F.lit(0), "_dy": F.lit(0)})
     p = p.withColumns({"tx": F.col("_t.x") + F.col("_dx"), "ty": F.col("_t.y") + F.col("_dy")})
-    near = p.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "tx", "ty").join(packs, ["tx", "ty"])
-    hit = near.where(F.exists("items", lambda c: geo.haversine_m(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]) <= radius_m))
+    near = (p.withColumns(_unit("lat", "lng"))
+            .select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "ux", "uy", "uz", "tx", "ty")
+            .join(packs, ["tx", "ty"]))
+    # a cheap necessary bound first, then the exact test
+    bound = (2 * math.sin(min(radius_m / geo.EARTH_M, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
+    hit = near.where(F.exists("items", lambda c: (_chord2(c) <= bound) & (
+        geo.haversine_m(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]) <= radius_m)))
     return points.join(hit.select(point_id).distinct(), point_id, "left_semi")
 
 
@@ -205,17 +222,16 @@ def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: s
     Targets travel packed per tile; each point keeps one best per pack and one overall, so neither
     side's dense tiles emit pairs. Equal distances go to the smaller target id.
     """
-    packs = packed(_home_tile(targets.select(target_id, "lat", "lng"), "lat", "lng", radius_km),
-                   ["band", "col"], [target_id], ["lat", "lng", target_id], 256)
-    p = _radius_tiles(points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")),
-                      "_lat", "_lng", radius_km)
-    near = p.join(packs, ["band", "col"])
+    packs = packed(_home_tile(targets.select(target_id, "lat", "lng").withColumns(_unit("lat", "lng")), "lat", "lng", radius_km),
+                   ["band", "col"], [target_id], ["lat", "lng", target_id, "ux", "uy", "uz"], 256)
+    p = points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).withColumns(_unit("_lat", "_lng"))
+    near = _radius_tiles(p, "_lat", "_lng", radius_km).join(packs, ["band", "col"])
     best = F.array_min(F.transform("items", lambda c: F.struct(
-        geo.haversine_km(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]).alias("distance_km"),
-        c[target_id].alias(target_id))))
-    return (near.select(point_id, best.alias("_b")).where(F.col("_b.distance_km") <= radius_km)
-            .groupBy(point_id).agg(F.min("_b").alias("_b"))
-            .select(point_id, F.col(f"_b.{target_id}").alias(target_id), "_b.distance_km"))
+        _chord2(c).alias("chord2"), c[target_id].alias(target_id), c["lat"].alias("lat"), c["lng"].alias("lng"))))
+    found = near.select(point_id, "_lat", "_lng", best.alias("_b")).groupBy(point_id, "_lat", "_lng").agg(F.min("_b").alias("_b"))
+    return (found.select(point_id, F.col(f"_b.{target_id}").alias(target_id),
+                         geo.haversine_km("_lat", "_lng", "_b.lat", "_b.lng").alias("distance_km"))
+            .where(F.col("distance_km") <= radius_km))
 
 
 def pairs_within(points: DataFrame, centres: DataFrame, radius_km: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -254,7 +270,8 @@ def population(points: DataFrame, raster: DataFrame, affine: tuple, nodata: floa
     xy = geo.mollweide_xy("lat", "lng")
     out = points.withColumn("_xy", xy)
     out = raster_sample(out, raster, affine, "pop_per_km2", F.col("_xy.x"), F.col("_xy.y"), nodata, **kw).drop("_xy")
-    out = out.withColumn("pop_per_km2", F.greatest(F.col("pop_per_km2").cast("double"), F.lit(0.0)))
+    density = F.col("pop_per_km2").cast("double")
+    out = out.withColumn("pop_per_km2", F.when(density < 0, 0.0).otherwise(density))  # null stays null
     return out.withColumn("is_urban", X.is_urban("pop_per_km2"))
 
 
