@@ -22,7 +22,6 @@ from cellselect.session import shared_dir
 PROTO_PACK = 512
 QUERY_PACK = 64
 PACKS_PER_KEY = 32
-MAX_KEYS = 1024
 
 
 def _matrix(structs: pa.StructArray, start: int, end: int) -> np.ndarray:
@@ -83,22 +82,26 @@ def in_cell_topk(cands: DataFrame, queries: DataFrame, protos: DataFrame, k: int
     layout = n_p.where(F.col("n_prototypes") >= min_n).join(n_q, "cell_idx")
     packs_p = F.ceil(F.col("n_prototypes") / F.lit(proto_pack)).cast("long")
     packs_q = F.ceil(F.col("_nq") / F.lit(query_pack)).cast("long")
-    # query packs of a busy cell spread over several join keys; a prototype pack (bounded size) is
-    # copied to each, so a cell asked for by a third of all queries is no single task
-    salts = F.least(F.ceil(packs_q / F.lit(PACKS_PER_KEY)), F.lit(MAX_KEYS)).cast("long")
-    p = (protos.join(layout.select("cell_idx", "n_prototypes", packs_p.alias("_c"), salts.alias("_s")), "cell_idx")
-         .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "_c"))
+    # A cell's packs meet on a grid of join keys: row i takes every a-th query pack, column j every
+    # b-th prototype pack, so no key sees more than about PACKS_PER_KEY packs of either side however
+    # many vectors or queries the cell has. Nearly all cells have the grid 1 × 1 and copy nothing.
+    a, b = (F.ceil(n / F.lit(PACKS_PER_KEY)).cast("long") for n in (packs_q, packs_p))
+    layout = layout.select("cell_idx", "n_prototypes", packs_p.alias("_p"), packs_q.alias("_q"), a.alias("_a"), b.alias("_b"))
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    p = (protos.join(layout, "cell_idx").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "_p"))
          .repartition("cell_idx", "chunk")
-         .groupBy("cell_idx", "chunk", "n_prototypes", "_s")
+         .groupBy("cell_idx", "chunk", "n_prototypes", "_a", "_b")
          .agg(F.collect_list(F.struct("vec_id", "embedding", "lat", "lng")).alias("protos"))
-         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("chunk", "_s"))
-    q = (cands.join(layout.select("cell_idx", packs_q.alias("_c"), salts.alias("_s")), "cell_idx")
-         .withColumn("chunk", F.pmod(F.xxhash64(*on), "_c"))
+         .select("cell_idx", "n_prototypes", "protos", F.pmod("chunk", "_b").alias("_j"), upto("_a").alias("_i")))
+    q = (cands.join(layout, "cell_idx").withColumn("chunk", F.pmod(F.xxhash64(*on), "_q"))
          .join(queries.select(*on, "embedding"), list(on))
-         .groupBy("cell_idx", "chunk", "_s")
+         .groupBy("cell_idx", "chunk", "_a", "_b")
          .agg(F.collect_list(F.struct("query_id", *carry, "embedding")).alias("queries"))
-         .withColumn("salt", F.pmod("chunk", "_s")).drop("chunk", "_s"))
-    joined = p.join(q, ["cell_idx", "salt"]).select("cell_idx", "n_prototypes", "protos", "queries")
+         .select("cell_idx", "queries", F.pmod("chunk", "_a").alias("_i"), upto("_b").alias("_j")))
+    joined = p.join(q, ["cell_idx", "_i", "_j"]).select("cell_idx", "n_prototypes", "protos", "queries")
     types = dict(cands.dtypes)
     schema = ", ".join(["query_id long", *[f"{c} {types[c]}" for c in carry], "cell_idx long", "n_prototypes long",
                         "vec_id long", "sim double", "lat double", "lng double"])

@@ -23,19 +23,21 @@ def as_stream(t, df, name: str, files: int = 4):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def in_time_order(t, df, name: str, slices: int = 4):
-    """The table as a stream of time slices, then one far-away event that moves the watermark past
-    everything, so that all windows close. Its request is -1."""
-    path = scratch_path(t.spark, name)
+def by_slices(t, df, build, name: str, slices: int = 4):
+    """The table arrives in time slices; the query resumes from its checkpoint after each one. A last
+    far-away event (request -1) moves the watermark past everything, so that all windows close."""
+    path, out, state = (scratch_path(t.spark, f"{name}{part}") for part in ("", "-out", "-state"))
     span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.struct("*")).scalar()
     at = (F.unix_micros("ts") - F.unix_micros(span["a"])) / (F.unix_micros(span["b"]) - F.unix_micros(span["a"]) + 1)
     sliced = df.withColumn("slice", F.floor(at * slices))
-    for i in range(slices):
-        sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(path)
     last = df.agg(F.lit(-1).cast("long").alias("request_id"), (F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"),
                   F.lit(-1).cast("long").alias("event_id"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
-    last.select(*df.columns).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for part in [sliced.where(F.col("slice") == i).drop("slice") for i in range(slices)] + [last.select(*df.columns)]:
+        part.write.mode("append").parquet(path)
+        stream = build(t.spark.readStream.schema(df.schema).parquet(path))
+        (stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
+         .format("parquet").option("path", out).start().awaitTermination())
+    return t.spark.read.schema(stream.schema).parquet(out).where("request_id >= 0")
 
 
 def finish(t, stream, name: str, mode: str = "append"):
@@ -110,8 +112,7 @@ def x3(t):
 
 @query("x3_request_stages_stream", _STAGES, "progress")
 def x3_stream(t):
-    out = finish(t, X.request_stages(in_time_order(t, t.progress, "stages"), "10 minutes"), "stages-out")
-    return _seconds(out.where("request_id >= 0"))
+    return _seconds(by_slices(t, t.progress, lambda e: X.request_stages(e, "10 minutes"), "stages"))
 
 
 @query("x4_stalled", _STALLED, "progress")
@@ -121,7 +122,7 @@ def x4(t):
 
 @query("x4_stalled_stream", _STALLED, "progress")
 def x4_stream(t):
-    return plain(finish(t, X.stalled_stream(in_time_order(t, t.progress, "stalls"), 900, 3000), "stalls-out"))
+    return plain(by_slices(t, t.progress, lambda e: X.stalled_stream(e, 900, 3000), "stalls"))
 
 
 @query("x5_throttle", _THROTTLED, "progress")
@@ -131,7 +132,7 @@ def x5(t):
 
 @query("x5_throttle_stream", _THROTTLED, "progress")
 def x5_stream(t):
-    return plain(finish(t, X.throttle(in_time_order(t, t.progress, "throttle")), "throttled").where("request_id >= 0"))
+    return plain(by_slices(t, t.progress, X.throttle, "throttle"))
 
 
 _STATS = "SELECT cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells WHERE level = 6 GROUP BY cell"

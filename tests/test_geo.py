@@ -25,13 +25,13 @@ def hav(a, b, c, d):
 # published vectors: leading hex digits of the leaf id
 def test_s2_known(spark):
     rows = [(48.8566, 2.3522, "47E66E"), (37.7749, -122.4194, "808580"), (-33.86, 151.2, "6B12AE"), (0.0, 0.0, "100000")]
-    got = spark.createDataFrame(rows, "lat double, lng double, want string").select(
+    got = spark.createDataFrame(rows, "lat double, lng double, want string").repartition(2).select(
         F.hex(geo.s2_leaf("lat", "lng")).alias("h"), "want").collect()
     assert all(r.h.startswith(r.want) for r in got)
 
 
 def test_s2_forms_agree_and_contain(spark):
-    df = spark.createDataFrame(points(spark, 3000), "id long, lat double, lng double")
+    df = spark.createDataFrame(points(spark, 3000), "id long, lat double, lng double").repartition(4)
     df = geo.with_s2_leaf(df, "lat", "lng", "c")
     assert df.where(F.col("c") != geo.s2_leaf("lat", "lng")).count() == 0
     assert df.where(geo.s2_from_text(geo.s2_text(F.col("c"))) != F.col("c")).count() == 0
@@ -42,7 +42,7 @@ def test_s2_forms_agree_and_contain(spark):
 
 
 def test_s2_polygon_holds_point(spark):
-    df = spark.createDataFrame([p for p in points(spark, 400, 3) if abs(p[1]) < 60 and abs(p[2]) < 170], "id long, lat double, lng double")
+    df = spark.createDataFrame([p for p in points(spark, 400, 3) if abs(p[1]) < 60 and abs(p[2]) < 170], "id long, lat double, lng double").repartition(4)
     out = df.select("lat", "lng", geo.s2_polygon(geo.s2_cell("lat", "lng", 12), 12).alias("p")).collect()
     for r in out:
         lats, lngs = [c.lat for c in r.p], [c.lng for c in r.p]
