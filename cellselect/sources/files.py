@@ -153,10 +153,11 @@ def read_boundaries(layers: dict[int, DataFrame]) -> DataFrame:
 
 # --- guides -----------------------------------------------------------------------------------
 
-def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """One row per Markdown file: (stem, raw)."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(F.regexp_extract("_metadata.file_name", r"(.+)\.md$", 1).alias("stem"), F.col("value").alias("raw"))
+def read_guides(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """One row per guide file: (stem, raw). The stem is the file's name, or its ``stem=…`` folder."""
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    named = F.regexp_extract("_metadata.file_name", r"(.+)\.[^.]+$", 1)
+    return files.select((F.col("stem") if "stem" in files.columns else named).alias("stem"), F.col("value").alias("raw"))
 
 
 # --- tables -----------------------------------------------------------------------------------
