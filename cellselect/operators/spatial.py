@@ -162,21 +162,19 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     packs = packed(coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom)).withColumns(_unit("lat", "lng"))
                    .select(F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"), cover_id, "lat", "lng", "ux", "uy", "uz"),
                    ["tx", "ty"], [cover_id], ["lat", "lng", "ux", "uy", "uz"], 256)
-    p = points.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
-    if neighbours:
-        p = p.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_dx")) \
-             .select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_dy"))
-    else:
-        p = p.withColumns({"_dx": F.lit(0), "_dy": F.lit(0)})
-    p = p.withColumns({"tx": F.col("_t.x") + F.col("_dx"), "ty": F.col("_t.y") + F.col("_dy")})
-    near = (p.withColumns(_unit("lat", "lng"))
-            .select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "ux", "uy", "uz", "tx", "ty")
-            .join(packs, ["tx", "ty"]))
     # a cheap necessary bound first, then the exact test
     bound = (2 * math.sin(min(radius_m / geo.EARTH_M, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
-    hit = near.where(F.exists("items", lambda c: (_chord2(c) <= bound) & (
-        geo.haversine_m(F.col("_lat"), F.col("_lng"), c["lat"], c["lng"]) <= radius_m)))
-    return points.join(hit.select(point_id).distinct(), point_id, "left_semi")
+    p = points.withColumns(_unit("lat", "lng")).withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
+    packs = packs.select(F.col("tx").alias("_px"), F.col("ty").alias("_py"), "items")
+    hit = F.exists("items", lambda c: (_chord2(c) <= bound) & (
+        geo.haversine_m(F.col("lat"), F.col("lng"), c["lat"], c["lng"]) <= radius_m))
+    if not neighbours:
+        here = (F.col("_t.x") == F.col("_px")) & (F.col("_t.y") == F.col("_py"))
+        return p.join(packs, here & hit, "left_semi").select(*points.columns)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    p = p.select(point_id, "lat", "lng", "ux", "uy", "uz", "_t", around.alias("_d"))
+    here = (F.col("_t.x") + F.col("_d.x") == F.col("_px")) & (F.col("_t.y") + F.col("_d.y") == F.col("_py"))
+    return points.join(p.join(packs, here & hit, "left_semi").select(point_id).distinct(), point_id, "left_semi")
 
 
 def _bands(lat: Column, step: float) -> Column:

@@ -119,8 +119,8 @@ def script_rules(spark: SparkSession) -> DataFrame:
 def contradictions(rows: DataFrame, rules: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """Add ``contradictions``: the row's script is not plausible in its country, or its driving side
     is another. Scripts without a rule, the free script and missing values contradict nothing."""
-    anchored = F.broadcast(rules.where(F.col("script") != K.FREE_SCRIPT).select("script").distinct().withColumn("_rule", F.lit(True)))
-    fits = F.broadcast(rules.select("script", "country").distinct().withColumn("_fits", F.lit(True)))
+    anchored = rules.where(F.col("script") != K.FREE_SCRIPT).select("script").distinct().withColumn("_rule", F.lit(True))
+    fits = rules.select("script", "country").distinct().withColumn("_fits", F.lit(True))
     out = rows.join(anchored, "script", "left").join(fits, ["script", "country"], "left")
     odd_script = F.when(F.col("_rule") & F.col("_fits").isNull() & F.col("country").isNotNull(),
                         F.concat("script", F.lit(" is not used in "), "country"))

@@ -152,13 +152,15 @@ def s18(t):
 
 
 @query("s19_read_weights", """
-SELECT n_name AS code, round(1 + n_nationkey / 10.0, 6) AS weight FROM nation""")
+SELECT n_name AS code, round(1 + n_nationkey / 10.0, 6) AS weight, count(*) AS n FROM samples JOIN nation ON country_code = n_name GROUP BY ALL""", "samples")
 def s19(t):
     path = scratch_path(t.spark, "weights")
     pairs = F.map_from_entries(F.collect_list(F.struct("n_name", (F.col("n_nationkey") / 10 + 1).cast("double"))))
     full = F.map_concat(F.create_map(F.lit("_comment"), F.lit(0.0)), pairs)
     t.read("nation").agg(F.to_json(F.struct(full.alias("weights"))).alias("value")).coalesce(1).write.text(path)
-    return S_.read_weights(t.spark, path).withColumn("weight", F.round("weight", 6))
+    w = S_.read_weights(t.spark, path).withColumn("weight", F.round("weight", 6))
+    per_code = t.samples.groupBy(F.col("country_code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return w.join(per_code, "code")
 
 
 @query("j14_country_weight", """

@@ -129,23 +129,27 @@ def f4(t):
 
 @query("w11_sample_points")
 def w11(t):
-    """As many uniform points inside the polygons as there are nations times a hundred."""
-    n = t.read("nation").count() * 100
+    """As many uniform points inside the polygons as there are customers."""
+    n = t.read("customer").count()
     return S.sample_points(t.spark, t.boundaries, n, seed=7, oversample=6, size=4.0)
 
 
 @query("p4_cover_tiles", """
-SELECT gid_0, count(*) AS tiles FROM boundaries, range(-45, 45) AS a(tx), range(-23, 23) AS b(ty)
-WHERE tx * 4 <= x1 AND tx * 4 + 4 >= x0 AND ty * 4 <= y1 AND ty * 4 + 4 >= y0 GROUP BY gid_0""", "boundaries")
+SELECT gid_0, count(*) AS near FROM samples, boundaries
+WHERE floor(lng / 4) * 4 <= x1 AND floor(lng / 4) * 4 + 4 >= x0 AND floor(lat / 4) * 4 <= y1 AND floor(lat / 4) * 4 + 4 >= y0 GROUP BY gid_0
+""", "samples boundaries")
 def p4(t):
-    return (cover(t).select(F.explode("cands").alias("c")).groupBy(F.col("c.gid_0").alias("gid_0"))
-            .agg(F.count(F.lit(1)).alias("tiles")))
+    """Samples in a tile of each polygon's cover."""
+    tiles = cover(t).select("tx", "ty", F.explode("cands").alias("c")).select("tx", "ty", F.col("c.gid_0").alias("gid_0"))
+    p = t.samples.select(F.floor(F.col("lng") / 4).alias("tx"), F.floor(F.col("lat") / 4).alias("ty"))
+    per_tile = p.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    return per_tile.join(tiles, ["tx", "ty"]).groupBy("gid_0").agg(F.sum("n").alias("near"))
 
 
-@query("s7_boundary_layers", """
-SELECT layer, count(*) AS polygons, cast(sum(CASE WHEN has_hole THEN 2 ELSE 1 END) AS bigint) AS rings
-FROM boundaries GROUP BY layer""", "boundaries")
+@query("s7_boundary_layers", "SELECT layer, count(*) AS n FROM sample_geo GROUP BY layer", "sample_geo")
 def s7(t):
+    """Samples by the layer that names them, from three layer tables."""
     from cellselect.sources import files
     b = files.read_boundaries({n: t.boundaries.where(F.col("layer") == n).drop("layer") for n in (0, 1, 2)})
-    return b.groupBy("layer").agg(F.count(F.lit(1)).alias("polygons"), F.sum(F.size("rings")).alias("rings"))
+    out = S.reverse_geocode(t.samples.select("lat", "lng"), S.cover_tiles(b, 4.0), 4.0)
+    return out.groupBy(F.col("hit_layer").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
