@@ -157,8 +157,11 @@ def with_s2_leaf(df, lat: str, lng: str, name: str):
     for step in steps:
         text = f"(SELECT *, {step} FROM {text})"
     keep = ", ".join(f"`{c}`" for c in df.columns)
+    # The one-element generator is a stop for the optimizer: a later filter on the cell would else be
+    # pushed below the chain, with every step copied into it as often as it is used.
     return df.sparkSession.sql(
-        f"SELECT {keep}, shiftleft(_f, 61) | shiftleft(_p0, 1) | 1L AS `{name}` FROM {text}", df=df)
+        f"SELECT {keep}, `{name}` FROM (SELECT {keep}, shiftleft(_f, 61) | shiftleft(_p0, 1) | 1L AS _leaf_ FROM {text}) "
+        f"LATERAL VIEW OUTER explode(array(_leaf_)) _g AS `{name}`", df=df)
 
 
 def _let(value: Column, body) -> Column:
