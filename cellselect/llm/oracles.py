@@ -6,7 +6,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 OP1_NGRAM_JOIN = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
-        THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+        THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o

@@ -32,3 +32,20 @@ def op1(spark, table):
     """Near-duplicate classes of all documents: 5-word shingles, Jaccard 0.75."""
     from cellselect.llm.ngram_join import ngram_components
     return ngram_components(table("documents"), n=5, percent=75)
+
+
+@query("op4_substring_dedup")
+def op4(spark, table):
+    """Removes 13-word windows that an earlier document has; digest of what is kept."""
+    from pyspark.sql import functions as F
+
+    from cellselect.llm.substring_dedup import drop_repeats
+    out = drop_repeats(table("documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_language_id")
+def op10(spark, table):
+    """Language of every document by word-first backoff."""
+    from cellselect.llm.langid import identify
+    return identify(table("documents")).select("doc_id", "held_out", "lang_pred", "score")
