@@ -49,3 +49,22 @@ def op10(spark, table):
     """Language of every document by word-first backoff."""
     from cellselect.llm.langid import identify
     return identify(table("documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_mixing")
+def op6(spark, table):
+    """Words taken from every document when sources are mixed to their targets."""
+    from pyspark.sql import functions as F
+
+    from cellselect.llm.mixing import mix, sizes
+    docs = sizes(table("documents").select("doc_id", "source", "text")).drop("text")
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op3_packing")
+def op3(spark, table):
+    """All documents as pieces of 2048-token sequences."""
+    import public_tokenizers
+
+    from cellselect.llm.packing import pack
+    return pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
