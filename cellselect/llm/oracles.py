@@ -18,3 +18,33 @@ r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FR
 SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
 """
+
+OP2_PREFERENCES = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                  count(*) OVER (PARTITION BY conv_id) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, max(n) AS n, (max(n) + 1) // 2 AS half FROM t GROUP BY conv_id),
+r AS (SELECT t.conv_id, pos, role, text FROM t JOIN ids USING (conv_id) WHERE pos <= half
+      UNION ALL
+      SELECT ids.conv_id, pos, role, text FROM ids JOIN t ON t.conv_id = ids.conv_id + 1 WHERE pos > ids.half),
+rn AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),
+k AS (SELECT ids.conv_id, coalesce(any_value(d.first_off) - 1, least(any_value(ids.n), any_value(coalesce(rn.n, 0)))) AS n_common
+      FROM ids LEFT JOIN rn USING (conv_id)
+      LEFT JOIN (SELECT t.conv_id, min(t.pos) AS first_off FROM t JOIN r ON r.conv_id = t.conv_id AND r.pos = t.pos
+                 WHERE r.role <> t.role OR r.text <> t.text GROUP BY t.conv_id) d USING (conv_id) GROUP BY ids.conv_id),
+s AS (SELECT 'c' AS side, conv_id, pos, role, text FROM t UNION ALL SELECT 'r', conv_id, pos, role, text FROM r),
+p AS (SELECT side, s.conv_id, pos, role, pos <= n_common AS shared,
+             '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body
+      FROM s JOIN k USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY side, conv_id, shared ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS place FROM p),
+g AS (SELECT side, conv_id, shared, string_agg(head || body || chr(10), '' ORDER BY pos) AS txt,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN CAST(place AS BIGINT) || '-' || CAST(place + length(body) AS BIGINT) END, ',' ORDER BY pos), '') AS spans
+      FROM o GROUP BY side, conv_id, shared)
+SELECT k.conv_id, CAST(n_common AS INT) AS n_common, coalesce(h.txt, '') AS prompt,
+       coalesce(c.txt, '') AS chosen, coalesce(c.spans, '') AS chosen_spans,
+       coalesce(j.txt, '') AS rejected, coalesce(j.spans, '') AS rejected_spans
+FROM k LEFT JOIN g h ON h.conv_id = k.conv_id AND h.side = 'c' AND h.shared
+LEFT JOIN g c ON c.conv_id = k.conv_id AND c.side = 'c' AND NOT c.shared
+LEFT JOIN g j ON j.conv_id = k.conv_id AND j.side = 'r' AND NOT j.shared
+"""

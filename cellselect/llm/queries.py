@@ -68,3 +68,25 @@ def op3(spark, table):
 
     from cellselect.llm.packing import pack
     return pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_preferences")
+def op2(spark, table):
+    """Prompt and masked completions of every conversation against one with a swapped tail."""
+    from pyspark.sql import functions as F
+
+    from cellselect.llm.preferences import format_preferences, swapped_tails
+    out = format_preferences(swapped_tails(table("conversations")))
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s.start, s.end)), ",").alias(c)
+    return out.select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", flat("chosen_spans"), "rejected", flat("rejected_spans"))
+
+
+@query("op9_fingerprints")
+def op9(spark, table):
+    """Syncmer fingerprints of every document and of its edited text, and their likeness."""
+    from pyspark.sql import functions as F
+
+    from cellselect.llm.syncmers import fingerprints_and_edits
+    out = fingerprints_and_edits(table("documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
