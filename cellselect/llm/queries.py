@@ -90,3 +90,10 @@ def op9(spark, table):
     out = fingerprints_and_edits(table("documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                       "near_edited", "near_next")
+
+
+@query("op8_compression_rules")
+def op8(spark, table):
+    """Base counts of every document and the verdict of the compression bands."""
+    from cellselect.llm.compression_rules import compression_rules
+    return compression_rules(table("documents").select("doc_id", "text")).drop("text")

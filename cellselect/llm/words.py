@@ -55,6 +55,11 @@ def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((sums[ends] - sums[starts]) * down[starts] + length * np.uint64(0xA24BAED4963EE407))
 
 
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range."""
+    return _range_hash(_BYTE_KEYS[data], starts, ends, _BASE)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: ``first[d]:first[d+1]`` are text d's, ``hash`` their hashes,
@@ -117,8 +122,7 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     start = np.flatnonzero(black[1:] & (edge | ~black[:-1]))
     end = np.flatnonzero(black[:-1] & (edge | ~black[1:]))
     first = np.searchsorted(start, offsets)
-    keys = _BYTE_KEYS[data]
-    return Words(data, start, end, first, _range_hash(keys, start, end, _BASE))
+    return Words(data, start, end, first, byte_hash(data, start, end))
 
 
 def words_of(texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
