@@ -69,7 +69,7 @@ def _grams(points: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np
     for k in range(n):
         h = h * np.uint64(_CP_BASE) + points[:, k:k + width] + np.uint64(1)
     word, col = np.nonzero(np.arange(width)[None, :] <= (size - n)[:, None])
-    return W.mix(h[word, col] + np.uint64(n) * np.uint64(0xA24BAED4963EE407)), word
+    return W.mix(h[word, col] + np.uint64(n * 0xA24BAED4963EE407 % 2**64)), word
 
 
 def _pieces(at: np.ndarray, size: int):

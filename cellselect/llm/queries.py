@@ -97,3 +97,10 @@ def op8(spark, table):
     """Base counts of every document and the verdict of the compression bands."""
     from cellselect.llm.compression_rules import compression_rules
     return compression_rules(table("documents").select("doc_id", "text")).drop("text")
+
+
+@query("op5_lm_scoring")
+def op5(spark, table):
+    """Log10 probability of every document under the filter's model and under exact word shares."""
+    from cellselect.llm.bloom_lm import score
+    return score(table("documents"))
