@@ -104,3 +104,10 @@ def op5(spark, table):
     """Log10 probability of every document under the filter's model and under exact word shares."""
     from cellselect.llm.bloom_lm import score
     return score(table("documents"))
+
+
+@query("op7_kn_quality")
+def op7(spark, table):
+    """Perplexity of every document under the trusted text's model and the verdict by language."""
+    from cellselect.llm.kn_quality import quality
+    return quality(table("documents"), table("labels"))
