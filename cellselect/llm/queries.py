@@ -111,3 +111,13 @@ def op7(spark, table):
     """Perplexity of every document under the trusted text's model and the verdict by language."""
     from cellselect.llm.kn_quality import quality
     return quality(table("documents"), table("labels"))
+
+
+def _pipeline() -> None:
+    import corpus_pipeline
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_pipeline()
