@@ -209,11 +209,11 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, weight: float = 0.6,
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", held_out(modulus, rest).alias("held_out"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = C.plan_chunks(docs, chars // 6, chunk_words)
+    n, buckets = C.plan(docs, chars // 6, chunk_words)
     text = C.with_chunk(docs, n)
-    gathered = _gather(text, n, filter_bits, bits_per_item, probes).checkpoint()
+    gathered = _gather(text, buckets, filter_bits, bits_per_item, probes).checkpoint()
     parts = gathered.where("chunk < 0").select("kind", "bucket", "reply", "number", "distinct").collect()  # bounded by filter_bits
-    filters = [Filter({r["bucket"]: bytes(r["reply"]) for r in parts if r["kind"] == k}, n, probes,
+    filters = [Filter({r["bucket"]: bytes(r["reply"]) for r in parts if r["kind"] == k}, buckets, probes,
                       sum(r["number"] for r in parts if r["kind"] == k), sum(r["distinct"] for r in parts if r["kind"] == k))
                for k in (WORDS, PAIRS)]
     shared = spark.sparkContext.broadcast(filters)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, weight: float = 0.6,
         tokens = _Tokens.of(left)
         keys, at = np.unique(tokens.token, return_inverse=True)
         unpack = zstandard.ZstdDecompressor()
-        count = C.read_reply(right["bucket"].to_pylist(), [unpack.decompress(x) for x in right["reply"].to_pylist()], keys, n, np.int64)[at]
+        count = C.read_reply(right["bucket"].to_pylist(), [unpack.decompress(x) for x in right["reply"].to_pylist()], keys, buckets, np.int64)[at]
         base = np.log10((count + 1) / (words.tokens + words.distinct + 1))
         model = _score(tokens, words, pairs, weight) if len(keys) else base
         rows = left.num_rows

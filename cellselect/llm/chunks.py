@@ -21,9 +21,16 @@ POSTING_SCHEMA = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("key
 REPLY_SCHEMA = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("reply", pa.binary())])
 
 
-def plan_chunks(df: DataFrame, size: int, chunk_size: int) -> int:
-    """Chunks for data of ``size`` units, at least as many as the session's shuffle partitions."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // chunk_size), 1)
+def plan(df: DataFrame, size: int, chunk_size: int) -> tuple[int, int]:
+    """(chunks, buckets) for data of ``size`` units, at least as many as the session's shuffle partitions.
+
+    A chunk holds ``chunk_size`` units, or more where the data is so large that a chunk would have only
+    a handful of keys for each bucket: chunks then grow with the square root of the data, and rows of
+    (chunk, bucket) keep some twenty keys each. A bucket holds about four chunks' worth of keys.
+    """
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    per_chunk = max(chunk_size, int(10 * max(size, 1) ** 0.5))
+    return max(least, -(-int(size) // per_chunk)), max(least, -(-int(size) // (4 * per_chunk)))
 
 
 def with_chunk(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

@@ -253,13 +253,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keys = classes(word_keys(docs.where("doc_id is not null"), lower)).checkpoint()
     words = keys.agg(F.sum("n_words")).first()[0] or 0
-    n_chunks = C.plan_chunks(docs, words, chunk_words)
+    n_chunks, buckets = C.plan(docs, words, chunk_words)
     reps = keys.where("rep = doc_id and n_words > 0")
-    sets = _shared_sets(docs, reps, n, percent, n_chunks, n_chunks, lower, width).checkpoint()
+    sets = _shared_sets(docs, reps, n, percent, n_chunks, buckets, lower, width).checkpoint()
     close = sets.where("grams is not null")
     grams = close.agg(F.sum(F.length("grams")) / 8).first()[0] or 0
-    small = C.plan_chunks(docs, grams, chunk_words)
-    ordered = _ordered(close.repartition(F.col("doc_id")), small, small).checkpoint()
+    ordered = _ordered(close, *C.plan(docs, grams, chunk_words)).checkpoint()
     cuts = _fragments(ordered, fragments)
     least = F.ceil(F.col("n") * percent / F.lit(100))  # shared n-grams a link needs at least
     skip = F.col("n") - F.size("grams")

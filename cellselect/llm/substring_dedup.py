@@ -119,7 +119,7 @@ def _plan(docs: DataFrame, window: int, lower: bool, chunk_words: int, width: in
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     keys = classes(word_keys(docs, lower)).checkpoint()
     words = keys.agg(F.sum("n_words")).first()[0] or 0
-    n = C.plan_chunks(docs, words, chunk_words)
+    n, buckets = C.plan(docs, words, chunk_words)
     lengths = levels(window)
     reps = keys.where((F.col("rep") == F.col("doc_id")) & (F.col("n_words") >= window))
     side = C.with_chunk(reps.select("doc_id", "k1"), n).select(
@@ -128,11 +128,11 @@ def _plan(docs: DataFrame, window: int, lower: bool, chunk_words: int, width: in
     for i in range(len(lengths)):
         last = i + 1 == len(lengths)
         postings = text.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(
-            _sender(i, last, lengths, n, lower, width), C.POSTING)
+            _sender(i, last, lengths, buckets, lower, width), C.POSTING)
         replies = C.seen_before(postings) if last else C.seen_elsewhere(postings, width)
         side = side.unionByName(replies.select("chunk", F.lit(i).alias("level"), "bucket", F.lit(None).cast("long").alias("doc_id"),
                                                F.lit(None).cast("long").alias("k1"), "reply"))
-    return keys, text, side, lengths, n
+    return keys, text, side, lengths, n, buckets
 
 
 def _sender(i: int, last: bool, lengths: list[int], buckets: int, lower: bool, width: int):
@@ -156,7 +156,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, lower: bool = False, chunk_w
     left out, repeated rows give one result, a doc_id with several texts counts with one of them,
     other columns are ignored.
     """
-    keys, text, side, lengths, n = _plan(docs, window, lower, chunk_words, width)
+    keys, text, side, lengths, n, buckets = _plan(docs, window, lower, chunk_words, width)
     own = C.with_chunk(keys.where("n_words > 0").select("doc_id", "k1", "rep", "n_words"), n).select(
         "chunk", F.lit(-2).alias("level"), F.lit(-1).alias("bucket"), "doc_id", "k1", F.lit(None).cast("binary").alias("reply"),
         (F.col("rep") < F.col("doc_id")).alias("copy"))
@@ -166,7 +166,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, lower: bool = False, chunk_w
         mine = right.filter(pa.compute.equal(right["level"], -2))
         copy = dict(zip(mine["doc_id"].to_pylist(), zip(mine["k1"].to_pylist(), mine["copy"].to_pylist())))
         chunk = _Chunk(left, right, lower)
-        _, _, marks = _walk(chunk, lengths, n)
+        _, _, marks = _walk(chunk, lengths, buckets)
         marks = marks or [np.zeros(len(w.start) + 1, bool) for w, _, _ in chunk.parts]
         out_id, out_words, out_removed, out_text = [], [], [], []
         for (words, rows, ids), mark in zip(chunk.parts, marks):
