@@ -53,7 +53,7 @@ def is_urban(density) -> Column:
 
 
 def norm_gid0(code) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(K.placeholder_map()), _c(code)), _c(code))
+    return F.coalesce(F.try_element_at(literal_map(K.PLACEHOLDER_CODES), _c(code)), _c(code))
 
 
 def bbox_override(lat, lng) -> Column:

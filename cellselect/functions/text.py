@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from cellselect.functions.geo import _c
 
 def clean_line(text) -> Column:
     """Strip layout tags and collapse white space."""
+    # Fixed value: the tags that readers leave in lines.
     untagged = F.regexp_replace(_c(text), r"(?i)<(br|sup|sub|/[a-z]+)\s*/?>", " ")
     return F.trim(F.regexp_replace(untagged, r"(?U)\s+", " "))
 
@@ -25,7 +28,7 @@ def ocr_filter(text, confidence, floor: float = 0.5) -> Column:
 
 
 def country_iso2(name) -> Column:
-    return F.try_element_at(literal_map(K.country_iso2_map()), F.lower(_c(name)))
+    return F.try_element_at(literal_map(K.COUNTRY_ISO2), F.lower(_c(name)))
 
 
 def not_na(name) -> Column:
@@ -51,12 +54,11 @@ def is_area_centroid(place_type) -> Column:
 
 
 def explanation(reasoning, display_name, query, used, reason) -> Column:
-    """One line for a tooltip: reasoning, match, skip reason."""
-    match = F.concat(F.lit("Matched in OSM: "), F.substring_index(_c(display_name), ",", 1),
-                     F.lit(' (via query "'), _c(query), F.lit('")'))
-    skip = F.when(~_c(used), F.concat(F.lit("Refinement skipped — "), _c(reason)))
-    line = F.concat_ws(" · ", F.nullif(_c(reasoning), F.lit("")), match, skip)
-    return F.coalesce(F.nullif(line, F.lit("")), F.lit("(no explanation)"))
+    """One line for a tooltip: the model's reason, the place found, why the pin stayed."""
+    match = F.concat(F.lit("place found: "), F.substring_index(_c(display_name), ",", 1), F.lit(" (searched "), _c(query), F.lit(")"))
+    skip = F.when(~_c(used), F.concat(F.lit("pin kept: "), _c(reason)))
+    line = F.concat_ws("; ", F.nullif(_c(reasoning), F.lit("")), match, skip)
+    return F.coalesce(F.nullif(line, F.lit("")), F.lit("no reason given"))
 
 
 def query_list(primary, alternates) -> Column:
@@ -85,6 +87,16 @@ def build_prompt(lat, lng, hub, language, raw_text, translation) -> Column:
                     .otherwise("Text in the image: none\n\n"), F.lit(ask))
 
 
+def verification_prompt(lat, lng, hub, language, raw_text, translation) -> Column:
+    """Prompt that asks a visual model to check a coordinate guess against the image and the read text."""
+    guess = F.format_string("Guess to check\nlatitude %.6f\nlongitude %.6f\nregion %s\n\n", _c(lat), _c(lng), _c(hub))
+    read = F.concat(F.lit("Text read in the image\nlanguage "), _c(language), F.lit("\nraw "), _c(raw_text),
+                    F.lit('\nEnglish "'), _c(translation), F.lit('"\n\n'))
+    ask = ("Compare script, signs and driving side in the image with the guess, list every contradiction, "
+           "and answer in the JSON schema.")
+    return F.concat(guess, F.when(_c(raw_text).isNotNull(), read).otherwise("Text read in the image: none\n\n"), F.lit(ask))
+
+
 def image_mode(width, height, mode) -> Column:
     """``panorama`` or ``single``; auto decides by aspect ratio; other modes are an error."""
     aspect = _c(width) / _c(height)
@@ -94,45 +106,42 @@ def image_mode(width, height, mode) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("unknown mode: "), mode)).cast("string")))
 
 
+def shown_text(text) -> Column:
+    """Text as events carry it: at most ``EVENT_TEXT_CHARS`` characters."""
+    return F.left(_c(text), F.lit(K.EVENT_TEXT_CHARS))
+
+
+def _filled(template: str, field) -> Column:
+    """A template of ``K.EVENT_LABELS`` with its {field} places filled."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[field(part) if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
 def event_status(event, data) -> Column:
-    """Progress event → status label; null for heartbeats, empty for the rest without one."""
+    """Progress event → status label by ``K.EVENT_LABELS``; null for heartbeats, empty for events without
+    a label. A missing field shows as ``?``; where a label has a second wording, a missing first field
+    selects that."""
     event, data = _c(event), _c(data)
 
+    def raw(name: str) -> Column:
+        return F.nullif(F.get_json_object(data, f"$.{name}"), F.lit(""))
+
     def field(name: str) -> Column:
-        return F.get_json_object(data, f"$.{name}")
-
-    def text(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    total = F.coalesce(field("content_chars").try_cast("long"), F.lit(0)) + \
-        F.coalesce(field("thinking_chars").try_cast("long"), F.lit(0))
-    latest = F.trim(F.regexp_replace(F.right(F.coalesce(field("latest"), F.lit("")), F.lit(80)), r"\s+", " "))
-    unknown = F.lit("?")
-    plain = F.coalesce(F.try_element_at(literal_map(K.event_labels()), event), F.lit(""))
-    return (F.when(event == "heartbeat", F.lit(None).cast("string"))
-            .when(event == "fetch_pano_done", text("· pano ", F.coalesce(field("width"), unknown), "×",
-                                                   F.coalesce(field("height"), unknown), " ready"))
-            .when(event == "stage1_done", text("· Stage 1: ", F.coalesce(field("country"), unknown),
-                                               " → starting Stage 2…"))
-            .when(event == "stage2_extract_done",
-                  F.when(F.coalesce(field("script"), F.lit("")) != "",
-                         text("· Stage 2: detected ", field("script"), " text — VLM reasoning…"))
-                  .otherwise("· Stage 2: no readable text — keeping Stage 1"))
-            .when(event == "stage2_pinpoint_token",
-                  text("· VLM thinking (", total.cast("string"), " chars): ",
-                       F.coalesce(F.nullif(latest, F.lit("")), F.lit("…"))))
-            .when(event == "stage2_pinpoint_token_done",
-                  text("· VLM done thinking (", total.cast("string"), " chars) — parsing…"))
-            .when(event == "stage2_pinpoint_done",
-                  F.when(field("precision") == "country", "· Stage 2: VLM declined to narrow — keeping Stage 1")
-                  .otherwise(text("· Stage 2: VLM → ", F.coalesce(field("precision"), F.lit("undefined")), ' "',
-                                  F.coalesce(F.nullif(field("queryable"), F.lit("")), unknown), '"')))
-            .when(event == "stage2_geocode_done",
-                  F.when(F.coalesce(field("hit"), F.lit("")) != "",
-                         text('· Stage 2: matched "', F.substring_index(field("hit"), ",", 1), '"'))
-                  .otherwise("· Stage 2: geocoder missed — falling back to Stage 1"))
-            .when(event == "error", text("· error: ", F.coalesce(field("error"), F.lit("unknown"))))
-            .otherwise(plain))
+        if name == "chars":
+            number = [F.coalesce(raw(f"{kind}_chars").try_cast("long"), F.lit(0)) for kind in ("content", "thinking")]
+            return (number[0] + number[1]).cast("string")
+        if name == "hit":
+            return F.coalesce(F.substring_index(raw("hit"), ",", 1), F.lit("?"))
+        return F.coalesce(shown_text(F.regexp_replace(raw(name), r"\s+", " ")), F.lit("?"))
+
+    out = F.when(event == "heartbeat", F.lit(None).cast("string"))
+    for name, full, bare in K.EVENT_LABELS:
+        label = _filled(full, field)
+        if bare is not None:
+            first = re.search(r"\{(\w+)\}", full).group(1)
+            label = F.when(raw(first).isNotNull(), label).otherwise(bare)
+        out = out.when(event == name, label)
+    return out.otherwise("")
 
 
 # --- model answers ----------------------------------------------------------------------------
@@ -149,6 +158,7 @@ def _valid_json(text: Column) -> Column:
 
 
 def _block(raw: Column, key: str) -> Column:
+    # A fenced JSON block, else the first flat object that names the key.
     fenced = F.nullif(F.regexp_extract(raw, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(raw, r'(?s)(\{[^{}]*"' + key + r'"[^{}]*\})', 1), F.lit(""))
     return F.coalesce(fenced, bare)
@@ -177,7 +187,7 @@ def parse_pinpoint(raw, lat, lng, hub) -> Column:
             F.when(found, F.coalesce(F.nullif(o["confirmed_country"], F.lit("")), F.lit("unknown")))
             .when(r["block"].isNull(), fallback_country).otherwise("unknown").alias("confirmed_country"),
             F.when(found, F.coalesce(o["reasoning"], F.lit("")))
-            .when(r["block"].isNull(), "verifier returned no JSON").otherwise("JSON decode error").alias("reasoning"))
+            .when(r["block"].isNull(), "answer without JSON").otherwise("unreadable JSON").alias("reasoning"))
 
     packed = F.struct(text.alias("text"), block.alias("block"), _c(lat).cast("double").alias("lat"),
                       _c(lng).cast("double").alias("lng"), _c(hub).alias("hub"))
@@ -197,7 +207,7 @@ def parse_verdict(raw) -> Column:
         def named(field: Column) -> Column:
             return F.coalesce(F.nullif(field, F.lit("")), F.lit("unknown"))
 
-        problem = F.when(r["block"].isNull(), "verifier returned no JSON block").otherwise("JSON decode error")
+        problem = F.when(r["block"].isNull(), "answer without JSON").otherwise("unreadable JSON")
         return F.struct(
             F.coalesce(o["is_guess_plausible"], F.lit(False)).alias("is_plausible"),
             F.coalesce(o["confidence_score"].try_cast("double"), F.lit(0.0)).alias("confidence"),

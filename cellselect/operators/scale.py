@@ -10,6 +10,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,9 @@ def with_chunks(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], size
     keys = list(keys)
     layout = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
               .where(F.col("_rows") > size)
-              .select(*keys, F.ceil(F.col("_rows") / F.lit(size)).alias("_chunks")))
-    return (df.join(layout, keys, "left")
+              .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.ceil(F.col("_rows") / F.lit(size)).alias("_chunks")))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])  # null keys are keys too
+    return (df.join(layout, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
             .withColumn(name, F.pmod(F.xxhash64(*id_cols), F.coalesce(F.col("_chunks"), F.lit(1)).cast("long")))
             .drop("_chunks").repartition(*[F.col(c) for c in keys], F.col(name)))
 
@@ -61,6 +64,16 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
             .drop("_mid", "_part", "_off"))
 
 
+def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the total order of ``order`` (make it unique with an id), n of any size.
+
+    Range partitions are counted, and only the one that holds the n-th row is cut; no task merges n
+    rows. Columns of ``order`` must be columns of ``df``.
+    """
+    ranked = global_rank(df.select(*order), *order, name="_rank")
+    return df.join(ranked.where(F.col("_rank") < n).drop("_rank"), list(order), "left_semi")
+
+
 def prefix_rank(df: DataFrame, group: Sequence[str], text: str, width: int = 6,
                 name: str = "idx") -> DataFrame:
     """0-based rank of distinct ``text`` inside each group in text order, in two parallel steps.
@@ -103,7 +116,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     path = list(by)
     for i, width in enumerate(widths):
         col = f"_b{i}"
-        data = data.withColumn(col, F.floor(F.col("_v") / F.lit(width)))
+        # NaN orders last, as in Spark's own percentiles
+        data = data.withColumn(col, F.when(F.isnan("_v"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("_v") / F.lit(width))))
         data_in = data if i == 0 else data.join(ranks.select(*path).distinct(), path, "left_semi")
         ranks = _descend(data_in, path, col, ranks)
         path.append(col)

@@ -78,7 +78,7 @@ def cover_tiles(polygons: DataFrame, size: float = 1.0) -> DataFrame:
     cand = F.struct(*keys, *ADMIN, "centre_in", "edges")
     return (tiles.join(attrs, keys).groupBy("tx", "ty")
             .agg(F.sort_array(F.collect_list(cand)).alias("cands"))
-            .withColumn("size", F.lit(size)))
+            .withColumn("size", F.lit(size)).select("tx", "ty", "cands", F.col("size").alias("size", metadata={"size": size})))
 
 
 def contains(cand: Column, lat: Column, lng: Column, cx: Column, cy: Column) -> Column:
@@ -101,10 +101,22 @@ def contains(cand: Column, lat: Column, lng: Column, cx: Column, cy: Column) ->
     return F.when(cand["edges"].isNull(), cand["centre_in"]).otherwise(walked)
 
 
-def reverse_geocode(points: DataFrame, cover: DataFrame, size: float = 1.0, lat: str = "lat", lng: str = "lng",
+def _cover_size(cover: DataFrame, asked: float | None) -> float:
+    """Tile size of a cover: written in its ``size`` column's metadata by ``cover_tiles``."""
+    made = cover.schema["size"].metadata.get("size") if "size" in cover.columns else None
+    if made is None and asked is None:
+        made = cover.agg(F.max("size")).first()[0] if "size" in cover.columns else None
+    if made is not None and asked is not None and made != asked:
+        raise ValueError(f"the cover has tiles of {made} degrees, not {asked}")
+    return float(made or asked or 1.0)
+
+
+def reverse_geocode(points: DataFrame, cover: DataFrame, size: float | None = None, lat: str = "lat", lng: str = "lng",
                     overrides: bool = True) -> DataFrame:
     """Admin columns per point: boxes first, then the first strictly containing polygon by layer and
-    order, else nulls. One left equi-join on the tile; a point row is never multiplied."""
+    order, else nulls. One left equi-join on the tile; a point row is never multiplied. The tile size is
+    the cover's own; a different ``size`` is an error."""
+    size = _cover_size(cover, size)
     la, ln = F.col(lat), F.col(lng)
     pts = (points.withColumn("tx", F.floor(ln / F.lit(size)).cast("long"))
            .withColumn("ty", F.floor(la / F.lit(size)).cast("long")))

@@ -171,10 +171,10 @@ def e24(t):
 
 
 @query("e25_explanation", """
-SELECT conv_id, turn, CASE WHEN line = '' THEN '(no explanation)' ELSE line END AS line FROM (
-  SELECT conv_id, turn, concat_ws(' · ', CASE WHEN turn % 3 <> 0 THEN role END,
-    CASE WHEN conv_id % 2 = 0 THEN concat('Matched in OSM: ', split_part(text, ',', 1), ' (via query "', role, '")') END,
-    CASE WHEN conv_id % 5 = 0 THEN 'Refinement skipped — why' END) AS line FROM conversations)""")
+SELECT conv_id, turn, CASE WHEN line = '' THEN 'no reason given' ELSE line END AS line FROM (
+  SELECT conv_id, turn, concat_ws('; ', CASE WHEN turn % 3 <> 0 THEN role END,
+    CASE WHEN conv_id % 2 = 0 THEN concat('place found: ', split_part(text, ',', 1), ' (searched ', role, ')') END,
+    CASE WHEN conv_id % 5 = 0 THEN 'pin kept: why' END) AS line FROM conversations)""")
 def e25(t):
     c = F.col("conv_id")
     return t.read("conversations").select("conv_id", "turn", T.explanation(
@@ -185,11 +185,14 @@ def e25(t):
 @query("e26_build_prompt", """
 SELECT sample_key, concat('Coarse guess', chr(10), 'latitude ', printf('%.6f', lat), chr(10), 'longitude ', printf('%.6f', lng), chr(10), 'region ', coalesce(country_code, 'null'), chr(10), chr(10),
   CASE WHEN source IS NULL THEN concat('Text in the image: none', chr(10), chr(10)) ELSE concat('Text in the image', chr(10), 'language French', chr(10), 'raw ', source, chr(10), 'English "', capture_month, '"', chr(10), chr(10)) END,
-  'Name the most specific feature and answer in the JSON schema. If only the country is sure, use precision country and the coarse coordinates.') AS prompt
+  'Name the most specific feature and answer in the JSON schema. If only the country is sure, use precision country and the coarse coordinates.') AS prompt,
+  concat('Guess to check', chr(10), 'latitude ', printf('%.6f', lat), chr(10), 'longitude ', printf('%.6f', lng), chr(10), 'region ', coalesce(country_code, 'null'), chr(10), chr(10),
+  CASE WHEN source IS NULL THEN concat('Text read in the image: none', chr(10), chr(10)) ELSE concat('Text read in the image', chr(10), 'language French', chr(10), 'raw ', source, chr(10), 'English "', capture_month, '"', chr(10), chr(10)) END,
+  'Compare script, signs and driving side in the image with the guess, list every contradiction, and answer in the JSON schema.') AS verify
 FROM samples""", "samples")
 def e26(t):
-    return t.samples.select("sample_key", T.build_prompt("lat", "lng", "country_code", F.lit("French"), "source",
-                                                         "capture_month").alias("prompt"))
+    parts = ("lat", "lng", "country_code", F.lit("French"), "source", "capture_month")
+    return t.samples.select("sample_key", T.build_prompt(*parts).alias("prompt"), T.verification_prompt(*parts).alias("verify"))
 
 
 @query("e27_image_mode", """
@@ -258,10 +261,10 @@ def t10(t):
 
 
 @query("t11_event_status", """
-SELECT event_id, CASE event WHEN 'heartbeat' THEN NULL WHEN 'fetch_pano_start' THEN '· fetching pano…' WHEN 'fetch_pano_done' THEN '· pano ?×? ready'
-  WHEN 'stage1_start' THEN '· Stage 1 inference…' WHEN 'stage1_done' THEN '· Stage 1: ? → starting Stage 2…'
-  WHEN 'stage2_extract_start' THEN '· Stage 2: OCR + langid…' WHEN 'stage2_extract_done' THEN concat('· Stage 2: detected ', json_extract_string(data, '$.k'), ' text — VLM reasoning…')
-  WHEN 'error' THEN '· error: unknown' ELSE '' END AS status FROM progress""", "progress")
+SELECT event_id, CASE event WHEN 'heartbeat' THEN NULL WHEN 'fetch_pano_start' THEN 'Loading the panorama' WHEN 'fetch_pano_done' THEN 'Panorama loaded, ? by ? pixels'
+  WHEN 'stage1_start' THEN 'Coarse search running' WHEN 'stage1_done' THEN 'Coarse search says ?'
+  WHEN 'stage2_extract_start' THEN 'Reading text in the image' WHEN 'stage2_extract_done' THEN concat('Read text in ', left(json_extract_string(data, '$.k'), 200), ' script')
+  WHEN 'error' THEN 'Failed: ?' ELSE '' END AS status FROM progress""", "progress")
 def t11(t):
     data = F.regexp_replace("data", '"k":', '"script":')
     return t.progress.select("event_id", T.event_status("event", data).alias("status"))

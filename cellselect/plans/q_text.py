@@ -132,7 +132,7 @@ SELECT answer_id, CASE turn % 4 WHEN 0 THEN concat('supplier#', lpad(cast(conv_i
   CASE turn % 4 WHEN 0 THEN 'street' WHEN 1 THEN 'city' ELSE 'none' END AS precision_level,
   CASE turn % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.9 ELSE 0 END::double AS confidence,
   CASE turn % 4 WHEN 0 THEN 'Japan' WHEN 3 THEN 'Peru' ELSE 'unknown' END AS confirmed_country,
-  CASE turn % 4 WHEN 0 THEN 'r' WHEN 1 THEN '' WHEN 2 THEN 'JSON decode error' ELSE 'verifier returned no JSON' END AS reasoning
+  CASE turn % 4 WHEN 0 THEN 'r' WHEN 1 THEN '' WHEN 2 THEN 'unreadable JSON' ELSE 'answer without JSON' END AS reasoning
 FROM answers""", "answers")
 def t6(t):
     p = t.answers.select("answer_id", T.parse_pinpoint("raw", F.lit(10.0), F.lit(20.0), F.lit("Cusco, Peru")).alias("p")).select("answer_id", "p.*")
@@ -142,7 +142,7 @@ def t6(t):
 @query("t7_parse_verdict", """
 SELECT conv_id, turn, turn % 3 = 0 AS is_plausible, CASE turn % 3 WHEN 0 THEN 0.75 ELSE 0 END::double AS confidence,
   CASE turn % 3 WHEN 0 THEN 'Peru' ELSE 'unknown' END AS confirmed_country, CASE turn % 3 WHEN 0 THEN 'Latin' ELSE 'unknown' END AS primary_script,
-  CASE turn % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'JSON decode error' ELSE 'verifier returned no JSON block' END AS contradictions,
+  CASE turn % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'unreadable JSON' ELSE 'answer without JSON' END AS contradictions,
   CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN right(concat('{"is_guess_plausible": ', role, '}'), 500) ELSE right(text, 500) END AS reasoning
 FROM conversations""")
 def t7(t):

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from cellselect.functions import geo
 from cellselect.operators.catalog import dedupe_priority
-from cellselect.operators.scale import with_chunks
+from cellselect.operators.scale import first_n, with_chunks
 
 log = logging.getLogger(__name__)
 
-FEED_LIMIT = 300_000
-
 
 # --- metadata, feeds, logs --------------------------------------------------------------------
 
@@ -45,7 +43,7 @@ def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = N
         try:
             files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(root)
         except AnalysisException:
-            log.warning("missing source dir: %s", root)
+            log.warning("no such image folder: %s", root)
             continue
         parts.append(files.select("path", F.lit(i).alias("priority")))
     if not parts:
@@ -56,17 +54,19 @@ def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = N
     return index_files(out, label)
 
 
-def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int = FEED_LIMIT,
+def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int | None = None,
               multi_line: bool = True) -> DataFrame:
-    """Coordinate feed: explode, skip uploads (``CAo…``) and seen ids, cap at the request limit (a
-    limit of the feature: one pass asks for no more). Files are whole objects or one per line."""
+    """Coordinate feed: explode, skip uploads (``CAo…``) and seen ids, each id once (its least
+    coordinate). All rows come back unless the caller names a ``limit``; then the first ids in order.
+    Files are whole objects or one per line."""
     schema = "customCoordinates array<struct<panoId:string,lat:double,lng:double>>"
     rows = (spark.read.schema(schema).json(path, multiLine=multi_line)
             .select(F.explode("customCoordinates").alias("c"))
             .select(F.col("c.panoId").alias("pano_id"), "c.lat", "c.lng"))
     fresh = (rows.where(F.col("pano_id").isNotNull() & ~F.col("pano_id").startswith("CAo"))
              .join(seen.select("pano_id").distinct(), "pano_id", "left_anti"))
-    return fresh.dropDuplicates(["pano_id"]).limit(limit)
+    once = fresh.groupBy("pano_id").agg(F.min(F.struct("lat", "lng")).alias("c")).select("pano_id", "c.lat", "c.lng")
+    return once if limit is None else first_n(once, ["pano_id"], limit)
 
 
 def seen_ids(spark: SparkSession, ids_json: str | None = None, log_csv: str | None = None,
@@ -74,8 +74,7 @@ def seen_ids(spark: SparkSession, ids_json: str | None = None, log_csv: str | No
     """Ids of the JSON checkpoint, the CSV log and the saved images, each once."""
     parts = []
     if ids_json:
-        text = spark.read.text(ids_json, wholetext=True)
-        parts.append(text.select(F.explode(F.from_json("value", "array<string>")).alias("pano_id")))
+        parts.append(read_ids(spark, ids_json))
     if log_csv:
         parts.append(spark.read.schema("pano_id string, lat string, lng string").csv(log_csv, header=True).select("pano_id"))
     if files is not None:
@@ -99,7 +98,9 @@ def write_ids(df: DataFrame, path: str) -> None:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.explode(F.from_json("value", "array<string>")).alias("pano_id"))
+    """Ids of JSON arrays: one or many per file, each on a line of its own or spread over lines."""
+    inside = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return spark.read.text(path).select(F.explode(F.coalesce(F.from_json("value", "array<string>"), inside)).alias("pano_id"))
 
 
 # --- geometry ---------------------------------------------------------------------------------
@@ -109,10 +110,13 @@ _GEOMETRY = "struct<type:string,coordinates:string>"
 
 
 def _rings(geometry: Column) -> Column:
-    """Rings of a Polygon or MultiPolygon as array<array<struct(x, y)>>."""
+    """Rings of a Polygon or MultiPolygon as array<array<struct(x, y)>>; null for a feature without
+    geometry, an error for geometries that have no area."""
     polygon = F.from_json(geometry["coordinates"], f"array<array<{_POINT}>>")
     multi = F.flatten(F.from_json(geometry["coordinates"], f"array<array<array<{_POINT}>>>"))
     rings = F.when(geometry["type"] == "Polygon", polygon).when(geometry["type"] == "MultiPolygon", multi)
+    other = F.concat(F.lit("no polygon but "), geometry["type"])
+    rings = rings.when(geometry["type"].isNotNull(), F.raise_error(other).cast("array<array<array<double>>>"))
     # the closing vertex repeats the first and is dropped
     return F.transform(rings, lambda r: F.transform(
         F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r),
@@ -198,14 +202,17 @@ def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """``{"codes": [...]}`` in index order (country codes: a few hundred)."""
+    """``{"codes": [...]}`` objects in index order, one per line and block of 10,000 codes (a country
+    list is one line); each line tells where it starts."""
+    start = (F.floor(F.col("idx") / 10_000) * 10_000).alias("start")
     codes = F.transform(F.sort_array(F.collect_list(F.struct("idx", "code"))), lambda s: s["code"])
-    vocab.agg(F.to_json(F.struct(codes.alias("codes"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    (vocab.groupBy(start).agg(codes.alias("codes")).select(F.to_json(F.struct("codes", "start")).alias("value"))
+     .write.mode("overwrite").text(path))
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("codes array<string>").json(path)
-    return rows.select(F.posexplode("codes").alias("idx", "code")).select(F.col("idx").cast("long").alias("idx"), "code")
+    rows = spark.read.schema("codes array<string>, start long").json(path)
+    return rows.select("start", F.posexplode("codes").alias("at", "code")).select((F.coalesce("start", F.lit(0)) + F.col("at")).alias("idx"), "code")
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
@@ -230,6 +237,8 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False) -> Data
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images with their size and aspect."""
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return img.withColumn("aspect", F.col("width") / F.col("height"))
+    """Decoded images with their size and aspect; a file that does not decode keeps its row, with ``error``."""
+    img = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    broken = F.col("height") < 0
+    size = {c: F.when(~broken, F.col(c)) for c in ("height", "width", "nChannels", "mode", "data")}
+    return img.withColumn("error", F.when(broken, "undecodable")).withColumns(size).withColumn("aspect", F.col("width") / F.col("height"))

@@ -130,7 +130,7 @@ def test_parse_edges(spark):
     assert out[1].precision_level == "none" and out[1].queryable_name == ""
     assert out[2].precision_level == "city" and out[2].confidence == 0.0
     assert out[3].precision_level == "street" and out[3].refined_lat == 3.5
-    assert out[4].reasoning == "JSON decode error"
+    assert out[4].reasoning == "unreadable JSON"
 
 
 def test_unknown_image_mode_is_an_error(spark):
