@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
+from cellselect.operators.scale import first_n
 
 
 def _first_by(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
@@ -116,8 +117,8 @@ def split_report(df: DataFrame) -> DataFrame:
 
 
 def head_n(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """First rows by an order: each task keeps its own n, only those meet."""
-    return df.orderBy(*order).limit(n)
+    """First rows by a total order; ``n`` may be any share of the data, no task merges n rows."""
+    return first_n(df, list(order), n)
 
 
 def admission(df: DataFrame, **cfg) -> DataFrame:

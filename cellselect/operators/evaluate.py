@@ -138,7 +138,7 @@ def compare_runs(runs: DataFrame, base: str) -> DataFrame:
     return agg.join(exact_percentiles(pairs, "delta_km", {"median_delta_km": 0.5}, ["variant"]), "variant")
 
 
-def stage_timings(events: DataFrame, stages: Sequence[str] = ("fetch_pano", "stage1", "stage2_extract")) -> DataFrame:
+def stage_timings(events: DataFrame, stages: Sequence[str] = ("fetch_pano", "stage1", "stage2_extract", "stage2_pinpoint", "stage2_geocode")) -> DataFrame:
     """Seconds per stage and in total per request; a stage without both ends is null."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cellselect.functions.columns import hash_uniform
 from cellselect.operators.catalog import complete_samples
-from cellselect.operators.scale import global_rank
+from cellselect.operators.scale import first_n, global_rank
+from cellselect.session import shared_dir
 
 
 def keyed_uniform(key: str, seed: int) -> Column:
@@ -30,8 +31,8 @@ def stride_shard(df: DataFrame, key: str, n: int, i: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Seeded subset of ``n`` rows: the least keyed hashes."""
-    return df.orderBy(keyed_uniform(key, seed), key).limit(n)
+    """Seeded subset of ``n`` rows: the least keyed hashes. No task merges n rows."""
+    return first_n(df.withColumn("_u", keyed_uniform(key, seed)), ["_u", key], n).drop("_u")
 
 
 def random_eval_set(samples: DataFrame, crops: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -50,9 +51,9 @@ def weighted_resample(df: DataFrame, key: str, weight: str, draws: int, seed: in
 
     Rows get their slice [lo, lo + w) of the total weight: a running sum inside hash buckets plus the
     sum of the buckets before (a table of ``buckets`` rows). Draws and slice starts then meet in
-    even ranges of the total weight, where one ordered pass takes the last start before each draw;
-    a slice that reaches into later ranges is carried there by range, so a row holding a third of
-    the weight neither repeats nor gathers its draws in one task.
+    ranges of equal row count, pinned by a checkpoint; one ordered pass takes the last start before
+    each draw, and a slice that reaches into later ranges is carried there by range. A row that holds
+    nearly all the weight neither repeats nor gathers its draws, nor squeezes the rest into few ranges.
     """
     n = F.lit(buckets)
     rows = df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col("_w") > 0)
@@ -63,19 +64,18 @@ def weighted_resample(df: DataFrame, key: str, weight: str, draws: int, seed: in
     starts = sums.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_start"))
     inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
 
-    def spot(x: Column) -> Column:
-        return F.least(F.floor(x / total * n), n - 1)
-
     slices = (rows.withColumn("_lo", F.coalesce(F.sum("_w").over(inside), F.lit(0.0)))
-              .join(starts, "_b").select(key, (F.col("_start") + F.col("_lo")).alias("_x")).withColumn("_p", spot(F.col("_x"))))
-    d = (df.sparkSession.range(draws).select(F.col("id").alias("draw"))
-         .withColumn("_x", keyed_uniform("draw", seed) * total).withColumn("_p", spot(F.col("_x"))))
-    both = slices.select("_p", "_x", key, F.lit(None).cast("long").alias("draw")).unionByName(
+              .join(starts, "_b").select(key, (F.col("_start") + F.col("_lo")).alias("_x")))
+    d = (df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("_x", keyed_uniform("draw", seed) * total))
+    shared_dir(df.sparkSession)
+    both = (slices.select("_x", key, F.lit(None).cast("long").alias("draw")).unionByName(
         d.withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        .withColumn("_d", F.col("draw").isNotNull()).repartitionByRange("_x", "_d", "draw")
+        .withColumn("_p", F.spark_partition_id().cast("long")).drop("_d").checkpoint())
     order = Window.partitionBy("_p").orderBy("_x", F.col("draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_k", F.last(key, ignorenulls=True).over(order)).where(F.col("draw").isNotNull())
-    last = slices.groupBy("_p").agg(F.max_by(key, "_x").alias("_k"))
+    last = both.groupBy("_p").agg(F.max_by(key, F.when(F.col("draw").isNull(), F.col("_x"))).alias("_k"))  # a row per range
     upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (df.sparkSession.range(buckets).select(F.col("id").alias("_p")).join(last, "_p", "left")
+    carry = (last
              .select("_p", F.last("_k", ignorenulls=True).over(upto).alias("_c")))
     return found.join(carry, "_p").select("draw", F.coalesce("_k", "_c").alias(key))

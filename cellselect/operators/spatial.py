@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from cellselect.functions import columns as X
 from cellselect.functions import geo
 from cellselect.functions.text import hub_country
-from cellselect.operators.scale import packed
+from cellselect.operators.sampling import weighted_resample
+from cellselect.operators.scale import first_n, packed
+from cellselect.session import shared_dir
 
 ADMIN = ("gid_0", "country", "gid_1", "name_1", "gid_2", "name_2")
 KM_PER_DEGREE = 111.19492664455873  # 6371 * pi / 180
@@ -287,32 +289,36 @@ def population(points: DataFrame, raster: DataFrame, affine: tuple, nodata: floa
 
 # --- sampling in a polygon --------------------------------------------------------------------
 
-def sample_points(spark, polygons: DataFrame, n: int, seed: int = 42, oversample: int = 20,
-                  size: float = 1.0, max_rounds: int = 8) -> DataFrame:
-    """``n`` area-uniform points inside the polygons: latitude by its sine, draws outside rejected.
+def sample_points(spark, polygons: DataFrame, n: int, seed: int = 42, oversample: int = 4, size: float = 1.0,
+                  least_share: float = 1e-6) -> DataFrame:
+    """``n`` area-uniform points inside the polygons: a cover tile by its area, then latitude by its sine;
+    draws outside are rejected.
 
-    Draws are keyed hashes of their number, so a retried task gives the same points. Rounds with
-    more draws follow while too few points fell inside.
+    Draws are keyed hashes of their number, so a retried task gives the same points. Rounds with as
+    many draws as the share of hits asks for follow until ``n`` fell inside; polygons that take less
+    than ``least_share`` of their tiles are an error, never a short result.
     """
-    box = polygon_edges(polygons, ["layer", "ord"]).agg(
-        F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
-        F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"))
-    bounds = box.select(F.struct("*")).scalar()
     cover = cover_tiles(polygons, size)
+    half = 1 << 20
+    tiles = cover.select(((F.col("tx") + half) * (2 * half) + F.col("ty") + half).alias("tile"),
+                         (F.sin(F.radians((F.col("ty") + 1) * F.lit(size))) - F.sin(F.radians(F.col("ty") * F.lit(size)))).alias("area"))
+    tiles = tiles.checkpoint() if shared_dir(spark) else tiles
 
     def uniform(tag: str) -> Column:
         return X.hash_uniform(F.col("draw").cast("string"), F.lit(f"{tag}{seed}"))
 
-    factor = oversample
-    for _ in range(max_rounds):
-        b = F.col("_b")
-        low, high = F.sin(F.radians(b["y0"])), F.sin(F.radians(b["y1"]))
-        draws = (spark.range(n * factor).select(F.col("id").alias("draw"), bounds.alias("_b"))
-                 .select("draw", F.degrees(F.asin(low + uniform("lat") * (high - low))).alias("lat"),
-                         (b["x0"] + uniform("lng") * (b["x1"] - b["x0"])).alias("lng")))
-        inside = (reverse_geocode(draws, cover, size, overrides=False).where(F.col("hit_layer").isNotNull())
-                  .select("draw", "lat", "lng"))
-        if factor >= oversample * 64 or inside.limit(n).count() >= n:
-            break
-        factor *= 4
-    return inside.orderBy("draw").limit(n)
+    draws = max(n * oversample, 1000)
+    while True:
+        tx = F.floor(F.col("tile") / (2 * half)) - half
+        ty = F.col("tile") % (2 * half) - half
+        low, high = F.sin(F.radians(ty * F.lit(size))), F.sin(F.radians((ty + 1) * F.lit(size)))
+        spots = weighted_resample(tiles, "tile", "area", draws, seed).select(
+            "draw", F.degrees(F.asin(low + uniform("lat") * (high - low))).alias("lat"), ((tx + uniform("lng")) * F.lit(size)).alias("lng"))
+        inside = (reverse_geocode(spots, cover, overrides=False).where(F.col("hit_layer").isNotNull())
+                  .select("draw", "lat", "lng").checkpoint())
+        hits = inside.count()
+        if hits >= n:
+            return first_n(inside, ["draw"], n)
+        if hits < least_share * draws or draws * least_share > n + 1:
+            raise ValueError(f"only {hits} of {draws} draws fell inside; use smaller tiles than {size} degrees")
+        draws = int(draws * max(2.0, 1.3 * n / hits if hits else 16.0))

@@ -219,12 +219,13 @@ class Tables:
     def progress(self) -> DataFrame:
         k = F.col("event_id")
         names = ("fetch_pano_start", "fetch_pano_done", "stage1_start", "stage1_done",
-                 "stage2_extract_start", "stage2_extract_done", "heartbeat")
-        last = F.when(k % 88 == 7, "heartbeat").when(F.col("event_type") == "error", "error").otherwise("done")
+                 "stage2_extract_start", "stage2_extract_done", "stage2_pinpoint_start", "stage2_pinpoint_done",
+                 "stage2_geocode_start", "stage2_geocode_done", "heartbeat")
+        last = F.when(k % 132 == 11, "heartbeat").when(F.col("event_type") == "error", "error").otherwise("done")
         event = last
         for i, name in enumerate(names):
-            event = F.when(k % 8 == i, name).otherwise(event)
-        return self.read("events").select(F.floor(k / 8).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+            event = F.when(k % 12 == i, name).otherwise(event)
+        return self.read("events").select(F.floor(k / 12).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
                                           event.alias("event"), F.col("props").alias("data"))
 
     @cached_property

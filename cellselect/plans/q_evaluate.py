@@ -69,6 +69,8 @@ def _at(name):
 SELECT request_id, round(({_at('fetch_pano_done')} - {_at('fetch_pano_start')}) / 1e6, 3) AS fetch_pano_seconds,
        round(({_at('stage1_done')} - {_at('stage1_start')}) / 1e6, 3) AS stage1_seconds,
        round(({_at('stage2_extract_done')} - {_at('stage2_extract_start')}) / 1e6, 3) AS stage2_extract_seconds,
+       round(({_at('stage2_pinpoint_done')} - {_at('stage2_pinpoint_start')}) / 1e6, 3) AS stage2_pinpoint_seconds,
+       round(({_at('stage2_geocode_done')} - {_at('stage2_geocode_start')}) / 1e6, 3) AS stage2_geocode_seconds,
        round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS total_seconds FROM progress GROUP BY request_id""", "progress")
 def a24(t):
     out = E.stage_timings(t.progress)

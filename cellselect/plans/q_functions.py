@@ -264,6 +264,8 @@ def t10(t):
 SELECT event_id, CASE event WHEN 'heartbeat' THEN NULL WHEN 'fetch_pano_start' THEN 'Loading the panorama' WHEN 'fetch_pano_done' THEN 'Panorama loaded, ? by ? pixels'
   WHEN 'stage1_start' THEN 'Coarse search running' WHEN 'stage1_done' THEN 'Coarse search says ?'
   WHEN 'stage2_extract_start' THEN 'Reading text in the image' WHEN 'stage2_extract_done' THEN concat('Read text in ', left(json_extract_string(data, '$.k'), 200), ' script')
+  WHEN 'stage2_pinpoint_start' THEN 'Visual model starting' WHEN 'stage2_pinpoint_done' THEN 'Visual model names ? (?)'
+  WHEN 'stage2_geocode_start' THEN 'Looking the name up' WHEN 'stage2_geocode_done' THEN 'Name not found, coarse answer stays'
   WHEN 'error' THEN 'Failed: ?' ELSE '' END AS status FROM progress""", "progress")
 def t11(t):
     data = F.regexp_replace("data", '"k":', '"script":')

@@ -16,11 +16,13 @@ def plain(df):
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, d in df.dtypes if d == "timestamp"})
 
 
-def as_stream(t, df, name: str, files: int = 4):
-    """The frame written as a few files and read back one file per micro-batch."""
+def as_stream(t, df, name: str, batches: int = 4):
+    """The frame written as it is partitioned, at least one file per batch, and read back in about
+    ``batches`` micro-batches; files grow in number with the data."""
     path = scratch_path(t.spark, name)
+    files = max(batches, df.rdd.getNumPartitions())
     df.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 def by_slices(t, df, build, name: str, slices: int = 4):
@@ -89,20 +91,22 @@ _STAGES = f"""
 WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY request_id ORDER BY ts) AS prev FROM progress WHERE event <> 'heartbeat'),
 s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ts) AS session FROM e)
 SELECT request_id, count(*) AS events, min(ts) AS started_at, round(({_epoch('stage1_done')} - {_epoch('stage1_start')}) / 1e6, 3) AS stage1_seconds,
-       round(({_epoch('stage2_extract_done')} - {_epoch('stage2_extract_start')}) / 1e6, 3) AS extract_seconds, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS total_seconds
+       round(({_epoch('stage2_extract_done')} - {_epoch('stage2_extract_start')}) / 1e6, 3) AS extract_seconds,
+       round(({_epoch('stage2_pinpoint_done')} - {_epoch('stage2_pinpoint_start')}) / 1e6, 3) AS pinpoint_seconds,
+       round(({_epoch('stage2_geocode_done')} - {_epoch('stage2_geocode_start')}) / 1e6, 3) AS geocode_seconds, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS total_seconds
 FROM s GROUP BY request_id, session"""
 _STALLED = """
 WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY request_id ORDER BY ts, event_id) AS nxt FROM progress)
 SELECT request_id, ts AS after, CASE WHEN nxt IS NULL THEN 'silent' ELSE 'gap' END AS reason FROM e
 WHERE event NOT IN ('done', 'error') AND (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 900000000)
-UNION ALL SELECT request_id, max(ts), 'total' FROM progress GROUP BY request_id HAVING max(epoch_us(ts)) - min(epoch_us(ts)) > 3000000000"""
+UNION ALL SELECT request_id, min(ts) + INTERVAL 3000 SECOND, 'total' FROM progress GROUP BY request_id HAVING max(epoch_us(ts)) - min(epoch_us(ts)) > 3000000000"""
 _THROTTLED = """
 SELECT request_id, event_id, ts AS last_ts, event FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id, epoch_us(ts) // 600000000 ORDER BY ts DESC, event_id DESC) AS rn FROM progress) WHERE rn = 1"""
 
 
 def _seconds(df):
-    return plain(df).withColumns({c: F.round(c, 3) for c in ("stage1_seconds", "extract_seconds", "total_seconds")})
+    return plain(df).withColumns({c: F.round(c, 3) for c in ("stage1_seconds", "extract_seconds", "pinpoint_seconds", "geocode_seconds", "total_seconds")})
 
 
 @query("x3_request_stages", _STAGES, "progress")
@@ -127,12 +131,12 @@ def x4_stream(t):
 
 @query("x5_throttle", _THROTTLED, "progress")
 def x5(t):
-    return plain(X.throttle(t.progress))
+    return plain(X.throttle(t.progress, "10 minutes"))
 
 
 @query("x5_throttle_stream", _THROTTLED, "progress")
 def x5_stream(t):
-    return plain(by_slices(t, t.progress, X.throttle, "throttle"))
+    return plain(by_slices(t, t.progress, lambda e: X.throttle(e, "10 minutes"), "throttle"))
 
 
 _STATS = "SELECT cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells WHERE level = 6 GROUP BY cell"

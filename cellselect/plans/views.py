@@ -246,10 +246,11 @@ SELECT doc_id, concat('doc', cast(doc_id AS varchar)) AS stem,
 FROM documents""")
 
 VIEWS["progress"] = ("", """
-SELECT cast(floor(event_id / 8.0) AS bigint) AS request_id, ts, event_id,
-       CASE event_id % 8 WHEN 0 THEN 'fetch_pano_start' WHEN 1 THEN 'fetch_pano_done' WHEN 2 THEN 'stage1_start'
+SELECT cast(floor(event_id / 12.0) AS bigint) AS request_id, ts, event_id,
+       CASE event_id % 12 WHEN 0 THEN 'fetch_pano_start' WHEN 1 THEN 'fetch_pano_done' WHEN 2 THEN 'stage1_start'
             WHEN 3 THEN 'stage1_done' WHEN 4 THEN 'stage2_extract_start' WHEN 5 THEN 'stage2_extract_done'
-            WHEN 6 THEN 'heartbeat' ELSE CASE WHEN event_id % 88 = 7 THEN 'heartbeat' WHEN event_type = 'error' THEN 'error' ELSE 'done' END END AS event,
+            WHEN 6 THEN 'stage2_pinpoint_start' WHEN 7 THEN 'stage2_pinpoint_done' WHEN 8 THEN 'stage2_geocode_start' WHEN 9 THEN 'stage2_geocode_done'
+            WHEN 10 THEN 'heartbeat' ELSE CASE WHEN event_id % 132 = 11 THEN 'heartbeat' WHEN event_type = 'error' THEN 'error' ELSE 'done' END END AS event,
        props AS data
 FROM events""")
 

@@ -3,11 +3,15 @@ query; every one has a batch result to compare with."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellselect.operators.catalog import insert_ignore
@@ -21,17 +25,29 @@ def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 # --- catalogue --------------------------------------------------------------------------------
 
-def stream_ingest(source: DataFrame, target: str, checkpoint: str, key: str, order: list[str]):
-    """Insert-only ingest, exactly once per id: each batch appends the ids the target lacks. The batch
-    number is part of the path, so a repeated batch replaces its own rows instead of adding them."""
+def stream_ingest(source: DataFrame, target: str, checkpoint: str, key: str, order: list[str], buckets: int = 16):
+    """Insert-only ingest, exactly once per id: each batch appends the ids the target lacks.
+
+    Rows lie under run (the checkpoint's hash), batch number and id bucket. A repeated batch replaces
+    its own rows and no others, a new run never touches an older one's, and a batch reads only the
+    buckets that its ids fall into.
+    """
     spark = source.sparkSession
-    schema = source.schema
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    stored = T.StructType([*source.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("run", T.StringType()),
+                           T.StructField("batch", T.LongType())])
 
     def add(batch: DataFrame, number: int) -> None:
-        existing = (spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema)
-                    .option("basePath", target).parquet(target).where(F.col("batch") != number)) if number else None
-        fresh = insert_ignore(batch, existing, key, order) if existing is not None else insert_ignore(batch, batch.limit(0), key, order)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch = batch.withColumn("bucket", bucket)
+        try:
+            existing = spark.read.schema(stored).parquet(target)
+        except AnalysisException:  # nothing written yet
+            existing = spark.createDataFrame([], stored)
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
+        older = existing.where(F.col("bucket").isin(touched) & ~((F.col("run") == run) & (F.col("batch") == number)))
+        fresh = insert_ignore(batch, older.select(*batch.columns), key, order)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/run={run}/batch={number}")
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,12 +80,15 @@ def request_stages(events: DataFrame, gap: str = "60 minutes", delay: str = "2 h
         F.count(F.lit(1)).alias("events"), F.min("ts").alias("started_at"),
         ((at("stage1_done") - at("stage1_start")) / 1e6).alias("stage1_seconds"),
         ((at("stage2_extract_done") - at("stage2_extract_start")) / 1e6).alias("extract_seconds"),
+        ((at("stage2_pinpoint_done") - at("stage2_pinpoint_start")) / 1e6).alias("pinpoint_seconds"),
+        ((at("stage2_geocode_done") - at("stage2_geocode_start")) / 1e6).alias("geocode_seconds"),
         ((F.max(micros) - F.min(micros)) / 1e6).alias("total_seconds"))
     return g.drop("w")
 
 
-def throttle(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """At most one event per request and time slot: the last one."""
+def throttle(events: DataFrame, gap: str = "1 second", delay: str = "1 hour") -> DataFrame:
+    """At most one event per request and calendar slot of ``gap``: the last one. The rule is one event per
+    slot, not a least distance: two events on either side of a slot's border both stay."""
     e = watermarked(events, "ts", delay)
     last = e.groupBy("request_id", F.window("ts", gap).alias("w")).agg(
         F.max_by(F.struct("event_id", "ts", "event"), F.struct("ts", "event_id")).alias("l"))
@@ -78,7 +97,8 @@ def throttle(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour")
 
 def stalled(events: DataFrame, gap_seconds: int, total_seconds: int) -> DataFrame:
     """Batch twin: rows (request_id, after, reason) – ``gap`` before a late next event, ``silent`` after
-    a last event that is not terminal, ``total`` for a request that takes too long."""
+    a last event that is not terminal, ``total`` (after = the moment the limit passed) for a request
+    with an event past its time limit."""
     from pyspark.sql import Window
     w = Window.partitionBy("request_id").orderBy("ts", "event_id")
     nxt = F.lead("ts").over(w)
@@ -89,37 +109,39 @@ def stalled(events: DataFrame, gap_seconds: int, total_seconds: int) -> DataFram
     gaps = e.select("request_id", F.col("ts").alias("after"), reason.alias("reason")).where(F.col("reason").isNotNull())
     total = events.groupBy("request_id").agg(F.max("ts").alias("after"), F.min("ts").alias("_first"))
     late = total.where(F.unix_micros("after") - F.unix_micros("_first") > total_seconds * 1_000_000)
-    return gaps.unionByName(late.select("request_id", "after", F.lit("total").alias("reason")))
+    passed = F.timestamp_micros(F.unix_micros("_first") + total_seconds * 1_000_000)
+    return gaps.unionByName(late.select("request_id", passed.alias("after"), F.lit("total").alias("reason")))
 
 
 def stalled_stream(events: DataFrame, gap_seconds: int, total_seconds: int, delay: str = "1 hour") -> DataFrame:
     """Streaming form with an event-time timer per request. A request's state is its first and last
     event only; the timer fires when the watermark passes the gap after the last event. Events of a
-    request are expected in time order from batch to batch. ``total`` is told once, at the end."""
+    request are expected in time order from batch to batch. ``total`` is told once, in the batch of
+    the first event past the limit, however busy the request stays."""
     schema = "request_id long, after timestamp, reason string"
-    state_schema = "first long, last long, terminal boolean"
+    state_schema = "first long, last long, terminal boolean, told boolean"
     gap, limit = gap_seconds * 1_000_000, total_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows: list[tuple[int, str]] = []
         if state.hasTimedOut:
-            first, last, terminal = state.get
+            _, last, terminal, _ = state.get
             if not terminal:
                 rows.append((last, "silent"))
-            if last - first > limit:
-                rows.append((last, "total"))
             state.remove()
         else:
             new = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            stamps = new["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-            first, last, terminal = state.get if state.exists else (None, None, True)
-            for t, event in zip(stamps, new["event"]):
-                if last is not None and not terminal and t - last > gap:
-                    rows.append((last, "gap"))
-                first = t if first is None else min(first, t)
-                last = t if last is None else max(last, t)
-                terminal = event in TERMINAL
-            state.update((int(first), int(last), bool(terminal)))
+            stamps = new["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64").to_numpy()
+            done = new["event"].isin(TERMINAL).to_numpy()
+            first, last, terminal, told = state.get if state.exists else (int(stamps[0]), int(stamps[0]), True, False)
+            before = np.maximum.accumulate(np.r_[last, stamps])[:-1]
+            ended = np.r_[terminal, done[:-1]]
+            rows += [(int(t), "gap") for t in before[(stamps - before > gap) & ~ended]]
+            first, last = min(first, int(stamps[0])), max(last, int(stamps[-1]))
+            if not told and last - first > limit:
+                rows.append((first + limit, "total"))
+                told = True
+            state.update((first, last, bool(done[-1]), told))
             state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1000))
         after = pd.Series([r[0] for r in rows], dtype="int64").astype("datetime64[us]")
         yield pd.DataFrame({"request_id": [key[0]] * len(rows), "after": after, "reason": [r[1] for r in rows]})
