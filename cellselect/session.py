@@ -19,7 +19,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     # Arrow batches by size: packs and images are big rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
     "spark.ui.enabled": "false",
 }
 
