@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cellselect.functions import constants as K
 from cellselect.functions import geo
 from cellselect.functions import text as T
+from cellselect.operators import retrieval as V
+from cellselect.operators import scores as R
 from cellselect.operators.spatial import same_country
 
 FALLBACK_KM = 500.0
@@ -47,11 +49,14 @@ def l9_fallback(lat9: Column, lng9: Column, lat12: Column, lng12: Column, thresh
 def final_point(df: DataFrame, threshold: float = FALLBACK_KM, min_count: int = 10) -> DataFrame:
     """Add ``final`` from structs l9, l12 (lat, lng; l12 with n), selected, refined (lat, lng or
     null), the flag l12_unconstrained, and optional e9, e12 expected locations that stand for the
-    centroids except in the distance test."""
-    e9 = F.coalesce(F.col("e9"), F.struct("l9.lat", "l9.lng")) if "e9" in df.columns else F.struct("l9.lat", "l9.lng")
+    centroids except in the distance test. A refined point takes the level-9 cell's place, in the
+    distance test too; e9 is expected to be made with it."""
+    near9 = F.coalesce(F.struct("refined.lat", "refined.lng"), F.struct("l9.lat", "l9.lng"))
+    near9 = F.when(F.col("refined").isNotNull(), near9).otherwise(F.struct("l9.lat", "l9.lng"))
+    e9 = F.coalesce(F.col("e9"), near9) if "e9" in df.columns else near9
     e12 = F.coalesce(F.col("e12"), F.struct("l12.lat", "l12.lng")) if "e12" in df.columns else F.struct("l12.lat", "l12.lng")
     refined = F.when(F.col("refined").isNotNull(), F.struct("refined.lat", "refined.lng"))
-    far = geo.haversine_km("l9.lat", "l9.lng", "l12.lat", "l12.lng") > threshold
+    far = geo.haversine_km(near9["lat"], near9["lng"], F.col("l12.lat"), F.col("l12.lng")) > threshold
 
     def out(point: Column, source: str, used: bool) -> Column:
         return F.struct(point["lat"].alias("lat"), point["lng"].alias("lng"), F.lit(source).alias("branch"),
@@ -67,6 +72,37 @@ def final_point(df: DataFrame, threshold: float = FALLBACK_KM, min_count: int =
     return df.withColumn("final", final)
 
 
+def predict(scores: DataFrame, cells: DataFrame, pmap: DataFrame, queries: DataFrame, protos: DataFrame, select_k: int = 500,
+            average_n: int = 0, k3: int = 3, k6: int = 5, k9: int = 10, threshold: float = FALLBACK_KM, min_count: int = 10,
+            country_dist: DataFrame | None = None, countries: DataFrame | None = None, country_share: float = 0.30) -> DataFrame:
+    """First stage as one plan: country mask (with ``country_dist`` and top ``countries``) → cascade →
+    content selector (``select_k``) or averaging of the best ``average_n`` cells → final point.
+
+    (query_id, l9_idx, l12_idx, lat, lng, branch, fallback_used).
+    """
+    if country_dist is not None and countries is not None:
+        rest = scores.where(~F.col("level").isin(9, 12))
+        for level in (9, 12):
+            kept = R.mask_by_country(scores, country_dist, countries, level, country_share)
+            rest = rest.unionByName(kept.select(*scores.columns))
+        scores = rest
+    masked, flags = R.cascade(scores, pmap, k3, k6, k9)
+    best = R.argmax_centroid(masked, cells).join(cells.select("level", "idx", "n"), ["level", "idx"])
+    cell = F.struct(F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"), "idx", "n")
+    top = best.groupBy("query_id").agg(*[F.max(F.when(F.col("level") == v, cell)).alias(f"l{v}") for v in (9, 12)])
+    none = F.lit(None).cast("struct<lat:double,lng:double>")
+    df = top.join(flags, "query_id").withColumns({"selected": none, "refined": none})
+    point = F.struct("lat", "lng")
+    if select_k:
+        chosen = V.select_by_content(masked, queries, protos, select_k).select("query_id", point.alias("selected"))
+        df = df.drop("selected").join(chosen, "query_id", "left")
+    elif average_n:
+        cands = R.ranked(R.softmax(masked.where(F.col("level") == 9)), average_n).select("query_id", F.col("idx").alias("cell_idx"), "rank", "prob")
+        mean = V.refine_average(cands, queries, protos, average_n).select("query_id", point.alias("refined"))
+        df = df.drop("refined").join(mean, "query_id", "left")
+    return final_point(df, threshold, min_count).select("query_id", F.col("l9.idx").alias("l9_idx"), F.col("l12.idx").alias("l12_idx"), "final.*")
+
+
 def refine_decision(df: DataFrame, trusted=K.TRUSTED_PRECISIONS, min_confidence: float = K.MIN_CONFIDENCE,
                     max_drift: float = K.MAX_DRIFT_KM) -> DataFrame:
     """Add ``decision`` struct(lat, lng, used, precision, source, reason).

@@ -116,12 +116,42 @@ def mask_by_parent(scores: DataFrame, pmap: DataFrame, parent: int, children: Se
     return scores.where(~F.col("level").isin(*children)).unionByName(_guarded(marked).select(*scores.columns))
 
 
-def mask_by_child_mass(scores: DataFrame, pmap: DataFrame, k: int = 5) -> DataFrame:
-    """Rank level-6 parents by level-9 child mass, then mask levels 9 and 12."""
-    top = ranked(parent_mass(scores, pmap), k, ["query_id"], "mass", "parent_idx")
+def mask_by_child_mass(scores: DataFrame, pmap: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
+    """Rank level-6 parents by level-9 child mass, then mask levels 9 and 12. Masses equal to ``digits``
+    places go by index, whatever order their sums were taken in."""
+    mass = parent_mass(scores, pmap).withColumn("mass", F.round("mass", digits))
+    top = ranked(mass, k, ["query_id"], "mass", "parent_idx")
     return mask_by_parent(scores, pmap, 6, (9, 12), k, parents=top)
 
 
+def unconstrained(top: DataFrame, pmap: DataFrame, level: int = 9, leaf: int = 12) -> DataFrame:
+    """(query_id, l12_unconstrained): none of a query's cells (query_id, idx) has a child in the leaf
+    vocabulary, so its leaf ranking is not held by the level above."""
+    links = pmap.where((F.col("parent_level") == level) & (F.col("child_level") == leaf))
+    parents = links.select(F.col("parent_idx").alias("idx"), F.lit(True).alias("_has")).distinct()
+    return (top.join(parents, "idx", "left").groupBy("query_id")
+            .agg((~F.max(F.coalesce("_has", F.lit(False)))).alias("l12_unconstrained")))
+
+
+def cascade(scores: DataFrame, pmap: DataFrame, k3: int = 3, k6: int = 5, k9: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Hierarchical constraint: (masked scores, (query_id, l12_unconstrained)).
+
+    The best ``k3`` level-3 cells hold levels 6, 9 and 12; of what is left, the ``k6`` level-6 cells
+    with the most level-9 mass hold 9 and 12; the best ``k9`` level-9 cells hold 12. A step with 0 is
+    left out. A mask that would empty a level is not applied.
+    """
+    out = scores
+    if k3:
+        out = mask_by_parent(out, pmap, 3, (6, 9, 12), k3)
+    if k6:
+        out = mask_by_child_mass(out, pmap, k6)
+    if not k9:
+        return out, scores.select("query_id").distinct().withColumn("l12_unconstrained", F.lit(False))
+    top = ranked(out.where(F.col("level") == 9), k9).select("query_id", "idx")
+    flags = unconstrained(top, pmap)
+    return mask_by_parent(out, pmap, 9, (12,), k9, parents=top.withColumnRenamed("idx", "parent_idx")), flags
+
+
 def logsumexp_by(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """log of the sum of exponentials per group, shifted by the group maximum."""
     w = Window.partitionBy(*by)

@@ -8,6 +8,7 @@ from cellselect.functions import text as T
 from cellselect.operators import decide as D
 from cellselect.operators import retrieval as V
 from cellselect.operators import scores as R
+from cellselect.plans.q_scores import CASCADE
 from cellselect.plans.q_text import seen
 from cellselect.plans.registry import query
 from cellselect.plans.views import hav
@@ -48,6 +49,7 @@ _TOP = """
 t9 AS (SELECT query_id, idx, prob, centroid_lat AS lat, centroid_lng AS lng FROM probs JOIN cells USING (level, idx) WHERE level = 9 AND rnk = 1),
 t12 AS (SELECT query_id, idx, centroid_lat AS lat, centroid_lng AS lng, n FROM probs JOIN cells USING (level, idx) WHERE level = 12 AND rnk = 1)"""
 _FAR = hav("a.lat", "a.lng", "b.lat", "b.lng")
+_FAR9 = hav("coalesce(r.lat, a.lat)", "coalesce(r.lng, a.lng)", "b.lat", "b.lng")
 
 
 def _tops(t):
@@ -70,20 +72,54 @@ SELECT query_id, branch, branch IN ('unconstrained', 'far') AS fallback_used,
   round(CASE WHEN branch = 'selected' THEN slat WHEN branch IN ('unconstrained', 'far') THEN coalesce(rlat, alat) WHEN branch = 'refined' THEN rlat ELSE blat END, 6) AS lat,
   round(CASE WHEN branch = 'selected' THEN slng WHEN branch IN ('unconstrained', 'far') THEN coalesce(rlng, alng) WHEN branch = 'refined' THEN rlng ELSE blng END, 6) AS lng
 FROM (SELECT a.query_id, a.lat AS alat, a.lng AS alng, b.lat AS blat, b.lng AS blng, s.lat AS slat, s.lng AS slng, r.lat AS rlat, r.lng AS rlng,
-  CASE WHEN s.lat IS NOT NULL THEN 'selected' WHEN a.query_id % 11 = 0 THEN 'unconstrained' WHEN {_FAR} > 8000 THEN 'far' WHEN b.n >= 12 THEN 'dense'
+  CASE WHEN s.lat IS NOT NULL THEN 'selected' WHEN NOT EXISTS (SELECT 1 FROM pmap WHERE parent_level = 9 AND child_level = 12 AND parent_idx = a.idx) THEN 'unconstrained'
+       WHEN {_FAR9} > 8000 THEN 'far' WHEN b.n >= 12 THEN 'dense'
        WHEN r.lat IS NOT NULL THEN 'refined' ELSE 'sparse' END AS branch
   FROM t9 a JOIN t12 b USING (query_id) LEFT JOIN (SELECT * FROM selected WHERE top_similarity > 0.75) s USING (query_id)
-  LEFT JOIN refined r ON r.query_id = a.query_id AND r.cell_idx = a.idx)""", "probs cells selected refined")
+  LEFT JOIN refined r ON r.query_id = a.query_id AND r.cell_idx = a.idx)""", "probs cells selected refined pmap")
 def d2(t):
     point = F.struct("lat", "lng")
     sel = V.select_by_content(t.scores, t.probes, t.protos, 5).where("top_similarity > 0.75").select("query_id", point.alias("selected"))
     top = _tops(t)
     ref = V.refine_in_cell(top.select("query_id", F.col("l9.idx").alias("cell_idx")), t.probes, t.protos).select("query_id", point.alias("refined"))
-    df = top.join(sel, "query_id", "left").join(ref, "query_id", "left").withColumn("l12_unconstrained", F.col("query_id") % 11 == 0)
+    df = top.join(sel, "query_id", "left").join(ref, "query_id", "left").join(
+        R.unconstrained(top.select("query_id", F.col("l9.idx").alias("idx")), t.pmap), "query_id")
     f = D.final_point(df, 8000.0, 12).select("query_id", "final.*")
     return f.withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
 
+_FIRST_STAGE = f"""{CASCADE},
+best AS (SELECT query_id, level, idx, row_number() OVER (PARTITION BY query_id, level ORDER BY logit DESC, idx) AS rn FROM m9),
+a9 AS (SELECT query_id, b.idx, centroid_lat AS lat, centroid_lng AS lng FROM best b JOIN cells c USING (level, idx) WHERE level = 9 AND rn = 1),
+b12 AS (SELECT query_id, b.idx, centroid_lat AS lat, centroid_lng AS lng, n FROM best b JOIN cells c USING (level, idx) WHERE level = 12 AND rn = 1)"""
+
+
+@query("predict", f"""WITH {_FIRST_STAGE},
+pick AS (SELECT query_id, lat, lng FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.top_similarity DESC, b.rn) AS pick
+         FROM refined r JOIN best b ON b.query_id = r.query_id AND b.level = 9 AND b.idx = r.cell_idx AND b.rn <= 5) WHERE pick = 1)
+SELECT a.query_id, a.idx AS l9_idx, b.idx AS l12_idx,
+  CASE WHEN s.lat IS NOT NULL THEN 'selected' WHEN l12_unconstrained THEN 'unconstrained' WHEN {_FAR} > 8000 THEN 'far' WHEN b.n >= 12 THEN 'dense' ELSE 'sparse' END AS branch,
+  round(CASE WHEN s.lat IS NOT NULL THEN s.lat WHEN l12_unconstrained OR {_FAR} > 8000 THEN a.lat ELSE b.lat END, 6) AS lat,
+  round(CASE WHEN s.lat IS NOT NULL THEN s.lng WHEN l12_unconstrained OR {_FAR} > 8000 THEN a.lng ELSE b.lng END, 6) AS lng
+FROM a9 a JOIN b12 b USING (query_id) JOIN flags USING (query_id) LEFT JOIN pick s USING (query_id)""", "scores pmap cells refined")
+def predict(t):
+    """First stage in selector mode over all queries."""
+    out = D.predict(t.scores, t.cells, t.pmap, t.probes, t.protos, select_k=5, k3=2, k6=2, k9=1, threshold=8000.0, min_count=12)
+    return out.select("query_id", "l9_idx", "l12_idx", "branch", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query("predict_average", f"""WITH {_FIRST_STAGE}
+SELECT query_id, branch, round(CASE WHEN branch IN ('unconstrained', 'far') THEN coalesce(rlat, alat) WHEN branch = 'refined' THEN rlat ELSE blat END, 6) AS lat,
+  round(CASE WHEN branch IN ('unconstrained', 'far') THEN coalesce(rlng, alng) WHEN branch = 'refined' THEN rlng ELSE blng END, 6) AS lng
+FROM (SELECT a.query_id, a.lat AS alat, a.lng AS alng, b.lat AS blat, b.lng AS blng, r.lat AS rlat, r.lng AS rlng,
+  CASE WHEN l12_unconstrained THEN 'unconstrained' WHEN {_FAR9} > 8000 THEN 'far' WHEN b.n >= 12 THEN 'dense' WHEN r.lat IS NOT NULL THEN 'refined' ELSE 'sparse' END AS branch
+  FROM a9 a JOIN b12 b USING (query_id) JOIN flags USING (query_id) LEFT JOIN refined r ON r.query_id = a.query_id AND r.cell_idx = a.idx)""", "scores pmap cells refined")
+def predict_average(t):
+    """First stage in averaging mode with one cell: the refined point feeds the distance test."""
+    out = D.predict(t.scores, t.cells, t.pmap, t.probes, t.protos, select_k=0, average_n=1, k3=2, k6=2, k9=1, threshold=8000.0, min_count=12)
+    return out.select("query_id", "branch", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
 _AREA = "(split_part(place_type, '=', 1) = 'boundary' OR split_part(place_type, '=', 2) IN ('city', 'administrative'))"
 _DRIFT = hav("slat", "slng", "lat", "lng")
 _DECIDED = f"""{_REQ},

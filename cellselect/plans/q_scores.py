@@ -121,10 +121,40 @@ mass AS (SELECT query_id, parent_idx, row_number() OVER (PARTITION BY query_id O
 SELECT query_id, level, idx, logit FROM masked UNION ALL SELECT query_id, level, idx, logit FROM scores WHERE level IN (3, 6)""",
        "probs pmap scores")
 def r5(t):
-    """Equal masses are settled by index, so masses are rounded before ranking on both sides."""
-    mass = R.parent_mass(t.scores, t.pmap).withColumn("mass", F.round("mass", 9))
-    top = R.ranked(mass, 2, ["query_id"], "mass", "parent_idx")
-    return R.mask_by_parent(t.scores, t.pmap, 6, (9, 12), 2, parents=top)
+    return R.mask_by_child_mass(t.scores, t.pmap, 2)
+
+
+def _step(source: str, name: str, parents: str, parent: int, children: str) -> str:
+    """CTEs ``name``: ``source`` after the mask of ``children`` by ``parents`` (query_id, idx)."""
+    return f"""
+{name}_ok AS (SELECT DISTINCT p.query_id, m.child_level AS level, m.child_idx AS idx FROM ({parents}) p JOIN pmap m
+              ON m.parent_level = {parent} AND m.child_level IN ({children}) AND m.parent_idx = p.idx),
+{name}_marked AS (SELECT s.*, s.level NOT IN ({children}) OR o.query_id IS NOT NULL AS keep FROM {source} s LEFT JOIN {name}_ok o USING (query_id, level, idx)),
+{name} AS MATERIALIZED (SELECT query_id, level, idx, logit FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id, level) AS kept_any FROM {name}_marked)
+           WHERE keep OR NOT kept_any)"""
+
+
+def _best(source: str, level: int, k: int) -> str:
+    return f"""SELECT query_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, idx) AS rn
+               FROM {source} WHERE level = {level}) WHERE rn <= {k}"""
+
+
+CASCADE = f"""{_step('scores', 'm3', _best('scores', 3, 2), 3, '6, 9, 12')},
+m3p AS (SELECT query_id, idx, exp(logit - max(logit) OVER w) AS e FROM m3 WHERE level = 9 WINDOW w AS (PARTITION BY query_id)),
+m3s AS (SELECT query_id, idx, e / sum(e) OVER (PARTITION BY query_id) AS prob FROM m3p),
+heavy AS (SELECT query_id, parent_idx AS idx, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(prob), 9) DESC, parent_idx) AS rn
+          FROM m3s JOIN pmap ON child_level = 9 AND parent_level = 6 AND child_idx = idx WHERE parent_idx >= 0 GROUP BY query_id, parent_idx),
+{_step('m3', 'm6', 'SELECT query_id, idx FROM heavy WHERE rn <= 2', 6, '9, 12')},
+top9 AS MATERIALIZED ({_best('m6', 9, 1)}),
+flags AS (SELECT query_id, NOT bool_or(EXISTS (SELECT 1 FROM pmap WHERE parent_level = 9 AND child_level = 12 AND parent_idx = top9.idx)) AS l12_unconstrained
+          FROM top9 GROUP BY query_id),
+{_step('m6', 'm9', 'SELECT query_id, idx FROM top9', 9, '12')}"""
+
+
+@query("r4_cascade", f"WITH {CASCADE} SELECT query_id, level, idx, logit, l12_unconstrained FROM m9 JOIN flags USING (query_id)", "scores pmap")
+def r4_cascade(t):
+    masked, flags = R.cascade(t.scores, t.pmap, 2, 2, 1)
+    return masked.join(flags, "query_id").select("query_id", "level", "idx", "logit", "l12_unconstrained")
 
 
 _COUNTRY = f"""

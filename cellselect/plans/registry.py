@@ -45,7 +45,7 @@ def oracle(sql: str, views: str = "") -> str:
 
     for n in names:
         visit(n)
-    heads = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in needed)
+    heads = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in needed)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH RECURSIVE {heads},\n{body[5:]}"
