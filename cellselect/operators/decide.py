@@ -10,7 +10,7 @@ from cellselect.functions import geo
 from cellselect.functions import text as T
 from cellselect.operators import retrieval as V
 from cellselect.operators import scores as R
-from cellselect.operators.spatial import same_country
+from cellselect.operators.spatial import reverse_geocode, same_country
 
 FALLBACK_KM = 500.0
 
@@ -37,6 +37,12 @@ def geocode_first_hit(requests: DataFrame, gazetteer: DataFrame, key: str, floor
             .select(key, F.col("_f.query").alias("query"), "_f.hit.*"))
 
 
+def hit_country(hits: DataFrame, cover: DataFrame) -> DataFrame:
+    """Hits with ``country`` from their coordinates (null outside every polygon), not from their source."""
+    named = reverse_geocode(hits.drop("country"), cover)
+    return named.select(*[c for c in hits.columns if c != "country"], F.col("country_name").alias("country"))
+
+
 # --- points -----------------------------------------------------------------------------------
 
 def l9_fallback(lat9: Column, lng9: Column, lat12: Column, lng12: Column, threshold: float = FALLBACK_KM) -> Column:

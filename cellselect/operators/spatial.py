@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cellselect.functions import columns as X
 from cellselect.functions import geo
 from cellselect.functions.text import hub_country
+from cellselect.operators.cells import with_cells
 from cellselect.operators.sampling import weighted_resample
 from cellselect.operators.scale import first_n, packed
 from cellselect.session import shared_dir
@@ -287,6 +288,17 @@ def population(points: DataFrame, raster: DataFrame, affine: tuple, nodata: floa
     return out.withColumn("is_urban", X.is_urban("pop_per_km2"))
 
 
+def enrich(points: DataFrame, cover: DataFrame, climate_raster: DataFrame, climate_affine: tuple, density_raster: DataFrame,
+           density_affine: tuple, id_col: str = "pano_id", nodata: float | None = None) -> DataFrame:
+    """Catalogue enrichment in one plan: admin columns by polygon, cells of all levels, climate class and
+    group, population density and urban flag, official flag. Each step is an equi-join on a tile or a
+    pixel; point rows are never multiplied."""
+    out = with_cells(reverse_geocode(points, cover))
+    out = climate(out, climate_raster, climate_affine)
+    out = population(out, density_raster, density_affine, nodata)
+    return out.withColumn("is_official", X.is_official(id_col))
+
+
 # --- sampling in a polygon --------------------------------------------------------------------
 
 def sample_points(spark, polygons: DataFrame, n: int, seed: int = 42, oversample: int = 4, size: float = 1.0,

@@ -8,10 +8,11 @@ from cellselect.functions import text as T
 from cellselect.operators import decide as D
 from cellselect.operators import retrieval as V
 from cellselect.operators import scores as R
+from cellselect.operators import spatial as S
 from cellselect.plans.q_scores import CASCADE
 from cellselect.plans.q_text import seen
 from cellselect.plans.registry import query
-from cellselect.plans.views import hav
+from cellselect.plans.views import hav, pip
 
 _REQ = """
 req AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS scope,
@@ -122,7 +123,8 @@ def predict_average(t):
 
 _AREA = "(split_part(place_type, '=', 1) = 'boundary' OR split_part(place_type, '=', 2) IN ('city', 'administrative'))"
 _DRIFT = hav("slat", "slng", "lat", "lng")
-_DECIDED = f"""{_REQ},
+_DECIDED = f"""{_REQ.replace('found AS', 'named AS')},
+found AS (SELECT n.* REPLACE (g.gid_0 AS country) FROM named n LEFT JOIN ({pip('named', 'c_custkey')}) g USING (c_custkey)),
 decided AS (SELECT *, CASE WHEN NOT has_text THEN 'no_text' WHEN timed_out THEN 'timeout' WHEN precision_level NOT IN ('street', 'neighborhood') THEN 'too_coarse'
     WHEN confidence < 0.7 THEN 'low_confidence' WHEN lat IS NULL THEN 'geocode_miss' WHEN lower(country) <> hub AND NOT contains(lower(country), hub) AND NOT contains(hub, lower(country)) THEN 'country_mismatch'
     WHEN {_AREA} THEN 'area_centroid' WHEN {_DRIFT} > 75 THEN 'too_far' ELSE 'accept' END AS reason
@@ -136,7 +138,7 @@ decided AS (SELECT *, CASE WHEN NOT has_text THEN 'no_text' WHEN timed_out THEN
 
 def decided(t):
     k = F.col("c_custkey")
-    hits = _hits(t).select("c_custkey", F.struct("lat", "lng", "place_type", "country", "query").alias("hit"))
+    hits = D.hit_country(_hits(t), S.cover_tiles(t.boundaries, 4.0)).select("c_custkey", F.struct("lat", "lng", "place_type", "country", "query").alias("hit"))
     df = t.read("customer").select("c_custkey").join(hits, "c_custkey", "left").select(
         "c_custkey", "hit", (k % 17 != 0).alias("has_text"), (k % 19 == 0).alias("timed_out"),
         F.struct(F.when(k % 13 == 0, "city").when(k % 2 == 0, "street").otherwise("neighborhood").alias("precision_level"),
@@ -149,7 +151,7 @@ def decided(t):
 
 @query("d3_refine_decision", f"""WITH {_DECIDED}
 SELECT c_custkey, reason, reason = 'accept' AS used, round(CASE WHEN reason = 'accept' THEN lat ELSE slat END, 6) AS lat,
-       round(CASE WHEN reason = 'accept' THEN lng ELSE slng END, 6) AS lng, CASE WHEN reason = 'accept' THEN precision_level ELSE 'country' END AS precision FROM decided""", "gazetteer")
+       round(CASE WHEN reason = 'accept' THEN lng ELSE slng END, 6) AS lng, CASE WHEN reason = 'accept' THEN precision_level ELSE 'country' END AS precision FROM decided""", "gazetteer edges")
 def d3(t):
     d = decided(t).select("c_custkey", "decision.*")
     return d.select("c_custkey", "reason", "used", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "precision")
@@ -159,7 +161,7 @@ def d3(t):
 SELECT c_custkey, CASE WHEN c_custkey % 23 = 0 THEN false ELSE reason = 'accept' END AS stage2_used,
        CASE WHEN c_custkey % 23 = 0 THEN 'failed' END AS stage2_error,
        round(CASE WHEN c_custkey % 23 <> 0 AND reason = 'accept' THEN lat ELSE slat END, 6) AS lat,
-       round(CASE WHEN c_custkey % 23 <> 0 AND reason = 'accept' THEN slat END, 6) AS stage1_lat FROM decided""", "gazetteer")
+       round(CASE WHEN c_custkey % 23 <> 0 AND reason = 'accept' THEN slat END, 6) AS stage1_lat FROM decided""", "gazetteer edges")
 def d4(t):
     d = decided(t).select("c_custkey", F.col("stage1_lat").alias("final_lat"), F.col("stage1_lng").alias("final_lng"),
                           F.when(F.col("c_custkey") % 23 != 0, F.col("decision")).alias("decision"), F.lit("failed").alias("error"))

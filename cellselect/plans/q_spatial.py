@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
 from cellselect.functions import geo
-from cellselect.operators import cells as C
 from cellselect.operators import spatial as S
 from cellselect.plans.registry import query
 from cellselect.plans.views import hav, pip, tile
@@ -83,17 +82,18 @@ def j17(t):
 
 
 @query("j21_enrich", """
-SELECT s.sample_key, length(s.pano_id) = 22 AS is_official, g.gid_0 AS geo_country, s.s2_l9, nullif(r.value, 0) AS koppen_class
-FROM s2_samples s JOIN sample_geo g USING (sample_key)
-LEFT JOIN raster r ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = cast(floor(lng + 180) AS bigint)
-""", "s2_samples sample_geo raster")
+SELECT s.sample_key, length(s.pano_id) = 22 AS is_official, g.gid_0 AS geo_country, s.s2_l9, nullif(r.value, 0) AS koppen_class,
+       cast(d.value AS double) * 60 AS pop_per_km2, coalesce(d.value * 60 >= 1500, false) AS is_urban
+FROM s2_samples s JOIN sample_geo g USING (sample_key) JOIN moll m USING (sample_key)
+LEFT JOIN raster r ON r.row_idx = cast(floor(90 - s.lat) AS bigint) AND r.col_idx = cast(floor(s.lng + 180) AS bigint)
+LEFT JOIN raster d ON d.row_idx = cast(floor((9020047.85 - m.y) / 100222.753889) AS bigint) AND d.col_idx = cast(floor((m.x + 18040095.7) / 100222.753889) AS bigint)
+""", "s2_samples sample_geo raster moll")
 def j21(t):
-    """One enrichment pass: polygons, cells, climate, flags."""
-    p = t.samples.select("sample_key", "pano_id", "lat", "lng")
-    p = geocoded(t, p)
-    p = S.climate(C.with_cells(p), t.raster, AFFINE)
-    return p.select("sample_key", X.is_official("pano_id").alias("is_official"),
-                    F.col("country_code").alias("geo_country"), geo.s2_text(F.col("s2_l9")).alias("s2_l9"), "koppen_class")
+    """One enrichment pass: polygons, cells, climate, density, flags."""
+    density = t.raster.withColumn("value", F.col("value") * 60)
+    p = S.enrich(t.samples.select("sample_key", "pano_id", "lat", "lng"), cover(t), t.raster, AFFINE, density, POP_AFFINE)
+    return p.select("sample_key", "is_official", F.col("country_code").alias("geo_country"), geo.s2_text(F.col("s2_l9")).alias("s2_l9"),
+                    "koppen_class", "pop_per_km2", "is_urban")
 
 
 @query("j22_geocode_candidates", f"""

@@ -142,6 +142,11 @@ VIEWS["raster"] = ("", """
 SELECT cast(r AS bigint) AS row_idx, cast(c AS bigint) AS col_idx, cast((r * 7 + c * 3) % 31 AS bigint) AS value
 FROM range(180) AS a(r) CROSS JOIN range(360) AS b(c)""")
 
+VIEWS["moll"] = ("samples", """
+SELECT sample_key, 2 * sqrt(2) / pi() * 6378137.0 * radians(lng) * cos(th) AS x, sqrt(2) * 6378137.0 * sin(th) AS y
+FROM (SELECT sample_key, lng, list_reduce(list_prepend(radians(lat), list_transform(range(8), lambda i: radians(lat))),
+             lambda th, phi: th - (2 * th + sin(2 * th) - pi() * sin(phi)) / (2 + 2 * cos(2 * th))) AS th FROM samples)""")
+
 VIEWS["gazetteer"] = ("", """
 SELECT lower(s_name) AS name, n_name AS country,
        cast((s_suppkey * 7919) % 120000 AS double) / 1000 - 60 AS lat,
