@@ -60,7 +60,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: floa
     """(source, lambda, mean): dual solution per source for cells (source, size, n)."""
     state = (cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs"))
              .join(targets.select(F.col("source").alias("s"), "target"), F.expr("source <=> s")).drop("s")
-             .select("source", "target", (F.col("words") / F.col("docs")).alias("mean"),
+             .select("source", "target", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-6)).alias("mean"),
                      (F.col("target") >= F.col("words") * cap * (1 - 1e-12)).alias("all"),
                      F.lit(0.0).alias("lambda"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
              .checkpoint())
@@ -74,7 +74,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: floa
         miss = F.col("target") - F.col("got")
         low = F.when(miss > 0, F.col("lambda")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("high")).otherwise(F.col("lambda"))
-        newton = F.col("lambda") + miss / F.col("slope")
+        newton = F.col("lambda") + F.try_divide(miss, F.col("slope"))
         wide = F.greatest(F.lit(1.0), F.abs("lambda") * 2)
         inside = (F.isnull("low") | (newton > F.col("low"))) & (F.isnull("high") | (newton < F.col("high")))
         middle = F.when(F.isnull("high"), F.col("low") + wide).when(F.isnull("low"), F.col("high") - wide).otherwise((F.col("low") + F.col("high")) / 2)
@@ -106,7 +106,7 @@ def cell_copies(cells: DataFrame, state: DataFrame, cap: float = 2.0, correction
              .select("source", "size", "n", "target", "copies", "most").checkpoint())
     for _ in range(corrections):
         off = table.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-        want = F.round(F.abs("off") / F.col("size")).cast("long")
+        want = F.round(F.try_divide(F.abs("off"), F.col("size"))).cast("long")
         room = F.when(F.col("off") > 0, F.col("most") - F.col("copies")).otherwise(F.col("copies"))
         move = F.least(want, room)
         best = (table.where("size > 0").join(off, F.expr("source <=> s"))
