@@ -14,26 +14,26 @@ from cellselect.plans.views import hav, sha_uniform, tile
 
 @query("s11_insert_ignore", """
 SELECT p_partkey, p_name FROM (SELECT l_partkey AS p_partkey, concat('new', cast(min(l_orderkey) AS varchar)) AS p_name FROM lineitem GROUP BY l_partkey)
-WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)""")
+WHERE p_partkey NOT IN (SELECT p_partkey * 2 FROM part)""")
 def s11(t):
     new = t.read("lineitem").select(F.col("l_partkey").alias("p_partkey"),
                                     F.concat(F.lit("new"), F.col("l_orderkey").cast("string")).alias("p_name"), "l_orderkey")
-    return O.insert_ignore(new, t.read("part").where("p_size < 25"), "p_partkey", ["l_orderkey"]).select("p_partkey", "p_name")
+    old = t.read("part").select((F.col("p_partkey") * 2).alias("p_partkey"), "p_name")
+    return O.insert_ignore(new, old, "p_partkey", ["l_orderkey"]).select("p_partkey", "p_name")
 
 
 _UPSERT = """
-SELECT p_partkey, coalesce(n.price, p_retailprice) AS price FROM part LEFT JOIN (
-  SELECT l_partkey, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) n
-ON l_partkey = p_partkey"""
+SELECT coalesce(p_partkey, k) AS p_partkey, coalesce(n.price, p_retailprice) AS price FROM part FULL JOIN (
+  SELECT l_partkey * 2 AS k, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem GROUP BY l_partkey) n
+ON k = p_partkey"""
 
 
 def _upsert(t):
     old = t.read("part").select("p_partkey", F.col("p_retailprice").alias("price"))
-    new = t.read("lineitem").where("l_returnflag = 'R'").select(
-        F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("price"),
+    new = t.read("lineitem").select(
+        (F.col("l_partkey") * 2).alias("p_partkey"), F.col("l_extendedprice").alias("price"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    known = new.join(old.select("p_partkey"), "p_partkey", "left_semi")
-    return O.upsert(old, known, ["p_partkey"], "o")
+    return O.upsert(old, new, ["p_partkey"], "o")
 
 
 @query("s12_replace", _UPSERT)
@@ -46,9 +46,9 @@ def s13(t):
     return _upsert(t).agg(F.round(F.sum("price"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("s14_prune", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
+@query("s14_prune", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey * 2 FROM lineitem)")
 def s14(t):
-    seen = t.read("lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("p_partkey"))
+    seen = t.read("lineitem").select((F.col("l_partkey") * 2).alias("p_partkey"))
     return O.prune(t.read("part").select("p_partkey"), seen, ["p_partkey"])
 
 
@@ -63,19 +63,19 @@ def s15(t):
 
 
 def _files(t):
-    return t.read("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("sample_key")).distinct()
+    """Every order line's key, doubled: half of the files have no sample, half of the samples no file."""
+    return t.read("lineitem").select((F.col("l_orderkey") * 2).alias("sample_key")).distinct()
 
 
-_FILES = "SELECT DISTINCT l_orderkey AS sample_key FROM lineitem WHERE l_linenumber = 1"
+_FILES = "SELECT DISTINCT l_orderkey * 2 AS sample_key FROM lineitem"
 
 
 @query("j1_match_files", f"""
 SELECT state, count(*) AS n FROM (
   SELECT CASE WHEN s.sample_key IS NOT NULL AND f.sample_key IS NOT NULL THEN 'both' WHEN s.sample_key IS NOT NULL THEN 'csv_only' ELSE 'file_only' END AS state
-  FROM (SELECT sample_key FROM samples WHERE capture_month > '1993-06') s FULL JOIN ({_FILES}) f USING (sample_key)) GROUP BY state""", "samples")
+  FROM (SELECT sample_key FROM samples) s FULL JOIN ({_FILES}) f USING (sample_key)) GROUP BY state""", "samples")
 def j1(t):
-    meta = t.samples.where("capture_month > '1993-06'").select("sample_key")
-    return O.match_files(meta, _files(t), "sample_key").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return O.match_files(t.samples.select("sample_key"), _files(t), "sample_key").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j2_skip_known", f"SELECT sample_key FROM samples WHERE sample_key NOT IN ({_FILES})", "samples")
@@ -98,10 +98,11 @@ def j4(t):
 @query("j18_timeline_edges", """
 SELECT anchor_key AS anchor, sibling_key AS sibling FROM timeline""", "timeline")
 def j18(t):
-    o = t.read("orders").groupBy("o_custkey").agg(
-        F.min("o_orderkey").alias("anchor"), F.collect_list("o_orderkey").alias("h"))
-    twice = F.concat("h", F.array(F.lit(None).cast("long")), F.slice("h", 1, 1))
-    return O.timeline_edges(o.withColumn("h", twice), "anchor", "h")
+    """Each order lists its customer's first order, itself and a gap as a timeline entry of that anchor."""
+    o = t.read("orders").select("o_custkey", "o_orderkey")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("anchor"))
+    h = F.array("anchor", "o_orderkey", F.lit(None).cast("long"), "o_orderkey")
+    return O.timeline_edges(o.join(first, "o_custkey").select("anchor", h.alias("h")), "anchor", "h")
 
 
 @query("j19_location_split", f"""
@@ -116,8 +117,8 @@ def j19(t):
 
 
 @query("a7_ingest_report", f"""
-WITH m AS (SELECT sample_key, height IS NOT NULL AS valid FROM samples WHERE capture_month > '1993-06'), f AS ({_FILES}),
-k AS (SELECT o_orderkey AS sample_key FROM orders WHERE o_orderpriority = '1-URGENT')
+WITH m AS (SELECT sample_key, height IS NOT NULL AS valid FROM samples), f AS ({_FILES}),
+k AS (SELECT o_orderkey * 3 AS sample_key FROM orders)
 SELECT (SELECT count(*) FROM m) AS seen,
   (SELECT count(*) FROM m WHERE sample_key IN (FROM k)) AS skipped,
   (SELECT count(*) FROM m WHERE valid AND sample_key NOT IN (FROM k) AND sample_key IN (FROM f)) AS ingested,
@@ -125,8 +126,8 @@ SELECT (SELECT count(*) FROM m) AS seen,
   (SELECT count(*) FROM f WHERE sample_key NOT IN (FROM k) AND sample_key NOT IN (SELECT sample_key FROM m WHERE valid)) AS file_without_csv
 """, "samples")
 def a7(t):
-    meta = t.samples.where("capture_month > '1993-06'").select("sample_key", F.col("height").isNotNull().alias("valid"))
-    known = t.read("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("sample_key"))
+    meta = t.samples.select("sample_key", F.col("height").isNotNull().alias("valid"))
+    known = t.read("orders").select((F.col("o_orderkey") * 3).alias("sample_key"))
     return O.ingest_report(meta, _files(t), known, "sample_key")
 
 
@@ -223,16 +224,16 @@ def l2(t):
     return O.head_n(rows.withColumn("neg", -F.col("o_totalprice")), 100, "neg", "o_orderkey").drop("neg")
 
 
-@query("u1_union_distinct", "SELECT l_partkey AS k FROM lineitem WHERE l_tax > 0.06 UNION SELECT p_partkey FROM part WHERE p_size > 40")
+@query("u1_union_distinct", "SELECT l_partkey * 2 AS k FROM lineitem UNION SELECT p_partkey FROM part")
 def u1(t):
-    a = t.read("lineitem").where("l_tax > 0.06").select(F.col("l_partkey").alias("k"))
-    return a.union(t.read("part").where("p_size > 40").select("p_partkey")).distinct()
+    a = t.read("lineitem").select((F.col("l_partkey") * 2).alias("k"))
+    return a.union(t.read("part").select("p_partkey")).distinct()
 
 
-@query("u4_set_difference", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+@query("u4_set_difference", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey * 2 FROM customer")
 def u4(t):
     a = t.read("orders").select(F.col("o_custkey").alias("k")).distinct()
-    b = t.read("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    b = t.read("customer").select((F.col("c_custkey") * 2).alias("k"))
     return a.join(b, "k", "left_anti")
 
 

@@ -50,11 +50,27 @@ def e6(t):
     return t.s2_samples.select("sample_key", token.alias("token"), geo.s2_from_text(token).alias("bits"))
 
 
-@query("e7_s2_polygon")
+@query("e7_s2_polygon", "SELECT DISTINCT s2_l9 AS cell, cast(4 AS bigint) AS corners, true AS centre_inside, true AS corners_outside FROM s2_samples", "s2_samples")
 def e7(t):
+    """Corners of every cell: their middle lies in the cell, points just beyond them do not."""
     cells = t.s2_samples.select("s2_l9").distinct()
-    p = cells.select(geo.s2_text(F.col("s2_l9")).alias("cell"), F.posexplode(geo.s2_polygon("s2_l9", 9)).alias("corner", "p"))
-    return p.select("cell", "corner", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+    p = cells.select("s2_l9", F.explode(geo.s2_polygon("s2_l9", 9)).alias("p")).select(
+        "s2_l9", F.radians("p.lat").alias("a"), F.radians("p.lng").alias("o"))
+    p = p.select("s2_l9", F.struct((F.cos("a") * F.cos("o")).alias("x"), (F.cos("a") * F.sin("o")).alias("y"), F.sin("a").alias("z")).alias("v"))
+    m = p.groupBy("s2_l9").agg(F.collect_list("v").alias("vs"), F.struct(*[F.avg(f"v.{c}").alias(c) for c in "xyz"]).alias("m"))
+
+    def cell(v):
+        return geo.s2_cell(F.degrees(F.atan2(v["z"], F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))), F.degrees(F.atan2(v["y"], v["x"])), 9)
+
+    def beyond(v):  # a hundredth of the way past the corner, seen from the middle
+        return F.struct(*[(v[c] + (v[c] - F.col("m")[c]) * 0.01).alias(c) for c in "xyz"])
+
+    past = m.select("s2_l9", "m", F.size("vs").cast("long").alias("corners"), F.explode("vs").alias("v"))
+    past = past.select("s2_l9", "m", "corners", beyond(F.col("v")).alias("b"))
+    flat = past.select("s2_l9", "corners", cell(F.col("m")).alias("inner"), cell(F.col("b")).alias("outer"))
+    return flat.groupBy("s2_l9", "corners").agg(F.bool_and(F.col("inner") == F.col("s2_l9")).alias("centre_inside"),
+                                               F.bool_and(F.col("outer") != F.col("s2_l9")).alias("corners_outside")).select(
+        geo.s2_text(F.col("s2_l9")).alias("cell"), "corners", "centre_inside", "corners_outside")
 
 
 @query("e8_hash_uniform", "SELECT sample_key, round(u, 9) AS u FROM split_samples", "split_samples")

@@ -53,14 +53,13 @@ def _feed(t):
 
 @query("s3_read_feed", """
 SELECT pano_id FROM samples WHERE NOT starts_with(pano_id, 'CAo')
-AND pano_id NOT IN (SELECT lpad(cast(l_orderkey AS varchar), 22, '0') FROM lineitem WHERE l_quantity > 45)""", "samples")
+AND pano_id NOT IN (SELECT lpad(cast(l_orderkey * 2 AS varchar), 22, '0') FROM lineitem)""", "samples")
 def s3(t):
     return S_.read_feed(t.spark, _feed(t), _seen_large(t), multi_line=False).select("pano_id")
 
 
 def _seen_large(t):
-    big = t.read("lineitem").where("l_quantity > 45").select("l_orderkey")
-    return big.select(F.lpad(F.col("l_orderkey").cast("string"), 22, "0").alias("pano_id"))
+    return t.read("lineitem").select(F.lpad((F.col("l_orderkey") * 2).cast("string"), 22, "0").alias("pano_id"))
 
 
 @query("s4_seen_ids", """
@@ -71,7 +70,7 @@ def s4(t):
     S_.write_ids(t.samples.where("height = 1664"), ids)
     S_.write_log(t.samples.where("source = 'scout'"), log_)
     files = t.samples.where("capture_month < '1993-01'").select("pano_id")
-    return (S_.read_ids(t.spark, ids).unionByName(S_.seen_ids(t.spark, log_csv=log_, files=files)).distinct())
+    return S_.seen_ids(t.spark, ids, log_, files)
 
 
 @query("s5_write_log", "SELECT count(*) AS n, count(DISTINCT pano_id) AS ids FROM samples", "samples")
@@ -99,13 +98,11 @@ def s6(t):
 
 
 @query("s9_read_guides", r"""
-SELECT concat(source, lang) AS stem, md5(arg_max(raw, doc_id)) AS digest FROM guides JOIN documents USING (doc_id) GROUP BY source, lang""", "guides")
+SELECT stem, md5(raw) AS digest FROM guides""", "guides")
 def s9(t):
-    """The last guide of each (source, language) as its own text file, read back whole."""
+    """Every guide as its own text file, read back whole."""
     path = scratch_path(t.spark, "guides")
-    kinds = t.read("documents").select("doc_id", F.concat("source", "lang").alias("stem"))
-    last = t.guides.drop("stem").join(kinds, "doc_id").groupBy("stem").agg(F.max_by("raw", "doc_id").alias("raw"))
-    last.select("stem", F.col("raw").alias("value")).write.partitionBy("stem").text(path)
+    t.guides.select("stem", F.col("raw").alias("value")).write.partitionBy("stem").text(path)
     out = S_.read_guides(t.spark, path, "*.txt")
     # the text sink ends each file with a newline
     return out.select("stem", F.md5(F.regexp_replace("raw", r"\n\z", "")).alias("digest"))
@@ -171,10 +168,10 @@ def j14(t):
     return O.country_weights(t.samples, w).select("sample_key", "weight")
 
 
-@query("s20_read_country_dist", "SELECT level, count(*) AS n, round(sum(p), 6) AS mass FROM country_dist WHERE level IN (6, 9) GROUP BY level", "country_dist")
+@query("s20_read_country_dist", "SELECT level, count(*) AS n, round(sum(p), 6) AS mass FROM country_dist GROUP BY level", "country_dist")
 def s20(t):
     path = scratch_path(t.spark, "dist")
-    C.country_dist(t.label_long.where("level IN (6, 9)")).write.partitionBy("level").parquet(path)
+    C.country_dist(t.label_long).write.partitionBy("level").parquet(path)
     return (S_.read_country_dist(t.spark, path).groupBy("level")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 6).alias("mass")))
 

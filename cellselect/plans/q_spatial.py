@@ -127,11 +127,12 @@ def f4(t):
     return p.groupBy(X.bbox_override("lat", "lng")["code"].alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w11_sample_points")
+@query("w11_sample_points", "SELECT count(*) AS n, count(*) AS draws, count(*) AS inside FROM customer")
 def w11(t):
-    """As many uniform points inside the polygons as there are customers."""
+    """As many uniform points inside the polygons as there are customers, each draw once."""
     n = t.read("customer").count()
-    return S.sample_points(t.spark, t.boundaries, n, seed=7, oversample=6, size=4.0)
+    p = S.sample_points(t.spark, t.boundaries, n, seed=7, size=4.0)
+    return geocoded(t, p, overrides=False).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("draw").alias("draws"), F.count("hit_layer").alias("inside"))
 
 
 @query("p4_cover_tiles", """

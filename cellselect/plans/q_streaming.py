@@ -139,14 +139,14 @@ def x5_stream(t):
     return plain(by_slices(t, t.progress, lambda e: X.throttle(e, "10 minutes"), "throttle"))
 
 
-_STATS = "SELECT cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells WHERE level = 6 GROUP BY cell"
+_STATS = "SELECT level, cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells GROUP BY level, cell"
 
 
 @query("x6_stream_cell_stats", _STATS, "long_cells")
 def x6(t):
-    rows = C.explode_levels(t.s2_samples, ["lat", "lng"], [6])
+    rows = C.explode_levels(t.s2_samples, ["lat", "lng"])
     out = latest(t, X.stream_cell_stats(as_stream(t, rows, "cells")), ["level", "cell"], "cells-out")
-    return out.select(geo.s2_text(F.col("cell")).alias("cell"), "n", F.round("centroid_lat", 6).alias("centroid_lat"))
+    return out.select("level", geo.s2_text(F.col("cell")).alias("cell"), "n", F.round("centroid_lat", 6).alias("centroid_lat"))
 
 
 @query("x7_stream_eval", """

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from cellselect.plans import load
 from compare import compare, duck
 from conftest import SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()  # the optional subpackage has its own tests
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +18,12 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     result = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SMALL)
-    assert not result.startswith("FAIL"), result
+    assert not result.startswith(("FAIL", "EMPTY")), result
 
 
 def test_oracle_keys_are_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"e7_s2_polygon", "p3_blake2b_uniform", "w11_sample_points", "p2_annotate"}
+    assert set(QUERIES) - set(ORACLES) == {"p3_blake2b_uniform"}
 
 
 def test_entry(spark):
