@@ -172,7 +172,8 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     """Points with a coverage point within the radius in the same tile (or the 8 around it).
 
     Coverage points travel packed, up to 256 per row, so the semi-join tests arrays and no pair
-    row exists.
+    row exists. The packs of a dense tile are join keys of their own: only points of such a tile are
+    copied, once per pack, and its packs spread over tasks.
     """
     packs = packed(coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom)).withColumns(_unit("lat", "lng"))
                    .select(F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"), cover_id, "lat", "lng", "ux", "uy", "uz"),
@@ -180,15 +181,23 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     # a cheap necessary bound first, then the exact test
     bound = (2 * math.sin(min(radius_m / geo.EARTH_M, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
     p = points.withColumns(_unit("lat", "lng")).withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
-    packs = packs.select(F.col("tx").alias("_px"), F.col("ty").alias("_py"), "items")
+    packs = packs.select(F.col("tx").alias("_px"), F.col("ty").alias("_py"), F.col("chunk").alias("_pc"), "items")
+    dense = packs.groupBy(F.col("_px").alias("_dx"), F.col("_py").alias("_dy")).agg((F.max("_pc") + 1).alias("_slots")).where("_slots > 1")
+
+    def slotted(p: DataFrame, x: Column, y: Column) -> DataFrame:
+        wide = p.withColumns({"_x": x, "_y": y}).join(dense, F.expr("_x = _dx and _y = _dy"), "left")
+        return wide.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)) - 1)))
+
+    here = (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")) & (F.col("_slot") == F.col("_pc"))
     hit = F.exists("items", lambda c: (_chord2(c) <= bound) & (
         geo.haversine_m(F.col("lat"), F.col("lng"), c["lat"], c["lng"]) <= radius_m))
     if not neighbours:
-        here = (F.col("_t.x") == F.col("_px")) & (F.col("_t.y") == F.col("_py"))
-        return p.join(packs, here & hit, "left_semi").select(*points.columns)
+        found = slotted(p, F.col("_t.x"), F.col("_t.y")).join(packs, here & hit, "left_semi")
+        once = found.where("_slots is null").select(*points.columns)
+        return once.unionByName(found.where("_slots is not null").select(*points.columns).dropDuplicates([point_id]))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     p = p.select(point_id, "lat", "lng", "ux", "uy", "uz", "_t", around.alias("_d"))
-    here = (F.col("_t.x") + F.col("_d.x") == F.col("_px")) & (F.col("_t.y") + F.col("_d.y") == F.col("_py"))
+    p = slotted(p, F.col("_t.x") + F.col("_d.x"), F.col("_t.y") + F.col("_d.y"))
     return points.join(p.join(packs, here & hit, "left_semi").select(point_id).distinct(), point_id, "left_semi")
 
 
@@ -229,16 +238,22 @@ def _home_tile(df: DataFrame, lat: str, lng: str, radius_km: float) -> DataFrame
             .withColumn("col", _column(F.col(lng), _columns_of(F.col("band"), step))))
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: str, target_id: str) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: str, target_id: str,
+            spread: str = "targets") -> DataFrame:
     """Nearest target within the radius per point: (point_id, target_id, distance_km).
 
-    Targets travel packed per tile; each point keeps one best per pack and one overall, so neither
-    side's dense tiles emit pairs. Equal distances go to the smaller target id.
+    The side named by ``spread`` (the smaller one) is repeated in every tile its radius reaches, the
+    other has its home tile and crosses the network once. Targets travel packed per tile; each point
+    keeps one best per pack and one overall, so neither side's dense tiles emit pairs. Equal distances
+    go to the smaller target id.
     """
-    packs = packed(_home_tile(targets.select(target_id, "lat", "lng").withColumns(_unit("lat", "lng")), "lat", "lng", radius_km),
+    if spread not in ("targets", "points"):
+        raise ValueError(f"spread is targets or points, not {spread}")
+    tiled = {True: _radius_tiles, False: _home_tile}
+    packs = packed(tiled[spread == "targets"](targets.select(target_id, "lat", "lng").withColumns(_unit("lat", "lng")), "lat", "lng", radius_km),
                    ["band", "col"], [target_id], ["lat", "lng", target_id, "ux", "uy", "uz"], 256)
     p = points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).withColumns(_unit("_lat", "_lng"))
-    near = _radius_tiles(p, "_lat", "_lng", radius_km).join(packs, ["band", "col"])
+    near = tiled[spread == "points"](p, "_lat", "_lng", radius_km).join(packs, ["band", "col"])
     best = F.array_min(F.transform("items", lambda c: F.struct(
         _chord2(c).alias("chord2"), c[target_id].alias(target_id), c["lat"].alias("lat"), c["lng"].alias("lng"))))
     found = near.select(point_id, "_lat", "_lng", best.alias("_b")).groupBy(point_id, "_lat", "_lng").agg(F.min("_b").alias("_b"))

@@ -30,8 +30,10 @@ def test_caps_limit_below_the_exchange(spark):
     assert text.count("WindowGroupLimit") >= 1
 
 
-def test_head_is_take_ordered(spark):
-    assert "TakeOrderedAndProject" in plan(spark, "l2_head_n")
+@pytest.mark.parametrize("name", ["l2_head_n", "w7_sample_n"])
+def test_first_rows_are_not_merged_in_one_task(spark, name):
+    text = plan(spark, name)
+    assert "TakeOrderedAndProject" not in text and "CollectLimit" not in text and "GlobalLimit" not in text
 
 
 def test_cell_statistics_have_one_wide_exchange(spark):
