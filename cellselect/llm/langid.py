@@ -72,9 +72,17 @@ def _grams(points: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np
     return W.mix(h[word, col] + np.uint64(n * 0xA24BAED4963EE407 % 2**64)), word
 
 
-def _pieces(at: np.ndarray, size: int):
-    for i in range(0, len(at), size):
-        yield at[i:i + size]
+def _pieces(words: W.Words, at: np.ndarray, todo: np.ndarray, cells: int = 400_000):
+    """Runs of ``todo`` (places in ``at``) of like word length, so that a run's matrix of characters stays
+    at about ``cells`` whatever the longest word."""
+    size = words.end[at[todo]] - words.start[at[todo]] + 2
+    order = np.argsort(size, kind="stable")
+    todo, size = todo[order], size[order]
+    row = 0
+    while row < len(todo):
+        stop = row + 1 + int(np.searchsorted(size[row + 1:] * np.arange(2, len(todo) - row + 1), cells, "right"))
+        yield todo[row:stop]
+        row = stop
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -90,7 +98,7 @@ def _counts(docs: DataFrame) -> DataFrame:
                     mine = np.flatnonzero(langs[row:stop][doc] == lang)
                     keys, at, n = np.unique(words.hash[mine], return_index=True, return_counts=True)
                     found = [(0, keys, n)]
-                    for part in _pieces(np.arange(len(keys)), 20_000):
+                    for part in _pieces(words, mine[at], np.arange(len(keys))):
                         points, size = _spell(words, mine[at[part]])
                         for length in LENGTHS:
                             h, word = _grams(points, size, length)
@@ -124,7 +132,7 @@ class Model:
         scores = np.zeros((len(keys), len(self.langs)), np.float32)
         place, known = self.find(0, keys)
         scores[known] = self.logs[0][place[known]]
-        for todo in _pieces(np.flatnonzero(~known), 20_000):
+        for todo in _pieces(words, at, np.flatnonzero(~known)):
             points, size = _spell(words, at[todo])
             for length in LENGTHS:
                 h, word = _grams(points, size, length)

@@ -239,7 +239,7 @@ def _rest_blocks(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4, lower: bool = True,
-                     chunk_words: int = 1_500_000, block: int = 256, width: int = 5) -> DataFrame:
+                     chunk_words: int = 1_000_000, block: int = 256, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) per distinct doc_id of ``docs`` (doc_id, text).
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets of distinct ``n``-word

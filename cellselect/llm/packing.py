@@ -22,7 +22,7 @@ from cellselect.llm import words as W
 from cellselect.session import shared_dir
 
 #: Ids kept per worker for words seen before; the cache starts anew beyond it.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 3_000_000
 _ENCODERS: dict = {}
 
 

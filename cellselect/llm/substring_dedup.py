@@ -146,7 +146,7 @@ def _sender(i: int, last: bool, lengths: list[int], buckets: int, lower: bool, w
     return send
 
 
-def drop_repeats(docs: DataFrame, window: int = 13, lower: bool = False, chunk_words: int = 1_500_000,
+def drop_repeats(docs: DataFrame, window: int = 13, lower: bool = False, chunk_words: int = 1_000_000,
                  width: int = 5) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) per distinct doc_id.
 

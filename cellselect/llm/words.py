@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C1B
 _WORD_BASE = 0xD1B54A32D192ED0B
 #: Bytes of text handled at once: keeps the working arrays in tens of MB whatever the batch holds.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def _powers(base: int, n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:
