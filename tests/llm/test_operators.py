@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+from llm_fixtures import documents, edge, empty  # noqa: E402, F401
 
 PUBLIC = "word_bpe_49k.json"
 

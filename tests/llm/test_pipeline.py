@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+from llm_fixtures import documents, edge, empty  # noqa: E402, F401
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
