@@ -31,11 +31,13 @@ def anchors(text: Column, width: int = 3) -> Column:
     inner, k = 2 ** width, 2 ** width + 1
     ahead = lambda x, n: F.slice(x, F.lit(n + 1), F.size(x))
 
+    def doubled(least, n):
+        return _let(least, lambda m: F.zip_with(m, ahead(m, n), lambda a, b: F.least(a, b)))
+
     def pick(h, smers):
         least = smers
         for step in range(width):  # minimum of 1, 2, 4 ... s-mers from each place on
-            least = F.zip_with(least, ahead(least, 2 ** step), lambda a, b: F.least(a, b)) if step == 0 else _let(
-                least, lambda m, n=2 ** step: F.zip_with(m, ahead(m, n), lambda a, b: F.least(a, b)))
+            least = doubled(least, 2 ** step)
         return _let(least, lambda m: F.transform(
             F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: (m[i] == smers[i]) | (m[i] == smers[i + (inner - 1)])),
             lambda i: F.struct(low(F.xxhash64(F.slice(h, i + 1, F.lit(k)))).alias("hash"), i.alias("at"))))
