@@ -4,11 +4,13 @@ Counts of words and word pairs are taken over all training rows, quantised to po
 n-gram of level q enters the filter q times, as (n-gram, 1) .. (n-gram, q). A reader probes level
 after level until one is missing: frequent n-grams need more probes, rare ones one. The filter is cut
 by hash range into parts, one per counting task, and its total size is bounded by ``filter_bits``:
-where the n-grams do not fit, the rarest levels are left out, never rows. The whole filter is
-broadcast; scores come from interpolated probabilities of pairs and words.
+where the n-grams do not fit, a part holds the frequent levels only, and the level of every rarer
+n-gram goes back to the chunks that ask for it. No counted n-gram is missing from a score. The whole
+filter is broadcast; scores come from interpolated probabilities of pairs and words.
 
-Counting works on chunks (see ``chunks``): a chunk sends each distinct word once, with its training
-count, and learns the exact total; pairs travel as 5-byte short hashes.
+Counting works on chunks (see ``chunks``): a chunk sends each distinct word and pair once, with its
+training count (0 for those of held-out rows alone). Of words it learns the exact total, of pairs,
+which travel as 5-byte short hashes, the levels that their part has left out.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +112,15 @@ def build_part(keys: np.ndarray, count: np.ndarray, most_bits: int, bits_per_ite
     return np.int64(least).tobytes() + np.packbits(flags).tobytes()
 
 
+def least_level(part: bytes) -> int:
+    return int(np.frombuffer(part[:8], np.int64)[0])
+
+
+def below(part: bytes, q: np.ndarray) -> np.ndarray:
+    """How far a level lies below the lowest one of the part; 0: the part knows it."""
+    return np.maximum(least_level(part) - q, 0).astype(np.uint8)
+
+
 @dataclass
 class Filter:
     """Log-frequency Bloom filter in parts by hash range."""
@@ -119,8 +131,17 @@ class Filter:
     tokens: int
     distinct: int
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each 64-bit hash: the last of the levels found one after the other, 0 for none."""
+    def left_out(self, keys: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Codes of ``below`` for sorted keys of levels ``q``."""
+        cut = np.searchsorted(C.bucket_of(keys, self.buckets), np.arange(self.buckets + 1))
+        out = np.zeros(len(keys), np.uint8)
+        for b, part in self.parts.items():
+            out[cut[b]:cut[b + 1]] = below(part, q[cut[b]:cut[b + 1]])
+        return out
+
+    def levels(self, keys: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
+        """Level of each 64-bit hash: the last of the levels found one after the other, 0 for none;
+        where ``left_out`` (codes of ``below``) is not 0, the level it tells."""
         found = np.zeros(len(keys), np.int64)
         order = np.argsort(keys, kind="stable")
         cut = np.searchsorted(C.bucket_of(keys[order], self.buckets), np.arange(self.buckets + 1))
@@ -128,8 +149,10 @@ class Filter:
             mine = order[cut[b]:cut[b + 1]]
             if not len(mine):
                 continue
-            least, data = int(np.frombuffer(part[:8], np.int64)[0]), np.frombuffer(part, np.uint8, offset=8)
-            at = least
+            at, data = least_level(part), np.frombuffer(part, np.uint8, offset=8)
+            if left_out is not None:
+                found[mine] = np.where(left_out[mine] > 0, at - left_out[mine].astype(np.int64), 0)
+                mine = mine[left_out[mine] == 0]
             while len(mine):
                 spots = _places(keys[mine] & _SHORT, at, 8 * len(data), self.probes)
                 hit = np.ones(len(mine), bool)
@@ -142,14 +165,16 @@ class Filter:
 
 
 def _gather(text: DataFrame, buckets: int, most_bits: int, bits_per_item: int, probes: int) -> DataFrame:
-    """Per chunk and bucket the exact word totals, per bucket the filter part and the sums."""
+    """Per chunk and bucket the exact word totals and, where the part has left out levels, the codes of
+    the pairs; per bucket the filter part and the sums."""
 
     def send(key, table):
         tokens = _Tokens.of(table)
         train = ~tokens.held[tokens.row]
         words, at = np.unique(tokens.token, return_inverse=True)
         counts = np.bincount(at, weights=train, minlength=len(words))
-        pairs, n = np.unique(tokens.pair[train], return_counts=True)
+        pairs, at = np.unique(tokens.pair, return_inverse=True)
+        n = np.bincount(at, weights=train, minlength=len(pairs))
         return pa.concat_tables([_post(key[0].as_py(), WORDS, words, counts, buckets), _post(key[0].as_py(), PAIRS, pairs, n, buckets)])
 
     def merge(key, table):
@@ -157,16 +182,19 @@ def _gather(text: DataFrame, buckets: int, most_bits: int, bits_per_item: int, p
         sizes, order, starts, group, total = _count(table, 8 if kind == WORDS else 5)
         if kind == WORDS:
             keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])[order[starts]] & _SHORT
-            out = np.empty(len(order), np.int64)
-            out[order] = total[group]
-            pack = zstandard.ZstdCompressor(level=1)
-            replies = [pack.compress(x.tobytes()) for x in np.split(out, np.cumsum(sizes)[:-1])]
-            chunk = table["chunk"].to_pylist()
         else:
             raw = np.zeros((len(order), 8), np.uint8)
             raw[:, :5] = np.concatenate([np.frombuffer(x, np.uint8) for x in table["keys"].to_pylist()]).reshape(-1, 5)
-            keys, replies, chunk = raw.view(np.uint64).ravel()[order[starts]], [], []
+            keys = raw.view(np.uint64).ravel()[order[starts]]
         part = build_part(keys, total, most_bits // (2 * buckets), bits_per_item, probes)
+        replies, chunk = [], []
+        if kind == WORDS or least_level(part) > 1:
+            told = total if kind == WORDS else below(part, level(total))
+            out = np.empty(len(order), told.dtype)
+            out[order] = told[group]
+            pack = zstandard.ZstdCompressor(level=1)
+            replies = [pack.compress(x.tobytes()) for x in np.split(out, np.cumsum(sizes)[:-1])]
+            chunk = table["chunk"].to_pylist()
         rows = len(replies)
         return pa.table({
             "kind": pa.array([kind] * (rows + 1), pa.int32()), "chunk": pa.array([*chunk, -1], pa.int32()),
@@ -178,17 +206,10 @@ def _gather(text: DataFrame, buckets: int, most_bits: int, bits_per_item: int, p
     return postings.groupBy("kind", "bucket").applyInArrow(merge, _OUT)
 
 
-def _score(tokens: _Tokens, words: Filter, pairs: Filter, weight: float):
-    """log10 P(token | token before): interpolation of the pair's and the word's share, both from the
-    filter. A pair never counts more than the word before it."""
-    def each(values, f):
-        keys, at = np.unique(values, return_inverse=True)
-        return level_count(f.levels(keys))[at]
-
-    c1, c2 = each(tokens.token, words), each(tokens.pair, pairs)
-    before = np.r_[c1[-1:], c1[:-1]]
-    start = np.r_[True, tokens.row[1:] != tokens.row[:-1]]
-    before[start] = level_count(words.levels(np.array([_END])))[0]
+def _score(tokens: _Tokens, c1: np.ndarray, c2: np.ndarray, words: Filter, weight: float):
+    """log10 P(token | token before): interpolation of the pair's and the word's share, both from
+    levels. A pair never counts more than the word before it."""
+    before = np.r_[c1[-1:], c1[:-1]]  # the end of the document before stands where a document starts
     one = (c1 + 1) / (words.tokens + words.distinct + 1)
     two = np.where(before > 0, np.minimum(c2, before) / np.maximum(before, 1), 0.0)
     seen = before > 0
@@ -203,7 +224,8 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, weight: float = 0.6,
     Tokens: words with A-Z lowered, then one end. ``base_score`` uses exact add-one word shares,
     ``score`` the filter's. Null text is empty (its end is scored); a null doc_id counts as training
     text; repeated rows count and are scored as often as they occur; other columns are ignored. Without
-    training tokens every share is 1. The broadcast filter has at most about ``filter_bits`` bits.
+    training tokens every share is 1. The broadcast filter has at most about ``filter_bits`` bits;
+    n-grams that do not fit are scored by the levels sent to each chunk.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -222,11 +244,20 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, weight: float = 0.6,
     def rate(key, left, right):
         words, pairs = shared.value
         tokens = _Tokens.of(left)
-        keys, at = np.unique(tokens.token, return_inverse=True)
         unpack = zstandard.ZstdDecompressor()
-        count = C.read_reply(right["bucket"].to_pylist(), [unpack.decompress(x) for x in right["reply"].to_pylist()], keys, buckets, np.int64)[at]
+
+        def told(kind, keys, dtype):
+            mine = right.filter(pa.compute.equal(right["kind"], kind))
+            return C.read_reply(mine["bucket"].to_pylist(), [unpack.decompress(x) for x in mine["reply"].to_pylist()], keys, buckets, dtype)
+
+        keys, at = np.unique(tokens.token, return_inverse=True)
+        total_of = told(WORDS, keys, np.int64)
+        count = total_of[at]
         base = np.log10((count + 1) / (words.tokens + words.distinct + 1))
-        model = _score(tokens, words, pairs, weight) if len(keys) else base
+        c1 = level_count(words.levels(keys, words.left_out(keys, level(total_of))))[at]
+        keys, at = np.unique(tokens.pair, return_inverse=True)
+        c2 = level_count(pairs.levels(keys, told(PAIRS, keys, np.uint8)))[at]
+        model = _score(tokens, c1, c2, words, weight)
         rows = left.num_rows
         total = lambda w: np.bincount(tokens.row, weights=w, minlength=rows)
         return pa.table({
@@ -236,5 +267,5 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, weight: float = 0.6,
             "train_tokens": pa.array(np.full(rows, words.tokens), pa.int64()),
             "base_score": pa.array(total(base)), "score": pa.array(total(model))})
 
-    replies = gathered.where((F.col("kind") == WORDS) & (F.col("chunk") >= 0)).select("chunk", "bucket", "reply")
+    replies = gathered.where("chunk >= 0").select("chunk", "kind", "bucket", "reply")
     return text.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(rate, schema)

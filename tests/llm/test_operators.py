@@ -203,6 +203,24 @@ def test_lm_scores(edge, empty, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("filter_bits", [1 << 28, 1 << 14])
+def test_lm_scores_use_every_counted_ngram(documents, filter_bits):
+    """A filter too small for the rare levels gives the scores of the counts all the same."""
+    from cellselect.llm import bloom_lm as B
+    got = {r.doc_id: r.score for r in B.score(documents, filter_bits=filter_bits, bits_per_item=40, probes=8, chunk_words=2000).collect()}
+    tokens = {i: [None, *brute.words(t, True), None] for i, t in texts(documents)}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:]))
+    total = sum(one.values()) + len(one) + 1
+    count = lambda n: float(B.level_count(B.level(np.array([n])))[0])
+    for i, t in tokens.items():
+        want = 0.0
+        for a, b in zip(t, t[1:]):
+            before, single = count(one[a]), (count(one[b]) + 1) / total
+            want += math.log10(0.6 * min(count(two[a, b]), before) / before + 0.4 * single if before else single)
+        assert got[i] == pytest.approx(want, rel=1e-3)
+
+
 # --- 6 ------------------------------------------------------------------------------------------
 
 def test_mixing_meets_targets_and_reruns_agree(spark, documents):
