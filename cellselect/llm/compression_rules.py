@@ -14,18 +14,26 @@ from pyspark.sql import DataFrame
 
 from cellselect.llm import words as W
 
-#: (bytes from, least ratio, greatest ratio) of whole texts; compressed size over size in bytes.
-#: Below the first band the frame's own bytes decide the ratio, so nothing is asked there.
+#: (bytes from, least ratio, greatest ratio, greatest ratio of wide texts) of whole texts; compressed
+#: size over size in bytes. Below the first band the frame's own bytes decide the ratio, so nothing is
+#: asked there. The greatest ratios lie above the prose of four languages (at most 0.92, 0.75, 0.70,
+#: 0.59, 0.52, 0.48 and 0.43 in these bands) and from 256 bytes up below base64 and random letters and
+#: digits (0.71 or more at any length). Chinese prose has up to 0.81 at 800 bytes and 0.77 at 1100, so
+#: random ideographs (0.72 or more) can be told from it only in texts of 4 KB and more.
 BANDS = (
-    (128, 0.30, 1.10),
-    (256, 0.20, 1.00),
-    (512, 0.16, 0.95),
-    (1024, 0.12, 0.90),
-    (4096, 0.10, 0.85),
-    (16384, 0.08, 0.80),
+    (128, 0.30, 0.96, 1.10),
+    (256, 0.20, 0.80, 1.05),
+    (512, 0.16, 0.74, 0.95),
+    (1024, 0.12, 0.68, 0.85),
+    (2048, 0.12, 0.66, 0.76),
+    (4096, 0.10, 0.65, 0.70),
+    (16384, 0.08, 0.62, 0.67),
 )
-#: Limits of a chunk and the share of a text's chunks that may lie outside.
-CHUNK_LIMITS = (0.10, 0.95)
+#: Limits of a chunk, the last for wide texts, and the share of a text's chunks that may lie outside.
+CHUNK_LIMITS = (0.10, 0.68, 0.85)
+#: A text is wide from this share of characters of three or more bytes (Chinese, Japanese and others):
+#: such a character holds more than a Latin letter, and few of them come twice in a short text.
+WIDE_SHARE = 0.2
 CHUNK_SHARE = 0.25
 
 _SYMBOL = np.zeros(256, bool)
@@ -67,7 +75,8 @@ def _lines(data: np.ndarray, offsets: np.ndarray, words: W.Words) -> np.ndarray:
 
 def measure(data: np.ndarray, offsets: np.ndarray, repeat_words: int = 8, chunk: int = 4096, level: int = 3,
             bands=BANDS, chunk_limits=CHUNK_LIMITS, chunk_share: float = CHUNK_SHARE) -> list[np.ndarray]:
-    """Columns of ``_COLUMNS`` for one block of texts."""
+    """Columns of ``_COLUMNS`` for one block of texts. A band or chunk limit without a value of its own
+    for wide texts holds for them as well."""
     words = W.split(data, offsets, False)
     n = words.counts
     inside = np.zeros(len(data) + 1, np.int64)
@@ -82,6 +91,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, repeat_words: int = 8, chunk:
     step[at + repeat_words] -= 1
     repeated = _per_doc(np.cumsum(step)[:len(words.start)] > 0, words.first)
     failed = (n < 20) | (100 * repeated > 30 * n)
+    wide = _per_doc(data >= 0xE0, offsets) >= WIDE_SHARE * np.maximum(_per_doc((data & 0xC0) != 0x80, offsets), 1)
     packer = zstandard.ZstdCompressor(level=level)
     raw = memoryview(data.tobytes())
     ratio, odd, kept = np.zeros(len(n)), np.zeros(len(n)), ~failed
@@ -92,10 +102,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, repeat_words: int = 8, chunk:
         ratio[i] = len(packer.compress(text)) / len(text)
         parts = [text[a:a + chunk] for a in range(0, len(text), chunk)]
         parts = [p for p in parts if 4 * len(p) >= chunk]
-        bad = sum(not chunk_limits[0] <= len(packer.compress(p)) / len(p) <= chunk_limits[1] for p in parts)
+        most = -1 if wide[i] else 1
+        bad = sum(not chunk_limits[0] <= len(packer.compress(p)) / len(p) <= chunk_limits[most] for p in parts)
         odd[i] = bad / len(parts) if parts else 0.0
         limits = [b for b in bands if len(text) >= b[0]]
-        if limits and not limits[-1][1] <= ratio[i] <= limits[-1][2] or odd[i] > chunk_share:
+        most = -1 if wide[i] else 2
+        if limits and not limits[-1][1] <= ratio[i] <= limits[-1][most] or odd[i] > chunk_share:
             kept[i] = False
     return [n, chars, _per_doc(_SYMBOL[data], offsets), _lines(data, offsets, words), repeated, failed,
             np.diff(offsets), ratio, odd, kept]

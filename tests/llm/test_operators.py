@@ -318,6 +318,40 @@ def test_compression_verdicts(spark, empty):
     assert compression_rules(empty).count() == 0
 
 
+CHINESE = (
+    "今天早上下了一场小雨，街上的行人不多，只有几个学生撑着伞往学校走。我在路口的小店里买了一杯热豆浆和两个包子，坐在窗边慢慢地吃。"
+    "店主是一位六十多岁的老人，他告诉我这家店已经开了三十年，最早的时候只卖油条，后来孩子们长大了，才加上了面条和馄饨。"
+    "他说做生意最要紧的是诚实，材料要新鲜，价钱要公道，客人吃得放心，明天自然还会再来。吃完早饭，雨也停了，我沿着河边走到图书馆，"
+    "打算查一些关于古代水利工程的资料。馆里很安静，书架上摆满了各个朝代的地方志，我翻开其中一本，里面详细记载了当地修建堤坝的经过，"
+    "包括用了多少工人、花了多少银两，以及完工以后粮食产量的变化。中午的时候，一位研究历史的朋友打来电话，约我下午一起去看新发现的石碑。"
+    "石碑立在村子东边的山坡上，字迹虽然模糊，但仍可以认出年号和几个人名。我们拍了照片，又向村里的长辈请教，才知道这里从前有一座书院，"
+    "许多读书人曾在此讲学。傍晚回家的路上，天边出现了一道彩虹，孩子们高兴得又跳又叫，我也觉得这一天过得很有意思。")
+
+
+def test_compression_production_limits(spark, documents):
+    """The limits as registered: random text of any alphabet goes, prose stays."""
+    import base64
+    import string
+
+    from cellselect.llm.compression_rules import compression_rules
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 40)) for _ in range(200))
+    some = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n // 5))[:n]
+    bad = [noise]
+    for n in (700, 2000, 6000, 20000):
+        bad += [base64.encodebytes(rng.bytes(max(n, 2000))).decode()[:max(n, 2000)], some(string.ascii_letters + string.digits + string.punctuation, n),
+                some(string.ascii_letters + string.digits, n)]
+    bad.append(some(string.ascii_lowercase[:9], 9000) + " " + base64.encodebytes(rng.bytes(6000)).decode())  # a third is base64
+    spaced = " ".join(CHINESE[i:i + 9] for i in range(0, len(CHINESE), 9))  # twenty words or more, as the base rules ask
+    good = [spaced[:n] for n in (220, 280, 400, len(spaced))]
+    rows = [(i, t) for i, t in enumerate(bad)] + [(100 + i, t) for i, t in enumerate(good)]
+    got = {r.doc_id: r for r in compression_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in got if got[i].kept] == [100 + i for i in range(len(good))]
+    prose = compression_rules(documents.where("lang is not null")).where("not base_failed and n_bytes >= 128 and ratio > 0.35").collect()
+    assert len(prose) > 100 and all(r.kept for r in prose)
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 def test_syncmers_are_context_free(spark):
