@@ -285,6 +285,23 @@ def test_kneser_ney_sums_to_one_and_separates(spark):
             assert p == pytest.approx(1, abs=1e-4)
 
 
+def test_kneser_ney_knows_every_word_and_uses_every_trusted_row(spark):
+    """A small language's words, each seen twice, count beside 70,000 frequent ones of another; trusted
+    rows above the sample set thresholds."""
+    from cellselect.llm import kn_quality as Q
+    big = [(i, " ".join(f"w{j}" for j in range(i % 100 * 700, i % 100 * 700 + 700)), "aa") for i in range(600)]
+    small = [(1000 + i, f"dies ist ein kleiner satz nummer{i // 20}", "zz") for i in range(200)]
+    odd = [(2000, "klein zq xq yq vq uq", "zz")]
+    docs = spark.createDataFrame([*big, *small, *odd], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d[0], 1, 0) for d in [*big, *small]], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in Q.quality(docs, labels).collect()}
+    mean = lambda lang: np.mean([math.log10(r.perplexity) for r in out.values() if r.lang == lang and r.doc_id < 2000])
+    assert mean("zz") < 1 and mean("aa") < 1 and not out[2000].kept
+    few = {r.doc_id: r for r in Q.quality(docs.where("lang = 'zz'"), labels, docs_per_lang=20, quantile=1.0).collect()}
+    worst = max(r.perplexity for i, r in few.items() if i < 2000)
+    assert few[1000].threshold == pytest.approx(worst, rel=0.01)
+
+
 def test_kn_without_trusted_rows(edge, empty, spark):
     from cellselect.llm.kn_quality import quality
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
