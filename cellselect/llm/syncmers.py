@@ -15,6 +15,10 @@ from cellselect.operators.scale import global_rank
 from cellselect.session import shared_dir
 
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Characters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, ideographs): words of their own.
+_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u312F\u31A0-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
+#: Texts of fewer words have anchors over characters too (k-mers of ``2**_CHAR_WIDTH + 1``).
+_SHORT, _CHAR_WIDTH = 60, 2
 
 
 def _let(value: Column, body) -> Column:
@@ -25,28 +29,35 @@ def _let(value: Column, body) -> Column:
 def anchors(text: Column, width: int = 3) -> Column:
     """array<struct<hash:int, at:int>> of the closed syncmers of ``text`` in order; ``at`` is the word
     position. A k-mer of ``2**width + 1`` words is an anchor when the smallest of its ``2**width``
-    two-word s-mers is the first or the last. Hashes have 24 bits. A text without an anchor is its own
-    single anchor at -1 (the plain text hashed)."""
+    two-word s-mers is the first or the last. Hashes have 24 bits. In scripts without spaces each
+    character is a word. A text under 60 words also has, after those, the anchors of its 5-character
+    k-mers (``at``: character position). A text without an anchor is its own single anchor at -1 (the
+    plain text hashed)."""
     low = lambda h: F.shiftrightunsigned(h, 40).cast("int")
-    inner, k = 2 ** width, 2 ** width + 1
     ahead = lambda x, n: F.slice(x, F.lit(n + 1), F.size(x))
+    alone = F.array(F.struct(low(F.xxhash64(text)).alias("hash"), F.lit(-1).alias("at")))
+    pairs = lambda h: F.zip_with(h, ahead(h, 1), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
 
     def doubled(least, n):
         return _let(least, lambda m: F.zip_with(m, ahead(m, n), lambda a, b: F.least(a, b)))
 
-    def pick(h, smers):
-        least = smers
+    def pick(h, smers, width):
+        inner, k, least = 2 ** width, 2 ** width + 1, smers
         for step in range(width):  # minimum of 1, 2, 4 ... s-mers from each place on
             least = doubled(least, 2 ** step)
         return _let(least, lambda m: F.transform(
             F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: (m[i] == smers[i]) | (m[i] == smers[i + (inner - 1)])),
             lambda i: F.struct(low(F.xxhash64(F.slice(h, i + 1, F.lit(k)))).alias("hash"), i.alias("at"))))
 
-    words = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), _SPACE), lambda w: F.xxhash64(w))
-    alone = F.array(F.struct(low(F.xxhash64(text)).alias("hash"), F.lit(-1).alias("at")))
-    pairs = lambda h: F.zip_with(h, ahead(h, 1), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
-    return _let(words, lambda h: F.when(F.size(h) < k, alone).otherwise(
-        _let(_let(pairs(h), lambda m: pick(h, m)), lambda a: F.when(F.size(a) > 0, a).otherwise(alone))))
+    def found(h, width):
+        return F.when(F.size(h) <= 2 ** width, F.slice(alone, 1, 0)).otherwise(_let(pairs(h), lambda m: pick(h, m, width)))
+
+    spaced = F.regexp_replace(text, _UNSPACED, " $1 ")
+    words = F.transform(F.split(F.btrim(spaced, F.lit(" \t\n\x0b\x0c\r")), _SPACE), lambda w: F.xxhash64(w))
+    chars = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    return _let(words, lambda h: _let(
+        F.when(F.size(h) < _SHORT, F.concat(found(h, width), _let(chars, lambda c: found(c, _CHAR_WIDTH)))).otherwise(found(h, width)),
+        lambda a: F.when(F.size(a) > 0, a).otherwise(alone)))
 
 
 def hashes(text: Column, width: int = 3) -> Column:

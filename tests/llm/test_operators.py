@@ -411,6 +411,17 @@ def test_fingerprints_empty_and_positions(spark, empty):
     assert (best.a, best.b, best["shift"]) == (1, 9, 4)
 
 
+def test_short_and_unspaced_texts_are_near_their_edits(spark):
+    from cellselect.llm.syncmers import fingerprints_and_edits
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9)))
+    rows = [" ".join(word() for _ in range(n)) for n in (4, 6, 8, 9, 12, 17, 18, 25, 40, 59, 61, 80)]
+    rows += ["".join(chr(c) for c in rng.integers(a, b, n)) for a, b in ((0x4E00, 0x9000), (0x3041, 0x3090), (0x0E01, 0x0E2F)) for n in (30, 300, 2000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in fingerprints_and_edits(df).collect():
+        assert r.near_edited > 0 and r.near_edited > r.near_next, r
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 def test_language_held_out_accuracy(documents):
