@@ -113,6 +113,13 @@ def op7(spark, table):
     return quality(table("documents"), table("labels"))
 
 
+@query("op11_toxicity")
+def op11(spark, table):
+    """Toxicity of every document by two Kneser-Ney models with shared backoff counts."""
+    from cellselect.llm.toxicity import toxicity
+    return toxicity(table("documents"), table("labels"))
+
+
 def _pipeline() -> None:
     import corpus_pipeline
     QUERIES["pipeline"] = corpus_pipeline.run
