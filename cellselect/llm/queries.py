@@ -120,6 +120,13 @@ def op11(spark, table):
     return toxicity(table("documents"), table("labels"))
 
 
+@query("op13_collocations")
+def op13(spark, table):
+    """Each language's 2,000 best collocations of two to five words."""
+    from cellselect.llm.phrases import collocations
+    return collocations(table("documents"), least=100, top=2000)
+
+
 def _pipeline() -> None:
     import corpus_pipeline
     QUERIES["pipeline"] = corpus_pipeline.run
