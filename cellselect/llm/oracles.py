@@ -53,17 +53,18 @@ OP13_COLLOCATIONS = f"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
 q AS (SELECT id, lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM q),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (
         SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
         FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k) GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 100),
+g AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k > 1),
 o AS (SELECT lang, a, unnest([array_to_string(w[1:size - 1], ' '), array_to_string(w[2:size], ' ')]) AS phrase FROM c WHERE size > 2),
 s AS (SELECT c.lang, c.phrase, c.a, j.k, l.f AS l, r.f AS r, n.n,
              CAST((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
       FROM c JOIN (SELECT unnest([1, 2, 3, 4]) AS k) j ON j.k < c.size
-      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j.k], ' ')
-      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.k + 1:], ' ')
+      JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j.k], ' ')
+      JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.k + 1:], ' ')
       JOIN n ON n.lang = c.lang
       WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = c.lang AND o.phrase = c.phrase AND o.a = c.a)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
