@@ -71,3 +71,35 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM b QUALIFY rank <= 2000
 """
+
+# crc32 is folded over the digits of an id with the table of its 256 bytes, built bit by bit.
+OP12_PREFIX_TRIE = """
+WITH RECURSIVE bits(i, k, v) AS (
+    SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i)
+    UNION ALL SELECT i, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+             coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS head,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+                               lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295::BIGINT) % 6 AS h
+        FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM (
+        SELECT ids.conv_id, 0 AS part, pos, role, text FROM ids JOIN t ON t.conv_id = ids.head AND t.pos <= ids.h
+        UNION ALL SELECT ids.conv_id, 1, pos, role, text FROM ids JOIN t ON t.conv_id = ids.conv_id AND t.pos > ids.h)),
+p AS (SELECT conv_id, depth, length(text) AS chars, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS seq FROM r
+      UNION ALL SELECT conv_id, 0, 0, [] FROM ids),
+m AS MATERIALIZED (SELECT conv_id, depth, chars, min(conv_id) OVER (PARTITION BY depth, seq) AS node,
+                          depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS MATERIALIZED (SELECT node, depth, count(*) AS n_convs, any_value(chars) AS chars,
+                          sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+                   FROM m GROUP BY node, depth),
+par AS (SELECT n.node, n.depth, m.node AS parent FROM n JOIN m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS c FROM par GROUP BY ALL),
+sub AS (SELECT m.node, m.depth, sum(CASE WHEN k.c IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+        FROM n LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth JOIN m ON m.conv_id = n.node AND m.depth <= n.depth GROUP BY ALL)
+SELECT n.node AS conv_id, n.depth, par.parent AS parent_conv_id, n.n_convs, CAST(coalesce(kids.c, 0) AS BIGINT) AS n_children,
+       CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN sub ON sub.node = n.node AND sub.depth = n.depth
+LEFT JOIN par ON par.node = n.node AND par.depth = n.depth LEFT JOIN kids ON kids.node = n.node AND kids.depth = n.depth
+"""

@@ -120,6 +120,13 @@ def op11(spark, table):
     return toxicity(table("documents"), table("labels"))
 
 
+@query("op12_prefix_trie")
+def op12(spark, table):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    from cellselect.llm.prefix_trie import prefix_trie
+    return prefix_trie(table("conversations"))
+
+
 @query("op13_collocations")
 def op13(spark, table):
     """Each language's 2,000 best collocations of two to five words."""
