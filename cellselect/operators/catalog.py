@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
+from cellselect.operators.groups import components
 from cellselect.operators.scale import first_n
 
 
@@ -94,9 +95,10 @@ def timeline_edges(df: DataFrame, anchor: str, historical: str) -> DataFrame:
 
 
 def location_groups(samples: DataFrame, edges: DataFrame, key: str, anchor: str, sibling: str) -> DataFrame:
-    """Group key of a location: the anchor of a sibling, the own key otherwise."""
-    e = edges.groupBy(F.col(sibling).alias(key)).agg(F.min(anchor).alias("_a"))
-    return samples.join(e, key, "left").withColumn("location", F.coalesce("_a", F.col(key))).drop("_a")
+    """Group key of a location: the least key among all samples that timelines link, over any number of
+    links; the own key without any."""
+    groups = components(edges, anchor, sibling).select(F.col("id").alias(key), F.col("component").alias("_a"))
+    return samples.join(groups, key, "left").withColumn("location", F.coalesce("_a", F.col(key))).drop("_a")
 
 
 def run_ledger(events: DataFrame) -> DataFrame:

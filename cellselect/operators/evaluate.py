@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cellselect.functions import constants as K
 from cellselect.functions import geo
 from cellselect.operators import scores as R
-from cellselect.operators.scale import exact_percentiles
+from cellselect.operators.scale import bracketed_percentiles, exact_percentiles
+from cellselect.session import shared_dir
 
 
 def within_name(km: float) -> str:
@@ -61,6 +62,58 @@ def merge_metrics(batches: DataFrame, by: Sequence[str] = ("metric",)) -> DataFr
             .withColumn("acc", F.col("correct") / F.greatest(F.col("n"), F.lit(1))))
 
 
+#: Bins of a state per doubling of 1 + distance.
+STATE_BINS = 64
+
+
+def distance_states(rows: DataFrame, by: Sequence[str], value: str = "distance_km",
+                    thresholds: Sequence[float] = K.WITHIN_KM) -> DataFrame:
+    """Mergeable state of distances per group, one row per occupied bin: (by, bin, n, total, within…).
+
+    Bins are logarithmic (``STATE_BINS`` a doubling), so a state has some 900 rows up to half the globe.
+    States of any batches add up (``merge_states``); with the batch among ``by`` they can be written next to
+    the batch's list and merged later without reading the lists.
+    """
+    rows = rows.where(F.col(value).isNotNull()).withColumn("bin", _bin(value))
+    return rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"),
+                                        *[F.count_if(F.col(value) < t).alias(within_name(t)) for t in thresholds])
+
+
+def _bin(value: str) -> Column:
+    return F.floor(F.log2(F.col(value) + 1) * STATE_BINS).cast("long")
+
+
+def merge_states(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """States of several batches as one per group."""
+    sums = [c for c in states.columns if c == "n" or c == "total" or c.startswith("within_")]
+    return states.groupBy(*by, "bin").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def summary_of_states(states: DataFrame, rows: DataFrame, by: Sequence[str] = (), value: str = "distance_km") -> DataFrame:
+    """The summary of ``distance_summary`` from merged states; ``rows`` are the batches' distances, of which only
+    those in the bins that hold a wanted rank are looked at, to make the percentiles exact."""
+    by = list(by)
+    if not by:
+        out = summary_of_states(states.withColumn("_all", F.lit(1)), rows.withColumn("_all", F.lit(1)), ["_all"], value)
+        return out.drop("_all")
+    shared_dir(states.sparkSession)
+    states = merge_states(states, by).checkpoint()
+    shares = [c for c in states.columns if c.startswith("within_")]
+    plain = states.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_km"),
+                                    *[(F.sum(c) / F.sum("n")).alias(c) for c in shares])
+    cuts = bracketed_percentiles(states.select(*by, "bin", "n"), rows.where(F.col(value).isNotNull()).withColumn("bin", _bin(value)),
+                                 value, {"p10_km": 0.1, "median_km": 0.5, "p90_km": 0.9}, by)
+    return plain.join(cuts, by)
+
+
+def merge_batches(batches: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
+    """Batch rows (by, correct, n, distances as an array) → totals, accuracy and the distance summary of all
+    batches' lists together, n being the labelled rows and n_distances the distances."""
+    rows = batches.select(*by, F.explode("distances").alias("distance_km"))
+    summary = summary_of_states(distance_states(rows, by), rows, by).withColumnRenamed("n", "n_distances")
+    return merge_metrics(batches, by).join(summary, list(by), "left")
+
+
 def distances(points: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, lat, lng) against the truth: distance_km."""
     t = truth.select("query_id", F.col("lat").alias("_tlat"), F.col("lng").alias("_tlng"))

@@ -133,6 +133,36 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     return out.drop("_all") if one else out
 
 
+def bracketed_percentiles(hist: DataFrame, rows: DataFrame, value: str, probs: dict[str, float], by: Sequence[str],
+                          parts: int = 4096) -> DataFrame:
+    """As ``exact_percentiles``, from a histogram (by, bin, n) that exists already and grows with the value;
+    ``rows`` have its bin. Only rows in the bins that hold a wanted rank are read on: they are counted in
+    ``parts`` slices of their bin's range, and by value in the slices that hold a rank."""
+    by = list(by)
+    total = hist.groupBy(*by).agg(F.sum("n").alias("_n"))
+    spots = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos")) for n, p in probs.items()])
+    wanted = total.select(*by, F.explode(spots).alias("_s")).select(*by, "_s.name", "_s.pos")
+    ranks = (wanted.select(*by, F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("_rank")).distinct().withColumn("_rem", F.col("_rank")))
+    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = hist.select(*by, "bin", (F.sum("n").over(upto) - F.col("n")).alias("_start"), F.sum("n").over(upto).alias("_end"))
+    ranks = (ranks.join(bins, by).where((F.col("_rem") >= F.col("_start")) & (F.col("_rem") < F.col("_end")))
+             .withColumn("_rem", F.col("_rem") - F.col("_start")).drop("_start", "_end"))
+    path = [*by, "bin"]
+    inside = rows.select(*path, F.col(value).cast("double").alias("_v")).join(ranks.select(*path).distinct(), path, "left_semi").checkpoint()
+    span = inside.groupBy(*path).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    inside = inside.join(span, path).withColumn("_slice", F.when(F.col("_hi") > F.col("_lo"), F.floor(
+        (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)).otherwise(0)).drop("_lo", "_hi")
+    ranks = _descend(inside, path, "_slice", ranks)
+    path.append("_slice")
+    inside = inside.join(ranks.select(*path).distinct(), path, "left_semi")
+    values = _descend(inside, path, "_v", ranks).select(*by, "_rank", "_v")
+    out = (wanted.withColumn("_rl", F.floor("pos")).withColumn("_rh", F.ceil("pos"))
+           .join(values.select(*by, F.col("_rank").alias("_rl"), F.col("_v").alias("_low")), by + ["_rl"])
+           .join(values.select(*by, F.col("_rank").alias("_rh"), F.col("_v").alias("_high")), by + ["_rh"])
+           .withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("pos") - F.col("_rl"))))
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in probs])
+
+
 def _descend(data: DataFrame, path: Sequence[str], col: str, ranks: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*path).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (data.groupBy(*path, col).agg(F.count(F.lit(1)).alias("_c"))

@@ -105,13 +105,24 @@ def j18(t):
     return O.timeline_edges(o.join(first, "o_custkey").select("anchor", h.alias("h")), "anchor", "h")
 
 
+_LOC = "min(s.sample_key) OVER (PARTITION BY cust_key - CASE WHEN cust_key % 3 = 1 THEN 1 ELSE 0 END)"
+
+
 @query("j19_location_split", f"""
-SELECT s.sample_key, location, CASE WHEN u < 0.1 THEN 'test' WHEN u < 0.3 THEN 'val' ELSE 'train' END AS split FROM (
-  SELECT s.sample_key, coalesce(anchor_key, s.sample_key) AS location,
-         {sha_uniform('cast(coalesce(anchor_key, s.sample_key) AS varchar)', "'loc'")} AS u
-  FROM samples s LEFT JOIN timeline ON sibling_key = s.sample_key) s""", "samples timeline")
+SELECT sample_key, location, CASE WHEN u < 0.1 THEN 'test' WHEN u < 0.3 THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT sample_key, location, {sha_uniform('cast(location AS varchar)', "'loc'")} AS u
+  FROM (SELECT s.sample_key, {_LOC} AS location FROM samples s))""", "samples")
 def j19(t):
-    g = O.location_groups(t.samples.select("sample_key"), t.timeline, "sample_key", "anchor_key", "sibling_key")
+    """Timelines that name only their next entry: each order its customer's next order, and the last order of
+    every third customer the first one of the next customer, so locations are chains over two customers."""
+    from pyspark.sql import Window
+    s = t.samples.select("sample_key", "cust_key")
+    after = F.lead("sample_key").over(Window.partitionBy("cust_key").orderBy("sample_key"))
+    steps = s.withColumn("next_key", after).where("next_key IS NOT NULL").select("sample_key", "next_key")
+    ends = s.groupBy("cust_key").agg(F.min("sample_key").alias("first"), F.max("sample_key").alias("last"))
+    over = ends.where("cust_key % 3 = 0").select((F.col("cust_key") + 1).alias("cust_key"), F.col("last").alias("sample_key")).join(
+        ends.select("cust_key", F.col("first").alias("next_key")), "cust_key").select("sample_key", "next_key")
+    g = O.location_groups(s.select("sample_key"), steps.unionByName(over), "sample_key", "sample_key", "next_key")
     u = X.hash_uniform(F.col("location").cast("string"), F.lit("loc"))
     return g.select("sample_key", "location", X.split_label(u, 0.2, 0.1).alias("split"))
 

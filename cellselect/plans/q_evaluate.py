@@ -61,6 +61,24 @@ def a17(t):
     return _round(E.merge_metrics(b), "acc")
 
 
+_L6 = f"SELECT s.sample_key, country_code, {_NEAR} AS d FROM long_cells s JOIN cell_stats n USING (level, cell) WHERE level = 6 AND country_code IS NOT NULL"
+
+
+@query("a17_merge_distances", f"""
+SELECT country_code AS metric, cast(count(*) FILTER (d < 25) AS bigint) AS correct, count(*) AS n, round(count(*) FILTER (d < 25) / count(*), 6) AS acc,
+       count(*) AS n_distances, round(avg(d), 6) AS mean_km, {_CUTS}, {_WITHIN} FROM ({_L6}) GROUP BY country_code""", "long_cells cell_stats")
+def a17_distances(t):
+    """Batches are the customers' samples, each with its count within 25 km and its list of distances."""
+    from cellselect.functions import geo
+    from cellselect.operators import cells as C
+    stats = C.cell_stats(t.s2_samples, levels=[6])
+    rows = C.explode_levels(t.s2_samples.where("country_code IS NOT NULL"), ["cust_key", "country_code", "lat", "lng"], [6]).join(stats, ["level", "cell"])
+    d = rows.select("cust_key", F.col("country_code").alias("metric"), geo.haversine_km("lat", "lng", "centroid_lat", "centroid_lng").alias("d"))
+    batches = d.groupBy("cust_key", "metric").agg(F.count_if(F.col("d") < 25).alias("correct"), F.count(F.lit(1)).alias("n"), F.collect_list("d").alias("distances"))
+    out = E.merge_batches(batches)
+    return _round(out, *[c for c in out.columns if c not in ("metric", "correct", "n", "n_distances")])
+
+
 def _at(name):
     return f"max(CASE WHEN event = '{name}' THEN epoch_us(ts) END)"
 

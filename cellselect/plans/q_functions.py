@@ -10,6 +10,7 @@ from cellselect.functions import geo
 from cellselect.functions import text as T
 from cellselect.operators import catalog as O
 from cellselect.plans.registry import query
+from cellselect.plans.blake2b import blake2b_sql
 from cellselect.plans.views import hav, sha_uniform, tile
 
 
@@ -85,7 +86,9 @@ def e9(t):
     return t.samples.select("sample_key", X.split_label(X.hash_uniform("pano_id", "country_code")).alias("split"))
 
 
-@query("p3_blake2b_uniform")
+@query("p3_blake2b_uniform", f"""WITH {blake2b_sql("SELECT sample_key AS id, coalesce(country_code, '_unk') || ':' || pano_id AS s FROM samples")}
+SELECT sample_key, u, CASE WHEN u < 0.02 THEN 'test' WHEN u < 0.05 THEN 'val' ELSE 'train' END AS split
+FROM (SELECT id AS sample_key, cast(h AS double) / 18446744073709551616.0 AS u FROM blake)""", "samples")
 def p3(t):
     u = X.hash_uniform("pano_id", "country_code", "blake2b")
     return t.samples.select("sample_key", u.alias("u")).withColumn("split", X.split_label("u"))

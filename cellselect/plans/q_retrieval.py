@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
+from cellselect.operators import approximate as V2
 from cellselect.operators import retrieval as V
 from cellselect.operators import scores as R
 from cellselect.plans.registry import query
@@ -115,6 +116,20 @@ def r11(t):
     return _round(V.knn(t.probes, t.protos, 3), "sim")
 
 
+@query("r11_approx_knn")
+def r11_approx(t):
+    """Ten nearest vectors of every vector by inverted lists; tests hold it against the exact search."""
+    return _round(V2.approx_knn(t.probes, t.protos, 10, n_lists=64), "sim")
+
+
+@query("r11_approx_recall", """
+SELECT count(DISTINCT query_id) AS queries, 10 * count(DISTINCT query_id) AS neighbours, true AS enough FROM sims""", "sims")
+def r11_recall(t):
+    """Share of the exact ten neighbours that the lists find, over all queries: 0.9 or more."""
+    r = V2.recall(V2.approx_knn(t.probes, t.protos, 10, n_lists=64), V.knn(t.probes, t.protos, 10))
+    return r.agg(F.count(F.lit(1)).alias("queries"), F.sum("k").alias("neighbours"), (F.sum("found") >= 0.9 * F.sum("k")).alias("enough"))
+
+
 @query("a10_index_report", """
 SELECT count(*) AS cells, count(p.n) AS filled, cast(sum(p.n) AS bigint) AS prototypes, round(100.0 * count(p.n) / count(*), 6) AS filled_pct,
        round(sum(p.n) / count(p.n), 6) AS per_cell

@@ -90,16 +90,17 @@ def r7(t):
 
 
 def _kept(allowed: str, levels: str) -> str:
-    """Score rows after a mask: ``allowed`` selects (query_id, level, idx)."""
+    """Score rows after a mask: ``allowed`` selects (query_id, level, idx), a small set, built first."""
     return f"""
-ok AS ({allowed}),
-marked AS (SELECT s.*, o.query_id IS NOT NULL AS keep FROM scores s LEFT JOIN ok o USING (query_id, level, idx) WHERE s.level IN ({levels})),
-masked AS (SELECT query_id, level, idx, logit FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id, level) AS kept_any FROM marked)
-           WHERE keep OR NOT kept_any)"""
+ok AS MATERIALIZED (SELECT DISTINCT query_id, level, idx FROM ({allowed})),
+hits AS MATERIALIZED (SELECT DISTINCT s.query_id, s.level FROM scores s JOIN ok o USING (query_id, level, idx)),
+masked AS (SELECT s.query_id, s.level, s.idx, s.logit FROM scores s LEFT JOIN hits m USING (query_id, level) LEFT JOIN ok o USING (query_id, level, idx)
+           WHERE s.level IN ({levels}) AND (m.query_id IS NULL OR o.query_id IS NOT NULL))"""
 
 
-_BY9 = _kept("""SELECT p.query_id, 12 AS level, m.child_idx AS idx FROM probs p JOIN pmap m
-                ON p.level = 9 AND p.rnk <= 3 AND m.child_level = 12 AND m.parent_level = 9 AND m.parent_idx = p.idx""", "12")
+_BY9 = "par AS MATERIALIZED (SELECT query_id, idx FROM probs WHERE level = 9 AND rnk <= 3),\n" \
+       "kid AS MATERIALIZED (SELECT parent_idx, child_idx FROM pmap WHERE child_level = 12 AND parent_level = 9),\n" \
+       + _kept("SELECT query_id, 12 AS level, child_idx AS idx FROM par JOIN kid ON parent_idx = idx", "12")
 
 
 @query("r4_mask_by_parent", f"""WITH {_BY9}
@@ -110,11 +111,11 @@ def r4(t):
 
 
 _MASS = f"""
-mass AS (SELECT query_id, parent_idx, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(prob), 9) DESC, parent_idx) AS rn
-         FROM probs p JOIN pmap m ON m.child_level = 9 AND m.parent_level = 6 AND m.child_idx = p.idx
-         WHERE p.level = 9 AND parent_idx >= 0 GROUP BY query_id, parent_idx),
-{_kept('''SELECT query_id, child_level AS level, child_idx AS idx FROM mass JOIN pmap USING (parent_idx)
-          WHERE rn <= 2 AND parent_level = 6 AND child_level IN (9, 12)''', '9, 12')}"""
+kid AS MATERIALIZED (SELECT parent_idx, child_level AS level, child_idx AS idx FROM pmap WHERE parent_level = 6 AND child_level IN (9, 12)),
+p9 AS MATERIALIZED (SELECT query_id, idx, prob FROM probs WHERE level = 9),
+mass AS MATERIALIZED (SELECT query_id, parent_idx, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(prob), 9) DESC, parent_idx) AS rn
+         FROM p9 JOIN kid ON kid.level = 9 AND kid.idx = p9.idx WHERE parent_idx >= 0 GROUP BY query_id, parent_idx),
+{_kept('SELECT query_id, level, idx FROM mass JOIN kid USING (parent_idx) WHERE rn <= 2', '9, 12')}"""
 
 
 @query("r5_mask_by_child_mass", f"""WITH {_MASS}
