@@ -4,9 +4,8 @@ A known word scores its log frequency in each language. A word that no language
 its character n-grams: the longest length at which any n-gram is known, averaged over those n-grams.
 A document's score is the mean over its words; the best language wins.
 
-The model is fitted on a sample of labelled rows of bounded size (``docs_per_lang``) and keeps at most
-``max_words`` words and ``max_grams`` n-grams of each length per language, so its broadcast size is
-bounded by the number of languages, whatever the corpus holds. Prediction reads every row once.
+The model is fitted on a sample of labelled rows of bounded size (``docs_per_lang``) and keeps every word
+and n-gram of it, so its broadcast size is bounded by the sample, whatever the corpus holds. Prediction reads every row once.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellselect.llm import words as W
@@ -86,12 +85,12 @@ def _pieces(words: W.Words, at: np.ndarray, todo: np.ndarray, cells: int = 400_0
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, length, key, count) over the training rows; length 0 stands for whole words."""
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("key", pa.int64()), ("count", pa.int64())])
+    """(lang, length, key, count) over the training rows, languages as numbers; length 0 stands for whole words."""
+    schema = pa.schema([("lang", pa.int32()), ("length", pa.int32()), ("key", pa.int64()), ("count", pa.int64())])
 
     def count(batches):
         for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), object)
+            langs = batch["lang"].to_numpy()
             for row, stop, words in _split(batch["text"]):
                 doc = np.repeat(np.arange(stop - row), words.counts)
                 for lang in sorted(set(langs[row:stop])):
@@ -105,10 +104,10 @@ def _counts(docs: DataFrame) -> DataFrame:
                             k, inv = np.unique(h, return_inverse=True)
                             found.append((length, k, np.bincount(inv, weights=n[part][word], minlength=len(k)).astype(np.int64)))
                     for length, k, c in found:
-                        yield pa.record_batch([pa.array([lang] * len(k)), pa.array(np.full(len(k), length, np.int32)),
+                        yield pa.record_batch([pa.array(np.full(len(k), lang, np.int32)), pa.array(np.full(len(k), length, np.int32)),
                                                pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
-    return (docs.select("lang", "text").mapInArrow(count, "lang string, length int, key long, count long")
+    return (docs.select("lang", "text").mapInArrow(count, "lang int, length int, key long, count long")
             .groupBy("lang", "length", "key").agg(F.sum("count").alias("count")))
 
 
@@ -150,28 +149,27 @@ class Model:
         return scores, known
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 4000, max_words: int = 20_000, max_grams: int = 8_000,
-        penalty: float = 1.0) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 2000, penalty: float = 1.0) -> Model:
     """Model of the rows (doc_id, text, lang) with text and lang.
 
-    At most about ``docs_per_lang`` rows of each language are used, chosen by a hash of the id. A key
-    that a language lacks costs ``penalty`` more than the rarest kept key of any language.
+    At most about ``docs_per_lang`` rows of each language are used, chosen by a hash of the id, with every
+    word and n-gram that they have. A key that a language lacks costs ``penalty`` more than the rarest key
+    of any language.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = dict(rows.groupBy("lang").count().collect())
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, {})
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, docs_per_lang / sizes[lang])))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    counts = _counts(chosen)
-    first = Window.partitionBy("lang", "length").orderBy(F.desc("count"), "key")
-    limit = F.when(F.col("length") == 0, max_words).otherwise(max_grams)
-    table = (counts.withColumn("total", F.sum("count").over(Window.partitionBy("lang", "length")))
-             .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).toArrow())
-    lang = np.searchsorted(np.array(langs), np.array(table["lang"].to_pylist(), dtype=str))
-    length, key = table["length"].to_numpy(), table["key"].to_numpy().view(np.uint64)
-    freq = np.log10(table["count"].to_numpy() / table["total"].to_numpy())
+    by_lang = lambda of: F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(of(lang)))])[F.col("lang")]
+    share = by_lang(lambda lang: min(1.0, docs_per_lang / sizes[lang]))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).withColumn("lang", by_lang(langs.index).cast("int"))
+    table = _counts(chosen).toArrow()  # as many keys as the sample has
+    lang, length, key = table["lang"].to_numpy(), table["length"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+    count = table["count"].to_numpy()
+    total = np.zeros((len(langs), max(LENGTHS) + 1))
+    np.add.at(total, (lang, length), count)
+    freq = np.log10(count / total[lang, length])
     keys, logs = {}, {}
     for n in (0, *LENGTHS):
         mine = length == n
@@ -223,7 +221,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, modulus: int = 4, rest: int = 2, **options) -> DataFrame:
-    """Learn from the rows outside the held-out part, predict all of (doc_id, text, lang)."""
+    """Learn from the rows outside the held-out part, predict all of (doc_id, text, lang). Every row is
+    predicted for itself, repeated ids and rows without one too; those without one are not learnt from."""
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(modulus, rest))
     model = fit(rows.where("not held_out and doc_id is not null"), **options)
     return predict(rows.select("doc_id", "held_out", "text"), model).drop("text")

@@ -56,8 +56,9 @@ def _sum(value):
     return F.sum(F.round(value * 1000).cast("long")) / 1000
 
 
-def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
-    """(source, lambda, mean): dual solution per source for cells (source, size, n)."""
+def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-4, rounds: int = 100) -> DataFrame:
+    """(source, lambda, mean): dual solution per source for cells (source, size, n); raises where some source
+    does not come within ``tolerance`` of its target in ``rounds`` steps."""
     state = (cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs"))
              .join(targets.select(F.col("source").alias("s"), "target"), F.expr("source <=> s")).drop("s")
              .select("source", "target", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-6)).alias("mean"),
@@ -88,8 +89,8 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: floa
         left = state.where("not done").limit(1).count()
         state = state.drop("done")
         if not left:
-            break
-    return state
+            return state
+    raise RuntimeError(f"some source is still off its target after {rounds} rounds: {state.drop('low', 'high').first()}")
 
 
 def cell_copies(cells: DataFrame, state: DataFrame, cap: float = 2.0, corrections: int = 3) -> DataFrame:

@@ -444,3 +444,19 @@ def test_language_odd_rows(edge, empty, spark):
     model = fit(spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund lag", "de")], "doc_id long, text string, lang string"))
     out = predict(spark.createDataFrame([(1, "catsat"), (2, "hundlag")], "doc_id long, text string"), model)
     assert [r.lang_pred for r in out.orderBy("doc_id").collect()] == ["en", "de"]  # by character n-grams
+
+
+def test_mixing_raises_when_it_does_not_converge(spark):
+    from cellselect.llm.mixing import tilt
+    cells = spark.createDataFrame([("a", 10, 5), ("a", 400, 3)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 700.0)], "source string, target double")
+    assert abs(tilt(cells, targets).count()) == 1
+    with pytest.raises(RuntimeError, match="still off its target"):
+        tilt(cells, targets, rounds=1)
+
+
+def test_language_model_keeps_every_word_of_its_sample(spark):
+    from cellselect.llm.langid import fit
+    words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(15_000)]
+    rows = [(i, " ".join(words[i * 50:(i + 1) * 50]), "aa") for i in range(300)]
+    assert len(fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).keys[0]) == len(set(words))
