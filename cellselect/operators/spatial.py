@@ -9,8 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cellselect.functions import columns as X
 from cellselect.functions import geo
@@ -273,12 +277,53 @@ def pairs_within(points: DataFrame, centres: DataFrame, radius_km: float, lat: s
 
 # --- rasters ----------------------------------------------------------------------------------
 
+def raster_blocks(pixels: DataFrame, size: int = 256) -> DataFrame:
+    """Pixel table (row_idx, col_idx, value) → one row per occupied block: (brow, bcol, values), ``values`` in row
+    order with null for missing pixels.
+
+    A block is one row of ``size`` x ``size`` values, so a world of 10^9 pixels is some 15,000 rows that join
+    on their block's key. A pixel given twice has its largest value; its group never exceeds a block.
+    """
+    kind = pixels.schema["value"].dataType
+    one = pixels.where("value is not null").groupBy("row_idx", "col_idx").agg(F.max("value").alias("value"))
+    at = (F.col("row_idx") % size * size + F.col("col_idx") % size).cast("int")
+    rows = one.select(F.floor(F.col("row_idx") / size).alias("brow"), F.floor(F.col("col_idx") / size).alias("bcol"), at.alias("at"), "value")
+    schema = T.StructType([T.StructField("brow", T.LongType()), T.StructField("bcol", T.LongType()), T.StructField("values", T.ArrayType(kind))])
+    arrow = to_arrow_type(kind)
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        where = np.full(size * size, -1, np.int64)
+        where[table["at"].to_numpy()] = np.arange(table.num_rows)
+        values = table["value"].combine_chunks().take(pa.array(where, mask=where < 0))
+        return pa.table({"brow": pa.array([key[0].as_py()], pa.int64()), "bcol": pa.array([key[1].as_py()], pa.int64()),
+                         "values": pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), values.cast(arrow))})
+
+    return rows.groupBy("brow", "bcol").applyInArrow(fill, schema).select(
+        "brow", "bcol", F.col("values").alias("values", metadata={"size": size}))
+
+
+def map_blocks(blocks: DataFrame, fn) -> DataFrame:
+    """Blocks with ``fn`` (a Column function) applied to every value."""
+    return blocks.select("brow", "bcol", F.transform("values", fn).alias("values", metadata=blocks.schema["values"].metadata))
+
+
 def raster_sample(points: DataFrame, raster: DataFrame, affine: tuple, name: str, x: Column | None = None,
                   y: Column | None = None, nodata: float | None = None) -> DataFrame:
-    """Add the pixel value under each point; null outside, on nodata and off the map."""
+    """Add the pixel value under each point; null outside, on nodata and off the map. ``raster`` has blocks
+    (``raster_blocks``: points join their block and take one element of it) or single pixels."""
     x = F.col("lng") if x is None else x
     y = F.col("lat") if y is None else y
     pts = points.withColumn("_px", geo.pixel_index(x, y, *affine))
+    if "values" in raster.columns:
+        size = raster.schema["values"].metadata.get("size")
+        if not size:
+            raise ValueError("blocks carry their size in the metadata of values, as raster_blocks makes them")
+        row, col = F.col("_px.row_idx"), F.col("_px.col_idx")
+        pts = pts.withColumns({"_brow": F.floor(row / size), "_bcol": F.floor(col / size)})
+        blocks = raster.select(F.col("brow").alias("_brow"), F.col("bcol").alias("_bcol"), F.col("values").alias("_values"))
+        value = F.get("_values", (row % size * size + col % size).cast("int"))
+        out = pts.join(blocks, ["_brow", "_bcol"], "left")
+        return out.select(*points.columns, (value if nodata is None else F.when(value != nodata, value)).alias(name))
     pts = pts.withColumns({"row_idx": F.col("_px.row_idx"), "col_idx": F.col("_px.col_idx")}).drop("_px")
     pix = raster.select("row_idx", "col_idx", F.col("value").alias(name))
     if nodata is not None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellselect.functions import columns as X
 from cellselect.functions import geo
 from cellselect.operators import cells as C
+from cellselect.operators.spatial import raster_blocks
 from cellselect.session import tune
 
 NL, TICKS = "\n", "```"
@@ -114,6 +115,10 @@ class Tables:
                                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(359).cast("long"))).alias("col_idx"))
         return r.withColumn("value", (F.col("row_idx") * 7 + F.col("col_idx") * 3) % 31)
 
+    @cached_property
+    def raster_blocks(self) -> DataFrame:
+        return raster_blocks(self.raster, 64)
+
     @cached_property
     def gazetteer(self) -> DataFrame:
         s, n = self.read("supplier"), self.read("nation")

@@ -58,7 +58,7 @@ SELECT sample_key, nullif(value, 0) AS koppen_class,
 FROM samples LEFT JOIN raster ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = cast(floor(lng + 180) AS bigint)
 """, "samples raster")
 def j10(t):
-    return (S.climate(t.samples, t.raster, AFFINE)
+    return (S.climate(t.samples, t.raster_blocks, AFFINE)
             .select("sample_key", "koppen_class", "koppen_group"))
 
 
@@ -67,7 +67,7 @@ SELECT value, count(*) AS n FROM samples JOIN raster
 ON row_idx = cast(floor(90 - lat) AS bigint) AND col_idx = cast(floor(lng + 180) AS bigint) WHERE value <> 7 GROUP BY value
 """, "samples raster")
 def s8(t):
-    out = S.raster_sample(t.samples, t.raster, AFFINE, "value", nodata=7)
+    out = S.raster_sample(t.samples, t.raster_blocks, AFFINE, "value", nodata=7)
     return out.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,8 +90,8 @@ LEFT JOIN raster d ON d.row_idx = cast(floor((9020047.85 - m.y) / 100222.753889)
 """, "s2_samples sample_geo raster moll")
 def j21(t):
     """One enrichment pass: polygons, cells, climate, density, flags."""
-    density = t.raster.withColumn("value", F.col("value") * 60)
-    p = S.enrich(t.samples.select("sample_key", "pano_id", "lat", "lng"), cover(t), t.raster, AFFINE, density, POP_AFFINE)
+    density = S.map_blocks(t.raster_blocks, lambda v: v * 60)
+    p = S.enrich(t.samples.select("sample_key", "pano_id", "lat", "lng"), cover(t), t.raster_blocks, AFFINE, density, POP_AFFINE)
     return p.select("sample_key", "is_official", F.col("country_code").alias("geo_country"), geo.s2_text(F.col("s2_l9")).alias("s2_l9"),
                     "koppen_class", "pop_per_km2", "is_urban")
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellselect.functions import columns as X
@@ -190,3 +191,27 @@ def test_population_nodata(spark):
     pts = spark.createDataFrame([(1, 10.0, -50.0), (2, 10.0, 50.0), (3, -10.0, -50.0)], "id long, lat double, lng double")
     got = {r.id: (r.pop_per_km2, r.is_urban) for r in S.population(pts, raster, affine, nodata=-9999.0).collect()}
     assert got == {1: (5.0, False), 2: (0.0, False), 3: (None, False)}
+
+
+@pytest.mark.parametrize("size", [2, 5, 256])
+def test_raster_blocks_give_the_pixels(spark, size):
+    """Blocks of any size, missing pixels, nodata and a repeated pixel; a block is one row."""
+    rows = [(r, c, float(r * 20 + c)) for r in range(13) for c in range(17) if (r + c) % 5] + [(0, 1, -1.0), (3, 3, -9999.0)]
+    pixels = spark.createDataFrame(rows, "row_idx long, col_idx long, value double")
+    blocks = S.raster_blocks(pixels, size)
+    assert blocks.count() == -(-13 // size) * -(-17 // size)
+    assert {len(b["values"]) for b in blocks.collect()} == {size * size}
+    affine = (0.0, 13.0, 1.0, 1.0, 13, 17)
+    pts = spark.createDataFrame([(i, 13 - r - 0.5, c + 0.5) for i, (r, c) in enumerate((r, c) for r in range(-1, 14) for c in range(-1, 18))], "id int, lat double, lng double")
+    got = {r.id: r.v for r in S.raster_sample(pts, blocks, affine, "v", nodata=-9999.0).collect()}
+    want = {r.id: r.v for r in S.raster_sample(pts, pixels.groupBy("row_idx", "col_idx").agg(F.max("value").alias("value")), affine, "v", nodata=-9999.0).collect()}
+    assert got == want and len(got) == pts.count()
+
+
+def test_raster_join_carries_blocks_only(spark):
+    """The raster side of the join has one row per block in the plan, and no pixel key."""
+    pixels = spark.range(40_000).select(F.floor(F.col("id") / 200).alias("row_idx"), (F.col("id") % 200).alias("col_idx"), F.col("id").alias("value"))
+    blocks = S.raster_blocks(pixels, 100)
+    pts = spark.createDataFrame([(150.5, 20.5)], "lat double, lng double")
+    out = S.raster_sample(pts, blocks, (0.0, 200.0, 1.0, 1.0, 200, 200), "v")
+    assert blocks.count() == 4 and out.first()["v"] == (200 - 151) * 200 + 20
