@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from cellselect.llm import words as W
 from cellselect.session import shared_dir
 
-#: Ids kept per worker for words seen before; the cache starts anew beyond it.
-CACHE_IDS = 3_000_000
+#: Ids kept per worker for words seen before; beyond it only words asked for again stay.
+CACHE_IDS = 8_000_000
+#: Words tokenised in one call.
+_RUN = 4000
 _ENCODERS: dict = {}
 
 
@@ -31,60 +33,109 @@ class WordEncoder:
 
     Exact for tokenizers that never join across white space: words are encoded in runs with a special
     token between them and cut apart there; words that hold special token text are encoded alone.
+    The memory is sorted arrays of hashes (a large one and a recent one that is merged into it); when it is
+    full, the words that were not met again since it was last full are forgotten.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_ids: int = CACHE_IDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
         self.mark_id, self.mark = special[-1]
-        self.special = [content for _, content in special]
-        self.clear()
-
-    def clear(self):
-        self.slots: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, keys: list[int], texts: list[str]):
-        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
-        found: dict[int, np.ndarray] = {}
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            joined = f" {self.mark} ".join(texts[i] for i in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            for i, piece in zip(part, np.split(ids, cut)):
-                found[i] = piece if i == part[0] else piece[1:]
-        for i, t in enumerate(texts):
-            ids = found.get(i)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            slot = len(self.slots)
-            if slot == len(self.start):
-                self.start, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size))
-            self.slots[keys[i]] = slot
+        self.special = [content.encode() for _, content in special]
+        self.between = f" {self.mark} ".encode()
+        self.cache_ids = cache_ids
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Remember exactly these words: sorted keys, number of ids of each, all ids."""
+        self.old = (keys, np.arange(len(keys)))
+        self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.n, self.used = len(keys), len(flat)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.flat, self.again = flat, np.zeros(len(keys), bool)
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.r_[x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of every key in the memory, -1 where it is not there."""
+        out = np.full(len(keys), -1)
+        for have, slot in (self.old, self.new):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = slot[at[hit]]
+        return out
+
+    def _forget(self) -> None:
+        keys, slot = (np.concatenate(x) for x in zip(self.old, self.new))
+        stay = self.again[slot]
+        if 2 * self.size[slot[stay]].sum() > self.cache_ids:
+            stay[:] = False
+        keys, slot = keys[stay], slot[stay]
+        order = np.argsort(keys)
+        keys, slot = keys[order], slot[order]
+        size = self.size[slot]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[slot], size)
+        self._keep(keys, size, self.flat[place])
+
+    def _tokens(self, words: W.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids) of the words at ``at``."""
+        length = words.end[at] - words.start[at]
+        gap = len(self.between)
+        ends = np.cumsum(length + gap)
+        joined = np.empty(int(ends[-1]), np.uint8)
+        first = ends - length - gap
+        inside = np.arange(int(length.sum()))
+        shift = np.repeat(np.cumsum(length) - length, length)
+        joined[np.repeat(first, length) + inside - shift] = words.data[np.repeat(words.start[at], length) + inside - shift]
+        joined[(ends - gap)[:, None] + np.arange(gap)] = np.frombuffer(self.between, np.uint8)
+        whole = joined.tobytes()
+        if sum(whole.count(s) for s in self.special) > len(at):  # some word holds special text: one by one
+            ids = [np.array(self.tokenizer.encode(whole[a:a + n].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                   for a, n in zip(first.tolist(), length.tolist())]
+            return np.array([len(x) for x in ids]), np.concatenate(ids)
+        ids = np.array(self.tokenizer.encode_batch_fast([whole.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+        mark = ids == self.mark_id
+        cut = np.flatnonzero(mark)
+        return np.diff(np.r_[-1, cut]) - 1, ids[~mark]
+
+    def _add(self, keys: np.ndarray, words: W.Words, at: np.ndarray) -> None:
+        for a in range(0, len(at), _RUN):
+            size, ids = self._tokens(words, at[a:a + _RUN])
+            n = self.n + len(size)
+            self.size, self.start, self.again = (self._grown(x, n) for x in (self.size, self.start, self.again))
+            self.flat = self._grown(self.flat, self.used + len(ids))
+            self.size[self.n:n] = size
+            self.start[self.n:n] = self.used + np.cumsum(size) - size
             self.flat[self.used:self.used + len(ids)] = ids
-            self.start[slot], self.size[slot] = self.used, len(ids)
-            self.used += len(ids)
+            self.n, self.used = n, self.used + len(ids)
+        slots = np.arange(self.n - len(at), self.n)
+        self.new = self._merged(self.new, (keys, slots))
+        if len(self.new[0]) > max(50_000, len(self.old[0]) // 4):
+            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys, slots = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        return keys[order], slots[order]
 
     def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block and the word each belongs to."""
-        if self.used > CACHE_IDS:
-            self.clear()
+        if self.used > self.cache_ids:
+            self._forget()
         keys, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.slots]
-        if new:
-            raw = words.data.tobytes()
-            spots = at[new]
-            self._add([known[i] for i in new], [raw[s:e].decode("utf-8", "replace") for s, e in
-                                                zip(words.start[spots].tolist(), words.end[spots].tolist())])
-        slot = np.array([self.slots[k] for k in known], np.int64)[inverse]
+        slots = self._slots(keys)
+        new = np.flatnonzero(slots < 0)
+        self.again[slots[slots >= 0]] = True
+        if len(new):
+            self._add(keys[new], words, at[new])
+            slots[new] = np.arange(self.n - len(new), self.n)
+        slot = slots[inverse]
         size = self.size[slot]
         word = np.repeat(np.arange(len(slot)), size)
         place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + self.start[slot][word]

@@ -460,3 +460,25 @@ def test_language_model_keeps_every_word_of_its_sample(spark):
     words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(15_000)]
     rows = [(i, " ".join(words[i * 50:(i + 1) * 50]), "aa") for i in range(300)]
     assert len(fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).keys[0]) == len(set(words))
+
+
+@pytest.mark.parametrize("room", [10, 400, 10**7])
+def test_remembered_words_encode_as_the_tokenizer_does(room):
+    """With a memory that holds nothing, some or all of the words; special token text, odd bytes, growing blocks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cellselect.llm import words as W
+    from cellselect.llm.packing import WordEncoder
+    path = public_tokenizers.path(PUBLIC)
+    enc, plain = WordEncoder(path, room), Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}é" for i in range(300)] + [enc.mark, f"a{enc.mark}b", "naïve", "x" * 500, "日本語"]
+    for n in (1, 40, 200, 200, 3, 500):
+        texts = [" ".join(rng.choice(vocabulary, n)) for _ in range(3)] + ["", None, "one"]
+        for row, stop, words in W.words_of(pa.array(texts)):
+            ids, word = enc.encode(words)
+            for d in range(row, stop):
+                mine = ids[(word >= words.first[d - row]) & (word < words.first[d - row + 1])]
+                want = [i for w in brute.words(texts[d]) for i in plain.encode(w, add_special_tokens=False).ids]
+                assert mine.tolist() == want
