@@ -9,6 +9,7 @@ from cellselect.operators import cells as C
 from cellselect.plans.registry import query
 from cellselect.session import scratch_path
 from cellselect.streaming import events as X
+from cellselect.streaming import keyed as K
 
 
 def plain(df):
@@ -139,6 +140,31 @@ def x5_stream(t):
     return plain(by_slices(t, t.progress, lambda e: X.throttle(e, "10 minutes"), "throttle"))
 
 
+_SPACED = """
+WITH e AS (SELECT request_id, event_id, ts, event, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS pos FROM progress),
+k AS (SELECT * FROM e WHERE pos = 1
+      UNION ALL SELECT request_id, event_id, ts, event, pos FROM (SELECT e.*, row_number() OVER (PARTITION BY e.request_id ORDER BY e.pos) AS rn
+                                 FROM k JOIN e ON e.request_id = k.request_id AND e.pos > k.pos AND epoch_us(e.ts) - epoch_us(k.ts) >= 700000000) WHERE rn = 1)
+SELECT request_id, event_id, ts, event FROM k"""
+
+
+@query("x5_least_gap", _SPACED, "progress")
+def x5_gap(t):
+    """No two events of a request closer than 700 seconds."""
+    return plain(K.least_gap(t.progress, 700))
+
+
+@query("x5_least_gap_stream", _SPACED, "progress")
+def x5_gap_stream(t):
+    return plain(by_slices(t, t.progress, lambda e: K.least_gap(e, 700), "spaced"))
+
+
+@query("x4_stalled_keyed", _STALLED, "progress")
+def x4_keyed(t):
+    """The same on keyed state that takes a request's events in any order."""
+    return plain(by_slices(t, t.progress, lambda e: K.stalled_keyed(e, 900, 3000), "keyed"))
+
+
 _STATS = "SELECT level, cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells GROUP BY level, cell"
 
 
