@@ -1,7 +1,7 @@
 """Spatial joins as equi-joins on grid tiles: point in polygon, proximity, nearest, raster.
 
 No operator here plans a cartesian or nested-loop product: both sides meet on a tile key and an
-exact test follows. Polygon cover rows hold only the edges near their tile.
+exact test follows. Polygon cover rows hold only the edges near their tile, and a bounded number of them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,50 +42,130 @@ def polygon_edges(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
                     F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")))
 
 
-def cover_tiles(polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """Tile cover of polygons: one row per tile, ``cands`` sorted by (layer, ord).
+_KEYS = ["layer", "ord"]
 
-    A candidate holds the parity of the tile's centre and the edges whose box touches the tile.
-    A point's parity is the centre's, flipped by the edges crossed on the way point → (centre x,
-    point y) → centre, so far-away edges never travel with the tile. Tiles wholly outside are
-    dropped; tiles wholly inside carry no edges.
-    """
-    keys = ["layer", "ord"]
-    edges = polygon_edges(polygons, keys)
 
+def _root_tiles(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """((keys, tx, ty, edge) of the tiles an edge's box touches, (keys, tx, ty, centre_in) of every tile of a
+    polygon's box): the parity of a tile's centre is the number of edges that its row's centre line crosses to
+    the right of it, summed from the right over the row's tiles."""
     def t(c: Column) -> Column:
         return F.floor(c / F.lit(size)).cast("long")
 
     lo_x, hi_x = F.least("ax", "bx"), F.greatest("ax", "bx")
     lo_y, hi_y = F.least("ay", "by"), F.greatest("ay", "by")
-    # edges per tile; a side lying on a tile border belongs to both neighbours
+    # a side lying on a tile border belongs to both neighbours
     touch = (edges.withColumn("tx", F.explode(F.sequence(F.ceil(lo_x / size) - 1, t(hi_x))))
-             .withColumn("ty", F.explode(F.sequence(F.ceil(lo_y / size) - 1, t(hi_y))))
-             .groupBy(*keys, "tx", "ty")
-             .agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges")))
-    # crossings of each tile row's centre line with the polygon
+             .withColumn("ty", F.explode(F.sequence(F.ceil(lo_y / size) - 1, t(hi_y)))))
     cy = (F.col("ty") + 0.5) * size
-    cross = (edges.where(F.col("ay") != F.col("by"))
-             .withColumn("ty", F.explode(F.sequence(t(lo_y) - 1, t(hi_y))))
-             .where((F.col("ay") > cy) != (F.col("by") > cy))
-             .select(*keys, "ty", ((F.col("bx") - F.col("ax")) * (cy - F.col("ay")) / (F.col("by") - F.col("ay"))
-                                   + F.col("ax")).alias("x"))
-             .groupBy(*keys, "ty").agg(F.collect_list("x").alias("xs")))
-    box = edges.groupBy(*keys).agg(F.min(lo_x).alias("x0"), F.max(hi_x).alias("x1"),
-                                   F.min(lo_y).alias("y0"), F.max(hi_y).alias("y1"))
+    at = (F.col("bx") - F.col("ax")) * (cy - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    last = F.floor(F.col("x") / size - 0.5).cast("long")  # the last tile whose centre may lie left of x
+    cross = (edges.where(F.col("ay") != F.col("by")).withColumn("ty", F.explode(F.sequence(t(lo_y) - 1, t(hi_y))))
+             .where((F.col("ay") > cy) != (F.col("by") > cy)).withColumn("x", at)
+             .withColumn("tx", F.when(F.col("x") > (last + 0.5) * size, last).otherwise(last - 1))
+             .groupBy(*_KEYS, "ty", "tx").agg(F.count(F.lit(1)).alias("c")))
+    box = edges.groupBy(*_KEYS).agg(F.min(lo_x).alias("x0"), F.max(hi_x).alias("x1"), F.min(lo_y).alias("y0"), F.max(hi_y).alias("y1"))
+    right = Window.partitionBy(*_KEYS, "ty").orderBy(F.desc("tx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grid = (box.withColumn("ty", F.explode(F.sequence(F.ceil(F.col("y0") / size) - 1, t(F.col("y1")))))
-            .join(cross, keys + ["ty"], "left")
             .withColumn("tx", F.explode(F.sequence(F.ceil(F.col("x0") / size) - 1, t(F.col("x1")))))
-            .withColumn("centre_in", F.coalesce(
-                F.size(F.filter("xs", lambda x: x > (F.col("tx") + 0.5) * size)) % 2 == 1, F.lit(False)))
-            .select(*keys, "tx", "ty", "centre_in"))
-    tiles = (grid.join(touch, keys + ["tx", "ty"], "left")
-             .where(F.col("centre_in") | F.col("edges").isNotNull()))
-    attrs = polygons.select(*keys, *ADMIN)
-    cand = F.struct(*keys, *ADMIN, "centre_in", "edges")
-    return (tiles.join(attrs, keys).groupBy("tx", "ty")
-            .agg(F.sort_array(F.collect_list(cand)).alias("cands"))
-            .withColumn("size", F.lit(size)).select("tx", "ty", "cands", F.col("size").alias("size", metadata={"size": size})))
+            .join(cross, [*_KEYS, "ty", "tx"], "left")
+            .withColumn("centre_in", F.coalesce(F.sum("c").over(right), F.lit(0)) % 2 == 1))
+    return touch.select(*_KEYS, "tx", "ty", "ax", "ay", "bx", "by"), grid.select(*_KEYS, "tx", "ty", "centre_in")
+
+
+def _flips(x: Column, y: Column, cx: Column, cy: Column) -> Column:
+    """Whether the edge (ax, ay, bx, by) is crossed an odd number of times on the way (x, y) → (cx, y) → (cx, cy)."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    x_at = F.when((ay > y) != (by > y), (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
+    y_at = F.when((ax > cx) != (bx > cx), (by - ay) * (cx - ax) / F.nullif(bx - ax, F.lit(0.0)) + ay)
+    return F.coalesce((x < x_at) != (cx < x_at), F.lit(False)) != F.coalesce((y < y_at) != (cy < y_at), F.lit(False))
+
+
+def _split_tiles(touch: DataFrame, tiles: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """Edges and tiles of the four quarters of tiles ``width`` wide. A quarter takes the edges that run through it,
+    and its centre's parity is its parent's, flipped by the parent's edges between the two centres."""
+    half = width / 2
+    quarters = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("q")
+
+    def child(df: DataFrame) -> DataFrame:
+        return (df.select("*", quarters).withColumns({"px": (F.col("tx") + 0.5) * width, "py": (F.col("ty") + 0.5) * width})
+                .withColumns({"tx": F.col("tx") * 2 + F.col("q.i"), "ty": F.col("ty") * 2 + F.col("q.j")}).drop("q"))
+
+    edges = child(touch)
+    x0, y0 = F.col("tx") * half, F.col("ty") * half
+    slack = half * 1e-9
+    lo, hi = F.greatest(x0, F.least("ax", "bx")), F.least(x0 + half, F.greatest("ax", "bx"))
+
+    def y_at(x: Column) -> Column:
+        return F.coalesce(F.col("ay") + (F.col("by") - F.col("ay")) * (x - F.col("ax")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0)), F.lit(None))
+
+    upright = F.col("ax") == F.col("bx")
+    ends = [F.when(upright, F.col("ay")).otherwise(y_at(lo)), F.when(upright, F.col("by")).otherwise(y_at(hi))]
+    through = (lo <= hi + slack) & (F.least(*ends) <= y0 + half + slack) & (F.greatest(*ends) >= y0 - slack)
+    flips = (edges.where(_flips((F.col("tx") + 0.5) * half, (F.col("ty") + 0.5) * half, F.col("px"), F.col("py")))
+             .groupBy(*_KEYS, "tx", "ty").agg(F.count(F.lit(1)).alias("f")))
+    below = (child(tiles).join(flips, [*_KEYS, "tx", "ty"], "left")
+             .select(*_KEYS, "tx", "ty", (F.col("centre_in") != (F.coalesce("f", F.lit(0)) % 2 == 1)).alias("centre_in")))
+    return edges.where(through).select(*_KEYS, "tx", "ty", "ax", "ay", "bx", "by"), below
+
+
+def _leaf_rows(touch: DataFrame, tiles: DataFrame, attrs: DataFrame, level: int) -> DataFrame:
+    """(level, tx, ty, cands) of finished tiles; tiles wholly outside are dropped at level 0 and empty below,
+    so that every point of a tile that was split finds one leaf."""
+    held = touch.groupBy(*_KEYS, "tx", "ty").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    found = tiles.join(held, [*_KEYS, "tx", "ty"], "left")
+    inside = F.col("centre_in") | F.col("edges").isNotNull()
+    cand = F.when(inside, F.struct(*_KEYS, *ADMIN, "centre_in", "edges"))
+    rows = (found.where(inside) if level == 0 else found).join(attrs, _KEYS)
+    return rows.groupBy("tx", "ty").agg(F.sort_array(F.collect_list(cand)).alias("cands")).select(F.lit(level).alias("level"), "tx", "ty", "cands")
+
+
+def cover_tiles(polygons: DataFrame, size: float = 1.0, max_edges: int = 256, max_depth: int = 24) -> DataFrame:
+    """Quadtree cover of polygons: (level, tx, ty, levels, cands, size), ``cands`` sorted by (layer, ord).
+
+    Tiles of ``size`` degrees that more than ``max_edges`` edges run through are cut in four, level by level,
+    until none is left; so no row holds more edges, whatever the detail of a boundary (at ``max_depth`` a
+    tile stays as it is: edges that meet in one point never part). A candidate holds the parity of the
+    tile's centre and the edges of the tile. A point's parity is the centre's, flipped by the edges crossed
+    on the way point → (centre x, point y) → centre, so far-away edges never travel with the tile. Tiles
+    wholly outside are dropped or empty; tiles wholly inside carry no edges. ``levels`` lists the levels
+    within the tile's root.
+    """
+    edges = polygon_edges(polygons, _KEYS)
+    attrs = polygons.select(*_KEYS, *ADMIN)
+    touch, tiles = _root_tiles(edges, size)
+    leaves, level = None, 0
+    while True:
+        crowded = touch.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_edges).select("tx", "ty")
+        if level == max_depth or not crowded.limit(1).count():
+            rest = _leaf_rows(touch, tiles, attrs, level)
+            leaves = rest if leaves is None else leaves.unionByName(rest)
+            break
+        if level == 0:
+            shared_dir(polygons.sparkSession)
+            touch, tiles = touch.checkpoint(), tiles.checkpoint()
+        crowded = crowded.checkpoint()
+        done = [df.join(crowded, ["tx", "ty"], "left_anti") for df in (touch, tiles)]
+        row = _leaf_rows(*done, attrs, level)
+        leaves = row if leaves is None else leaves.unionByName(row)
+        parts = [df.join(crowded, ["tx", "ty"], "left_semi") for df in (touch, tiles)]
+        touch, tiles = (df.checkpoint() for df in _split_tiles(*parts, size / (1 << level)))
+        level += 1
+    if level:
+        root = {c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))) for c in ("tx", "ty")}
+        leaves = leaves.checkpoint().withColumns({"_rx": root["tx"], "_ry": root["ty"]})
+        levels = leaves.groupBy("_rx", "_ry").agg(F.sort_array(F.collect_set("level")).alias("levels"))
+        leaves = leaves.join(levels, ["_rx", "_ry"]).drop("_rx", "_ry")
+    else:
+        leaves = leaves.withColumn("levels", F.array(F.lit(0)))
+    return leaves.withColumn("size", F.lit(size)).select("level", "tx", "ty", "levels", "cands", F.col("size").alias(
+        "size", metadata={"size": size, "deepest": level}))
+
+
+def _deepest(cover: DataFrame) -> int:
+    """Deepest level of a cover, from its metadata or its rows."""
+    made = cover.schema["size"].metadata.get("deepest")
+    return made if made is not None else cover.agg(F.max("level")).first()[0] or 0
 
 
 def contains(cand: Column, lat: Column, lng: Column, cx: Column, cy: Column) -> Column:
@@ -121,14 +201,14 @@ def _cover_size(cover: DataFrame, asked: float | None) -> float:
 def reverse_geocode(points: DataFrame, cover: DataFrame, size: float | None = None, lat: str = "lat", lng: str = "lng",
                     overrides: bool = True) -> DataFrame:
     """Admin columns per point: boxes first, then the first strictly containing polygon by layer and
-    order, else nulls. One left equi-join on the tile; a point row is never multiplied. The tile size is
-    the cover's own; a different ``size`` is an error."""
+    order, else nulls. Left equi-joins on the tile; where a root tile was cut, a point is tried at each level
+    that the root's leaves have, and found at one. The tile size is the cover's own; a different ``size`` is
+    an error."""
     size = _cover_size(cover, size)
     la, ln = F.col(lat), F.col(lng)
-    pts = (points.withColumn("tx", F.floor(ln / F.lit(size)).cast("long"))
-           .withColumn("ty", F.floor(la / F.lit(size)).cast("long")))
-    out = pts.join(cover.select("tx", "ty", "cands"), ["tx", "ty"], "left")
-    cx, cy = (F.col("tx") + 0.5) * size, (F.col("ty") + 0.5) * size
+    out = _in_leaf(points, cover, size, la, ln)
+    wide = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
+    cx, cy = (F.col("tx") + 0.5) * wide, (F.col("ty") + 0.5) * wide
     hit = F.try_element_at(F.filter("cands", lambda c: contains(c, la, ln, cx, cy)), F.lit(1))
     out = out.withColumn("_hit", hit)
     box = X.bbox_override(lat, lng) if overrides else F.lit(None).cast("struct<code:string,name:string>")
@@ -142,7 +222,25 @@ def reverse_geocode(points: DataFrame, cover: DataFrame, size: float | None = No
         "admin2_code": F.when(poly & (F.col("_hit.layer") < 1), F.col("_hit.gid_2")).otherwise(none),
         "admin2_name": F.when(poly & (F.col("_hit.layer") < 1), F.col("_hit.name_2")).otherwise(none),
         "hit_layer": F.when(poly, F.col("_hit.layer").cast("long")),
-    }).drop("tx", "ty", "cands", "_hit", "_box")
+    }).drop("level", "tx", "ty", "cands", "_hit", "_box")
+
+
+def _in_leaf(points: DataFrame, cover: DataFrame, size: float, la: Column, ln: Column) -> DataFrame:
+    """Each point with the leaf it lies in: level, tx, ty and cands, null where the cover has none."""
+    def at(level: Column) -> dict[str, Column]:
+        wide = F.lit(size) / F.pow(F.lit(2.0), level)
+        return {"tx": F.floor(ln / wide).cast("long"), "ty": F.floor(la / wide).cast("long")}
+
+    leaves = cover.select("level", "tx", "ty", "cands")
+    if not _deepest(cover):
+        return points.withColumns(at(F.lit(0))).join(leaves, ["tx", "ty"], "left")
+    root = {c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(f"_r{c}") for c in ("tx", "ty")}
+    cut = cover.select(root["tx"], root["ty"], "levels").distinct()
+    pts = points.withColumns({f"_r{c}": v for c, v in at(F.lit(0)).items()}).join(cut, ["_rtx", "_rty"], "left")
+    pts = pts.drop("_rtx", "_rty").withColumn("level", F.explode_outer("levels"))
+    pts = pts.withColumns(at(F.coalesce("level", F.lit(0))))
+    out = pts.join(leaves, ["level", "tx", "ty"], "left")
+    return out.where(F.col("levels").isNull() | F.col("cands").isNotNull() | (F.size("levels") == 1)).drop("levels")
 
 
 def within_any(points: DataFrame, polygons: DataFrame, size: float = 1.0, keep: str = "inside") -> DataFrame:
@@ -372,7 +470,8 @@ def sample_points(spark, polygons: DataFrame, n: int, seed: int = 42, oversample
     """
     cover = cover_tiles(polygons, size)
     half = 1 << 20
-    tiles = cover.select(((F.col("tx") + half) * (2 * half) + F.col("ty") + half).alias("tile"),
+    root = [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(c) for c in ("tx", "ty")]
+    tiles = cover.select(*root).distinct().select(((F.col("tx") + half) * (2 * half) + F.col("ty") + half).alias("tile"),
                          (F.sin(F.radians((F.col("ty") + 1) * F.lit(size))) - F.sin(F.radians(F.col("ty") * F.lit(size)))).alias("area"))
     tiles = tiles.checkpoint() if shared_dir(spark) else tiles
 

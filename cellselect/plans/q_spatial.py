@@ -141,7 +141,8 @@ WHERE floor(lng / 4) * 4 <= x1 AND floor(lng / 4) * 4 + 4 >= x0 AND floor(lat /
 """, "samples boundaries")
 def p4(t):
     """Samples in a tile of each polygon's cover."""
-    tiles = cover(t).select("tx", "ty", F.explode("cands").alias("c")).select("tx", "ty", F.col("c.gid_0").alias("gid_0"))
+    root = [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(c) for c in ("tx", "ty")]
+    tiles = cover(t).select(*root, F.explode("cands").alias("c")).select("tx", "ty", F.col("c.gid_0").alias("gid_0")).distinct()
     p = t.samples.select(F.floor(F.col("lng") / 4).alias("tx"), F.floor(F.col("lat") / 4).alias("ty"))
     per_tile = p.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
     return per_tile.join(tiles, ["tx", "ty"]).groupBy("gid_0").agg(F.sum("n").alias("near"))
