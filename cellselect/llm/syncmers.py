@@ -26,6 +26,14 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def parts(text: Column, width: int = 3) -> Column:
+    """struct<words, chars>, both array<struct<hash:int, at:int>>: the anchors of ``text`` over words, and those
+    over characters that short texts have besides (see ``anchors``)."""
+    return _found(text, width, lambda words, chars, alone: F.when(
+        F.size(words) + F.size(chars) > 0, F.struct(words.alias("words"), chars.alias("chars"))).otherwise(
+        F.struct(alone.alias("words"), F.slice(alone, 1, 0).alias("chars"))))
+
+
 def anchors(text: Column, width: int = 3) -> Column:
     """array<struct<hash:int, at:int>> of the closed syncmers of ``text`` in order; ``at`` is the word
     position. A k-mer of ``2**width + 1`` words is an anchor when the smallest of its ``2**width``
@@ -33,6 +41,11 @@ def anchors(text: Column, width: int = 3) -> Column:
     character is a word. A text under 60 words also has, after those, the anchors of its 5-character
     k-mers (``at``: character position). A text without an anchor is its own single anchor at -1 (the
     plain text hashed)."""
+    return _found(text, width, lambda words, chars, alone: _let(F.concat(words, chars), lambda a: F.when(F.size(a) > 0, a).otherwise(alone)))
+
+
+def _found(text: Column, width: int, build) -> Column:
+    """``build(anchors over words, anchors over characters, the text's own anchor)``."""
     low = lambda h: F.shiftrightunsigned(h, 40).cast("int")
     ahead = lambda x, n: F.slice(x, F.lit(n + 1), F.size(x))
     alone = F.array(F.struct(low(F.xxhash64(text)).alias("hash"), F.lit(-1).alias("at")))
@@ -55,9 +68,10 @@ def anchors(text: Column, width: int = 3) -> Column:
     spaced = F.regexp_replace(text, _UNSPACED, " $1 ")
     words = F.transform(F.split(F.btrim(spaced, F.lit(" \t\n\x0b\x0c\r")), _SPACE), lambda w: F.xxhash64(w))
     chars = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    none = F.slice(alone, 1, 0)
     return _let(words, lambda h: _let(
-        F.when(F.size(h) < _SHORT, F.concat(found(h, width), _let(chars, lambda c: found(c, _CHAR_WIDTH)))).otherwise(found(h, width)),
-        lambda a: F.when(F.size(a) > 0, a).otherwise(alone)))
+        F.struct(found(h, width).alias("w"), F.when(F.size(h) < _SHORT, _let(chars, lambda c: found(c, _CHAR_WIDTH))).otherwise(none).alias("c")),
+        lambda x: build(x["w"], x["c"], alone)))
 
 
 def hashes(text: Column, width: int = 3) -> Column:
@@ -76,6 +90,36 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - shared)
 
 
+def marks(found: Column) -> Column:
+    """array<bigint>: anchors' hashes, and for each two neighbouring anchors a hash of both and of the distance
+    between their positions. Texts share a neighbour mark where they have the same anchors equally far
+    apart, wherever that is in either text."""
+    near = F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.when(
+        b["hash"].isNotNull(), F.xxhash64(a["hash"], b["hash"], b["at"] - a["at"])))
+    return F.array_distinct(F.concat(F.transform(found, lambda x: x["hash"].cast("long")), F.array_compact(near)))
+
+
+def matched(a: Column, b: Column) -> Column:
+    """Share of common marks (0 to 1) of two structs of ``words`` and ``chars`` marks: anchors and their relative
+    positions. Marks over characters count where both texts have them, so a text just short of having
+    them is compared with one just beyond over words alone."""
+    both = (F.size(a["chars"]) > 0) & (F.size(b["chars"]) > 0)
+    shared = F.size(F.array_intersect(a["words"], b["words"])) + F.when(both, F.size(F.array_intersect(a["chars"], b["chars"]))).otherwise(0)
+    size = lambda x: F.size(x["words"]) + F.when(both, F.size(x["chars"])).otherwise(0)
+    return F.coalesce(F.try_divide(shared, size(a) + size(b) - shared), F.lit(0.0))
+
+
+def print_of(found: Column) -> Column:
+    """Fingerprint text of ``parts``: each anchor's six hex digits with its distance from the one before after a dot;
+    anchors over characters after a bar."""
+    def listed(x: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(x, lambda s: s["at"]))
+        return F.array_join(F.zip_with(x, F.slice(before, F.lit(1), F.size(x)), lambda s, at: F.concat(
+            F.lpad(F.lower(F.hex(s["hash"])), 6, "0"), F.lit("."), (s["at"] - at).cast("string"))), ",")
+
+    return F.when(F.size(found["chars"]) > 0, F.concat(listed(found["words"]), F.lit("|"), listed(found["chars"]))).otherwise(listed(found["words"]))
+
+
 def match_positions(left: DataFrame, right: DataFrame, width: int = 3) -> DataFrame:
     """(a, b, shift, n): per pair of documents of ``left`` and ``right`` (doc_id, text) that share
     anchors, how many agree at each distance of positions. Frequent anchors meet once per pair and
@@ -103,7 +147,7 @@ def fingerprints_and_edits(docs: DataFrame, width: int = 3) -> DataFrame:
     total = max(order.count(), 1)
     after = order.select(F.pmod(F.col("rank") - 1, F.lit(total)).alias("rank"), F.col("doc_id").alias("next_id"))
     chain = order.join(after, "rank").select("doc_id", "next_id", F.floor(F.col("n") / 2).cast("int").alias("need")).checkpoint()
-    base = (docs.withColumn("h", hashes(F.col("text"), width)).groupBy("doc_id").agg(F.min(F.struct("text", "h")).alias("x"))
+    base = (docs.withColumn("h", parts(F.col("text"), width)).groupBy("doc_id").agg(F.min(F.struct("text", "h")).alias("x"))
             .select("doc_id", F.col("x.text").alias("text"), F.col("x.h").alias("h")))
     given = base.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("h").alias("next_h"))
     half = F.floor(F.length("text") / 2).cast("int")
@@ -111,7 +155,8 @@ def fingerprints_and_edits(docs: DataFrame, width: int = 3) -> DataFrame:
     both = base.join(heads, "doc_id").select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "h", "next_h",
         F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    return both.withColumn("eh", hashes(F.col("edited"), width)).select(
-        "doc_id", "n_chars", F.col("edited").alias("edited_text"), fingerprint(F.col("h")).alias("fingerprint"),
-        fingerprint(F.col("eh")).alias("edited_fingerprint"), likeness(F.col("h"), F.col("eh")).alias("near_edited"),
-        likeness(F.col("h"), F.col("next_h")).alias("near_next"))
+    return both.withColumn("eh", parts(F.col("edited"), width)).withColumns({f"m_{c}": F.struct(
+        marks(F.col(c)["words"]).alias("words"), marks(F.col(c)["chars"]).alias("chars")) for c in ("h", "eh", "next_h")}).select(
+        "doc_id", "n_chars", F.col("edited").alias("edited_text"), print_of(F.col("h")).alias("fingerprint"),
+        print_of(F.col("eh")).alias("edited_fingerprint"), matched(F.col("m_h"), F.col("m_eh")).alias("near_edited"),
+        matched(F.col("m_h"), F.col("m_next_h")).alias("near_next"))
