@@ -12,6 +12,7 @@ from cellselect.operators.scale import with_chunks
 from cellselect.plans.registry import query
 from cellselect.session import scratch_path
 from cellselect.sources import files as S_
+from cellselect.sources.named_files import write_named
 
 
 @query("s1_read_metadata", """
@@ -39,8 +40,10 @@ def _paths(t):
 SELECT pano_id, CASE WHEN sample_key % 6 = 1 THEN 'pool_c' WHEN sample_key % 3 = 0 THEN 'pool_b' ELSE 'pool_a' END AS source_dir
 FROM samples WHERE sample_key % 6 <> 1 OR sample_key % 5 = 2""", "samples")
 def s2(t):
-    """The file index over a path listing with repeated ids and other suffixes."""
-    return S_.index_files(_paths(t)).select("pano_id", "source_dir")
+    """Files of three folders, some ids in two of them and some with another suffix, written and listed."""
+    path = scratch_path(t.spark, "pools")
+    write_named(_paths(t).select(F.regexp_replace("path", "^/data/", "").alias("name"), F.lit(b"-").alias("content")), path)
+    return S_.list_images(t.spark, [f"{path}/{pool}" for pool in ("pool_a", "pool_b", "pool_c")]).select("pano_id", "source_dir")
 
 
 def _feed(t):
