@@ -46,15 +46,18 @@ def stratified(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> Data
 
 
 def weighted_resample(df: DataFrame, key: str, weight: str, draws: int, seed: int = 42,
-                      buckets: int = 4096) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """``draws`` draws with replacement in proportion to weight: (draw, key), seed-stable.
 
     Rows get their slice [lo, lo + w) of the total weight: a running sum inside hash buckets plus the
-    sum of the buckets before (a table of ``buckets`` rows). Draws and slice starts then meet in
+    sum of the buckets before (a table of ``buckets`` rows; by default 4,096, or as many more as keep a
+    bucket at about 65,536 rows). Draws and slice starts then meet in
     ranges of equal row count, pinned by a checkpoint; one ordered pass takes the last start before
     each draw, and a slice that reaches into later ranges is carried there by range. A row that holds
     nearly all the weight neither repeats nor gathers its draws, nor squeezes the rest into few ranges.
     """
+    if buckets is None:
+        buckets = max(4096, 1 << (max(df.count(), 1) // 65_536).bit_length())
     n = F.lit(buckets)
     rows = df.select(key, F.col(weight).cast("double").alias("_w")).where(F.col("_w") > 0)
     rows = rows.withColumn("_b", F.floor(keyed_uniform(key, seed + 1) * n))

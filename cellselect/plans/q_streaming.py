@@ -165,22 +165,22 @@ def x4_keyed(t):
     return plain(by_slices(t, t.progress, lambda e: K.stalled_keyed(e, 900, 3000), "keyed"))
 
 
-_STATS = "SELECT level, cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat FROM long_cells GROUP BY level, cell"
+_STATS = "SELECT level, cell, count(*) AS n, round(avg(lat), 6) AS centroid_lat, round(avg(lng), 6) AS centroid_lng FROM long_cells GROUP BY level, cell"
 
 
 @query("x6_stream_cell_stats", _STATS, "long_cells")
 def x6(t):
     rows = C.explode_levels(t.s2_samples, ["lat", "lng"])
     out = latest(t, X.stream_cell_stats(as_stream(t, rows, "cells")), ["level", "cell"], "cells-out")
-    return out.select("level", geo.s2_text(F.col("cell")).alias("cell"), "n", F.round("centroid_lat", 6).alias("centroid_lat"))
+    return out.select("level", geo.s2_text(F.col("cell")).alias("cell"), "n", *[F.round(c, 6).alias(c) for c in ("centroid_lat", "centroid_lng")])
 
 
 @query("x7_stream_eval", """
 SELECT date_trunc('day', ts) AS window_start, count(*) AS n, round(avg(value * 10), 6) AS mean_km,
-       round(avg(CASE WHEN value * 10 < 25 THEN 1.0 ELSE 0.0 END), 6) AS within_25km, round(avg(CASE WHEN value * 10 < 200 THEN 1.0 ELSE 0.0 END), 6) AS within_200km
-FROM events GROUP BY 1""")
+       round(avg(CASE WHEN value * 10 < 25 THEN 1.0 ELSE 0.0 END), 6) AS within_25km, round(avg(CASE WHEN value * 10 < 200 THEN 1.0 ELSE 0.0 END), 6) AS within_200km,
+       round(quantile_disc(value * 10, 0.5), 6) AS median_km FROM events GROUP BY 1""")
 def x7(t):
     """The event value stands for a distance."""
     r = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 10).alias("distance_km"))
     out = latest(t, X.stream_eval(as_stream(t, r, "eval"), delay="40 days"), ["window_start"], "eval-out")
-    return plain(out).select("window_start", "n", *[F.round(c, 6).alias(c) for c in ("mean_km", "within_25km", "within_200km")])
+    return plain(out).select("window_start", "n", *[F.round(c, 6).alias(c) for c in ("mean_km", "within_25km", "within_200km", "median_km")])
