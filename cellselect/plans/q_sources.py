@@ -61,6 +61,14 @@ def s3(t):
     return S_.read_feed(t.spark, _feed(t), _seen_large(t), multi_line=False).select("pano_id")
 
 
+@query("s3_large_feed", """
+SELECT pano_id FROM samples WHERE NOT starts_with(pano_id, 'CAo')
+AND pano_id NOT IN (SELECT lpad(cast(l_orderkey * 2 AS varchar), 22, '0') FROM lineitem)""", "samples")
+def s3_large(t):
+    """The same feed, its coordinates cut out of the files by many tasks."""
+    return S_.read_feed(t.spark, _feed(t), _seen_large(t), large=True).select("pano_id")
+
+
 def _seen_large(t):
     return t.read("lineitem").select(F.lpad((F.col("l_orderkey") * 2).cast("string"), 22, "0").alias("pano_id"))
 
@@ -85,17 +93,32 @@ def s5(t):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pano_id").alias("ids"))
 
 
-@query("s6_read_geojson", "SELECT sample_key, gid_0 AS country_code FROM sample_geo", "sample_geo")
-def s6(t):
-    """Boundaries written as GeoJSON features, read back and joined with all samples."""
-    path = scratch_path(t.spark, "geojson")
+def _feature():
     ring = F.transform("rings", lambda r: F.transform(
         F.concat(r, F.array(F.element_at(r, 1))), lambda p: F.array(p["x"], p["y"])))
-    feature = F.struct(
+    return F.struct(
         F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"),
         F.struct(F.col("gid_0").alias("GID_0"), F.col("country").alias("COUNTRY"), "layer", "ord").alias("properties"))
-    t.boundaries.select(F.to_json(feature).alias("value")).write.text(path)
-    polygons = S_.read_geojson(t.spark, path, multi_line=False)
+
+
+@query("s6_read_geojson", "SELECT sample_key, gid_0 AS country_code FROM sample_geo", "sample_geo")
+def s6(t):
+    """Boundaries written as GeoJSON features, read back and joined with all samples."""
+    path = scratch_path(t.spark, "geojson")
+    t.boundaries.select(F.to_json(_feature()).alias("value")).write.text(path)
+    return _placed(t, S_.read_geojson(t.spark, path, multi_line=False))
+
+
+@query("s6_large_geojson", "SELECT sample_key, gid_0 AS country_code FROM sample_geo", "sample_geo")
+def s6_large(t):
+    """Boundaries written as one FeatureCollection per layer and cut out by tasks."""
+    path = scratch_path(t.spark, "collections")
+    texts = t.boundaries.select("layer", F.to_json(_feature()).alias("v")).groupBy("layer").agg(F.array_join(F.collect_list("v"), ",\n").alias("v"))
+    texts.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "v", F.lit("]}")).alias("value")).write.text(path)
+    return _placed(t, S_.read_geojson(t.spark, path, large=True))
+
+
+def _placed(t, polygons):
     out = S.reverse_geocode(t.samples.select("sample_key", "lat", "lng"), S.cover_tiles(polygons, 4.0), 4.0)
     return out.select("sample_key", "country_code")
 

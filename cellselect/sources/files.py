@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellselect.functions import geo
 from cellselect.operators.catalog import dedupe_priority
 from cellselect.operators.scale import first_n, with_chunks
+from cellselect.sources.json_objects import json_objects
 
 log = logging.getLogger(__name__)
 
@@ -55,14 +56,16 @@ def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = N
 
 
 def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int | None = None,
-              multi_line: bool = True) -> DataFrame:
+              multi_line: bool = True, large: bool = False) -> DataFrame:
     """Coordinate feed: explode, skip uploads (``CAo…``) and seen ids, each id once (its least
     coordinate). All rows come back unless the caller names a ``limit``; then the first ids in order.
-    Files are whole objects or one per line."""
-    schema = "customCoordinates array<struct<panoId:string,lat:double,lng:double>>"
-    rows = (spark.read.schema(schema).json(path, multiLine=multi_line)
-            .select(F.explode("customCoordinates").alias("c"))
-            .select(F.col("c.panoId").alias("pano_id"), "c.lat", "c.lng"))
+    Files are whole objects or one per line; ``large`` cuts a whole object's coordinates by many tasks."""
+    point = "struct<panoId:string,lat:double,lng:double>"
+    if large:
+        found = json_objects(spark, path).select(F.from_json("value", point).alias("c"))
+    else:
+        found = spark.read.schema(f"customCoordinates array<{point}>").json(path, multiLine=multi_line).select(F.explode("customCoordinates").alias("c"))
+    rows = found.select(F.col("c.panoId").alias("pano_id"), "c.lat", "c.lng")
     fresh = (rows.where(F.col("pano_id").isNotNull() & ~F.col("pano_id").startswith("CAo"))
              .join(seen.select("pano_id").distinct(), "pano_id", "left_anti"))
     once = fresh.groupBy("pano_id").agg(F.min(F.struct("lat", "lng")).alias("c")).select("pano_id", "c.lat", "c.lng")
@@ -123,15 +126,19 @@ def _rings(geometry: Column) -> Column:
         lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y"))))
 
 
-def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, multi_line: bool = True, large: bool = False) -> DataFrame:
     """FeatureCollection, Feature or bare geometry → (layer, ord, admin columns, rings). All parts
-    together are the region; rings of a file stay separate rows."""
+    together are the region; rings of a file stay separate rows. ``large`` is for FeatureCollections
+    that one task should not read: their features are cut out by many."""
     schema = (f"type string, coordinates string, geometry {_GEOMETRY}, properties map<string,string>, "
               f"features array<struct<geometry:{_GEOMETRY},properties:map<string,string>>>")
     raw = spark.read.schema(schema).json(path, multiLine=multi_line)
     own = F.struct(F.when(F.col("geometry").isNotNull(), F.col("geometry"))
                    .otherwise(F.struct("type", "coordinates")).alias("geometry"), F.col("properties").alias("properties"))
     f = raw.select(F.explode(F.coalesce("features", F.array(own))).alias("f")).select("f.geometry", "f.properties")
+    if large:
+        one = F.from_json("value", f"type string, geometry {_GEOMETRY}, properties map<string,string>").alias("f")
+        f = json_objects(spark, path).select(one).where("f.type = 'Feature'").select("f.geometry", "f.properties")
     prop = F.col("properties")
 
     def text(name: str) -> Column:
