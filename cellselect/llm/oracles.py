@@ -103,3 +103,15 @@ SELECT n.node AS conv_id, n.depth, par.parent AS parent_conv_id, n.n_convs, CAST
 FROM n JOIN sub ON sub.node = n.node AND sub.depth = n.depth
 LEFT JOIN par ON par.node = n.node AND par.depth = n.depth LEFT JOIN kids ON kids.node = n.node AND kids.depth = n.depth
 """
+
+OP4_SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g),
+gone AS (SELECT DISTINCT s.doc_id, unnest(range(i, i + 13)) AS p FROM s JOIN f ON f.g = s.g AND f.least < s.doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT e.doc_id, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN word END, ' ' ORDER BY e.p) AS kept
+      FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.p = e.p GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
