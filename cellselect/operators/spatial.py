@@ -207,9 +207,9 @@ def reverse_geocode(points: DataFrame, cover: DataFrame, size: float | None = No
     size = _cover_size(cover, size)
     la, ln = F.col(lat), F.col(lng)
     out = _in_leaf(points, cover, size, la, ln)
-    wide = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
-    cx, cy = (F.col("tx") + 0.5) * wide, (F.col("ty") + 0.5) * wide
-    hit = F.try_element_at(F.filter("cands", lambda c: contains(c, la, ln, cx, cy)), F.lit(1))
+    wide = F.lit(size) / F.pow(F.lit(2.0), F.col("_lv"))
+    cx, cy = (F.col("_tx") + 0.5) * wide, (F.col("_ty") + 0.5) * wide
+    hit = F.try_element_at(F.filter("_cands", lambda c: contains(c, la, ln, cx, cy)), F.lit(1))
     out = out.withColumn("_hit", hit)
     box = X.bbox_override(lat, lng) if overrides else F.lit(None).cast("struct<code:string,name:string>")
     out = out.withColumn("_box", box)
@@ -222,25 +222,25 @@ def reverse_geocode(points: DataFrame, cover: DataFrame, size: float | None = No
         "admin2_code": F.when(poly & (F.col("_hit.layer") < 1), F.col("_hit.gid_2")).otherwise(none),
         "admin2_name": F.when(poly & (F.col("_hit.layer") < 1), F.col("_hit.name_2")).otherwise(none),
         "hit_layer": F.when(poly, F.col("_hit.layer").cast("long")),
-    }).drop("level", "tx", "ty", "cands", "_hit", "_box")
+    }).drop("_lv", "_tx", "_ty", "_cands", "_hit", "_box")
 
 
 def _in_leaf(points: DataFrame, cover: DataFrame, size: float, la: Column, ln: Column) -> DataFrame:
-    """Each point with the leaf it lies in: level, tx, ty and cands, null where the cover has none."""
+    """Each point with the leaf it lies in: _lv, _tx, _ty and _cands, null where the cover has none."""
     def at(level: Column) -> dict[str, Column]:
         wide = F.lit(size) / F.pow(F.lit(2.0), level)
-        return {"tx": F.floor(ln / wide).cast("long"), "ty": F.floor(la / wide).cast("long")}
+        return {"_tx": F.floor(ln / wide).cast("long"), "_ty": F.floor(la / wide).cast("long")}
 
-    leaves = cover.select("level", "tx", "ty", "cands")
+    leaves = cover.select(F.col("level").alias("_lv"), F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("cands").alias("_cands"))
     if not _deepest(cover):
-        return points.withColumns(at(F.lit(0))).join(leaves, ["tx", "ty"], "left")
-    root = {c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(f"_r{c}") for c in ("tx", "ty")}
-    cut = cover.select(root["tx"], root["ty"], "levels").distinct()
-    pts = points.withColumns({f"_r{c}": v for c, v in at(F.lit(0)).items()}).join(cut, ["_rtx", "_rty"], "left")
-    pts = pts.drop("_rtx", "_rty").withColumn("level", F.explode_outer("levels"))
-    pts = pts.withColumns(at(F.coalesce("level", F.lit(0))))
-    out = pts.join(leaves, ["level", "tx", "ty"], "left")
-    return out.where(F.col("levels").isNull() | F.col("cands").isNotNull() | (F.size("levels") == 1)).drop("levels")
+        return points.withColumns(at(F.lit(0))).join(leaves, ["_tx", "_ty"], "left")
+    root = {c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(f"_r_{c}") for c in ("tx", "ty")}
+    cut = cover.select(root["tx"], root["ty"], F.col("levels").alias("_levels")).distinct()
+    pts = points.withColumns({f"_r{c}": v for c, v in at(F.lit(0)).items()}).join(cut, ["_r_tx", "_r_ty"], "left")
+    pts = pts.drop("_r_tx", "_r_ty").withColumn("_lv", F.explode_outer("_levels"))
+    pts = pts.withColumns(at(F.coalesce("_lv", F.lit(0))))
+    out = pts.join(leaves, ["_lv", "_tx", "_ty"], "left")
+    return out.where(F.col("_levels").isNull() | F.col("_cands").isNotNull() | (F.size("_levels") == 1)).drop("_levels")
 
 
 def within_any(points: DataFrame, polygons: DataFrame, size: float = 1.0, keep: str = "inside") -> DataFrame:

@@ -83,3 +83,12 @@ def test_edges_that_meet_in_a_point_stop_at_the_depth(spark):
     spokes = [(math.cos(a) * (1 if k % 2 else 0.001), math.sin(a) * (1 if k % 2 else 0.001)) for k, a in enumerate(np.arange(64) / 64 * 2 * math.pi)]
     cover = S.cover_tiles(polygons(spark, [(0, "star", [spokes])]), 1.0, 8, max_depth=4)
     assert cover.agg(F.max("level")).first()[0] == 4
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_points_keep_columns_of_the_cover_s_names(spark, most):
+    cover = S.cover_tiles(polygons(spark, [(0, "a", [[(0, 0), (9, 0), (9, 9), (5, 12), (0, 9)]])]), 4.0, most, max_depth=6)
+    pts = spark.createDataFrame([(7, "x", "y", "z", 1, 2, 3.0, 3.0), (8, "x", "y", "z", 1, 2, 30.0, 3.0)],
+                                "level int, tx string, ty string, cands string, levels int, size int, lat double, lng double")
+    out = sorted(S.reverse_geocode(pts, cover).select(*pts.columns, "country_code").collect())
+    assert [tuple(r) for r in out] == [(7, "x", "y", "z", 1, 2, 3.0, 3.0, "a"), (8, "x", "y", "z", 1, 2, 30.0, 3.0, None)]
