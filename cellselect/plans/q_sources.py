@@ -128,10 +128,8 @@ SELECT stem, md5(raw) AS digest FROM guides""", "guides")
 def s9(t):
     """Every guide as its own text file, read back whole."""
     path = scratch_path(t.spark, "guides")
-    t.guides.select("stem", F.col("raw").alias("value")).write.partitionBy("stem").text(path)
-    out = S_.read_guides(t.spark, path, "*.txt")
-    # the text sink ends each file with a newline
-    return out.select("stem", F.md5(F.regexp_replace("raw", r"\n\z", "")).alias("digest"))
+    write_named(t.guides.select(F.concat("stem", F.lit(".txt")).alias("name"), F.col("raw").cast("binary").alias("content")), path)
+    return S_.read_guides(t.spark, path, "*.txt").select("stem", F.md5("raw").alias("digest"))
 
 
 @query("s10_cells_parquet", "SELECT level, count(*) AS cells, cast(sum(n) AS bigint) AS rows FROM cell_stats WHERE level = 9 GROUP BY level", "cell_stats")

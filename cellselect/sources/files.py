@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from cellselect.functions import geo
 from cellselect.operators.catalog import dedupe_priority
 from cellselect.operators.scale import first_n, with_chunks
 from cellselect.sources.json_objects import json_objects
+from cellselect.sources.named_files import is_local, list_named, local_path, read_named
 
 log = logging.getLogger(__name__)
 
@@ -27,32 +29,41 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("valid_coord", geo.valid_coord("lat", "lng")))
 
 
-def index_files(paths: DataFrame, label: str | None = None) -> DataFrame:
-    """(path, priority) → (pano_id, source_dir, path): only ``.jpg``, the least priority wins."""
+def index_files(paths: DataFrame, label: str | Column | None = None) -> DataFrame:
+    """(path, priority) → (pano_id, source_dir, path): only ``.jpg``, the least priority wins. The tag is the
+    label, a text or a column of ``paths``, or the file's folder."""
     stem = F.regexp_extract("path", r"([^/]+)\.jpg$", 1)
-    tag = F.lit(label) if label else F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    tag = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1) if label is None or isinstance(label, str) and not label else F.lit(label)
     rows = (paths.where(F.col("path").endswith(".jpg"))
             .select(stem.alias("pano_id"), tag.alias("source_dir"), "path", "priority"))
     return dedupe_priority(rows, "pano_id", ["priority", "path"])
 
 
-def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = None) -> DataFrame:
-    """File index of image folders, earlier roots first; a missing root is a warning. Contents are
-    never read: the scan keeps the path column only."""
-    parts = []
+def list_images(spark: SparkSession, roots: Sequence[str], label: str | None = None, nested: bool = False) -> DataFrame:
+    """File index of image folders, earlier roots first; a missing root is a warning. Contents are never read.
+    Tasks list folders on disks and mounts (``nested``: with the folders below them, under the root's name), so
+    the driver holds no listing there; Spark lists other file systems."""
+    local, parts = {}, []
     for i, root in enumerate(roots):
+        if is_local(root):
+            if os.path.isdir(local_path(root)):
+                local[i] = root
+            else:
+                log.warning("no such image folder: %s", root)
+            continue
         try:
-            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(root)
+            files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", nested).load(root))
         except AnalysisException:
             log.warning("no such image folder: %s", root)
             continue
-        parts.append(files.select("path", F.lit(i).alias("priority")))
-    if not parts:
-        return index_files(spark.createDataFrame([], "path string, priority int"), label)
-    out = parts[0]
-    for p in parts[1:]:
+        parts.append(files.select(F.lit(i).alias("priority"), "path"))
+    out = list_named(spark, local, "*.jpg", nested)
+    for p in parts:
         out = out.unionByName(p)
-    return index_files(out, label)
+    if label or not nested:
+        return index_files(out, label)
+    tags = F.create_map(*[F.lit(v) for i, r in enumerate(roots) for v in (i, r.rstrip("/").rsplit("/", 1)[-1])]) if roots else F.lit(None)
+    return index_files(out, tags[F.col("priority")])
 
 
 def read_feed(spark: SparkSession, path: str, seen: DataFrame, limit: int | None = None,
@@ -165,10 +176,20 @@ def read_boundaries(layers: dict[int, DataFrame]) -> DataFrame:
 # --- guides -----------------------------------------------------------------------------------
 
 def read_guides(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """One row per guide file: (stem, raw). The stem is the file's name, or its ``stem=…`` folder."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    named = F.regexp_extract("_metadata.file_name", r"(.+)\.[^.]+$", 1)
-    return files.select((F.col("stem") if "stem" in files.columns else named).alias("stem"), F.col("value").alias("raw"))
+    """One row per guide file: (stem, raw). The stem is the file's name, or its ``stem=…`` folder. Tasks list and
+    read folders on disks and mounts; Spark does so on other file systems."""
+    if not is_local(path):
+        files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+        named = F.regexp_extract("_metadata.file_name", r"(.+)\.[^.]+$", 1)
+        return files.select((F.col("stem") if "stem" in files.columns else named).alias("stem"), F.col("value").alias("raw"))
+    root = local_path(path)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no folder of guides: {path}")
+    below = F.substring("path", len(root) + 2, 1 << 20)
+    folder = F.regexp_extract(below, r"^stem=([^/]+)/[^/]+$", 1)
+    files = list_named(spark, {0: root}, glob, nested=True).where(~below.contains("/") | (folder != ""))
+    stem = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.regexp_extract(below, r"([^/]+)\.[^.]+$", 1))
+    return read_named(files).select(stem.alias("stem"), F.col("content").cast("string").alias("raw"))
 
 
 # --- tables -----------------------------------------------------------------------------------

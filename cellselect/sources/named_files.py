@@ -1,12 +1,16 @@
-"""A sink that writes one file of chosen name and bytes per row, which Spark's own writers cannot."""
+"""A sink that writes one file of chosen name and bytes per row, which Spark's own writers cannot, and the way
+back: names and bytes of a folder's files, listed and read by tasks."""
 
 from __future__ import annotations
 
+import fnmatch
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -29,7 +33,8 @@ class Written(WriterCommitMessage):
 
 class NamedFilesWriter(DataSourceArrowWriter):
     """A file is written under a name of its own and moved to its place when it is whole: a repeated or
-    speculative task replaces a file by the same one, and a lost task leaves no half file under a name."""
+    speculative task replaces a file by the same one, and a lost task leaves no half file under a name. An empty
+    file is whole at once; it takes no block of a disk."""
 
     def __init__(self, path: str):
         self.path = path
@@ -44,11 +49,14 @@ class NamedFilesWriter(DataSourceArrowWriter):
                 if folder not in made:
                     system.create_dir(folder, recursive=True)
                     made.add(folder)
+                n += 1
+                if not content:
+                    system.open_output_stream(f"{root}/{name}").close()
+                    continue
                 part = f"{folder}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(content)
                 system.move(part, f"{root}/{name}")
-                n += 1
         return Written(n)
 
 
@@ -78,6 +86,88 @@ def write_named(df: DataFrame, path: str) -> None:
     df.select(name.alias("name"), F.coalesce("content", F.lit(b"")).cast("binary").alias("content")).write.format("named_files").mode("append").save(path)
 
 
+def is_local(path: str) -> bool:
+    """Whether tasks reach a path without Spark's own file systems (a disk or a mount that all share)."""
+    return "://" not in path or path.startswith("file:")
+
+
+def local_path(path: str) -> str:
+    return _open(path)[1].rstrip("/") or "/"
+
+
+def _entries(folder: str, glob: str, nested: bool) -> Iterator[tuple[str, bool]]:
+    """(path, is a folder) of a folder's files that match and, with ``nested``, of its folders; hidden ones are
+    left out. Names stream: no folder is held whole."""
+    with os.scandir(folder) as found:
+        for e in found:
+            if e.name.startswith("."):
+                continue
+            if e.is_dir():
+                if nested:
+                    yield e.path, True
+            elif fnmatch.fnmatchcase(e.name, glob):
+                yield e.path, False
+
+
+def _paths(rows: Iterator[tuple[int, str, bool]], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    names, held = ["priority", "path", "folder"], []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), (pa.int32(), pa.string(), pa.bool_()))], names)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), (pa.int32(), pa.string(), pa.bool_()))], names)
+
+
+def list_named(spark: SparkSession, roots: dict[int, str], glob: str, nested: bool = False) -> DataFrame:
+    """(priority, path) of the files below local or mounted folders, empty ones included; with ``nested`` also in
+    folders below them. A task lists a root and streams its names; its folders are dealt to many tasks. Neither
+    the driver nor a task holds a listing, and no file is opened."""
+    schema = "priority int, path string, folder boolean"
+
+    def top(batches):
+        for b in batches:
+            yield from _paths((i, p, d) for i, r in zip(b["priority"].to_pylist(), b["root"].to_pylist()) for p, d in _entries(r, glob, nested))
+
+    def below(i: int, path: str, folder: bool) -> Iterator[tuple[int, str, bool]]:
+        if not folder:
+            yield i, path, False
+            return
+        for p, d in _entries(path, glob, True):
+            yield from below(i, p, d)
+
+    def walk(batches):
+        for b in batches:
+            yield from _paths(r for row in zip(*(c.to_pylist() for c in b.columns)) for r in below(*row))
+
+    start = spark.createDataFrame([(i, local_path(r)) for i, r in roots.items()], "priority int, root string")
+    files = start.repartition(max(len(roots), 1), "priority").mapInArrow(top, schema)
+    if nested:
+        files = files.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(walk, schema)
+    return files.select("priority", "path")
+
+
+def read_named(paths: DataFrame) -> DataFrame:
+    """(path) → (path, content): the files' bytes, read by many tasks whatever their number and sizes."""
+    spark = paths.sparkSession
+
+    def read(batches):
+        for b in batches:
+            held, size = [], 0
+            for path in b["path"].to_pylist():
+                with open(path, "rb") as f:
+                    held.append((path, f.read()))
+                size += len(held[-1][1])
+                if size >= 1 << 23:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["path", "content"])
+                    held, size = [], 0
+            if held:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["path", "content"])
+
+    return paths.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "path string, content binary")
+
+
 def bmp(data, width: int, height: int):
     """Column of BMP file bytes for a column of top-down 24-bit BGR pixels of one size, four pixels wide or a
     multiple of that (rows need no padding)."""

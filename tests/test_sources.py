@@ -136,3 +136,18 @@ def test_parse_edges(spark):
 def test_unknown_image_mode_is_an_error(spark):
     with pytest.raises(Exception, match="unknown mode"):
         spark.range(1).select(T.image_mode(F.lit(2.0), F.lit(1.0), F.lit("odd"))).collect()
+
+
+def test_guides_are_read_as_they_are(spark, tmp_path):
+    """Many guides of one folder are listed and read by tasks; empty ones and folders named by stem count."""
+    for i in range(300):
+        (tmp_path / f"g{i}.txt").write_bytes(f"text {i}\n".encode() * (i % 3))
+    (tmp_path / "g.md").write_text("another suffix")
+    (tmp_path / "stem=a%3Ab").mkdir()
+    (tmp_path / "stem=a%3Ab" / "part-0.txt").write_text("folder")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.txt").write_text("not a guide")
+    out = files.read_guides(spark, str(tmp_path), "*.txt")
+    assert "FileScan" not in out._jdf.queryExecution().toString()  # such a scan lists in the driver
+    want = {f"g{i}": f"text {i}\n" * (i % 3) for i in range(300)} | {"a:b": "folder"}
+    assert {r.stem: r.raw for r in out.collect()} == want and out.count() == 301
