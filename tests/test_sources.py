@@ -151,3 +151,15 @@ def test_guides_are_read_as_they_are(spark, tmp_path):
     assert "FileScan" not in out._jdf.queryExecution().toString()  # such a scan lists in the driver
     want = {f"g{i}": f"text {i}\n" * (i % 3) for i in range(300)} | {"a:b": "folder"}
     assert {r.stem: r.raw for r in out.collect()} == want and out.count() == 301
+
+
+def test_list_images_of_nested_folders_and_empty_files(spark, tmp_path):
+    for name in ("one/00/a.jpg", "one/00/_b.jpg", "one/c.jpg", "one/.d.jpg", "two/01/02/a.jpg", "two/01/e.jpg", "two/01/f.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    roots = [f"file:{tmp_path}/one", str(tmp_path / "missing"), f"{tmp_path}/two/"]
+    out = files.list_images(spark, roots, nested=True)
+    assert "FileScan" not in out._jdf.queryExecution().toString()
+    assert {r.pano_id: r.source_dir for r in out.collect()} == {"a": "one", "_b": "one", "c": "one", "e": "two"}
+    assert {r.pano_id for r in files.list_images(spark, roots).collect()} == {"c"}
+    assert {r.source_dir for r in files.list_images(spark, roots, "tag", nested=True).collect()} == {"tag"}
