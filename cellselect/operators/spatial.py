@@ -341,25 +341,49 @@ def _home_tile(df: DataFrame, lat: str, lng: str, radius_km: float) -> DataFrame
 
 
 def nearest(points: DataFrame, targets: DataFrame, radius_km: float, point_id: str, target_id: str,
-            spread: str = "targets") -> DataFrame:
+            spread: str = "targets", crowd: int = 512) -> DataFrame:
     """Nearest target within the radius per point: (point_id, target_id, distance_km).
 
-    The side named by ``spread`` (the smaller one) is repeated in every tile its radius reaches, the
-    other has its home tile and crosses the network once. Targets travel packed per tile; each point
-    keeps one best per pack and one overall, so neither side's dense tiles emit pairs. Equal distances
-    go to the smaller target id.
+    Rows at one place count once: places of points look for places of targets, which stand for their smallest
+    id. The side named by ``spread`` (the smaller one) is repeated in every tile its radius reaches, the
+    other has its home tile and crosses the network once. Targets travel packed per tile; each place
+    keeps one best per pack and one overall, so neither side's dense tiles emit pairs. Where a target's tile
+    holds more than ``crowd`` places on average, smaller radii come first: a place with a target within one
+    needs no wider tiles. Equal distances go to the smaller target id.
     """
     if spread not in ("targets", "points"):
         raise ValueError(f"spread is targets or points, not {spread}")
+    rows = points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).distinct()
+    sites = targets.groupBy("lat", "lng").agg(F.min(target_id).alias(target_id))
+    left = rows.select("_lat", "_lng").distinct()
+    shared_dir(points.sparkSession)
+    tiles = _home_tile(sites, "lat", "lng", radius_km).groupBy("band", "col").agg(F.count(F.lit(1)).alias("n"))
+    mean = tiles.agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    reach, found = radius_km, None
+    if mean > crowd:
+        reach = radius_km * math.sqrt(64 / mean)
+        sites, left = sites.checkpoint(), left.checkpoint()
+    while True:
+        near = _nearest_place(left, sites, reach, target_id, spread)
+        if reach < radius_km:
+            near = near.checkpoint()
+            left = left.join(near, ["_lat", "_lng"], "left_anti").checkpoint()
+        found = near if found is None else found.unionByName(near)
+        if reach >= radius_km:
+            return rows.join(found, ["_lat", "_lng"]).select(point_id, target_id, "distance_km")
+        reach = min(4 * reach, radius_km)
+
+
+def _nearest_place(places: DataFrame, sites: DataFrame, radius_km: float, target_id: str, spread: str) -> DataFrame:
+    """(_lat, _lng, target_id, distance_km) of the places that have a site within the radius."""
     tiled = {True: _radius_tiles, False: _home_tile}
-    packs = packed(tiled[spread == "targets"](targets.select(target_id, "lat", "lng").withColumns(_unit("lat", "lng")), "lat", "lng", radius_km),
+    packs = packed(tiled[spread == "targets"](sites.withColumns(_unit("lat", "lng")), "lat", "lng", radius_km),
                    ["band", "col"], [target_id], ["lat", "lng", target_id, "ux", "uy", "uz"], 256)
-    p = points.select(point_id, F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).withColumns(_unit("_lat", "_lng"))
-    near = tiled[spread == "points"](p, "_lat", "_lng", radius_km).join(packs, ["band", "col"])
+    near = tiled[spread == "points"](places.withColumns(_unit("_lat", "_lng")), "_lat", "_lng", radius_km).join(packs, ["band", "col"])
     best = F.array_min(F.transform("items", lambda c: F.struct(
         _chord2(c).alias("chord2"), c[target_id].alias(target_id), c["lat"].alias("lat"), c["lng"].alias("lng"))))
-    found = near.select(point_id, "_lat", "_lng", best.alias("_b")).groupBy(point_id, "_lat", "_lng").agg(F.min("_b").alias("_b"))
-    return (found.select(point_id, F.col(f"_b.{target_id}").alias(target_id),
+    found = near.select("_lat", "_lng", best.alias("_b")).groupBy("_lat", "_lng").agg(F.min("_b").alias("_b"))
+    return (found.select("_lat", "_lng", F.col(f"_b.{target_id}").alias(target_id),
                          geo.haversine_km("_lat", "_lng", "_b.lat", "_b.lng").alias("distance_km"))
             .where(F.col("distance_km") <= radius_km))
 

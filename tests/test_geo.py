@@ -160,6 +160,42 @@ def test_nearest_brute_force_with_poles_and_date_line(spark):
         assert got[1003][0] == want[1003][0]
 
 
+@pytest.mark.parametrize("spread", ["targets", "points"])
+def test_nearest_in_crowds_and_at_shared_places(spark, spread):
+    """Rounds of growing radii give what one radius gives, and copies of a place meet once."""
+    p = [(i, 10 + i % 40 * 0.005, 20 + i % 37 * 0.004) for i in range(300)] + [(900, -89.99, 5.0), (901, 50.0, 50.0)]
+    q = [(t, 10 + t % 50 * 0.0031, 20 + t % 23 * 0.0047) for t in range(2000)] + [(5000, -89.98, 170.0), (5001, 10.19, 20.2), (7, 50.03, 50.0)]
+    a = spark.createDataFrame(p, "id long, lat double, lng double")
+    b = spark.createDataFrame(q, "tid long, lat double, lng double")
+    want = {}
+    for i, la, ln in p:
+        d, t = min((round(hav(la, ln, x, y), 9), t) for t, x, y in q)
+        if d <= 5.0:
+            want[i] = (t, round(d, 5))
+    got = {r.id: (r.tid, round(r.distance_km, 5)) for r in S.nearest(a, b, 5.0, "id", "tid", spread, crowd=4).collect()}
+    assert got == want and len(want) > 295
+    assert {r.id: (r.tid, round(r.distance_km, 5)) for r in S.nearest(a, b, 5.0, "id", "tid", spread).collect()} == want
+
+
+def test_nearest_compares_places_not_rows(spark):
+    """A million pairs of copies are one pair of places."""
+    a = spark.range(1000).select("id", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    b = spark.range(1000).select((F.col("id") + 5).alias("tid"), F.lit(1.001).alias("lat"), F.lit(2.0).alias("lng"))
+    packs = []
+    real = S.packed
+
+    def spy(df, *args):
+        packs.append(df.count())
+        return real(df, *args)
+
+    S.packed = spy
+    try:
+        out = S.nearest(a, b, 5.0, "id", "tid")
+    finally:
+        S.packed = real
+    assert max(packs) <= 12 and {r.tid for r in out.collect()} == {5} and out.count() == 1000
+
+
 def test_pairs_within_brute_force(spark):
     p, q = points(spark, 150, 21), points(spark, 200, 22)
     a = spark.createDataFrame(p, "id long, lat double, lng double")
