@@ -19,9 +19,10 @@ from cellselect.functions import geo
 from cellselect.operators import scores as R
 from cellselect.session import shared_dir
 
-PROTO_PACK = 512
-QUERY_PACK = 64
-PACKS_PER_KEY = 32
+PROTO_PACK = 2048
+QUERY_PACK = 1024
+#: Packs of either side that meet under one key of the grid.
+PACKS_PER_KEY = 16
 
 
 def _matrix(structs: pa.StructArray, start: int, end: int) -> np.ndarray:
@@ -33,33 +34,65 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _first_k(k: int, group: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of the k best of each group, in order: by similarity (NaN last), ties to the smaller id."""
+    order = np.lexsort((ids, -sim, group))
+    g = group[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    return order[np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)])) < k]
+
+
+def _candidates(k: int, q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, prototype, sim) of all pairs that may be among a query's k best. A matrix product rounds a pair by its
+    place in the matrix, so those near the k-th are kept and computed anew, each alike: copies tie."""
+    sims = q @ p.T
+    if np.isnan(q).any() or np.isnan(p).any():
+        sims[np.isnan(sims)] = -np.inf
+    if k < len(p):
+        # the k-th largest of the greatest of 16 each is no larger than the k-th of all
+        tops = np.maximum.reduceat(sims, np.arange(0, len(p), 16), axis=1) if k * 16 < len(p) else sims
+        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - 1e-12
+        at_q, at_p = np.divmod(np.flatnonzero(sims >= least[:, None]), len(p))
+    else:
+        at_q, at_p = (x.ravel() for x in np.indices(sims.shape))
+    return at_q, at_p, np.einsum("ij,ij->i", q[at_q], p[at_p])
+
+
 def _best_of(k: int, carry: Sequence[str]):
-    """Arrow function: joined packs → the k most similar prototypes per query and pack."""
+    """Arrow function: joined packs → the k most similar prototypes per query and pack of queries. Consecutive
+    rows of one pack of queries are merged, so it sends k rows for each query, not for each of its packs."""
+    names = ["query_id", *carry, "cell_idx", "n_prototypes", "vec_id", "sim", "lat", "lng"]
+
+    def sent(key: tuple, queries: pa.StructArray, at: np.ndarray, sim: np.ndarray, found: list[pa.Array]) -> pa.RecordBatch:
+        take = pa.array(at)
+        same = [pa.array(np.full(len(at), v), pa.int64()) for v in key[:2]]
+        return pa.RecordBatch.from_arrays([*[queries.field(n).take(take) for n in ("query_id", *carry)], *same, found[0], pa.array(sim), *found[1:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key, queries, their unit vectors, query of each found row, its sim, its (vec_id, lat, lng)
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             protos, queries = cols["protos"], cols["queries"]
-            p_all, q_all = protos.values, queries.values
             p_off, q_off = protos.offsets.to_numpy(), queries.offsets.to_numpy()
-            p_ids = p_all.field("vec_id").to_numpy(zero_copy_only=False)
-            rows, q_at, p_at, sim_at = [], [], [], []
             for r in range(batch.num_rows):
                 p0, p1, q0, q1 = p_off[r], p_off[r + 1], q_off[r], q_off[r + 1]
-                sims = _unit(_matrix(q_all, q0, q1)) @ _unit(_matrix(p_all, p0, p1)).T
-                order = np.lexsort((np.broadcast_to(p_ids[p0:p1], sims.shape), -sims), axis=1)[:, :k]
-                n = order.shape[1]
-                rows.append(np.full(n * (q1 - q0), r))
-                q_at.append(np.repeat(np.arange(q0, q1), n))
-                p_at.append(p0 + order.ravel())
-                sim_at.append(np.take_along_axis(sims, order, 1).ravel())
-            if rows:
-                r, q, p = (pa.array(np.concatenate(x)) for x in (rows, q_at, p_at))
-                names = ["query_id", *carry, "cell_idx", "n_prototypes", "vec_id", "sim", "lat", "lng"]
-                arrays = [q_all.field(n).take(q) for n in ("query_id", *carry)]
-                arrays += [cols["cell_idx"].take(r), cols["n_prototypes"].take(r), p_all.field("vec_id").take(p),
-                           pa.array(np.concatenate(sim_at)), p_all.field("lat").take(p), p_all.field("lng").take(p)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                key = tuple(cols[n][r].as_py() for n in ("cell_idx", "n_prototypes", "chunk", "_j"))
+                new = held is None or held[0] != key
+                if new and held is not None:
+                    yield sent(held[0], held[1], *held[3:])
+                if new:
+                    own = pa.concat_arrays([queries.values.slice(q0, q1 - q0)])
+                    held = (key, own, _unit(_matrix(own, 0, len(own))), np.zeros(0, np.int64), np.zeros(0), None)
+                _, own, units, at, sim, found = held
+                at_q, at_p, s = _candidates(k, units, _unit(_matrix(protos.values, p0, p1)))
+                rows = [protos.values.field(n).take(pa.array(p0 + at_p)) for n in ("vec_id", "lat", "lng")]
+                if found is not None:
+                    at_q, s = np.concatenate([at, at_q]), np.concatenate([sim, s])
+                    rows = [pa.concat_arrays([a, b]) for a, b in zip(found, rows)]
+                best = _first_k(k, at_q, s, rows[0].to_numpy(zero_copy_only=False))
+                held = (key, own, units, at_q[best], s[best], [c.take(pa.array(best)) for c in rows])
+        if held is not None:
+            yield sent(held[0], held[1], *held[3:])
 
     return run
 
@@ -100,8 +133,9 @@ def in_cell_topk(cands: DataFrame, queries: DataFrame, protos: DataFrame, k: int
          .join(queries.select(*on, "embedding"), list(on))
          .groupBy("cell_idx", "chunk", "_a", "_b")
          .agg(F.collect_list(F.struct("query_id", *carry, "embedding")).alias("queries"))
-         .select("cell_idx", "queries", F.pmod("chunk", "_a").alias("_i"), upto("_b").alias("_j")))
-    joined = p.join(q, ["cell_idx", "_i", "_j"]).select("cell_idx", "n_prototypes", "protos", "queries")
+         .select("cell_idx", "chunk", "queries", F.pmod("chunk", "_a").alias("_i"), upto("_b").alias("_j")))
+    # a pack of queries goes through the packs of its key one after the other
+    joined = q.join(p, ["cell_idx", "_i", "_j"]).select("cell_idx", "n_prototypes", "chunk", "_j", "protos", "queries")
     types = dict(cands.dtypes)
     schema = ", ".join(["query_id long", *[f"{c} {types[c]}" for c in carry], "cell_idx long", "n_prototypes long",
                         "vec_id long", "sim double", "lat double", "lng double"])

@@ -132,3 +132,34 @@ def test_decision_never_moves_without_a_near_point(spark):
     assert {i: r for i, (r, _) in got.items() if i > 1} == {2: "too_far", 3: "area_centroid", 4: "country_mismatch", 5: "low_confidence",
                                                           6: "no_text", 7: "timeout", 8: "too_coarse"}
     assert all(lat == 1.1 for i, (_, lat) in got.items() if i > 1)
+
+
+def test_a_query_sends_its_best_once_for_all_packs_of_a_key():
+    """Packs of one query pack are merged in the task; copies tie to the smaller id whatever their place, NaN comes last."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    vecs = np.repeat(rng.normal(size=(60, 8)), 5, axis=0)
+    vecs[7] = np.nan
+    ids = rng.permutation(300)
+    asked = rng.normal(size=(9, 8))
+    protos = [{"vec_id": int(i), "embedding": v.tolist(), "lat": None if i == 3 else float(i), "lng": 1.0} for i, v in zip(ids, vecs)]
+    queries = [{"query_id": n, "embedding": v.tolist()} for n, v in enumerate(asked)]
+    kind = pa.struct([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("lat", pa.float64()), ("lng", pa.float64())])
+    asks = pa.struct([("query_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    packs = [protos[i:i + 70] for i in range(0, 300, 70)]
+
+    def batch(rows):
+        n = len(rows)
+        return pa.record_batch([pa.array([4] * n, pa.int64()), pa.array([300] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()),
+                                pa.array(rows, pa.list_(kind)), pa.array([queries] * n, pa.list_(asks))],
+                               names=["cell_idx", "n_prototypes", "chunk", "_j", "protos", "queries"])
+
+    for k in (3, 7, 400):
+        out = pa.Table.from_batches(list(V._best_of(k, ())(iter([batch(packs[:2]), batch(packs[2:])])))).to_pylist()
+        assert len(out) == 9 * min(k, 300)
+        for n, v in enumerate(asked):
+            sims = [(float(np.dot(x / np.linalg.norm(x), v / np.linalg.norm(v))), int(i)) for i, x in zip(ids, vecs)]
+            want = sorted(((-round(s, 9), i) if s == s else (9.0, i)) for s, i in sims)[:k]
+            got = [r for r in out if r["query_id"] == n]
+            assert [r["vec_id"] for r in got] == [i for _, i in want]
+            assert all(r["lat"] == (None if r["vec_id"] == 3 else r["vec_id"]) for r in got)
