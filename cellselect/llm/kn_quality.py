@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model learns from trusted documents (a bounded sample per language) over the words of that sample.
+The model learns from three quarters of the trusted documents over the words of that part.
 Its table of n-grams is cut into shards by key. Documents, as arrays of word numbers, are dealt into
 chunks; a chunk asks each shard once about each distinct n-gram it holds and gets discounted
 probability and back-off weight back, so a frequent n-gram counts once per chunk. A Bloom filter over
@@ -285,12 +285,12 @@ def _sharded(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("key", "alpha", "gamma").mapInArrow(run, "key long, code int, bucket int")
 
 
-def quality(docs: DataFrame, labels: DataFrame, docs_per_lang: int = 4000, vocabulary_size: int = MOST_WORDS, quantile: float = 0.98,
+def quality(docs: DataFrame, labels: DataFrame, docs_per_lang: int | None = None, vocabulary_size: int = MOST_WORDS, quantile: float = 0.98,
             chunk_words: int = 1_200_000) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, kept) per distinct doc_id of ``docs``.
 
-    Trusted: ``labels`` with quality 1 and toxic 0. Three quarters of them, at most about
-    ``docs_per_lang`` per language and chosen by a hash of the id, train the model; all others of a
+    Trusted: ``labels`` with quality 1 and toxic 0. Three quarters of them, chosen by a hash of the id, train the
+    model (where the caller names ``docs_per_lang``, at most about so many per language); all others of a
     language set its threshold, the ``quantile`` of their perplexities (to 1/1000 of log10). The
     vocabulary has every word of the training text, or the ``vocabulary_size`` most frequent ones. A language
     without any takes that of all. Null lang is a language of its own; null or empty text has its end
@@ -307,11 +307,12 @@ def quality(docs: DataFrame, labels: DataFrame, docs_per_lang: int = 4000, vocab
     trusted = docs.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("f")).select("doc_id", "f.row", "f.lang").checkpoint()
     sizes = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1_000_000))
+    share = F.lit(1.0) if docs_per_lang is None else F.least(F.lit(1.0), docs_per_lang / (0.75 * F.col("c")))
     split = (trusted.join(sizes.withColumnRenamed("lang", "l"), F.expr("lang <=> l")).select(
         "doc_id", "row", "lang", (part < 750_000).alias("train"),
-        (part < 750_000 * F.least(F.lit(1.0), docs_per_lang / (0.75 * F.col("c")))).alias("use")))
-    sample = split.where("train and use").select("doc_id", "row")  # at most about docs_per_lang ids per language
-    text = _written(docs.join(F.broadcast(sample), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id"]), "trusted")
+        (part < 750_000 * share).alias("use")))
+    sample = split.where("train and use").select("doc_id", "row")
+    text = _written(docs.join(sample, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id"]), "trusted")
     vocabulary, others = _vocabulary(text, min(vocabulary_size, MOST_WORDS))
     table, unigram = train(text, vocabulary)
     words = docs.agg(F.sum(F.length("text"))).first()[0] or 0

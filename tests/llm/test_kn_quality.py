@@ -99,3 +99,26 @@ def test_a_doc_id_with_two_texts_is_one_of_its_rows(spark, prose):
         mine = [single[t, lang] for d, t, lang in rows if d == i]
         assert any((out[i].lang, out[i].n_tokens, out[i].perplexity) == (m.lang, m.n_tokens, m.perplexity) for m in mine)
     assert out[901].lang == "aa" and out[902].lang == "en"  # equal texts: smallest lang; a null text comes last
+
+
+def test_all_training_documents_are_counted(spark, monkeypatch):
+    """More trusted documents of a language than any sample held: three quarters of them train."""
+    from pyspark.sql import functions as F
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def vocabulary(text, size):
+        seen.append(text.count())
+        raise Seen
+
+    monkeypatch.setattr("cellselect.llm.kn_quality._vocabulary", vocabulary)
+    for bound in (None, 1000):
+        try:
+            Q.quality(docs, labels, **({} if bound is None else {"docs_per_lang": bound}))
+        except Seen:
+            pass
+    assert 4300 < seen[0] < 4700 and 800 < seen[1] < 1200
