@@ -15,92 +15,140 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cellselect.streaming.events import TERMINAL
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EVENT = "ts long, event_id long, event string"
+#: Events as blocks of columns: a block is one value of the state.
+_EVENTS = "request array<long>, ts array<long>, event_id array<long>, event array<string>"
+_BLOCK = 10_000
+#: Groups into which requests are dealt by a hash of their id. One call handles all requests of a group that are
+#: due, so calls and timers grow with groups and batches, not with requests. Part of a checkpoint's state.
+GROUPS = 1024
 
 
-def _micros(ts: pd.Series) -> np.ndarray:
+def dealt(events: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """``events`` with their group and whether they lack a request, which is then a request of its own (and 0 here: pandas
+    would turn the ids beside a null into floats)."""
+    return events.select(F.coalesce("request_id", F.lit(0)).alias("request_id"), "event_id", "ts", "event", F.pmod(F.xxhash64("request_id"), F.lit(groups)).alias("_group"),
+                         F.isnull("request_id").alias("_none"))
+
+
+def micros(ts: pd.Series) -> np.ndarray:
     return (ts.dt.tz_localize(None) if ts.dt.tz is not None else ts).astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _stamps(us: list[int]) -> pd.Series:
+def stamps(us: list[int]) -> pd.Series:
     return pd.Series(us, dtype="int64").astype("datetime64[us]")
 
 
+def _due_at(us: int) -> int:
+    """The first millisecond at which the moment has come."""
+    return -(-us // 1000)
+
+
 class InOrder(StatefulProcessor):
-    """Typed list state of events ahead of the watermark, and a timer at the earliest moment something is due.
+    """Typed list state of a group's events ahead of the watermark, what is kept of its requests, and one timer at
+    the earliest moment something is due.
+
+    ``settle(kept, events, now, more)`` gets a request's ``fields`` (None: none are kept), those of its events that no
+    earlier one can follow any more, in order (possibly none), the watermark in microseconds and whether later events
+    are held; it returns output rows, the fields to keep or None, and the next moment at which it wants to be
+    called without an event, or None."""
 
-    ``settle(events, now, more)`` gets the events that no earlier one can follow any more, in order (possibly
-    none), the watermark in microseconds and whether later events are held; it returns output rows and the
-    next moment at which it wants to be called without an event, or None."""
+    fields: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _EVENT)
-        self.open(handle)
+        self.pending = handle.getListState("pending", _EVENTS)
+        columns = ["request long", "due long", *self.fields]
+        self.requests = handle.getValueState("requests", ", ".join("{} array<{}>".format(*c.split()) for c in columns))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [row for batch in rows for row in zip(_micros(batch["ts"]).tolist(), batch["event_id"].tolist(), batch["event"].tolist())]
-        self.pending.appendList(new)
-        self._wake(min(t for t, _, _ in new))
+        first = None
+        for batch in rows:
+            ts = micros(batch["ts"]).tolist()
+            if ts:
+                self.pending.appendList(self._blocks(list(zip(batch["request_id"].tolist(), ts, batch["event_id"].tolist(), batch["event"].tolist()))))
+                first = min(ts) if first is None else min(first, min(ts))
+        if first is not None:
+            self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        due = sorted(r for r in held if r[0] <= now)
-        rest = [r for r in held if r[0] > now]
-        if rest:
-            self.pending.put(rest)
+        held = [event for block in self.pending.get() for event in zip(*block)] if self.pending.exists() else []
+        due: dict[int, list[tuple]] = {}
+        for request, *event in sorted(r for r in held if r[1] <= now):
+            due.setdefault(request, []).append(tuple(event))
+        rest = [r for r in held if r[1] > now]
+        if due:
+            blocks = self._blocks(rest)
+            if blocks:
+                self.pending.put(blocks)
+            else:
+                self.pending.clear()
+        later = {r[0] for r in rest}
+        kept = {request: (at, fields) for request, at, *fields in zip(*self.requests.get())} if self.requests.exists() else {}
+        out = []
+        for request in sorted(due.keys() | {r for r, (at, _) in kept.items() if at is not None and at <= now}):
+            rows, fields, again = self.settle(kept.get(request, (None, None))[1], due.get(request, []), now, request in later)
+            out += [(None if key[1] else request, *row) for row in rows]
+            kept.pop(request, None)
+            if fields is not None:
+                kept[request] = (again, fields)
+        if kept:
+            self.requests.update(tuple(list(c) for c in zip(*((request, at, *fields) for request, (at, fields) in kept.items()))))
         else:
-            self.pending.clear()
-        out, again = self.settle(due, now, bool(rest))
-        moments = [m for m in (again, min((r[0] for r in rest), default=None)) if m is not None]
+            self.requests.clear()
+        moments = [at for at, _ in kept.values() if at is not None] + [r[1] for r in rest]
         if moments:
-            self._wake(min(moments))
+            self.handle.registerTimer(_due_at(min(moments)))
         if out:
-            yield self.frame(key[0], out)
+            yield self.frame(out)
+
+    def _blocks(self, events: list[tuple]) -> list[tuple]:
+        return [tuple(list(c) for c in zip(*events[i:i + _BLOCK])) for i in range(0, len(events), _BLOCK)]
 
     def _wake(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000)
+        """One timer a group: an earlier one takes the place of a later one."""
+        at = _due_at(us)
+        timers = list(self.handle.listTimers())
+        if not timers or at < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
 
     def close(self) -> None:
         """State goes with its timers; nothing is held outside it."""
 
 
 class _LeastGap(InOrder):
+    fields = ("last long",)
+
     def __init__(self, gap: int):
         self.gap = gap
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts long")
-
-    def settle(self, events, now, more):
-        last = self.last.get()[0] if self.last.exists() else None
+    def settle(self, kept, events, now, more):
+        last = kept[0] if kept else None
         out = []
         for event in events:
             if last is None or event[0] - last >= self.gap:
                 out.append(event)
                 last = event[0]
         if last is None or now >= last + self.gap:  # whatever comes now is far enough
-            self.last.clear()
-            return out, None
-        self.last.update((last,))
-        return out, last + self.gap + 1000
+            return out, None, None
+        return out, (last,), last + self.gap
 
-    def frame(self, request, rows):
-        ts, ids, events = zip(*rows)
-        return pd.DataFrame({"request_id": [request] * len(rows), "event_id": ids, "ts": _stamps(list(ts)), "event": events})
+    def frame(self, rows):
+        requests, ts, ids, events = zip(*rows)
+        return pd.DataFrame({"request_id": requests, "event_id": ids, "ts": stamps(list(ts)), "event": events})
 
 
 class _Stalled(InOrder):
+    fields = ("first long", "last long", "terminal boolean", "told boolean")
+
     def __init__(self, gap: int, limit: int):
         self.gap, self.limit = gap, limit
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("request", "first long, last long, terminal boolean, told boolean")
-
-    def settle(self, events, now, more):
-        first, last, terminal, told = self.state.get() if self.state.exists() else (None, None, True, False)
+    def settle(self, kept, events, now, more):
+        first, last, terminal, told = kept or (None, None, True, False)
         out = []
         for t, _, event in events:
             if not terminal and t - last > self.gap:
@@ -110,26 +158,24 @@ class _Stalled(InOrder):
                 out.append((first + self.limit, "total"))
                 told = True
         if last is None:
-            return out, None
+            return out, None, None
         if now > last + self.gap and not more:
             if not terminal:
                 out.append((last, "silent"))
-            self.state.clear()
-            return out, None
-        self.state.update((first, last, terminal, told))
-        return out, None if more else last + self.gap + 1000
+            return out, None, None
+        return out, (first, last, terminal, told), None if more else last + self.gap + 1
 
-    def frame(self, request, rows):
-        after, reasons = zip(*rows)
-        return pd.DataFrame({"request_id": [request] * len(rows), "after": _stamps(list(after)), "reason": reasons})
+    def frame(self, rows):
+        requests, after, reasons = zip(*rows)
+        return pd.DataFrame({"request_id": requests, "after": stamps(list(after)), "reason": reasons})
 
 
 def _keyed(events: DataFrame, processor: InOrder, schema: str, delay: str) -> DataFrame:
     conf = events.sparkSession.conf
     if conf.get("spark.sql.streaming.stateStore.providerClass", "") != _STORE:
         conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)  # the store this kind of state needs
-    e = events.select("request_id", "event_id", "ts", "event").withWatermark("ts", delay)
-    return e.groupBy("request_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    e = dealt(events).withWatermark("ts", delay)
+    return e.groupBy("_group", "_none").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 _THROTTLED = "request_id long, event_id long, ts timestamp, event string"
