@@ -113,41 +113,65 @@ def stalled(events: DataFrame, gap_seconds: int, total_seconds: int) -> DataFram
     return gaps.unionByName(late.select("request_id", passed.alias("after"), F.lit("total").alias("reason")))
 
 
+#: One open request in the state of its group: first and last event, and the watermark's millisecond past which it is silent.
+_OPEN = np.dtype([("request", "i8"), ("first", "i8"), ("last", "i8"), ("terminal", "?"), ("told", "?"), ("due", "i8")])
+
+
 def stalled_stream(events: DataFrame, gap_seconds: int, total_seconds: int, delay: str = "1 hour") -> DataFrame:
-    """Streaming form with an event-time timer per request. A request's state is its first and last
-    event only; the timer fires when the watermark passes the gap after the last event. Events of a
-    request are expected in time order from batch to batch. ``total`` is told once, in the batch of
-    the first event past the limit, however busy the request stays."""
+    """Streaming form with event-time timers. A request's state is its first and last event only; it is
+    silent when the watermark passes the gap after the last event. Requests are dealt into ``keyed.GROUPS`` groups,
+    each with one state and one timer at the earliest such moment, and a batch handles a group's requests at
+    once. Events of a request are expected in time order from batch to batch. ``total`` is told once, in the
+    batch of the first event past the limit, however busy the request stays."""
+    from cellselect.streaming.keyed import dealt, micros, stamps
     schema = "request_id long, after timestamp, reason string"
-    state_schema = "first long, last long, terminal boolean, told boolean"
     gap, limit = gap_seconds * 1_000_000, total_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows: list[tuple[int, str]] = []
-        if state.hasTimedOut:
-            _, last, terminal, _ = state.get
-            if not terminal:
-                rows.append((last, "silent"))
-            state.remove()
+        now = state.getCurrentWatermarkMs()
+        known = np.frombuffer(state.get[0], _OPEN) if state.exists else np.zeros(0, _OPEN)
+        rows: list[tuple[np.ndarray, np.ndarray, str]] = []
+        fresh = known[:0]
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches))
+            ids, ts, done = new["request_id"].to_numpy(), micros(new["ts"]), new["event"].isin(TERMINAL).to_numpy()
+            order = np.lexsort((new["event_id"].to_numpy(), ts, ids))
+            ids, ts, done = ids[order], ts[order], done[order]
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            end = np.r_[start[1:], len(ids)] - 1
+            fresh = np.zeros(len(start), _OPEN)
+            fresh["request"], fresh["first"], fresh["last"], fresh["terminal"] = ids[start], ts[start], ts[start], True
+            _, old, at = np.intersect1d(known["request"], fresh["request"], assume_unique=True, return_indices=True)
+            fresh[at] = known[old]
+            known = np.delete(known, old)
+            each = np.repeat(np.arange(len(start)), end - start + 1)
+            before, ended = np.r_[0, ts[:-1]], np.r_[True, done[:-1]]
+            before[start], ended[start] = fresh["last"], fresh["terminal"]
+            before = np.maximum(before, fresh["last"][each])
+            late = (ts - before > gap) & ~ended
+            rows.append((ids[late], before[late], "gap"))
+            fresh["first"], fresh["last"] = np.minimum(fresh["first"], ts[start]), np.maximum(fresh["last"], ts[end])
+            over = ~fresh["told"] & (fresh["last"] - fresh["first"] > limit)
+            rows.append((fresh["request"][over], fresh["first"][over] + limit, "total"))
+            fresh["told"] |= over
+            fresh["terminal"] = done[end]
+            fresh["due"] = np.maximum((fresh["last"] + gap) // 1000, now + 1000)
+        over = known["due"] < now
+        silent = known[over & ~known["terminal"]]
+        rows.append((silent["request"], silent["last"], "silent"))
+        held = np.concatenate([known[~over], fresh])
+        if len(held):
+            state.update((held.tobytes(),))
+            state.setTimeoutTimestamp(max(int(held["due"].min()), now + 1))
         else:
-            new = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            stamps = new["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64").to_numpy()
-            done = new["event"].isin(TERMINAL).to_numpy()
-            first, last, terminal, told = state.get if state.exists else (int(stamps[0]), int(stamps[0]), True, False)
-            before = np.maximum.accumulate(np.r_[last, stamps])[:-1]
-            ended = np.r_[terminal, done[:-1]]
-            rows += [(int(t), "gap") for t in before[(stamps - before > gap) & ~ended]]
-            first, last = min(first, int(stamps[0])), max(last, int(stamps[-1]))
-            if not told and last - first > limit:
-                rows.append((first + limit, "total"))
-                told = True
-            state.update((first, last, bool(done[-1]), told))
-            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1000))
-        after = pd.Series([r[0] for r in rows], dtype="int64").astype("datetime64[us]")
-        yield pd.DataFrame({"request_id": [key[0]] * len(rows), "after": after, "reason": [r[1] for r in rows]})
-
-    e = events.select("request_id", "event_id", "ts", "event").withWatermark("ts", delay)
-    return e.groupBy("request_id").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+            state.remove()
+        told = np.concatenate([r[0] for r in rows])
+        if len(told):
+            yield pd.DataFrame({"request_id": [None] * len(told) if key[1] else told, "after": stamps(np.concatenate([r[1] for r in rows])),
+                                "reason": np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])})
+
+    e = dealt(events).withWatermark("ts", delay)
+    return e.groupBy("_group", "_none").applyInPandasWithState(step, schema, "requests binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_eval(results: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:

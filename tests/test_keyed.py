@@ -78,3 +78,30 @@ def test_stalled_stream_with_shuffled_batches(spark, rows, tmp_path):
 
 def test_no_events(spark):
     assert K.least_gap(spark.createDataFrame([], SCHEMA)).withColumn("x", F.lit(1)).collect() == []
+
+
+def test_state_grows_with_groups_not_with_requests(spark, tmp_path):
+    """A call and a timer for each request do not fit large streams; a missing request is one of its own."""
+    rows = [(r if r else None, 2 * r + i, T0 + dt.timedelta(seconds=r % 50 + 5 * i), "stage1_done") for r in range(6 * K.GROUPS) for i in range(2)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "src"))
+    for name, build in (("stream", X.stalled_stream), ("keyed", K.stalled_keyed)):
+        stream = build(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "src")), 900, 3000, "1 second")
+        query = (stream.writeStream.option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True)
+                 .format("parquet").option("path", str(tmp_path / f"{name}-out")).start())
+        query.awaitTermination()
+        held = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+        assert 0 < held <= 4 * (K.GROUPS + 1), name  # a state of events, of requests, and a timer with its index
+
+
+def test_a_missing_request_is_one_request(spark, rows, tmp_path):
+    rows = [(None if r == 4 else r, *rest) for r, *rest in rows]
+    want = sorted((tuple(r) for r in X.stalled(spark.createDataFrame(rows, SCHEMA), 900, 2000).collect()), key=repr)
+    parts = [sorted(rows, key=lambda r: r[2]), [(-1, -1, T0 + dt.timedelta(days=90), "done")]]
+    for name, build in (("stream", X.stalled_stream), ("keyed", K.stalled_keyed)):
+        src, out, state = (str(tmp_path / name / x) for x in ("src", "out", "state"))
+        for part in parts:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+            stream = build(spark.readStream.schema(SCHEMA).parquet(src), 900, 2000, "10000 seconds")
+            stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+        got = spark.read.schema(stream.schema).parquet(out).where("request_id is null or request_id >= 0").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want, name
