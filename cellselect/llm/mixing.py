@@ -65,13 +65,15 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: floa
                      (F.col("target") >= F.col("words") * cap * (1 - 1e-12)).alias("all"),
                      F.lit(0.0).alias("lambda"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
              .checkpoint())
-    for _ in range(rounds):
+    kept = ("target", "mean", "all", "lambda", "low", "high")
+    for _ in range(rounds):  # a step is one join and one sum, which carries the source's state along
         x = F.col("size") / F.col("mean")
         rate = cap / (1 + F.exp(-F.col("lambda") * x))
-        own = state.select(F.col("source").alias("s"), "mean", "lambda")
+        own = state.select(F.col("source").alias("s"), *kept)
         sums = (cells.join(own, F.expr("source <=> s"))
-                .groupBy("s").agg(_sum(F.col("n") * F.col("size") * rate).alias("got"),
-                                  _sum(F.col("n") * F.col("size") * x * rate * (1 - rate / cap)).alias("slope")))
+                .groupBy("source").agg(*[F.first(c).alias(c) for c in kept],
+                                       _sum(F.col("n") * F.col("size") * rate).alias("got"),
+                                       _sum(F.col("n") * F.col("size") * x * rate * (1 - rate / cap)).alias("slope")))
         miss = F.col("target") - F.col("got")
         low = F.when(miss > 0, F.col("lambda")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("high")).otherwise(F.col("lambda"))
@@ -80,9 +82,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: floa
         inside = (F.isnull("low") | (newton > F.col("low"))) & (F.isnull("high") | (newton < F.col("high")))
         middle = F.when(F.isnull("high"), F.col("low") + wide).when(F.isnull("low"), F.col("high") - wide).otherwise((F.col("low") + F.col("high")) / 2)
         step = F.when((F.col("slope") > 0) & inside & (F.abs(newton - F.col("lambda")) <= 4 * wide), newton).otherwise(middle)
-        stepped = (state.drop("low", "high").join(sums, F.expr("source <=> s")).drop("s")
-                   .join(state.select(F.col("source").alias("s"), "low", "high"), F.expr("source <=> s")).drop("s")
-                   .withColumn("low", low).withColumn("high", high)
+        stepped = (sums.withColumn("low", low).withColumn("high", high)
                    .withColumn("done", F.col("all") | (F.abs(miss) <= F.lit(tolerance) * F.col("target")))
                    .withColumn("lambda", F.when(F.col("done") | F.isnull(step), F.col("lambda")).otherwise(step)))
         state = stepped.select("source", "target", "mean", "all", "lambda", "low", "high", "done").checkpoint()
@@ -104,22 +104,19 @@ def cell_copies(cells: DataFrame, state: DataFrame, cap: float = 2.0, correction
              .withColumn("copies", F.col("sum") - F.coalesce(F.lag("sum").over(Window.partitionBy("source").orderBy("size")), F.lit(0)))
              .withColumn("most", F.floor(F.col("n") * F.lit(cap)))
              .withColumn("copies", F.least("copies", "most").cast("long"))
-             .select("source", "size", "n", "target", "copies", "most").checkpoint())
+             .select("source", "size", "n", "target", "copies", "most"))
+    # A source of W words has at most sqrt(2 W) sizes above 0, so its cells fit the task that has summed them up.
+    every = Window.partitionBy("source")
     for _ in range(corrections):
-        off = table.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
+        table = table.withColumn("off", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(every))
         want = F.round(F.try_divide(F.abs("off"), F.col("size"))).cast("long")
         room = F.when(F.col("off") > 0, F.col("most") - F.col("copies")).otherwise(F.col("copies"))
-        move = F.least(want, room)
-        best = (table.where("size > 0").join(off, F.expr("source <=> s"))
-                .select("s", F.col("size").alias("at"), (F.signum("off") * move).cast("long").alias("move"),
-                        F.abs(F.abs("off") - move * F.col("size")).alias("left"), F.abs("off").alias("before"))
-                .where("move <> 0 and left < before")
-                .groupBy("s").agg(F.min(F.struct("left", "at", "move")).alias("b"))
-                .select("s", "b.at", "b.move"))
-        table = (table.join(best, F.expr("source <=> s and size = at"), "left")
-                 .withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0)))
-                 .select("source", "size", "n", "target", "copies", "most").checkpoint())
-    return table.select("source", "size", "n", "copies")
+        table = table.withColumn("move", F.least(want, room)).withColumn("left", F.abs(F.abs("off") - F.col("move") * F.col("size")))
+        useful = (F.col("size") > 0) & (F.col("move") != 0) & (F.col("left") < F.abs("off"))
+        table = table.withColumn("best", F.min(F.when(useful, F.struct("left", "size"))).over(every))
+        table = (table.withColumn("copies", F.col("copies") + F.when(F.col("size") == F.col("best.size"), (F.signum("off") * F.col("move")).cast("long")).otherwise(0))
+                 .select("source", "size", "n", "target", "copies", "most"))
+    return table.select("source", "size", "n", "copies").checkpoint()
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
