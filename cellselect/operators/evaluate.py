@@ -108,7 +108,9 @@ def summary_of_states(states: DataFrame, rows: DataFrame, by: Sequence[str] = ()
 
 def merge_batches(batches: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
     """Batch rows (by, correct, n, distances as an array) → totals, accuracy and the distance summary of all
-    batches' lists together, n being the labelled rows and n_distances the distances."""
+    batches' lists together, n being the labelled rows and n_distances the distances. The batches are computed once."""
+    shared_dir(batches.sparkSession)
+    batches = batches.checkpoint()  # the totals, the states and the percentiles each read them
     rows = batches.select(*by, F.explode("distances").alias("distance_km"))
     summary = summary_of_states(distance_states(rows, by), rows, by).withColumnRenamed("n", "n_distances")
     return merge_metrics(batches, by).join(summary, list(by), "left")
