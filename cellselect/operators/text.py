@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,16 +100,29 @@ def finalise_extract(df: DataFrame) -> DataFrame:
 def annotate(df: DataFrame, text: str, langid: Callable[[pd.Series], pd.DataFrame],
              translate: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """Add iso, confidence and translation from user functions that see Arrow batches."""
-    cols = df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = langid(pdf[text])
-            yield pdf[cols].assign(iso=found["iso"].values, confidence=found["confidence"].values,
-                                   translation=translate(pdf[text], found["iso"]).values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, text):
+                words = part.column(text).to_pandas()
+                found = langid(words)
+                added = (pa.array(found["iso"], pa.string(), from_pandas=True), pa.array(found["confidence"], pa.float64(), from_pandas=True),
+                         pa.array(translate(words, found["iso"]), pa.string(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "iso", "confidence", "translation"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", iso string, confidence double, translation string"
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text, at least one row each: pandas holds a text several times
+    over, so what a worker holds follows the run and not the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 # --- consistency ------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """What operators read again and what their workers hold at once."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cellselect.operators import evaluate as E
+from cellselect.operators import text as G
 
 
 def test_merged_batches_are_computed_once(spark):
@@ -18,3 +20,22 @@ def test_merged_batches_are_computed_once(spark):
     out = E.merge_batches(rows.mapInArrow(counted, rows.schema)).collect()
     assert seen.value == 40
     assert {r.metric: (r.correct, r.n, r.n_distances) for r in out} == {"m0": (14, 28, 28), "m1": (13, 26, 26), "m2": (13, 26, 26)}
+
+
+def test_annotated_texts_come_in_runs_of_bounded_size(spark):
+    most = 1 << 20
+
+    def langid(text):
+        size = text.fillna("").str.len()
+        assert len(text) == 1 or size.sum() <= most, size.sum()
+        return pd.DataFrame({"iso": ["en"] * len(text), "confidence": size.astype(float).to_numpy()})
+
+    def translate(text, iso):
+        return text.str.upper()
+
+    df = spark.range(3000).coalesce(1).select("id", F.when(F.col("id") % 100 != 5, F.repeat(F.lit("a"), F.when(F.col("id") == 9, 3_000_000).otherwise(2000 + F.col("id") % 7).cast("int"))).alias("text"))
+    out = G.annotate(df, "text", langid, translate).select("id", "iso", "confidence", F.length("translation").alias("n"), F.length("text").alias("m"), F.left("translation", F.lit(1)).alias("c"))
+    rows = out.orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(3000)) and all(r.iso == "en" for r in rows)
+    assert all((r.n, r.m, r.c) == ((None, None, None) if r.id % 100 == 5 else (int(r.confidence), r.n, "A")) for r in rows)
+    assert rows[9].m == 3_000_000
