@@ -275,14 +275,24 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
 
     Coverage points travel packed, up to 256 per row, so the semi-join tests arrays and no pair
     row exists. The packs of a dense tile are join keys of their own: only points of such a tile are
-    copied, once per pack, and its packs spread over tasks.
+    copied, once per pack, and its packs spread over tasks. Most points of a dense tile need no pack: they
+    lie within the radius of the one coverage point that stands for their small tile, no wider than the radius.
     """
-    packs = packed(coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom)).withColumns(_unit("lat", "lng"))
+    fine = max(zoom, math.ceil(math.log2(2 * math.pi * geo.EARTH_M * math.sqrt(2) / radius_m))) if radius_m > 0 else zoom
+    fine = min(fine, 30)
+    coverage = coverage.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
+    near = (coverage.withColumn("_f", geo.latlng_to_tile("lat", "lng", fine)).where("lat is not null and lng is not null")
+            .groupBy(F.col("_t").alias("_nt"), F.col("_f").alias("_nf")).agg(F.min(F.struct("lat", "lng")).alias("_near")))
+    packs = packed(coverage.withColumns(_unit("lat", "lng"))
                    .select(F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"), cover_id, "lat", "lng", "ux", "uy", "uz"),
                    ["tx", "ty"], [cover_id], ["lat", "lng", "ux", "uy", "uz"], 256)
     # a cheap necessary bound first, then the exact test
     bound = (2 * math.sin(min(radius_m / geo.EARTH_M, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-15
-    p = points.withColumns(_unit("lat", "lng")).withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom))
+    p = (points.withColumn("_t", geo.latlng_to_tile("lat", "lng", zoom)).withColumn("_f", geo.latlng_to_tile("lat", "lng", fine))
+         .join(near, F.expr("_t.x = _nt.x and _t.y = _nt.y and _f.x = _nf.x and _f.y = _nf.y"), "left"))
+    stands = F.coalesce(geo.haversine_m(F.col("lat"), F.col("lng"), F.col("_near.lat"), F.col("_near.lng")) <= radius_m, F.lit(False))
+    sure = p.where(stands).select(*points.columns)
+    p = p.where(~stands).select(*points.columns, "_t").withColumns(_unit("lat", "lng"))
     packs = packs.select(F.col("tx").alias("_px"), F.col("ty").alias("_py"), F.col("chunk").alias("_pc"), "items")
     dense = packs.groupBy(F.col("_px").alias("_dx"), F.col("_py").alias("_dy")).agg((F.max("_pc") + 1).alias("_slots")).where("_slots > 1")
 
@@ -296,11 +306,12 @@ def covered(points: DataFrame, coverage: DataFrame, radius_m: float = 50, zoom:
     if not neighbours:
         found = slotted(p, F.col("_t.x"), F.col("_t.y")).join(packs, here & hit, "left_semi")
         once = found.where("_slots is null").select(*points.columns)
-        return once.unionByName(found.where("_slots is not null").select(*points.columns).dropDuplicates([point_id]))
+        return sure.unionByName(once).unionByName(found.where("_slots is not null").select(*points.columns).dropDuplicates([point_id]))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     p = p.select(point_id, "lat", "lng", "ux", "uy", "uz", "_t", around.alias("_d"))
     p = slotted(p, F.col("_t.x") + F.col("_d.x"), F.col("_t.y") + F.col("_d.y"))
-    return points.join(p.join(packs, here & hit, "left_semi").select(point_id).distinct(), point_id, "left_semi")
+    found = p.join(packs, here & hit, "left_semi").select(point_id).unionByName(sure.select(point_id))
+    return points.join(found.distinct(), point_id, "left_semi")
 
 
 def _bands(lat: Column, step: float) -> Column:

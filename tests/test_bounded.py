@@ -3,7 +3,9 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cellselect.functions import geo
 from cellselect.operators import evaluate as E
+from cellselect.operators import spatial as S
 from cellselect.operators import text as G
 
 
@@ -39,3 +41,15 @@ def test_annotated_texts_come_in_runs_of_bounded_size(spark):
     assert [r.id for r in rows] == list(range(3000)) and all(r.iso == "en" for r in rows)
     assert all((r.n, r.m, r.c) == ((None, None, None) if r.id % 100 == 5 else (int(r.confidence), r.n, "A")) for r in rows)
     assert rows[9].m == 3_000_000
+
+
+def test_covered_in_a_dense_tile_is_as_brute_force(spark):
+    """Thousands of coverage points in one tile and its small tiles; points within, at the rim and outside."""
+    cover = spark.range(3000).select(F.col("id").alias("point_id"), (F.lit(10.0) + F.col("id") * 7919 % 3000 / 100000).alias("lat"), (F.lit(20.0) + F.col("id") * 104729 % 2000 / 100000).alias("lng"))
+    points = spark.range(400).select(F.col("id").alias("sample_key"), (F.lit(9.99) + F.col("id") * 31 % 400 / 8000).alias("lat"), (F.lit(19.99) + F.col("id") * 17 % 400 / 8000).alias("lng"))
+    p = points.withColumn("t", geo.latlng_to_tile("lat", "lng", 12)).alias("p")
+    c = cover.withColumn("t", geo.latlng_to_tile("lat", "lng", 12)).alias("c")
+    for radius in (60.0, 2500.0):
+        close = geo.haversine_m(F.col("p.lat"), F.col("p.lng"), F.col("c.lat"), F.col("c.lng")) <= radius
+        want = sorted(r[0] for r in p.join(c, (F.col("p.t") == F.col("c.t")) & close, "left_semi").select("sample_key").collect())
+        assert sorted(r.sample_key for r in S.covered(points, cover, radius, 12).collect()) == want and 0 < len(want) < 400
