@@ -1,17 +1,24 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
 The model learns from three quarters of the trusted documents over the words of that part.
-Its table of n-grams is cut into shards by key. Documents, as arrays of word numbers, are dealt into
-chunks; a chunk asks each shard once about each distinct n-gram it holds and gets discounted
-probability and back-off weight back, so a frequent n-gram counts once per chunk. A Bloom filter over
-the model's keys keeps questions without an answer from travelling; too small a filter only lets more
-of them through. A document passes where its perplexity is at most a quantile of its language's
-trusted documents that the model has not seen. Word numbers have 16 bits, or 21 where the vocabulary
-needs them.
+It is kept as counts of triples and pairs, cut into shards by the two leading words, so that a triple
+and the pair it begins with lie together. Documents, as arrays of word numbers, are dealt into chunks; a
+chunk asks each shard once about its distinct pairs and the words that follow them there, and gets counts
+back, small numbers from which it works out discounted probabilities and back-off weights; so a frequent n-gram counts once per chunk. A Bloom filter over the model's keys keeps questions without an
+answer from travelling; too small a filter only lets more of them through. A quarter of the documents goes
+through at a time, which bounds the disk that questions and answers take. A document passes where its
+perplexity is at most a quantile of its language's trusted documents that the model has not seen.
+
+Words are numbered by falling frequency, so their numbers are short; sorted keys travel as a trie and all
+numbers of a list byte plane by byte plane, compressed. Keys are made of word numbers, not hashes: no two
+n-grams share one. Word numbers have 16 bits in a key, or 21 where the vocabulary needs them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,20 +31,26 @@ from cellselect.session import scratch_path, shared_dir
 UNKNOWN, START, STOP, FIRST_WORD = 0, 1, 2, 3
 #: Most words that 21-bit numbers can tell apart.
 MOST_WORDS = (1 << 21) - FIRST_WORD
-_ANSWER = "chunk int, bucket int, reply binary"
-#: Low bytes of a key that travel; with the shard's own bits enough to tell the model's keys apart.
-_WIDTH = 6
+#: Summed counts of a shard: see ``_trie`` and ``_packed``.
+_COUNTS = "bucket int, keys binary, n binary"
+_QUESTION = "chunk int, bucket int, pairs binary, many binary, last binary"
+_ANSWER = "chunk int, bucket int, pairs binary, ones binary, twos binary, more binary, excess binary, triples binary"
+#: Bits of the filter: 8 a key within these bounds.
+_FILTER_BITS = (1 << 16, 1 << 28)
+#: Rounds of documents: what they shuffle is on disk a round at a time.
+_ROUNDS = 4
+#: Bytes of encoded documents whose n-grams are counted at once.
+_RUN_BYTES = 1 << 21
 
 
 #: Removes the shuffle files of a query at its end.
 _END_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
+def _written(rows: DataFrame, path: str) -> DataFrame:
     """``rows``, computed once into a table of the shared folder: a checkpoint keeps its rows whole, a table
-    holds their sorted keys in a quarter of the space, and the shuffles behind it end with its writing."""
+    takes less space, and the shuffles behind it end with its writing."""
     spark = rows.sparkSession
-    path = scratch_path(spark, name)
     before = spark.conf.get(_END_SHUFFLES, "false")
     spark.conf.set(_END_SHUFFLES, "true")
     try:
@@ -48,17 +61,18 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _vocabulary(trusted: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Hashes of the ``size`` most frequent words, sorted; the number of other words (at least 1), over
-    which the unknown word's probability is spread."""
+    """Hashes of the ``size`` most frequent words, by falling frequency; the number of other words (at least 1),
+    over which the unknown word's probability is spread."""
     def count(batches):
         for batch in batches:
             for _, _, words in words_of(batch["text"], True):
                 keys, n = np.unique(words.hash, return_counts=True)
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = trusted.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
+    counts = trusted.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _written(counts, scratch_path(trusted.sparkSession, "words"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).toArrow()
-    return np.sort(top["word"].to_numpy().view(np.uint64)), max(1, counts.count() - top.num_rows)
+    return top["word"].to_numpy().view(np.uint64), max(1, counts.count() - top.num_rows)
 
 
 def _bits(n_words: int) -> int:
@@ -66,227 +80,414 @@ def _bits(n_words: int) -> int:
     return 16 if n_words + FIRST_WORD <= 1 << 16 else 21
 
 
-def _type(bits: int) -> type:
-    return np.uint16 if bits == 16 else np.uint32
-
-
-def _numbers(words, vocabulary: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(words.hash), _type(_bits(0)))
-    at = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words.hash, at + FIRST_WORD, UNKNOWN).astype(_type(_bits(len(vocabulary))))
-
-
-def encode(docs: DataFrame, vocabulary: np.ndarray, keep: tuple[str, ...] = ("doc_id", "row", "lang")) -> DataFrame:
-    """(keep, ids): word numbers of each text as little-endian unsigned values of 16 or 32 bits; ``row``, the
-    text's hash, tells the rows of a doc_id apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kinds = {"doc_id": "doc_id long", "row": "row long", "lang": "lang string"}
+def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, end of each number there): numbers of up to 21 bits in one to three bytes of seven bits, low ones
+    first; the high bit says that another byte follows."""
+    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14)
+    end = np.cumsum(size)
+    out = np.zeros(end[-1] if len(end) else 0, np.uint8)
+    for i in range(3):
+        some = size > i
+        out[end[some] - size[some] + i] = (x[some] >> 7 * i & 127) | np.where(size[some] > i + 1, 128, 0)
+    return out, end
+
+
+def _long(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, position of the last byte of each) of ``_short`` bytes."""
+    last = np.flatnonzero(raw < 128)
+    first = np.r_[0, last[:-1] + 1][:len(last)]
+    x = (raw[first] & 127).astype(np.uint64)
+    for i in (1, 2):
+        some = last - first >= i
+        x[some] |= (raw[first[some] + i] & 127).astype(np.uint64) << np.uint64(7 * i)
+    return x, last
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest needs, byte plane by byte plane, compressed."""
+    x = x.astype(np.min_scalar_type(x.max() if len(x) else 0))
+    planes = x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    return x.itemsize.to_bytes(1, "little") + len(x).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide, n = data[0], int.from_bytes(data[1:9], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data[9:], n * wide, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, n).T).view(f"u{wide}").ravel().astype(np.uint64)
+
+
+def _trie(keys: np.ndarray, bits: int, depth: int) -> bytes:
+    """Sorted distinct keys of ``depth`` words as a trie: steps between the first words, then at each depth
+    how many words follow each node, and these words."""
+    levels = []
+    for _ in range(depth - 1):
+        heads = keys >> np.uint64(bits)
+        at = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]][:len(heads)])
+        levels += [keys & np.uint64((1 << bits) - 1), np.diff(at, append=len(heads))]
+        keys = heads[at]
+    parts = [_packed(x) for x in [np.diff(keys, prepend=np.uint64(0)), *levels[::-1]]]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _keys(data: bytes, bits: int) -> np.ndarray:
+    """Keys of a ``_trie``."""
+    parts, at = [], 0
+    while at < len(data):
+        stop = at + 8 + int.from_bytes(data[at:at + 8], "little")
+        parts.append(_unpacked(data[at + 8:stop]))
+        at = stop
+    keys = np.cumsum(parts[0], dtype=np.uint64)
+    for many, last in zip(parts[1::2], parts[2::2]):
+        keys = _pair(np.repeat(keys, many.astype(np.int64)), last, bits)
+    return keys
+
+
+def _numbered(docs: DataFrame, vocabulary: np.ndarray):
+    """Broadcast (sorted hashes, numbers) of the words."""
+    order = np.argsort(vocabulary)
+    return docs.sparkSession.sparkContext.broadcast((vocabulary[order], order.astype(np.uint32) + np.uint32(FIRST_WORD)))
+
+
+def encode(docs: DataFrame, vocabulary, keep: tuple[str, ...] = ("doc_id", "row", "lang")) -> DataFrame:
+    """(keep, ids): word numbers of each text (see ``_short``) by the hashes of the vocabulary, or by ``_numbered``;
+    ``row``, the text's hash, tells the rows of a doc_id apart."""
+    shared = _numbered(docs, vocabulary) if isinstance(vocabulary, np.ndarray) else vocabulary
+    kinds = {"chunk": "chunk int", "doc_id": "doc_id long", "row": "row long", "lang": "lang string"}
 
     def run(batches):
+        known, numbers = shared.value
         for batch in batches:
             for row, stop, words in words_of(batch["text"], True):
-                ids = _numbers(words, shared.value)
-                yield pa.record_batch([*(batch[c][row:stop] for c in keep), pa.array([x.tobytes() for x in np.split(ids, words.first[1:-1])], pa.binary())],
+                ids = np.zeros(len(words.hash), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+                    ids = np.where(known[at] == words.hash, numbers[at], UNKNOWN).astype(np.int64)
+                raw, end = _short(ids)
+                cut = np.r_[0, end][words.first].tolist()
+                data = raw.tobytes()
+                yield pa.record_batch([*(batch[c][row:stop] for c in keep), pa.array([data[i:j] for i, j in zip(cut, cut[1:])], pa.binary())],
                                       names=[*keep, "ids"])
 
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(kinds[c] for c in keep), "ids binary"]))
 
 
-def _trigrams(ids: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _trigrams(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, w1, w2, w3) of every word and end, starts padded."""
-    parts = [np.frombuffer(x or b"", _type(bits)) for x in ids]
-    sizes = np.array([len(p) + 3 for p in parts], np.int64)
+    numbers, last = _long(np.frombuffer(b"".join(ids), np.uint8))
+    stops = np.searchsorted(last, np.cumsum([len(x) for x in ids], dtype=np.int64))
+    sizes = np.diff(stops, prepend=0) + 3
     flat = np.full(sizes.sum(), STOP, np.uint64)
     first = np.cumsum(sizes) - sizes
     flat[first] = flat[first + 1] = START
-    doc = np.repeat(np.arange(len(parts)), sizes)
+    doc = np.repeat(np.arange(len(ids)), sizes)
     place = np.arange(len(flat)) - first[doc]
-    if parts:
-        flat[(place >= 2) & (place < sizes[doc] - 1)] = np.concatenate(parts)
+    flat[(place >= 2) & (place < sizes[doc] - 1)] = numbers
     at = np.flatnonzero(place >= 2)
     return doc[at], flat[at - 2], flat[at - 1], flat[at]
 
 
-def _key3(a, b, c, bits: int):
-    return (a << np.uint64(2 * bits)) | (b << np.uint64(bits)) | c
+def _pair(a, b, bits: int):
+    return (a << np.uint64(bits)) | b
 
 
-def _key2(b, c, bits: int):
-    return np.uint64(1 << 3 * bits) | (b << np.uint64(bits)) | c
+def _flagged(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of pairs that no triple has."""
+    return pairs | np.uint64(1 << 3 * bits)
 
 
-#: Answers travel as 16-bit logarithms: steps of log10 / 4096 (0.06 %), this code for zero.
-_ZERO = 65535
+def _shard(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return C.bucket_of(mix(pairs), buckets).astype(np.int32)
 
 
-def _coded(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        steps = -4096 * np.log10(x)
-    return np.where(x > 0, np.clip(np.rint(steps), 0, _ZERO - 1), _ZERO).astype(np.uint16)
+def _discounts(n: dict[int, int]) -> list[float]:
+    """0 and D1, D2, D3+ from the counts of counts."""
+    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
+    if not (n1 and n2 and n3 and n4):
+        return [0.0, 0.5, 1.0, 1.5]
+    y = n1 / (n1 + 2 * n2)
+    return [0.0, *(min(max(d, 0.05), top) for d, top in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3)))]
 
 
-def _decoded(code: np.ndarray) -> np.ndarray:
-    return np.where(code == _ZERO, 0.0, 10.0 ** (code / -4096))
+def _cut(n: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array(d)[np.minimum(n, 3).astype(np.int64)]
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the counts of counts."""
-    n = dict(counts.where("n <= 4").groupBy("n").count().collect())
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return [0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.05), top) for d, top in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3))]
+def _posted(keys: np.ndarray, n: np.ndarray, shard: np.ndarray, buckets: int, bits: int, depth: int) -> pa.RecordBatch:
+    """Counts of sorted keys as one row per shard."""
+    order = np.argsort(shard, kind="stable")
+    keys, n = keys[order], n[order]
+    cut = np.searchsorted(shard[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(cut))
+    return pa.record_batch([pa.array(some.astype(np.int32)), pa.array([_trie(keys[cut[i]:cut[i + 1]], bits, depth) for i in some], pa.binary()),
+                            pa.array([_packed(n[cut[i]:cut[i + 1]]) for i in some], pa.binary())], names=["bucket", "keys", "n"])
+
+
+def _summed(rows: DataFrame, bits: int, depth: int) -> DataFrame:
+    """One row per shard: its distinct keys and the sums of their counts."""
+    def merge(key, rows):
+        keys, place = np.unique(np.concatenate([_keys(x, bits) for x in rows["keys"].to_pylist()]), return_inverse=True)
+        n = np.zeros(len(keys), np.uint64)
+        np.add.at(n, place, np.concatenate([_unpacked(x) for x in rows["n"].to_pylist()]))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([_trie(keys, bits, depth)], pa.binary()),
+                         "n": pa.array([_packed(n)], pa.binary())})
+
+    return rows.groupBy("bucket").applyInArrow(merge, _COUNTS)
+
 
+def _each(batches, bits: int):
+    """(keys, counts) of every row."""
+    for batch in batches:
+        for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
+            yield _keys(keys, bits), _unpacked(n)
 
-def _level(counts: DataFrame, context, d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """((key, alpha), (context, gamma)) for adjusted counts (key, n)."""
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    sums = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-    alpha = counts.withColumn("context", context).join(sums, "context").select("key", ((F.col("n") - cut) / F.col("total")).alias("alpha"))
-    return alpha, sums.select("context", (F.col("cut") / F.col("total")).alias("gamma"))
+
+def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
+    """How many keys have 1, 2, 3, 4 and more (5) occurrences."""
+    def run(batches):
+        for batch in batches:
+            for data in batch["n"].to_pylist():
+                yield pa.record_batch([pa.array(range(6), pa.int64()), pa.array(np.bincount(np.minimum(_unpacked(data), 5).astype(np.int64), minlength=6))], names=["n", "c"])
+
+    return {r["n"]: r["c"] for r in counts.select("n").mapInArrow(run, "n long, c long").groupBy("n").agg(F.sum("c").alias("c")).collect()}
+
+
+@dataclass
+class Model:
+    """``shards``: (size, bucket, keys, n), counts of triples (size 3) and adjusted counts of pairs (size 2) by
+    their two leading words; discounts of both; per word number its unigram probability, its back-off weight
+    and one by the sum of the pairs it begins (``unigram``, bounded by the vocabulary)."""
+
+    shards: DataFrame
+    buckets: int
+    bits: int
+    d3: list[float]
+    d2: list[float]
+    unigram: np.ndarray
+    n_keys: int
+
+
+def _contents(rows: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(triples, their counts, pairs, counts) of a shard; a pair's counts are its own, and how many triples
+    that it begins occur once, twice and oftener, and their occurrences beyond 1, 2 and 3."""
+    have = {2: (np.zeros(0, np.uint64),) * 2, 3: (np.zeros(0, np.uint64),) * 2}
+    for size, keys, n in zip(*(rows[c].to_pylist() for c in ("size", "keys", "n"))):
+        have[size] = _keys(keys, bits), _unpacked(n)
+    (two, n2), (three, n3) = have[2], have[3]
+    context = three >> np.uint64(bits)
+    pairs = np.union1d(two, context)
+    counts = np.zeros((5, len(pairs)), np.uint64)
+    counts[0, np.searchsorted(pairs, two)] = n2
+    place, kind = np.searchsorted(pairs, context), np.minimum(n3, 3)
+    for i in (1, 2, 3):
+        counts[i] = np.bincount(place[kind == i], minlength=len(pairs))
+    np.add.at(counts[4], place, n3 - kind)
+    return three, n3, pairs, counts
+
+
+def _weights(counts: np.ndarray, inverse: np.ndarray, d3: list[float], d2: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs' alphas and gammas, and the sums of the triples that they begin (at least 1)."""
+    own, ones, twos, more, excess = counts.astype(np.float64, copy=False)
+    total = ones + 2 * twos + 3 * more + excess
+    cut = d3[1] * ones + d3[2] * twos + d3[3] * more
+    return (own - _cut(own, d2)) * inverse, np.where(total > 0, cut / np.maximum(total, 1), 1.0), np.maximum(total, 1)
+
+
+def learn(trusted: DataFrame, vocabulary: np.ndarray, buckets: int) -> Model:
+    """Model of (doc_id, text)."""
+    spark, bits, words = trusted.sparkSession, _bits(len(vocabulary)), len(vocabulary) + FIRST_WORD
+    wide, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+
+    def triples(batches):
+        for batch in batches:
+            ids = batch["ids"].to_pylist()
+            run = np.cumsum([len(x) for x in ids], dtype=np.int64) // _RUN_BYTES
+            edges = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+            for i, j in zip(edges, [*edges[1:], len(ids)]):
+                _, a, b, c = _trigrams(ids[i:j])
+                keys, n = np.unique(_pair(_pair(a, b, bits), c, bits), return_counts=True)
+                yield _posted(keys, n.astype(np.uint64), _shard(keys >> wide, buckets), buckets, bits, 3)
+
+    def pairs(batches):
+        for keys, n in _each(batches, bits):
+            # words before the pair, or its occurrences at a text's start
+            seen = np.where(keys >> wide & low == START, n, np.uint64(1))
+            keys, place = np.unique(keys & np.uint64((1 << 2 * bits) - 1), return_inverse=True)
+            out = np.zeros(len(keys), np.uint64)
+            np.add.at(out, place, seen)
+            yield _posted(keys, out, _shard(keys, buckets), buckets, bits, 2)
+
+    def by_word(batches):
+        """Per word 8 * number + 0: pairs it ends; + 1: the sum of those it begins; + 2, 3, 4: how many of
+        them have 1, 2, 3 or more."""
+        for keys, n in _each(batches, bits):
+            first, last, one = keys >> wide << np.uint64(3), (keys & low) << np.uint64(3), np.ones(len(keys), np.uint64)
+            keys, place = np.unique(np.concatenate([last, first | np.uint64(1), first + np.minimum(n, np.uint64(3)) + np.uint64(1)]), return_inverse=True)
+            out = np.zeros(len(keys), np.uint64)
+            np.add.at(out, place, np.concatenate([one, n, one]))
+            yield _posted(keys, out, _shard(keys >> np.uint64(3), buckets), buckets, 3, 2)
+
+    three = _written(_summed(encode(trusted, vocabulary, ("doc_id",)).mapInArrow(triples, _COUNTS), bits, 3), scratch_path(spark, "triples"))
+    two = _written(_summed(three.mapInArrow(pairs, _COUNTS), bits, 2), scratch_path(spark, "pairs"))
+    some3, some2 = _counts_of_counts(three), _counts_of_counts(two)
+    d3, d2 = _discounts(some3), _discounts(some2)
+    sums = np.zeros(8 * words, np.int64)
+    for r in _summed(two.mapInArrow(by_word, _COUNTS), 3, 2).toLocalIterator():  # at most five numbers per word of the vocabulary
+        sums[_keys(r["keys"], 3).astype(np.int64)] = _unpacked(r["n"])
+    n1, totals, *ns = sums.reshape(words, 8).T[:5].astype(np.float64)
+    d1 = _discounts({i: int((n1 == i).sum()) for i in (1, 2, 3, 4)})
+    cut, total = _cut(n1, d1), max(n1.sum(), 1.0)
+    totals = np.maximum(totals, 1.0)
+    back = np.where(sum(ns) > 0, sum(d * n for d, n in zip(d2[1:], ns)) / totals, 1.0)
+    unigram = np.stack([(n1 - cut) / total + (cut.sum() / total if n1.sum() else 1.0) / words, back, 1 / totals], 1).astype(np.float32)
+    shards = three.select(F.lit(3).alias("size"), "*").unionByName(two.select(F.lit(2).alias("size"), "*"))
+    return Model(shards, buckets, bits, d3, d2, unigram, sum(some3.values()) + sum(some2.values()))
 
 
 def train(trusted: DataFrame, vocabulary: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """Model of (doc_id, text): table (key, alpha, gamma) of pairs and triples; per word number its
     unigram probability and back-off weight (bounded by the vocabulary)."""
-    wide = _bits(len(vocabulary))
+    model = learn(trusted, vocabulary, 8)
+    bits, d3, d2, ones = model.bits, model.d3, model.d2, model.shards.sparkSession.sparkContext.broadcast(model.unigram)
+
+    def spell(rows):
+        three, n3, two, counts = _contents(rows, bits)
+        alpha, gamma, total = _weights(counts, ones.value[(two >> np.uint64(bits)).astype(np.int64), 2], d3, d2)
+        first = (n3 - _cut(n3, d3)) / total[np.searchsorted(two, three >> np.uint64(bits))]
+        return pa.table({"key": np.concatenate([three, _flagged(two, bits)]).view(np.int64), "alpha": np.concatenate([first, alpha]),
+                         "gamma": np.concatenate([np.ones(len(three)), gamma])})
+
+    return model.shards.groupBy("bucket").applyInArrow(spell, "key long, alpha double, gamma double"), model.unigram
+
+
+def _spots(keys: np.ndarray, shard, size: int) -> list[np.ndarray]:
+    h = mix(keys)
+    return [shard * np.int64(size) + (x % np.uint64(size)).astype(np.int64) for x in (h, mix(h))]
+
+
+def _filter(model: Model) -> np.ndarray:
+    """Bits over the model's keys, two probes; each shard has a range of its own and sets it by itself."""
+    buckets, bits = model.buckets, model.bits
+    size = max(8, int(np.clip(8 * model.n_keys, *_FILTER_BITS)) // buckets // 8 * 8)
 
-    def count(batches):
-        for batch in batches:
-            keys, n = np.unique(_key3(*_trigrams(batch["ids"].to_pylist(), wide)[1:], wide), return_counts=True)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-    low = F.col("key").bitwiseAND(F.lit((1 << 2 * wide) - 1))
-    middle = F.shiftright("key", wide).bitwiseAND(F.lit((1 << wide) - 1))
-    last = F.col("key").bitwiseAND(F.lit((1 << wide) - 1))
-    flag = 1 << 48 if wide == 16 else -(1 << 63)  # bit 3 * wide of a signed long
-    three = _written(encode(trusted, vocabulary, ("doc_id",)).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"), "triples")
-    two = _written(three.groupBy(low.alias("key")).agg(F.when(F.first(middle) == START, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
-                   .sortWithinPartitions("key"), "pairs")
-    one = two.groupBy(last.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    alpha3, gamma3 = _level(three, F.shiftright("key", wide), _discounts(three))
-    alpha2, gamma2 = _level(two, F.shiftright("key", wide), _discounts(two))
-    pair = alpha2.join(gamma3.withColumnRenamed("context", "key"), "key", "full").select(
-        F.col("key").bitwiseOR(F.lit(flag)).alias("key"), F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-    table = pair.unionByName(alpha3.withColumn("gamma", F.lit(1.0)))
-    words = len(vocabulary) + FIRST_WORD
-    n1 = np.zeros(words)
-    rows = one.toArrow()  # at most one row per word of the vocabulary
-    n1[rows["key"].to_numpy()] = rows["n"].to_numpy()
-    d = _discounts(one)
-    cut = np.where(n1 == 0, 0.0, np.where(n1 == 1, d[0], np.where(n1 == 2, d[1], d[2])))
-    total = max(n1.sum(), 1.0)
-    unigram = np.stack([(n1 - cut) / total + (cut.sum() / total if n1.sum() else 1.0) / words, np.ones(words)], 1).astype(np.float32)
-    rows = gamma2.toArrow()
-    unigram[rows["context"].to_numpy(), 1] = rows["gamma"].to_numpy()
-    return table, unigram
-
-
-def _filter(table: DataFrame, bits: int) -> np.ndarray:
-    """Bit array over the model's keys, two probes; ORed per task before it travels."""
     def part(batches):
-        flags = np.zeros(bits, bool)
         for batch in batches:
-            h = mix(batch["key"].to_numpy().view(np.uint64))
-            flags[h % np.uint64(bits)] = flags[mix(h) % np.uint64(bits)] = True
-        packed = np.packbits(flags)
-        for i, block in enumerate(np.split(packed, 16)):
-            yield pa.record_batch([pa.array([i]), pa.array([block.tobytes()], pa.binary())], names=["i", "bits"])
-
-    def join(key, rows):
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"].to_pylist()])
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    rows = (table.select("key").coalesce(16).mapInArrow(part, "i long, bits binary").groupBy("i").applyInArrow(join, "i long, bits binary").collect())
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out[r["i"] * (bits // 128):(r["i"] + 1) * (bits // 128)] = np.frombuffer(r["bits"], np.uint8)
+            for kind, bucket, data in zip(*(batch[c].to_pylist() for c in ("size", "bucket", "keys"))):
+                keys = _keys(data, bits)
+                keys = _flagged(keys, bits) if kind == 2 else np.concatenate([keys, _flagged(np.unique(keys >> np.uint64(bits)), bits)])
+                flags = np.zeros(size, bool)
+                for at in _spots(keys, 0, size):
+                    flags[at] = True
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    out = np.zeros((buckets, size // 8), np.uint8)
+    for r in model.shards.select("size", "bucket", "keys").mapInArrow(part, "bucket int, bits binary").toLocalIterator():
+        out[r["bucket"]] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def perplexities(encoded: DataFrame, table: DataFrame, unigram: np.ndarray, others: int, n_chunks: int, buckets: int,
-                 bits: int = 1 << 26) -> DataFrame:
-    """(doc_id, row, lang, n_tokens, log_ppl): mean of -log10 P over words and end, for (doc_id, row, lang, ids).
-    ``table`` has ``_sharded`` rows."""
-    sc = encoded.sparkSession.sparkContext
-    known, ones = sc.broadcast(_filter(table, bits)), sc.broadcast(unigram)
-    parts = C.with_chunk(encoded, n_chunks)
-    wide = _bits(len(unigram) - FIRST_WORD)
+def _plan(cores: int, size: int, chunk_words: int) -> tuple[int, int]:
+    """(chunks, shards) for about ``size`` words: as ``chunks.plan``, but no more than the cores need where the
+    data is small, as fewer chunks ask for fewer n-grams twice."""
+    per_chunk = max(chunk_words, int(10 * max(size, 1) ** 0.5))
+    return max(_ROUNDS * cores, -(-size // per_chunk)), max(2 * cores, -(-size // (4 * per_chunk)))
 
-    def keys_of(docs: pa.Table):
-        """Triples of the chunk; its distinct pairs and triples with each triple's places among them; the
-        mixed keys worth asking for, sorted, and their places."""
-        doc, a, b, c = _trigrams(docs["ids"].to_pylist(), wide)
-        start = _key2(np.array([START], np.uint64), np.array([START], np.uint64), wide)
-        plain, place = np.unique(np.concatenate([_key3(a, b, c, wide), _key2(b, c, wide), start]), return_inverse=True)
-        h = mix(plain)
+
+def perplexities(docs: DataFrame, vocabulary: np.ndarray, model: Model, others: int, n_chunks: int) -> DataFrame:
+    """(doc_id, row, lang, n_tokens, log_ppl): mean of -log10 P over words and end, for (doc_id, row, lang, text).
+
+    The chunks go through in ``_ROUNDS`` rounds of about the same size, whose shuffles end with them."""
+    sc = docs.sparkSession.sparkContext
+    known, ones = sc.broadcast(_filter(model)), sc.broadcast(model.unigram)
+    docs = C.with_chunk(docs, n_chunks)
+    spelt = _numbered(docs, vocabulary)
+    encoded = [encode(docs.where(F.col("chunk") % _ROUNDS == i), spelt, ("chunk", "doc_id", "row", "lang")) for i in range(_ROUNDS)]
+    bits, buckets, d3, d2 = model.bits, model.buckets, model.d3, model.d2
+
+    def may_have(keys, shard):
         data = known.value
-        hit = np.ones(len(h), bool)
-        for spot in (h % np.uint64(bits), mix(h) % np.uint64(bits)):
-            hit &= (data[spot >> np.uint64(3)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 == 1
-        asked = np.flatnonzero(hit)
-        asked = asked[np.argsort(h[asked])]
-        return doc, b, c, place, h[asked], asked, len(plain)
+        hit = np.ones(len(keys), bool)
+        for spot in _spots(keys, shard, 8 * data.shape[1]):
+            hit &= (data.ravel()[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+        return hit
+
+    def keys_of(docs: pa.Table):
+        """Words of the chunk and the places of their pairs and triples among the distinct ones; the pairs
+        worth asking for, by shard, and where each shard starts; the same of the triples."""
+        doc, a, b, c = _trigrams(docs["ids"].to_pylist())
+        start = _pair(np.array([START], np.uint64), np.array([START], np.uint64), bits)
+        pairs, pair = np.unique(np.concatenate([_pair(b, c, bits), start]), return_inverse=True)
+        triples, triple = np.unique(_pair(_pair(a, b, bits), c, bits), return_inverse=True)
+        shard = _shard(pairs, buckets)
+        hit = may_have(_flagged(pairs, bits), shard)
+        context = np.searchsorted(pairs, triples >> np.uint64(bits))
+        ask2, ask3 = np.flatnonzero(hit), np.flatnonzero(hit[context])
+        ask3 = ask3[may_have(triples[ask3], shard[context[ask3]])]
+        ask2, ask3 = ask2[np.argsort(shard[ask2], kind="stable")], ask3[np.argsort(shard[context[ask3]], kind="stable")]
+        edges = np.arange(buckets + 1)
+        cut2, cut3 = np.searchsorted(shard[ask2], edges), np.searchsorted(shard[context[ask3]], edges)
+        return (doc, b, c, pair, triple), (pairs, ask2, cut2), (triples, ask3, cut3), context
 
     def ask(key, docs):
-        return C.post(key[0].as_py(), keys_of(docs)[4], None, buckets, _WIDTH)
+        _, (pairs, ask2, cut2), (triples, ask3, cut3), context = keys_of(docs)
+        many = np.bincount(context[ask3], minlength=len(pairs))[ask2]
+        last = triples[ask3] & np.uint64((1 << bits) - 1)
+        some = np.flatnonzero(np.diff(cut2))
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "bucket": pa.array(some.astype(np.int32)),
+            "pairs": pa.array([_trie(pairs[ask2[cut2[i]:cut2[i + 1]]], bits, 2) for i in some], pa.binary()),
+            "many": pa.array([_packed(many[cut2[i]:cut2[i + 1]]) for i in some], pa.binary()),
+            "last": pa.array([_packed(last[cut3[i]:cut3[i + 1]]) for i in some], pa.binary())})
+
+    def found(have, counts, want):
+        out = np.zeros((len(counts), len(want)), np.uint64)
+        if len(have):
+            at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+            ok = have[at] == want
+            out[:, ok] = counts[:, at[ok]]
+        return [_packed(x) for x in out]
 
     def answer(left, right):
         if not left.num_rows:
-            return C.REPLY_SCHEMA.empty_table()
-        have = mix(right["key"].to_numpy().view(np.uint64)) & np.uint64((1 << 8 * _WIDTH) - 1)
-        order = np.argsort(have)
-        values = np.ascontiguousarray(right["code"].to_numpy()[order]).view(np.uint16).reshape(-1, 2)
-        have, replies = have[order], []
-        for x in left["keys"].to_pylist():
-            raw = np.zeros((len(x) // _WIDTH, 8), np.uint8)
-            raw[:, :_WIDTH] = np.frombuffer(x, np.uint8).reshape(-1, _WIDTH)
-            want = raw.view(np.uint64).ravel()
-            out = np.tile(np.array([_ZERO, 0], np.uint16), (len(want), 1))
-            if len(have):
-                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                ok = have[at] == want
-                out[ok] = values[at[ok]]
-            replies.append(out.tobytes())
-        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "reply": pa.array(replies, pa.binary())}, schema=C.REPLY_SCHEMA)
-
-    replies = parts.groupBy("chunk").applyInArrow(ask, C.POSTING).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, _ANSWER)
-
+            return pa.table({f: [] for f in names}, schema=schema)
+        three, n3, two, counts = _contents(right, bits)
+        replies = []
+        for pairs, many, last in zip(*(left[c].to_pylist() for c in ("pairs", "many", "last"))):
+            pairs = _keys(pairs, bits)
+            triples = _pair(np.repeat(pairs, _unpacked(many).astype(np.int64)), _unpacked(last), bits)
+            replies.append(found(two, counts, pairs) + found(three, n3[None], triples))
+        return pa.table([left["chunk"], left["bucket"], *(pa.array(x, pa.binary()) for x in zip(*replies))], names=names)
+
+    names = [x.split()[0] for x in _ANSWER.split(", ")]
+    schema = pa.schema([(x, pa.int32() if i < 2 else pa.binary()) for i, x in enumerate(names)])
     def rate(left, right):
-        doc, b, c, place, h, asked, distinct = keys_of(left)
-        values = np.tile(np.array([0, 1], np.float32), (distinct, 1))
-        values[asked] = _decoded(C.read_reply(right["bucket"].to_pylist(), right["reply"].to_pylist(), h, buckets,
-                                              np.dtype((np.uint16, 2))).reshape(-1, 2))
-        n = len(doc)
-        triple, pair = place[:n], place[n:2 * n]
-        before = np.r_[place[-1:], pair[:-1]]  # the pair of the two words before; a document starts with two starts
-        before[np.r_[True, doc[1:] != doc[:-1]]] = place[-1]
-        low = values[pair, 0] + ones.value[b.astype(np.int64), 1] * ones.value[c.astype(np.int64), 0]
-        p = values[triple, 0] + values[before, 1] * low
+        (doc, b, c, pair, triple), (pairs, ask2, cut2), (triples, ask3, cut3), context = keys_of(left)
+        counts, n3 = np.zeros((5, len(pairs))), np.zeros(len(triples))
+        for i, *reply in zip(*(right[x].to_pylist() for x in names[1:])):
+            for out, data in zip(counts, reply):
+                out[ask2[cut2[i]:cut2[i + 1]]] = _unpacked(data)
+            n3[ask3[cut3[i]:cut3[i + 1]]] = _unpacked(reply[-1])
+        alpha2, gamma, total = (x.astype(np.float32) for x in _weights(counts, ones.value[(pairs >> np.uint64(bits)).astype(np.int64), 2], d3, d2))
+        alpha3 = ((n3 - _cut(n3, d3)) / total[context]).astype(np.float32)
+        before = np.r_[pair[-1:], pair[:-2]]  # the pair of the two words before; a document starts with two starts
+        before[np.r_[True, doc[1:] != doc[:-1]]] = pair[-1]
+        low = alpha2[pair[:-1]] + ones.value[b.astype(np.int64), 1] * ones.value[c.astype(np.int64), 0]
+        p = alpha3[triple] + gamma[before] * low
         p = np.where(c == UNKNOWN, p / others, p)
         n = np.bincount(doc, minlength=left.num_rows)
         bits_ = np.bincount(doc, weights=-np.log10(p), minlength=left.num_rows)
         return pa.table({"doc_id": left["doc_id"], "row": left["row"], "lang": left["lang"], "n_tokens": pa.array(n, pa.int64()), "log_ppl": pa.array(bits_ / np.maximum(n, 1))})
 
-    return parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(rate, "doc_id long, row long, lang string, n_tokens long, log_ppl double")
-
-
-def _sharded(table: DataFrame, buckets: int) -> DataFrame:
-    """(key, code, bucket): the model's rows with both values as 16-bit logarithms in one number and the shard
-    of their mixed key, as ``chunks.bucket_of``."""
-    def run(batches):
-        for batch in batches:
-            shard = C.bucket_of(mix(batch["key"].to_numpy().view(np.uint64)), buckets).astype(np.int32)
-            code = _coded(np.stack([batch["alpha"].to_numpy(), batch["gamma"].to_numpy()], 1)).view(np.int32).ravel()
-            yield pa.record_batch([batch["key"], pa.array(code), pa.array(shard)], names=["key", "code", "bucket"])
+    def rated(parts):
+        replies = parts.groupBy("chunk").applyInArrow(ask, _QUESTION).groupBy("bucket").cogroup(model.shards.groupBy("bucket")).applyInArrow(answer, _ANSWER)
+        return parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(rate, "doc_id long, row long, lang string, n_tokens long, log_ppl double")
 
-    return table.select("key", "alpha", "gamma").mapInArrow(run, "key long, code int, bucket int")
+    return reduce(DataFrame.unionByName, [_written(rated(parts), scratch_path(docs.sparkSession, "rated")) for parts in encoded])
 
 
 def quality(docs: DataFrame, labels: DataFrame, docs_per_lang: int | None = None, vocabulary_size: int = MOST_WORDS, quantile: float = 0.98,
-            chunk_words: int = 1_200_000) -> DataFrame:
+            chunk_words: int = 500_000) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, kept) per distinct doc_id of ``docs``.
 
     Trusted: ``labels`` with quality 1 and toxic 0. Three quarters of them, chosen by a hash of the id, train the
@@ -312,13 +513,14 @@ def quality(docs: DataFrame, labels: DataFrame, docs_per_lang: int | None = None
         "doc_id", "row", "lang", (part < 750_000).alias("train"),
         (part < 750_000 * share).alias("use")))
     sample = split.where("train and use").select("doc_id", "row")
-    text = _written(docs.join(sample, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id"]), "trusted")
+    path = scratch_path(spark, "trusted")
+    text = _written(docs.join(sample, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id"]), path)
     vocabulary, others = _vocabulary(text, min(vocabulary_size, MOST_WORDS))
-    table, unigram = train(text, vocabulary)
     words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n, buckets = C.plan(docs, words // 6, chunk_words)
-    table = _written(_sharded(table, buckets).sortWithinPartitions("bucket", "key"), "model")
-    scored = perplexities(encode(docs, vocabulary), table, unigram, others, n, buckets)
+    n, buckets = _plan(spark.sparkContext.defaultParallelism, words // 6, chunk_words)
+    model = learn(text, vocabulary, buckets)
+    spark.createDataFrame([], text.schema).write.mode("overwrite").parquet(path)  # its files are not read again
+    scored = perplexities(docs, vocabulary, model, others, n)
     scored = (scored.groupBy("doc_id").agg(F.min(F.struct("row", "lang", "log_ppl", "n_tokens")).alias("s"))
               .select("doc_id", "s.lang", "s.n_tokens", "s.log_ppl").checkpoint())
     bins = (scored.join(split.where("not use").select("doc_id"), "doc_id", "left_semi")

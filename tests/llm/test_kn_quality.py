@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from cellselect.llm import kn_quality as Q  # noqa: E402
+from cellselect.llm.words import split  # noqa: E402
 
 
 def discounts(counts):
@@ -122,3 +123,24 @@ def test_all_training_documents_are_counted(spark, monkeypatch):
         except Seen:
             pass
     assert 4300 < seen[0] < 4700 and 800 < seen[1] < 1200
+
+
+def test_word_numbers_and_keys_travel_short(spark):
+    """Prose over a large vocabulary takes under two bytes a word (four before), and comes back whole."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(i), 79_999)}" for i in rng.zipf(1.3, 500)) for _ in range(40)] + [None, "", "never seen"]
+    spelt = np.frombuffer(" ".join(f"w{i}" for i in range(80_000)).encode(), np.uint8)
+    known = split(spelt, np.array([0, len(spelt)]), True).hash
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.ids for r in Q.encode(docs, known, ("doc_id",)).orderBy("doc_id").collect()]
+    assert sum(map(len, got)) < 2 * 500 * 40
+    doc, _, _, word = Q._trigrams(got)
+    for i, t in enumerate(texts):
+        want = [int(w[1:]) + Q.FIRST_WORD if w[1:].isdigit() else Q.UNKNOWN for w in (t or "").split()]
+        assert word[doc == i].tolist() == [*want, Q.STOP]
+    for depth in (1, 2, 3):
+        keys = np.unique(rng.integers(0, 1 << 21 * depth, 1000, dtype=np.uint64))
+        assert (Q._keys(Q._trie(keys, 21, depth), 21) == keys).all()
+    assert len(Q._keys(Q._trie(np.zeros(0, np.uint64), 21, 3), 21)) == 0
+    numbers = np.array([0, 1 << 40, 7], np.uint64)
+    assert (Q._unpacked(Q._packed(numbers)) == numbers).all()
