@@ -29,7 +29,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 #: A-Z lowered; what ends a piece is a space to the word cutter.
 _PLAIN = np.where(_BREAK, 32, W._LOWER).astype(np.uint8)
-_BLOCK_BYTES = 1 << 21
+#: Bytes of text cut into words at once; the working arrays are some 60 times as large.
+_BLOCK_BYTES = 1 << 19
 #: Suffixes that a task gathers before it merges equal ones and sends them.
 _FLUSH = 300_000
 _FILTER_BITS = (1 << 16, 1 << 28)

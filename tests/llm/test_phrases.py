@@ -92,3 +92,17 @@ def test_quicksort_counts_prefixes(least):
 def test_odd_rows(spark, edge, empty):
     assert sorted(tuple(r) for r in P.collocations(edge, least=20, top=5).collect()) == plain([(r.lang, r.text) for r in edge.collect()], 20, 5)
     assert P.collocations(empty).collect() == []
+
+
+def test_words_of_a_batch_are_cut_in_little_memory():
+    """Working arrays stay in tens of MB whatever the batch holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = ["some words of a text, and more of them. " * 5000] * 30  # 6 MB
+    batch = pa.record_batch([pa.array(texts), pa.array([1] * 30, pa.int64())], names=["text", "lang_key"])
+    tracemalloc.start()
+    n = sum(len(words.hash) for _, _, words, _ in P._blocks(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30 * 5000 * 9 and peak < 60 << 20
