@@ -3,6 +3,7 @@ back: names and bytes of a folder's files, listed and read by tasks."""
 
 from __future__ import annotations
 
+import contextlib
 import fnmatch
 import os
 import uuid
@@ -31,32 +32,66 @@ class Written(WriterCommitMessage):
     files: int
 
 
+class EmptyFile:
+    """A hidden empty file of a folder, to which names are given as hard links: a name takes no inode, of which a disk
+    has a fixed number. When the file system allows it no more names (65,000 on ext4), a new file follows; where there
+    are no such links, ``name`` says so."""
+
+    def __init__(self, root: str, usable: bool):
+        self.root, self.usable, self.file = root, usable, None
+
+    def name(self, path: str) -> bool:
+        """Whether ``path`` is a new name of it; a name that exists stays as it is."""
+        while self.usable:
+            fresh = self.file is None
+            try:
+                if fresh:
+                    self.file = f"{self.root}/.{uuid.uuid4().hex}"
+                    open(self.file, "xb").close()
+                os.link(self.file, path)
+                return True
+            except FileExistsError:
+                return False
+            except OSError:
+                self.usable = not fresh
+                self.close()
+        return False
+
+    def close(self) -> None:
+        if self.file is not None:
+            with contextlib.suppress(OSError):
+                os.unlink(self.file)
+            self.file = None
+
+
 class NamedFilesWriter(DataSourceArrowWriter):
     """A file is written under a name of its own and moved to its place when it is whole: a repeated or
     speculative task replaces a file by the same one, and a lost task leaves no half file under a name. An empty
-    file is whole at once; it takes no block of a disk."""
+    file is whole at once; it takes no block of a disk and, with ``link_empty``, no inode."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, link_empty: bool = False):
+        self.path, self.link_empty = path, link_empty
 
     def write(self, iterator: Iterator) -> Written:
         system, root = _open(self.path)
         made: set[str] = set()
         n = 0
-        for batch in iterator:
-            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist()):
-                folder = f"{root}/{name}".rsplit("/", 1)[0]
-                if folder not in made:
-                    system.create_dir(folder, recursive=True)
-                    made.add(folder)
-                n += 1
-                if not content:
-                    system.open_output_stream(f"{root}/{name}").close()
-                    continue
-                part = f"{folder}/.{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(content)
-                system.move(part, f"{root}/{name}")
+        with contextlib.closing(EmptyFile(root, self.link_empty and is_local(self.path))) as empty:
+            for batch in iterator:
+                for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist()):
+                    folder = f"{root}/{name}".rsplit("/", 1)[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    n += 1
+                    if not content:
+                        if not empty.name(f"{root}/{name}"):
+                            system.open_output_stream(f"{root}/{name}").close()
+                        continue
+                    part = f"{folder}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(content)
+                    system.move(part, f"{root}/{name}")
         return Written(n)
 
 
@@ -73,17 +108,19 @@ class NamedFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> NamedFilesWriter:
         if overwrite:
             raise ValueError("named files are added to a folder, mode('append'); files of the same names are replaced")
-        return NamedFilesWriter(self.options["path"])
+        return NamedFilesWriter(self.options["path"], self.options.get("link_empty") == "true")
 
 
-def write_named(df: DataFrame, path: str) -> None:
+def write_named(df: DataFrame, path: str, link_empty: bool = False) -> None:
     """Write (name, content): ``name`` is a path below ``path``. Rows without a name, with an empty one or one that
-    leaves the folder are an error; null content is an empty file; of rows with one name any stays."""
+    leaves the folder are an error; null content is an empty file; of rows with one name any stays. ``link_empty``:
+    empty files are hard links of a few, for more names than a disk has inodes; who writes to one in place writes to all."""
     spark = df.sparkSession
     spark.dataSource.register(NamedFiles)
     bad = F.col("name").isNull() | (F.col("name") == "") | F.col("name").startswith("/") | F.col("name").contains("..")
     name = F.when(bad, F.raise_error(F.concat(F.lit("not a name below the folder: "), F.coalesce("name", F.lit("null")))).cast("string")).otherwise(F.col("name"))
-    df.select(name.alias("name"), F.coalesce("content", F.lit(b"")).cast("binary").alias("content")).write.format("named_files").mode("append").save(path)
+    rows = df.select(name.alias("name"), F.coalesce("content", F.lit(b"")).cast("binary").alias("content"))
+    rows.write.format("named_files").mode("append").option("link_empty", link_empty).save(path)
 
 
 def is_local(path: str) -> bool:

@@ -1,11 +1,14 @@
 """Files of chosen names and bytes, written by tasks and read back by Spark's own readers."""
 
+import os
+
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cellselect.sources import files
-from cellselect.sources.named_files import bmp, write_named
+from cellselect.sources.named_files import NamedFilesWriter, bmp, write_named
 
 
 def read(spark, path):
@@ -49,3 +52,33 @@ def test_pictures_decode(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     write_named(spark.createDataFrame([], "name string, content binary"), str(tmp_path / "none"))
     assert not list(tmp_path.rglob("*.bin"))
+
+
+def test_empty_files_share_inodes(spark, tmp_path):
+    """A disk has a fixed number of inodes; names without content need none each. Files with content have their own."""
+    rows = [(f"d{i % 3}/f{i}", b"x" if i % 50 == 0 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    for _ in range(2):  # the same again, as by a repeated task
+        write_named(df, f"file:{tmp_path}/out", link_empty=True)
+    found = {p.relative_to(tmp_path / "out").as_posix(): p for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert {n: p.read_bytes() for n, p in found.items()} == {n: c or b"" for n, c in rows}  # and no hidden ones
+    assert len({p.stat().st_ino for p in found.values()}) <= 20 + 4
+    write_named(df.where("content is null").limit(1).withColumn("content", F.lit(b"new")), str(tmp_path / "out"), link_empty=True)
+    assert sorted(p.read_bytes() for p in found.values()) == [b""] * 979 + [b"new"] + [b"x"] * 20
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_empty_files_where_links_are_few_or_none(tmp_path, monkeypatch, most):
+    link = os.link
+
+    def few(src, dst):
+        if os.stat(src).st_nlink > most:
+            raise OSError(31 if most else 1, "no more links")
+        link(src, dst)
+
+    monkeypatch.setattr(os, "link", few)
+    names = [f"d/{i}" for i in range(95)] + ["d/7"]
+    batch = pa.record_batch([pa.array(names), pa.array([b""] * 96, pa.binary())], ["name", "content"])
+    assert NamedFilesWriter(str(tmp_path), link_empty=True).write(iter([batch])).files == 96
+    assert {p.name for p in tmp_path.iterdir()} == {"d"} and {p.name for p in (tmp_path / "d").iterdir()} == {str(i) for i in range(95)}
+    assert len({p.stat().st_ino for p in (tmp_path / "d").iterdir()}) == (10 if most else 95)

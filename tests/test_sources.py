@@ -10,6 +10,7 @@ from cellselect.functions import text as T
 from cellselect.operators import images as I
 from cellselect.operators import spatial as S
 from cellselect.operators import text as G
+from cellselect.plans import load
 from cellselect.sources import files
 
 
@@ -163,3 +164,12 @@ def test_list_images_of_nested_folders_and_empty_files(spark, tmp_path):
     assert {r.pano_id: r.source_dir for r in out.collect()} == {"a": "one", "_b": "one", "c": "one", "e": "two"}
     assert {r.pano_id for r in files.list_images(spark, roots).collect()} == {"c"}
     assert {r.source_dir for r in files.list_images(spark, roots, "tag", nested=True).collect()} == {"tag"}
+
+
+def test_listed_files_need_no_inode_each(spark, tmp_path, monkeypatch):
+    """s2_list_images writes a name per sample and more: at 50 million samples, more than a disk has inodes."""
+    monkeypatch.setattr("cellselect.plans.q_sources.scratch_path", lambda _, name: str(tmp_path / name))
+    out = load()[0]["s2_list_images"](spark, "/root/testdata/sf0.001")
+    found = [p.stat() for p in (tmp_path / "pools").rglob("*") if p.is_file()]
+    assert len(found) == 1800 and len({s.st_ino for s in found}) <= 32
+    assert out.count() == 1300
